@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality
+import public_tokenizers
+
+from . import bpe, quality
 from .common import table, worker_path
 
 QUERIES: dict = {}
@@ -27,3 +29,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "left_chars", "kept")
     return quality.assess(docs).select("doc_id", *(F.col(f"quality.{c}").alias(c) for c in names))
+
+
+@_query
+def op6_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE ids of all documents, and the bytes they decode to."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    docs = table(spark, sf_dir, "documents")
+    return bpe.round_trip(docs, "doc_id", "text", path, public_tokenizers.PATTERN)
