@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, quality
+from . import bpe, near_dup, quality
 from .common import table, worker_path
 
 QUERIES: dict = {}
@@ -37,3 +37,32 @@ def op6_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = table(spark, sf_dir, "documents")
     return bpe.round_trip(docs, "doc_id", "text", path, public_tokenizers.PATTERN)
+
+
+@_query
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents on 4-word shingles at 80 percent."""
+    return near_dup.classes(table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
+ORACLES["op3_minhash_near_dedup"] = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+    FROM documents),
+s AS (
+    SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+        ELSE list_distinct([array_to_string(ws[i:i + 3], ' ') FOR i IN range(1, len(ws) - 2)]) END) AS sh
+    FROM w),
+c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common
+    FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (
+    SELECT a, b FROM p JOIN c x ON x.doc_id = a JOIN c y ON y.doc_id = b
+    WHERE 100 * common >= 80 * (x.n + y.n - common)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+SELECT d.doc_id, coalesce(any_value(c.n), 0)::BIGINT AS n_shingles, min(r.b) AS component_id,
+       d.doc_id = min(r.b) AS kept
+FROM documents d JOIN r ON r.a = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id GROUP BY d.doc_id
+"""
