@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, near_dup, quality
-from .common import table, worker_path
+from . import bpe, near_dup, quality, simhash
+from .common import materialize, table, worker_path
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -66,3 +66,32 @@ SELECT d.doc_id, coalesce(any_value(c.n), 0)::BIGINT AS n_shingles, min(r.b) AS
        d.doc_id = min(r.b) AS kept
 FROM documents d JOIN r ON r.a = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id GROUP BY d.doc_id
 """
+
+
+@_query
+def op9_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts; n_near answers the ids divisible by 100."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    own = simhash.with_fingerprint(docs, "text", "fp")
+    paired = simhash.with_next(own, "doc_id", "text", ["text", "fp"])
+    n = F.length("text")
+    cut = F.floor(n / 3).cast("int")
+    edited = F.concat(F.substr("text", F.lit(1), n - cut), F.substr("next_text", F.lit(1), cut))
+    both = simhash.with_fingerprint(
+        paired.select("doc_id", "fp", "next_fp", n.cast("long").alias("n_chars"), edited.alias("edited")), "edited", "edited_fp"
+    )
+    narrow = both.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fp", "edited_fp", "next_fp")
+    done = materialize(narrow, "fingerprints")
+    near = simhash.search(done, done.filter("doc_id % 100 = 0"))
+    asked = done.filter("doc_id % 100 = 0").join(near, "fp").select(done.columns + ["n_near"])
+    rest = done.filter("doc_id % 100 <> 0 or doc_id is null").withColumn("n_near", F.lit(None).cast("long"))
+    return asked.union(rest).select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        simhash.as_hex(F.col("fp")).alias("fingerprint"),
+        simhash.as_hex(F.col("edited_fp")).alias("edited_fingerprint"),
+        simhash.likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
+        simhash.likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+        "n_near",
+    )
