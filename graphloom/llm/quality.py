@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, let, words
+from .common import SPACE_CHARS, words
 
 #: Fixed values of the base rules' symbol count.
 SYMBOLS = "#*$%&|<>"
@@ -50,28 +50,23 @@ def occurrences(text: Column, pattern: str) -> Column:
     return F.size(F.split(text, pattern, -1)) - 1
 
 
-def line_passes(line: Column, rules: LineRules) -> Column:
-    """Whether a line that has words is kept; the cheapest tests come first."""
-
-    def judged(w: Column) -> Column:
-        n = F.size(w)
-        return (
-            (occurrences(line, MARKS) * 100 <= n * rules.mark_percent)
-            & (occurrences(line, "[!?]") * 100 <= n * rules.exclaim_percent + 100)
-            & ((n < rules.repeat_min_words) | (F.size(F.array_distinct(w)) * 100 >= n * rules.distinct_percent))
+def line_passes(line: Column, low: Column, w: Column, rules: LineRules) -> Column:
+    """Whether a line is kept, given its lower-case form and its words; the cheapest tests come first."""
+    n = F.size(w)
+    spoken = F.lit(False)
+    for phrase in BOILERPLATE:
+        spoken = spoken | low.contains(phrase)
+    return (
+        F.lit(TERMINAL).contains(F.right(F.rtrim(line, F.lit(SPACE_CHARS)), F.lit(1)))
+        & (occurrences(line, MARKS) * 100 <= n * rules.mark_percent)
+        & (occurrences(line, "[!?]") * 100 <= n * rules.exclaim_percent + 100)
+        & (
+            (F.length(line) < rules.shout_min_chars)
+            | (occurrences(line, r"\p{Lu}") * 100 <= F.length(line) * rules.shout_percent)
         )
-
-    def spoken(low: Column) -> Column:
-        found = F.lit(False)
-        for phrase in BOILERPLATE:
-            found = found | low.contains(phrase)
-        return ~found
-
-    shout = (F.length(line) >= rules.shout_min_chars) & (
-        occurrences(line, r"\p{Lu}") * 100 > F.length(line) * rules.shout_percent
+        & ((n < rules.repeat_min_words) | (F.size(F.array_distinct(w)) * 100 >= n * rules.distinct_percent))
+        & ~spoken
     )
-    closed = F.lit(TERMINAL).contains(F.right(F.rtrim(line, F.lit(SPACE_CHARS)), F.lit(1)))
-    return closed & ~shout & let(words(line), judged) & let(F.lower(line), spoken)
 
 
 def _windows(w: Column, make) -> Column:
@@ -84,55 +79,57 @@ def window_hashes(w: Column) -> Column:
     return _windows(w, lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
 
 
-def repeated_window_words(w: Column, hashes: Column) -> Column:
-    """Words covered by 3-word windows that occur at least twice in the word array.
+def _repeated_words(df: DataFrame, w: str, hashes: str, out: str) -> DataFrame:
+    """df with `out`: words covered by 3-word windows that occur at least twice in the word array.
 
     A text without equal window hashes has none. Otherwise its windows are sorted, the hash first and the words
-    themselves to settle equal hashes, so the result is exact and the cost n log n.
+    themselves to settle equal hashes, so the result is exact and the cost n log n. One column a step keeps the
+    expressions shallow.
     """
-
-    def covered(places: Column) -> Column:
-        steps = F.transform(places, lambda p, i: F.least(F.lit(3), F.coalesce(F.get(places, i + 1) - p, F.lit(3))))
-        return F.aggregate(steps, F.lit(0), lambda a, x: a + x)
-
-    def repeated(s: Column) -> Column:
-        def twin(x: Column, other: Column) -> Column:
-            return F.coalesce((other["h"] == x["h"]) & (other["k"] == x["k"]), F.lit(False))
-
-        both = F.filter(s, lambda x, i: twin(x, F.get(s, i - 1)) | twin(x, F.get(s, i + 1)))
-        return let(F.sort_array(F.transform(both, lambda x: x["i"])), covered)
+    word, h, s, p = (F.col(c) for c in (w, hashes, "__sorted", "__places"))
 
     def window(i: Column) -> Column:
-        k = F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
-        return F.struct(F.get(hashes, i).alias("h"), k.alias("k"), i.alias("i"))
-
-    slow = let(F.sort_array(_windows(w, window)), repeated)
-    return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), slow).otherwise(F.lit(0)).cast("long")
+        k = F.concat_ws(" ", F.get(word, i), F.get(word, i + 1), F.get(word, i + 2))
+        return F.struct(F.get(h, i).alias("h"), k.alias("k"), i.alias("i"))
+
+    def twin(x: Column, other: Column) -> Column:
+        return F.coalesce((other["h"] == x["h"]) & (other["k"] == x["k"]), F.lit(False))
+
+    repeats = F.size(F.array_distinct(h)) < F.size(h)
+    return (
+        df.withColumn("__unsorted", F.when(repeats, _windows(word, window)))
+        .withColumn("__sorted", F.sort_array("__unsorted"))
+        .withColumn("__twins", F.filter(s, lambda x, i: twin(x, F.get(s, i - 1)) | twin(x, F.get(s, i + 1))))
+        .withColumn("__places", F.sort_array(F.col("__twins.i")))
+        .withColumn("__steps", F.transform(p, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1) - x, F.lit(3)))))
+        .withColumn(out, F.coalesce(F.aggregate("__steps", F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long"))
+        .drop("__unsorted", "__sorted", "__twins", "__places", "__steps")
+    )
 
 
 def assess(docs: DataFrame, text: str = "text", rules: LineRules = LineRules()) -> DataFrame:
     """docs with one struct column `quality`: counts, base_failed, cleaned text, its word characters, kept."""
     col = F.coalesce(F.col(text), F.lit(""))
-    w, h = F.col("__words"), F.col("__hashes")
-    full = F.col("__lines")
-    n = F.size(w)
-    cleaned = F.col("__cleaned")
+    w, lines, line_words, lows, passed = (F.col(c) for c in ("__words", "__lines", "__line_words", "__lows", "__passed"))
+    n, cleaned = F.size(w), F.col("__cleaned")
     failed = (n < rules.min_words) | (100 * F.col("__repeat") > rules.max_repeat_percent * n)
-    word_chars, left = F.length(F.array_join(w, "")), F.length(F.array_join(words(cleaned), ""))
+    word_chars, left = F.length(F.array_join(w, "")), F.length(F.array_join(F.col("__left"), ""))
+    staged = docs.withColumns(
+        {
+            "__words": words(col),
+            "__lines": F.filter(F.split(col, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
+        }
+    ).withColumn("__hashes", window_hashes(w))
     staged = (
-        docs.withColumns(
-            {
-                "__words": words(col),
-                "__lines": F.filter(F.split(col, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
-            }
-        )
-        .withColumn("__hashes", window_hashes(w))
-        .withColumns(
-            {
-                "__repeat": repeated_window_words(w, h),
-                "__cleaned": F.array_join(F.filter(full, lambda x: line_passes(x, rules)), "\n"),
-            }
+        _repeated_words(staged, "__words", "__hashes", "__repeat")
+        .drop("__hashes")
+        .withColumns({"__line_words": F.transform(lines, words), "__lows": F.transform(lines, F.lower)})
+        .withColumn(
+            "__passed",
+            F.filter(lines, lambda x, i: line_passes(x, F.get(lows, i), F.get(line_words, i), rules)),
         )
+        .withColumn("__cleaned", F.array_join(passed, "\n"))
+        .withColumn("__left", words(cleaned))
     )
     measured = staged.withColumn(
         "quality",
@@ -140,7 +137,7 @@ def assess(docs: DataFrame, text: str = "text", rules: LineRules = LineRules())
             n.cast("long").alias("n_words"),
             word_chars.cast("long").alias("word_chars"),
             occurrences(col, f"[{SYMBOLS}]").cast("long").alias("n_symbols"),
-            (F.size(full) - F.size(F.array_distinct(full))).cast("long").alias("n_dup_lines"),
+            (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
             F.col("__repeat").alias("n_repeat_words"),
             failed.alias("base_failed"),
             left.cast("long").alias("left_chars"),
@@ -148,7 +145,9 @@ def assess(docs: DataFrame, text: str = "text", rules: LineRules = LineRules())
             cleaned.alias("cleaned"),
         ),
     )
-    return measured.drop("__words", "__hashes", "__lines", "__repeat", "__cleaned")
+    return measured.drop(
+        "__words", "__lines", "__repeat", "__line_words", "__lows", "__passed", "__cleaned", "__left"
+    )
 
 
 def clean(docs: DataFrame, text: str = "text", rules: LineRules = LineRules()) -> DataFrame:
