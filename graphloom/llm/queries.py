@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, near_dup, quality, simhash
-from .common import materialize, table, worker_path
+from . import bpe, langid, near_dup, quality, simhash
+from .common import crc_rest, materialize, table, worker_path
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -95,3 +95,11 @@ def op9_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         simhash.likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
         "n_near",
     )
+
+
+@_query
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents, learned from those whose crc32(doc_id) mod 3 is not 1."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = crc_rest(F.col("doc_id"), 3) == 1
+    return langid.identify(docs, ~held_out).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
