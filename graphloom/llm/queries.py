@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, langid, near_dup, quality, simhash
+from . import bpe, langid, mixing, near_dup, quality, simhash
 from .common import crc_rest, materialize, table, worker_path
 
 QUERIES: dict = {}
@@ -103,3 +103,18 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = crc_rest(F.col("doc_id"), 3) == 1
     return langid.identify(docs, ~held_out).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@_query
+def op4_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mix of all documents by source weights 5, 2, 1, in training order."""
+    placed = mixing.assign(table(spark, sf_dir, "documents"))
+    return placed.select(
+        "doc_id",
+        "size",
+        "source_size",
+        "target",
+        "taken",
+        F.size("placements").alias("passes"),
+        F.get("placements", F.lit(0))["position"].alias("position"),
+    ).orderBy("position", "doc_id")
