@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, langid, mixing, near_dup, quality, simhash
+from . import bpe, langid, lm, mixing, near_dup, quality, simhash
 from .common import crc_rest, materialize, table, worker_path
 
 QUERIES: dict = {}
@@ -118,3 +118,12 @@ def op4_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("placements").alias("passes"),
         F.get("placements", F.lit(0))["position"].alias("position"),
     ).orderBy("position", "doc_id")
+
+
+@_query
+def op5_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of all documents, learned from those whose crc32(doc_id) mod 7 is not 2."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = crc_rest(F.col("doc_id"), 7) == 2
+    scored = lm.score(docs, ~held_out, public_tokenizers.path("piece_bpe_32k.model"))
+    return scored.withColumn("held_out", held_out)
