@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, langid, lm, mixing, near_dup, quality, simhash
+from . import bpe, langid, lm, mixing, near_dup, quality, simhash, wrapper
 from .common import crc_rest, materialize, table, worker_path
 
 QUERIES: dict = {}
@@ -127,3 +127,9 @@ def op5_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = crc_rest(F.col("doc_id"), 7) == 2
     scored = lm.score(docs, ~held_out, public_tokenizers.path("piece_bpe_32k.model"))
     return scored.withColumn("held_out", held_out)
+
+
+@_query
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages by the wrappers of their hosts."""
+    return wrapper.extract(table(spark, sf_dir, "pages"))
