@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 
 #: Longest text of a remembered pre-token, and how many are remembered; both bound a worker's memory only.
 MEMO_CHARS, MEMO_ENTRIES = 64, 400_000
+LIBRARY_CHARS = 200_000
 RESULT = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -222,3 +223,25 @@ def round_trip(docs: DataFrame, key: str, text: str, path: str, pattern: str) ->
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).mapInArrow(run, f"key {kind}, {RESULT}").withColumnRenamed("key", key)
+
+
+def fast_ids(path: str, pattern: str):
+    """A function of texts that yields their ids as arrays, for operators that take tokens as they come.
+
+    It uses the public tokenizer library on the same vocabulary, and the codec above, which gives the same ids, for
+    texts long enough to exhaust that library's regular-expression stack.
+    """
+
+    def encode_texts(texts: list[str | None]) -> Iterator[np.ndarray]:
+        import tiktoken
+
+        key = (path, pattern, "library")
+        if key not in _codecs:
+            _codecs[key] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens={})
+        for text in texts:
+            if text and len(text) > LIBRARY_CHARS:
+                yield np.frombuffer(next(iter(codec(path, pattern).encode_batch([text]))), dtype="<u4")
+            else:
+                yield np.array(_codecs[key].encode_ordinary(text or ""), dtype=np.uint32)
+
+    return encode_texts

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, langid, lm, mixing, near_dup, quality, simhash, wrapper
+from . import bpe, langid, lm, mixing, near_dup, packing, quality, simhash, wrapper
 from .common import crc_rest, materialize, table, worker_path
 
 QUERIES: dict = {}
@@ -133,3 +133,10 @@ def op5_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of all pages by the wrappers of their hosts."""
     return wrapper.extract(table(spark, sf_dir, "pages"))
+
+
+@_query
+def op8_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' byte-level BPE ids packed into rows of 2,048."""
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return packing.pack(table(spark, sf_dir, "documents"), bpe.fast_ids(path, pattern))
