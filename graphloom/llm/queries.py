@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, langid, lm, mixing, near_dup, packing, quality, simhash, wrapper
+from . import bpe, langid, lm, mixing, near_dup, packing, quality, simhash, toolcalls, wrapper
 from .common import crc_rest, materialize, table, worker_path
 
 QUERIES: dict = {}
@@ -140,3 +140,27 @@ def op8_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' byte-level BPE ids packed into rows of 2,048."""
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     return packing.pack(table(spark, sf_dir, "documents"), bpe.fast_ids(path, pattern))
+
+
+@_query
+def op2_tool_call_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical call records of all conversations."""
+    calls, results = toolcalls.from_turns(table(spark, sf_dir, "conversations"))
+    return toolcalls.link(calls, results, toolcalls.REPLY)
+
+
+ORACLES["op2_tool_call_records"] = r"""
+WITH u AS (SELECT *, conv_id || ':' || turn AS call_id FROM conversations WHERE role = 'user'),
+k AS (SELECT DISTINCT call_id FROM u),
+a AS (
+    SELECT conv_id || ':' || (turn - 1) AS call_id, arg_min(text, (turn, text)) AS content, count(*) AS n
+    FROM conversations WHERE role = 'assistant' GROUP BY 1)
+SELECT conv_id, turn, u.call_id, 'chat.reply' AS name, 0 AS level,
+    (turn >= 2 AND k.call_id IS NULL)::BIGINT AS dangling,
+    a.n IS NOT NULL AS linked, coalesce(a.n, 0) AS n_results, text IS NOT NULL AS valid,
+    CASE WHEN text IS NULL THEN 'missing:prompt' ELSE '' END AS errors,
+    '{"arguments":{' || CASE WHEN text IS NULL THEN '' ELSE '"prompt":' || to_json(text) || ',' END || '"turn":' || turn
+        || '},"id":' || to_json(u.call_id) || ',"name":"chat.reply","result":' || coalesce(to_json(a.content), 'null') || '}'
+        AS record
+FROM u LEFT JOIN k ON k.call_id = u.conv_id || ':' || (u.turn - 2) LEFT JOIN a ON a.call_id = u.call_id
+"""
