@@ -29,6 +29,8 @@ ROWS, BANDS = 6, 48
 PERMUTATIONS = ROWS * BANDS // 2
 #: Shingles hashed at a time.
 BLOCK = 1 << 14
+#: Most bits of the filter that drops texts outside all pairs, and 64-bit words of marks kept of a difference.
+SIEVE_BITS, MARKS = 1 << 27, 8
 
 _SEED = mix(np.arange(1, 2 * PERMUTATIONS + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15))
 _FACTOR, _OFFSET = _SEED[:PERMUTATIONS] | U(1), _SEED[PERMUTATIONS:]
@@ -101,35 +103,86 @@ def signed(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     return docs.select(key, text).mapInArrow(run, "id long, n long, k1 long, k2 long, keys array<long>")
 
 
-def _sets(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
+def _sets(docs: DataFrame, key: str, text: str, width: int, sieve: np.ndarray) -> DataFrame:
+    """id and full set of the rows that the sieve lets through."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
+                batch = batch.filter(pa.array(_sifted(sieve, batch.column(0).to_numpy(zero_copy_only=False))))
                 sets = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
                 offsets = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
                 values = np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64)
                 column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), column], ["id", "shingles"])
 
-    return docs.select(key, text).mapInArrow(run, "id long, shingles array<long>")
+    return docs.select(key, text).filter(F.col(key).isNotNull()).mapInArrow(run, "id long, shingles array<long>")
+
+
+def _places(ids: np.ndarray, bits: int) -> list[np.ndarray]:
+    h = mix(ids.astype(np.int64).view(np.uint64) + U(0x9E3779B97F4A7C15))
+    return [h & U(bits - 1), (h >> U(32)) & U(bits - 1)]
+
+
+def _sieve(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of the ids as 64-bit words, of 2**20 to SIEVE_BITS bits whatever their number."""
+    n = ids.count()
+    bits = 1 << 20
+    while bits < min(16 * n, SIEVE_BITS):
+        bits *= 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = np.concatenate(_places(batch.column(0).to_numpy(), bits)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(places >> 6), pa.array(np.left_shift(U(1), (places & 63).astype(np.uint64)).view(np.int64))], ["word", "bit"]
+            )
+
+    words = ids.mapInArrow(run, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bit")).toPandas()
+    out = np.zeros(bits // 64, dtype=np.uint64)
+    out[words["word"].to_numpy()] = words["bit"].to_numpy().view(np.uint64)
+    return out
+
+
+def _sifted(sieve: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    found = np.ones(len(ids), dtype=bool)
+    for place in _places(ids, len(sieve) * 64):
+        found &= (sieve[(place >> U(6)).astype(np.int64)] >> (place & U(63)) & U(1)).astype(bool)
+    return found
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int, name: str) -> DataFrame:
-    """pairs(a, b) with the size of their full sets' intersection and union, and whether they are linked."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(wanted, "id", "left_semi")
-    sets = materialize(_sets(texts, "id", "text", width).dropDuplicates(["id"]), f"{name}-sets")
+    """pairs(a, b) with the size of their full sets' intersection and union, and whether they are linked.
+
+    Texts are not shuffled: a Bloom filter of bounded size drops most others where they are read, and an exact
+    semi-join on the ids drops the rest. `bits` marks where the sets' difference falls among 64 * MARKS places.
+    """
+    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), f"{name}-ids")
+    read = _sets(docs, key, text, width, _sieve(wanted))
+    sets = materialize(read.join(wanted, "id", "left_semi"), f"{name}-sets").dropDuplicates(["id"])
     left, right = (sets.select(F.col("id").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
     both = F.size(F.array_intersect("sa", "sb")).cast("long")
-    return (
+    joined = (
         pairs.join(left, "a")
         .join(right, "b")
-        .select("a", "b", both.alias("common"), (F.size("sa") + F.size("sb")).cast("long").alias("total"))
-        .select("a", "b", "common", (F.col("total") - F.col("common")).alias("either"))
-        .withColumn("linked", 100 * F.col("common") >= percent * F.col("either"))
+        .withColumn("apart", F.concat(F.array_except("sa", "sb"), F.array_except("sb", "sa")))
+        .select("a", "b", both.alias("common"), (F.size("sa") + F.size("sb")).cast("long").alias("total"), "apart")
     )
 
+    def marked(word: int):
+        own = F.filter("apart", lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(MARKS - 1)) == word)
+        bit = F.transform(own, lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int")))
+        return F.aggregate(bit, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
+
+    return joined.select(
+        "a",
+        "b",
+        "common",
+        (F.col("total") - F.col("common")).alias("either"),
+        F.array(*[marked(word) for word in range(MARKS)]).alias("bits"),
+    ).withColumn("linked", 100 * F.col("common") >= percent * F.col("either"))
+
 
 def _alike_sizes(n: str, m: str, percent: int):
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
@@ -197,11 +250,11 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
 def _apart(members: DataFrame, first: DataFrame, linked: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that share a bucket, lie in different classes so far, and may still be similar enough.
 
-    Only the texts outside a bucket's largest class are compared with the others. Two texts confirmed against the same
-    leader at Jaccard distances that differ by more than 1 - percent/100 cannot be linked (triangle inequality).
+    Only the texts outside a bucket's largest class are compared with the others. Two texts X and Y confirmed against
+    the same leader L differ by |DX| + |DY| - 2 |DX and DY| shingles, where D is the difference from L; the marks of DX
+    and DY bound their overlap from above, so a pair that must differ too much is left out without losing a link.
     """
-    distance = (F.lit(1.0) - F.col("common") / F.col("either")).alias("distance")
-    tested = first.select(F.col("b").alias("id"), F.col("a").alias("to"), distance)
+    tested = first.select(F.col("b").alias("id"), F.col("a").alias("to"), (F.col("either") - F.col("common")).alias("differ"), "bits")
     placed = (
         members.select("bucket", "id", "n")
         .join(linked.withColumnRenamed("node", "id"), "id", "left")
@@ -216,21 +269,30 @@ def _apart(members: DataFrame, first: DataFrame, linked: DataFrame, percent: int
         .select("bucket", F.col("top.component").alias("main"))
     )
     mixed = materialize(placed.join(main, "bucket").join(tested, "id", "left"), "mixed")
-    names = ("id", "n", "component", "to", "distance")
+    names = ("id", "n", "component", "to", "differ", "bits")
     some = mixed.filter("component <> main").select("bucket", "main", *(F.col(c).alias(f"x_{c}") for c in names))
-    every = mixed.select("bucket", *(F.col(c).alias(f"y_{c}") for c in names))
-    # A text is at distance 0 from itself, so a leader is compared through its own tests as well.
-    far = (F.col("x_to") == F.col("y_to")) & (F.abs(F.col("x_distance") - F.col("y_distance")) > 1 - percent / 100 + 1e-9)
+    every = mixed.select(F.col("bucket").alias("y_bucket"), *(F.col(c).alias(f"y_{c}") for c in names))
+
+    def pop(parts):
+        return sum((F.bit_count(p) for p in parts), F.lit(0))
+
+    x, y = ([F.get(f"{side}_bits", F.lit(i)) for i in range(MARKS)] for side in "xy")
+    overlap = pop([p.bitwiseAND(q) for p, q in zip(x, y, strict=True)]) + F.least(
+        F.col("x_differ") - pop(x), F.col("y_differ") - pop(y)
+    )
+    least = F.col("x_differ") + F.col("y_differ") - 2 * overlap
+    far = (F.col("x_to") == F.col("y_to")) & (least * (100 + percent) > (100 - percent) * (F.col("x_n") + F.col("y_n")))
     pairs = some.join(
         every,
-        (some["bucket"] == every["bucket"])
+        (F.col("bucket") == F.col("y_bucket"))
         & (F.col("x_component") != F.col("y_component"))
         & ((F.col("y_component") == F.col("main")) | (F.col("x_id") < F.col("y_id")))
         & _alike_sizes("x_n", "y_n", percent)
         & ~F.coalesce(far, F.lit(False)),
     )
     ordered = pairs.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
-    return materialize(ordered.join(first.select("a", "b"), ["a", "b"], "left_anti"), "rest")
+    known = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return materialize(ordered.join(known, ["a", "b"], "left_anti"), "rest")
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
