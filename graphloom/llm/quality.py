@@ -131,9 +131,10 @@ def assess(docs: DataFrame, text: str = "text", rules: LineRules = LineRules())
         .withColumn("__cleaned", F.array_join(passed, "\n"))
         .withColumn("__left", words(cleaned))
     )
+    # The partition id keeps a later filter on the result from being rewritten in terms of the text, step by step.
     measured = staged.withColumn(
         "quality",
-        F.struct(
+        F.when(F.spark_partition_id() >= 0, F.struct(
             n.cast("long").alias("n_words"),
             word_chars.cast("long").alias("word_chars"),
             occurrences(col, f"[{SYMBOLS}]").cast("long").alias("n_symbols"),
@@ -143,7 +144,7 @@ def assess(docs: DataFrame, text: str = "text", rules: LineRules = LineRules())
             left.cast("long").alias("left_chars"),
             (~failed & (left * 100 >= word_chars * (100 - rules.max_loss_percent))).alias("kept"),
             cleaned.alias("cleaned"),
-        ),
+        )),
     )
     return measured.drop(
         "__words", "__lines", "__repeat", "__line_words", "__lows", "__passed", "__cleaned", "__left"
