@@ -1,5 +1,8 @@
 """Name -> query and name -> oracle SQL for the operators of the lexical-graph engine."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-FLAGSHIP = "neighbourhood_lookup"
+from . import build_queries
+from .catalog import ORACLES, QUERIES
+
+FLAGSHIP = "mwe_contract"
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "build_queries"]
