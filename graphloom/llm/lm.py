@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 from .lattice import Lattice, load_pieces, spelling_weights
 
-HOT, HOT_CHARS, CLASSES, DISCOUNT = 200_000, 64, 8, 0.75
+HOT, HOT_CHARS, CLASSES, DISCOUNT = 50_000, 64, 8, 0.75
 #: Distinct words counted before a partial count is passed on.
 FLUSH = 200_000
 
@@ -149,10 +149,11 @@ def score(
     scored = materialize(
         vocabulary.mapInArrow(score_words, "word string, c long, base double, lp array<double>"), "scored-words"
     )
-    top = scored.filter((F.col("c") > 0) & (F.length("word") <= HOT_CHARS)).orderBy(F.desc("c"), "word").limit(HOT).toPandas()
+    top = scored.filter((F.col("c") > 0) & (F.length("word") <= HOT_CHARS)).orderBy(F.desc("c"), "word").limit(HOT)
+    top = top.select("word", "base", *[F.get("lp", F.lit(i)).alias(f"lp{i}") for i in range(k)]).toPandas()
     lexicon = {w.encode("utf-8"): i for i, w in enumerate(top["word"])}
-    table = np.array(top["lp"].tolist()).reshape(len(top), k) if len(top) else np.zeros((0, k))
-    hot = spark.sparkContext.broadcast((lexicon, np.column_stack((np.array(top["base"], dtype=float), table))))
+    hot = spark.sparkContext.broadcast((lexicon, top.drop(columns="word").to_numpy(dtype=np.float64)))
+    del top
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, values = hot.value
