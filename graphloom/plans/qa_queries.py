@@ -11,7 +11,6 @@ from .build_queries import EDGES
 from .catalog import query
 from .graph_queries import half, seeds
 
-_P, _S = F.col("p_partkey"), F.col("p_size")
 
 
 def _forms(t):
@@ -74,7 +73,7 @@ WITH {_BANDS} SELECT band, count_if(p_type = 'ECONOMY') AS economy, count_if(p_t
 FROM bands JOIN part ON p_partkey = word GROUP BY band
 """)
 def availability_matrix(t):
-    joined = _bands(t).join(t.part, F.col("word") == _P)
+    joined = _bands(t).join(t.part, F.col("word") == F.col("p_partkey"))
     wide = joined.groupBy("band").pivot("p_type", ["ECONOMY", "SMALL", "PROMO"]).agg(F.count("word"))
     return wide.select("band", *[F.coalesce(F.col(c), F.lit(0)).alias(c.lower()) for c in ("ECONOMY", "SMALL", "PROMO")])
 
@@ -91,7 +90,7 @@ def seed_pool(t):
         .union(t.lineitem.filter("l_quantity > 49").select("l_partkey"))
         .distinct()
     )
-    return t.part.filter("p_partkey < 1000000").select(_P.alias("seed")).join(flags, "seed", "left_semi")
+    return t.part.filter("p_partkey < 1000000").select(F.col("p_partkey").alias("seed")).join(flags, "seed", "left_semi")
 
 
 _UPWARD = f"""
@@ -136,7 +135,7 @@ b AS (SELECT item, seed AS node, 0 AS depth FROM s UNION ALL SELECT item, dst, 1
 SELECT item, node, min(depth) AS depth FROM b GROUP BY item, node
 """)
 def union_balls(t):
-    chosen = t.part.filter("p_partkey < 12").select(_P.alias("seed"), (_P % 4).alias("item"))
+    chosen = t.part.filter("p_partkey < 12").select(F.col("p_partkey").alias("seed"), (F.col("p_partkey") % 4).alias("item"))
     reached = traverse.balls(chosen.select("seed"), half(t), 1)
     return traverse.union_balls(chosen, reached)
 
@@ -179,7 +178,7 @@ c AS (SELECT anchor, number, p_name AS lemma, CASE WHEN number = anchor % 100 TH
 def _senses(t):
     """Senses of words: a third repeats the lemma (some with an example), others carry a definition."""
     rows = t.lineitem.select(F.col("l_partkey").alias("anchor"), F.col("l_suppkey").alias("number")).distinct()
-    joined = rows.join(t.part, F.col("anchor") == _P)
+    joined = rows.join(t.part, F.col("anchor") == F.col("p_partkey"))
     n = F.col("number")
     definition = F.concat_ws(" ", "p_type", (n % 7).cast("string"))
     fallback = F.concat(F.lit("pomen: "), "p_name", F.when(n % 2 == 0, F.lit(" (zgled: x y ...)")).otherwise(""))
@@ -227,7 +226,7 @@ q AS (SELECT DISTINCT a AS anchor, y.p_name AS name FROM p JOIN part y ON y.p_pa
 
 def _partners(t, cap):
     pairs = t.lineitem.filter("l_partkey <> l_suppkey and l_quantity > 40").select(F.least("l_partkey", "l_suppkey").alias("a"), F.greatest("l_partkey", "l_suppkey").alias("b")).distinct()
-    names = t.part.select(_P.alias("k"), "p_name")
+    names = t.part.select(F.col("p_partkey").alias("k"), "p_name")
     named = (
         pairs.join(names.select(F.col("k").alias("a"), F.col("p_name").alias("name_a")), "a")
         .join(names.select(F.col("k").alias("b"), F.col("p_name").alias("name_b")), "b")
@@ -262,9 +261,9 @@ u AS (SELECT * FROM f WHERE anchor NOT IN (SELECT anchor FROM bad))
 
 
 def _cells(t):
-    rows = t.lineitem.filter("l_quantity > 49 and l_partkey % 4 = 0").join(t.part, F.col("l_partkey") == _P)
-    case = F.get(F.array(*[F.lit(c) for c in qa.CASES]), (_P % 6).cast("int"))
-    number = F.get(F.array(*[F.lit(n) for n in qa.NUMBERS]), (_S % 3).cast("int"))
+    rows = t.lineitem.filter("l_quantity > 49 and l_partkey % 4 = 0").join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    case = F.get(F.array(*[F.lit(c) for c in qa.CASES]), (F.col("p_partkey") % 6).cast("int"))
+    number = F.get(F.array(*[F.lit(n) for n in qa.NUMBERS]), (F.col("p_size") % 3).cast("int"))
     return rows.select(F.col("l_suppkey").alias("anchor"), F.col("p_name").alias("surface"), case.alias("case"), number.alias("number"))
 
 
@@ -296,9 +295,9 @@ SELECT anchor, array_to_string([coalesce(max(CASE WHEN degree = k THEN best[2] E
 """.replace("array_to_string([coalesce(max(CASE WHEN degree = k THEN best[2] END), '/') FOR k IN [0]], '')", "coalesce(max(CASE WHEN degree = 0 THEN best[2] END), '/')"))
 def gradation(t):
     """T11 (T7 likewise): one form per degree by preference, gaps as '/'."""
-    rows = t.lineitem.filter("l_quantity > 48").join(t.part, F.col("l_partkey") == _P)
-    degree = F.get(F.array(*[F.lit(d) for d in qa.DEGREES]), (_S % 3).cast("int"))
-    forms = rows.select(F.col("l_suppkey").alias("anchor"), F.col("p_name").alias("surface"), degree.alias("degree"), (_P % 2).alias("rank"))
+    rows = t.lineitem.filter("l_quantity > 48").join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    degree = F.get(F.array(*[F.lit(d) for d in qa.DEGREES]), (F.col("p_size") % 3).cast("int"))
+    forms = rows.select(F.col("l_suppkey").alias("anchor"), F.col("p_name").alias("surface"), degree.alias("degree"), (F.col("p_partkey") % 2).alias("rank"))
     return qa.picked(forms, "degree", qa.DEGREES, F.col("rank")).select("anchor", F.array_join("gold", ", ").alias("gold"))
 
 
@@ -309,8 +308,8 @@ SELECT surface, string_agg(['nominative', 'genitive', 'dative', 'accusative', 'l
 """)
 def ambiguous_readings(t):
     """All readings of a surface with at least two."""
-    case = F.get(F.array(*[F.lit(c) for c in qa.CASES]), (_P % 6).cast("int"))
-    number = F.get(F.array(*[F.lit(n) for n in qa.NUMBERS]), (_S % 3).cast("int"))
+    case = F.get(F.array(*[F.lit(c) for c in qa.CASES]), (F.col("p_partkey") % 6).cast("int"))
+    number = F.get(F.array(*[F.lit(n) for n in qa.NUMBERS]), (F.col("p_size") % 3).cast("int"))
     rows = t.part.filter("p_partkey % 5 = 0").select(F.col("p_name").alias("surface"), case.alias("case"), number.alias("number"))
     return qa.readings(rows).filter("n >= 2").withColumn("gold", F.array_join("gold", " ali "))
 
@@ -355,11 +354,11 @@ SELECT id, id % 9 <> 0 AS exact, CASE WHEN id % 9 = 0 THEN 0.0 ELSE 1.0 END::DOU
 def grade_unordered(t):
     """Exact match after normalisation, order ignored; predictions without an answer line score nothing."""
     pred = (
-        F.when(_P % 9 == 0, F.lit("brez"))
-        .when(_P % 2 == 0, F.concat(F.lit("ODGOVOR: "), "p_name", F.lit(",  "), F.upper("p_type")))
+        F.when(F.col("p_partkey") % 9 == 0, F.lit("brez"))
+        .when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("ODGOVOR: "), "p_name", F.lit(",  "), F.upper("p_type")))
         .otherwise(F.concat(F.lit("uvod\nODGOVOR: "), "p_type", F.lit(", "), "p_name", F.lit(".")))
     )
-    items = t.part.select(_P.alias("id"), pred.alias("pred"), F.concat(F.lit("ODGOVOR: "), "p_name", F.lit(", "), "p_type").alias("gold"))
+    items = t.part.select(F.col("p_partkey").alias("id"), pred.alias("pred"), F.concat(F.lit("ODGOVOR: "), "p_name", F.lit(", "), "p_type").alias("gold"))
     return qa.graded(items, ", ", ordered=False).select("id", "exact", "f1")
 
 
@@ -370,8 +369,8 @@ SELECT p_partkey AS id, p_partkey % 3 = 0 AS exact,
 def grade_ordered(t):
     """Order graded: a swapped list has f1 1 and is not exact, a short one has two thirds."""
     name, kind = F.col("p_name"), F.col("p_type")
-    pred = F.when(_P % 3 == 0, F.concat(name, F.lit(" | "), kind)).when(_P % 3 == 1, name).otherwise(F.concat(kind, F.lit(" | "), name))
-    items = t.part.select(_P.alias("id"), F.concat(F.lit("ODGOVOR: "), pred).alias("pred"), F.concat(F.lit("ODGOVOR: "), name, F.lit(" | "), kind).alias("gold"))
+    pred = F.when(F.col("p_partkey") % 3 == 0, F.concat(name, F.lit(" | "), kind)).when(F.col("p_partkey") % 3 == 1, name).otherwise(F.concat(kind, F.lit(" | "), name))
+    items = t.part.select(F.col("p_partkey").alias("id"), F.concat(F.lit("ODGOVOR: "), pred).alias("pred"), F.concat(F.lit("ODGOVOR: "), name, F.lit(" | "), kind).alias("gold"))
     return qa.graded(items, "|", ordered=True).select("id", "exact", F.round("f1", 6).alias("f1"))
 
 
@@ -410,8 +409,8 @@ WHERE surface NOT IN ('kaj', 'pomeni')
 """)
 def question_units(t):
     """Fallback extraction: words of a question, without stopwords, looked up in the index."""
-    questions = t.part.filter("p_partkey < 300").select(_P.alias("id"), F.concat(F.lit("Kaj pomeni "), "p_name", F.lit("?")).alias("question"))
-    used = t.lineitem.filter("l_quantity > 49").join(t.part, F.col("l_partkey") == _P)
+    questions = t.part.filter("p_partkey < 300").select(F.col("p_partkey").alias("id"), F.concat(F.lit("Kaj pomeni "), "p_name", F.lit("?")).alias("question"))
+    used = t.lineitem.filter("l_quantity > 49").join(t.part, F.col("l_partkey") == F.col("p_partkey"))
     index = used.select(F.substring_index("p_name", " ", 1).alias("surface"), F.col("l_suppkey").alias("unit")).distinct()
     return qa.extracted(questions, index, ("kaj", "pomeni"))
 
@@ -421,7 +420,7 @@ SELECT p_partkey AS id, replace(['Kaj pomeni <L>?', 'Razloži besedo <L>.', 'Nav
 """)
 def rendered_questions(t):
     frames = ("Kaj pomeni <L>?", "Razloži besedo <L>.", "Navedi pomene: <L>")
-    return qa.rendered(t.part.select(_P.alias("id"), "p_name"), frames, {"L": "p_name"}).select("id", "question")
+    return qa.rendered(t.part.select(F.col("p_partkey").alias("id"), "p_name"), frames, {"L": "p_name"}).select("id", "question")
 
 
 @query(f"""
@@ -455,7 +454,7 @@ def population_coverage(t):
     good = t.labels.filter("quality = 1").select(F.col("doc_id").alias("p_partkey")).distinct().withColumn("d", F.lit(1))
     used = t.lineitem.filter("l_quantity > 49").select(F.col("l_partkey").alias("p_partkey")).distinct().withColumn("x", F.lit(1))
     flags = t.part.join(good, "p_partkey", "left").join(used, "p_partkey", "left")
-    return flags.groupBy(F.when(_S <= 25, "core").otherwise("tail").alias("population")).agg(
+    return flags.groupBy(F.when(F.col("p_size") <= 25, "core").otherwise("tail").alias("population")).agg(
         F.round(F.avg(F.coalesce("d", F.lit(0))), 6).alias("defined"), F.round(F.avg(F.coalesce("x", F.lit(0))), 6).alias("exemplified"), F.count("*").alias("n")
     )
 
@@ -470,5 +469,5 @@ def negative_slice(t):
     used = t.lineitem.filter("l_quantity > 49").select(F.col("l_partkey").alias("p_partkey")).distinct()
     negative = t.part.filter("p_partkey % 10 = 0")
     missing = negative.join(used, "p_partkey", "left_anti").select(F.lit("no example").alias("flavour"))
-    rest = negative.join(used, "p_partkey", "left_semi").select(F.when(_S > 45, "rare").otherwise("ordinary").alias("flavour"))
+    rest = negative.join(used, "p_partkey", "left_semi").select(F.when(F.col("p_size") > 45, "rare").otherwise("ordinary").alias("flavour"))
     return missing.unionAll(rest).groupBy("flavour").agg(F.count("*").alias("n"))
