@@ -182,7 +182,7 @@ def training_order(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame
     placed = assign(docs, key=key, **options).dropDuplicates([key])
     copies = placed.select(F.col(key).alias("__key"), "size", F.explode("placements").alias("__at")).filter(
         2 * F.col("__at.words") >= F.col("size")
-    )
+    ).drop("size")
     return (
         docs.join(copies, docs[key].eqNullSafe(copies["__key"]))
         .repartitionByRange(F.col("__at.position"), F.col(key))

@@ -31,6 +31,42 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(docs).select("doc_id", *(F.col(f"quality.{c}").alias(c) for c in names))
 
 
+
+def _quality_sql(rules: quality.LineRules) -> str:
+    """The line-first rules in DuckDB SQL; limits and phrases come from the operator's parameters."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    spoken = " OR ".join(f"contains(lower(l), {quoted(p)})" for p in quality.BOILERPLATE)
+    space = r"[\x20\x09-\x0D]+"
+    split = lambda x: f"list_filter(regexp_split_to_array({x}, '{space}'), lambda y: y <> '')"
+    number = lambda pattern: f"(length(l) - length(regexp_replace(l, {quoted(pattern)}, '', 'g')))"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, {split('t')} AS ws,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+g AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS k
+    FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS n FROM g) WHERE n > 1),
+c AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM r) GROUP BY doc_id),
+l AS (SELECT doc_id, l, {split('l')} AS lw FROM (SELECT doc_id, unnest(ls) AS l FROM w)),
+o AS (SELECT doc_id, sum(length(array_to_string(lw, ''))) AS n FROM l
+    WHERE contains({quoted(quality.TERMINAL)}, right(rtrim(l, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1))
+    AND {number(quality.MARKS)} * 100 <= len(lw) * {rules.mark_percent}
+    AND {number('[!?]')} * 100 <= len(lw) * {rules.exclaim_percent} + 100
+    AND (length(l) < {rules.shout_min_chars} OR {number(chr(92) + 'p{Lu}')} * 100 <= length(l) * {rules.shout_percent})
+    AND (len(lw) < {rules.repeat_min_words} OR len(list_distinct(lw)) * 100 >= len(lw) * {rules.distinct_percent})
+    AND NOT ({spoken}) GROUP BY doc_id),
+m AS (SELECT w.doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
+    length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+    coalesce(c.n, 0) AS n_repeat_words, coalesce(o.n, 0)::BIGINT AS left_chars
+    FROM w LEFT JOIN c USING (doc_id) LEFT JOIN o USING (doc_id))
+SELECT *, n_words < {rules.min_words} OR 100 * n_repeat_words > {rules.max_repeat_percent} * n_words AS base_failed,
+    NOT (n_words < {rules.min_words} OR 100 * n_repeat_words > {rules.max_repeat_percent} * n_words)
+    AND left_chars * 100 >= word_chars * {100 - rules.max_loss_percent} AS kept FROM m
+"""
+
+
+ORACLES["op10_quality_rules"] = _quality_sql(quality.LineRules())
+
 @_query
 def op6_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of all documents, and the bytes they decode to."""
