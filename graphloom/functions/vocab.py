@@ -182,3 +182,15 @@ KIND_NAMES = {
 }
 #: Slovene alphabet of the collation key.
 ALPHABET = "abcčdefghijklmnoprsštuvzž"
+
+# Relation labels of the second-generation graph, by edge key; both translation directions share one.
+RELATIONS = {
+    "other": (1, "oblika"),
+    "sense": (2, "pomen"),
+    "syn": (3, "sopomenka"),
+    "ant": (4, "protipomenka"),
+    "usage": (5, "zgled"),
+    "constituent": (6, "sestavina"),
+    "translation": (7, "prevod"),
+    "head": (8, "glava"),
+}

@@ -471,3 +471,112 @@ def negative_slice(t):
     missing = negative.join(used, "p_partkey", "left_anti").select(F.lit("no example").alias("flavour"))
     rest = negative.join(used, "p_partkey", "left_semi").select(F.when(F.col("p_size") > 45, "rare").otherwise("ordinary").alias("flavour"))
     return missing.unionAll(rest).groupBy("flavour").agg(F.count("*").alias("n"))
+
+
+@query(f"""
+WITH {_CELLS} SELECT anchor, number, {" || ', ' || ".join(f"coalesce(max(CASE WHEN " + '"case"' + f" = '{c}' THEN surface END), '/')" for c in qa.CASES)} AS gold
+FROM u GROUP BY anchor, number HAVING count(*) >= 2
+""")
+def paradigm_by_number(t):
+    """The six cases of one number."""
+    rows = qa.unique_cells(_cells(t), ("case", "number"))
+    cells = [F.max(F.when(F.col("case") == c, F.col("surface"))).alias(c) for c in qa.CASES]
+    wide = rows.groupBy("anchor", "number").agg(F.count("*").alias("n"), *cells).filter("n >= 2")
+    return wide.select("anchor", "number", F.concat_ws(", ", *[F.coalesce(F.col(c), F.lit("/")) for c in qa.CASES]).alias("gold"))
+
+
+_VERB = """
+f AS (SELECT DISTINCT l_suppkey AS anchor, p_name AS surface, p_partkey % 3 AS person, p_size % 3 AS number FROM lineitem JOIN part ON p_partkey = l_partkey
+    WHERE l_quantity > 49 AND l_partkey % 8 = 0),
+u AS (SELECT * FROM f WHERE anchor NOT IN (SELECT anchor FROM f GROUP BY anchor, person, number HAVING count(*) > 1))
+"""
+
+
+@query(f"""
+WITH {_VERB} SELECT anchor, count(*)::INTEGER AS filled, 'sedanjik: ' || {" || '; ' || ".join(" || ', ' || ".join(f"coalesce(max(CASE WHEN person = {p} AND number = {n} THEN surface END), '/')" for p in range(3)) for n in range(3))} AS answer
+FROM u GROUP BY anchor HAVING count(*) >= 1
+""")
+def verb_paradigm(t):
+    """Three persons by three numbers, with the tense's label."""
+    rows = t.lineitem.filter("l_quantity > 49 and l_partkey % 8 = 0").join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    person = F.get(F.array(*[F.lit(p) for p in qa.PERSONS]), (F.col("p_partkey") % 3).cast("int"))
+    number = F.get(F.array(*[F.lit(n) for n in qa.NUMBERS]), (F.col("p_size") % 3).cast("int"))
+    forms = rows.select(F.col("l_suppkey").alias("anchor"), F.col("p_name").alias("surface"), person.alias("person"), number.alias("number"))
+    table = qa.paradigm(forms, ("number", qa.NUMBERS), ("person", qa.PERSONS), 1)
+    return table.select("anchor", "filled", F.concat(F.lit("sedanjik: "), "table").alias("answer"))
+
+
+@query("""
+WITH b AS (SELECT l_suppkey AS anchor, p_partkey % 5 AS k, min(p_name) AS s FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity > 49 GROUP BY ALL)
+SELECT anchor, 'nedoločnik: ' || coalesce(max(CASE WHEN k = 0 THEN s END), '/') || '; namenilnik: ' || coalesce(max(CASE WHEN k = 1 THEN s END), '/')
+    || '; velelnik: ' || coalesce(max(CASE WHEN k = 2 THEN s END), '/') AS gold FROM b GROUP BY anchor
+""")
+def nonfinite_forms(t):
+    """Infinitive, supine and imperative, labelled, gaps as '/'."""
+    rows = t.lineitem.filter("l_quantity > 49").join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    kinds = F.get(F.array(*[F.lit(v) for v in (*qa.VERB_FORMS, "present", "participle")]), (F.col("p_partkey") % 5).cast("int"))
+    forms = rows.select(F.col("l_suppkey").alias("anchor"), F.col("p_name").alias("surface"), kinds.alias("vform"))
+    gold = qa.picked(forms, "vform", qa.VERB_FORMS, F.lit(0))
+    labels = [scalar.feature_label("vform", F.lit(v)) for v in qa.VERB_FORMS]
+    parts = [F.concat(label, F.lit(": "), F.get("gold", F.lit(i))) for i, label in enumerate(labels)]
+    return gold.select("anchor", F.concat_ws("; ", *parts).alias("gold"))
+
+
+@query("SELECT p_partkey, ['moški spol', 'ženski spol', 'srednji spol'][p_size % 3 + 1] AS gold FROM part WHERE p_type = 'ECONOMY'")
+def noun_gender(t):
+    """Gender read from the unit, once it is among the unit's features."""
+    gender = F.get(F.array(F.lit("masculine"), F.lit("feminine"), F.lit("neuter")), (F.col("p_size") % 3).cast("int"))
+    return t.part.filter("p_type = 'ECONOMY'").select("p_partkey", scalar.feature_label("gender", gender).alias("gold"))
+
+
+@query("""
+WITH f AS (SELECT * FROM (VALUES ('en', 'thth', 'genitive'), ('en', 'onth', 'dative'), ('fr', 'ment', 'genitive'), ('fr', 'ment', 'locative')) x(lang, surface, c)),
+a AS (SELECT lang, surface, min(c) AS c FROM f GROUP BY lang, surface HAVING count(*) = 1)
+SELECT doc_id, surface, 'ODGOVOR: ' || c AS answer FROM documents JOIN a USING (lang) WHERE regexp_matches(text, '(^|[^\\p{L}\\p{N}_])' || surface || '($|[^\\p{L}\\p{N}_])')
+""")
+def form_analysis_in_sentence(t):
+    """The reading of a form in an example, for forms with one reading only."""
+    rows = [("en", "thth", "genitive"), ("en", "onth", "dative"), ("fr", "ment", "genitive"), ("fr", "ment", "locative")]
+    forms = t.spark.createDataFrame(rows, "lang string, surface string, c string")
+    clear = forms.groupBy("lang", "surface").agg(F.count("*").alias("n"), F.min("c").alias("c")).filter("n = 1")
+    whole = F.expr(r"text rlike concat('(?U)(?<!\\w)', surface, '(?!\\w)')")
+    joined = t.documents.join(F.broadcast(clear), "lang").filter(whole)
+    return joined.select("doc_id", "surface", F.concat(F.lit(qa.ANSWER), "c").alias("answer"))
+
+
+@query("""
+SELECT p_partkey, ('0x' || substr(md5('slot:' || p_partkey), 1, 14))::BIGINT % 18 AS slot, ('0x' || substr(md5('number:' || p_partkey), 1, 14))::BIGINT % 3 AS number FROM part
+""")
+def slot_sample(t):
+    """Uniform slots: one of 18 cells for single forms, one of three numbers for half paradigms."""
+    cell = scalar.hash56(F.concat(F.lit("slot:"), F.col("p_partkey").cast("string"))) % 18
+    number = scalar.hash56(F.concat(F.lit("number:"), F.col("p_partkey").cast("string"))) % 3
+    return t.part.select("p_partkey", cell.alias("slot"), number.alias("number"))
+
+
+@query("""
+WITH a AS (SELECT doc_id, greatest(1, length(text) // 4) AS k FROM documents), b AS (SELECT doc_id, greatest(1, length(left(text, 400)) // 4) AS k FROM documents)
+SELECT count(*) AS n, sum(a.k)::BIGINT AS old_tokens, sum(b.k)::BIGINT AS new_tokens, round(avg(b.k), 6) AS new_mean, count_if(b.k = 0) AS zeros,
+    round(avg((a.k = b.k)::INT), 6) AS agreement FROM a JOIN b USING (doc_id)
+""")
+def token_agreement(t):
+    """Token lengths of two stores compared node by node."""
+    old = t.documents.select("doc_id", scalar.token_proxy(F.col("text")).alias("a"))
+    new = t.documents.select("doc_id", scalar.token_proxy(F.substring("text", 1, 400)).alias("b"))
+    same = (F.col("a") == F.col("b")).cast("int")
+    return old.join(new, "doc_id").agg(
+        F.count("*").alias("n"), F.sum("a").alias("old_tokens"), F.sum("b").alias("new_tokens"), F.round(F.avg("b"), 6).alias("new_mean"),
+        F.count_if(F.col("b") == 0).alias("zeros"), F.round(F.avg(same), 6).alias("agreement"),
+    )
+
+
+@query("""
+WITH g AS (SELECT p_partkey AS id, p_name || ' | ' || p_type AS gold, 'T12' AS type FROM part)
+SELECT type, count(*) AS items, 0::BIGINT AS bad_lines, 1.0::DOUBLE AS self_grade FROM g GROUP BY type
+""")
+def gold_checks(t):
+    """Every gold line is well formed and scores 1 against itself."""
+    line = F.concat(F.lit(qa.ANSWER), "p_name", F.lit(" | "), "p_type")
+    items = t.part.select(F.col("p_partkey").alias("id"), line.alias("pred"), line.alias("gold"), F.lit("T12").alias("type"))
+    bad = F.count_if(~F.col("gold").rlike(r"^ODGOVOR: [^\n]+$"))
+    return qa.graded(items, "|", True).groupBy("type").agg(F.count("*").alias("items"), bad.alias("bad_lines"), F.avg("f1").alias("self_grade"))
