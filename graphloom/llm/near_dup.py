@@ -160,7 +160,8 @@ def confirm(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int,
     """
     wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), f"{name}-ids")
     read = _sets(docs, key, text, width, _sieve(wanted))
-    sets = materialize(read.join(wanted, "id", "left_semi"), f"{name}-sets").dropDuplicates(["id"])
+    # Made distinct before it is written, so that the joins below stay plain ones, which skew handling can split.
+    sets = materialize(read.join(wanted, "id", "left_semi").dropDuplicates(["id"]), f"{name}-sets")
     left, right = (sets.select(F.col("id").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
     both = F.size(F.array_intersect("sa", "sb")).cast("long")
     joined = (
