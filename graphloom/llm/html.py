@@ -31,7 +31,9 @@ CUES = frozenset(
     "modal overlay comment comments disqus reply replies respond related recommended share sharing social newsletter "
     "subscribe subscription signup login search widget toolbar pagination pager skip complementary contentinfo hidden".split()
 )
-CLEARS = frozenset("with has no main article".split())
+CLEARS = frozenset("with without has no".split())
+#: Owners of a header that belongs to the text.
+OWNERS = frozenset("article post entry story".split())
 MAIN = frozenset("article main content post entry story".split())
 
 _TAG = re.compile(r"""[^"'>]*(?:"[^"]*"[^"'>]*|'[^']*'[^"'>]*)*>""")
@@ -59,28 +61,32 @@ def _attributes(raw: str) -> dict[str, str]:
     return {name.lower(): unescape((value or "").strip("\"'")) for name, value in _ATTRIBUTE.findall(raw)}
 
 
-def _kind(tag: str, attributes: dict[str, str], inside_main: bool) -> tuple[str, bool, bool]:
-    """Label, whether furniture, whether a main-content element."""
+def _kind(tag: str, attributes: dict[str, str], inside_main: bool, by_name: bool) -> tuple[str, bool, bool]:
+    """Label, whether furniture (by its names too if by_name), whether a main-content element."""
     names = f"{attributes.get('class', '')} {attributes.get('id', '')} {attributes.get('role', '')}".split()
     label = f"{tag}.{attributes['class'].split()[0]}" if attributes.get("class", "").split() else tag
     if tag in ("article", "main") or attributes.get("role", "").lower() in ("main", "article"):
-        return label, tag == "article" and any(_suspect(n) for n in names), True
+        return label, by_name and tag == "article" and any(_suspect(n) for n in names), True
     if tag in ("html", "body"):
         return label, False, False
     hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true" or _HIDDEN.search(attributes.get("style", ""))
-    gone = tag in FURNITURE or bool(hidden) or (tag == "header" and not inside_main) or any(_suspect(n) for n in names)
+    gone = tag in FURNITURE or bool(hidden) or (tag == "header" and not inside_main) or by_name and any(_suspect(n) for n in names)
     return label, gone, False
 
 
 def _suspect(name: str) -> bool:
     parts = {p.lower() for p in _PARTS.findall(name)}
-    return bool(parts & CUES) and not parts & CLEARS
+    found = parts & CUES
+    if found == {"header"} and parts & OWNERS:
+        return False
+    return bool(found) and not parts & CLEARS
 
 
 class Reader:
     """Builds the block tree of one page."""
 
-    def __init__(self, html: str):
+    def __init__(self, html: str, by_name: bool = True):
+        self.by_name = by_name
         self.root = Node("#root", "#root", None, False, False)
         self.node = self.root
         #: Open elements: (tag, the block node current before it, whether it is a block, link depth, furniture depth)
@@ -165,7 +171,7 @@ class Reader:
             return
         attributes = _attributes(raw) if raw.strip(" /") else {}
         inside = any(o[1].main for o in self.open) or self.node.main
-        label, gone, main = _kind(tag, attributes, inside)
+        label, gone, main = _kind(tag, attributes, inside, self.by_name)
         self.open.append((tag, self.node, self.links, self.gone))
         self.links += tag == "a"
         if gone:
@@ -214,5 +220,5 @@ def lines(node: Node) -> list[str]:
     return out
 
 
-def parse(html: str | None) -> Node:
-    return Reader(html or "").root
+def parse(html: str | None, by_name: bool = True) -> Node:
+    return Reader(html or "", by_name).root

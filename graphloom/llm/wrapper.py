@@ -171,7 +171,11 @@ def main_text(html: str | None, path: list[str] | None) -> str:
     blocks = [line for node in chosen for line in lines(node)]
     if not blocks:
         blocks = [line for node in _mains(root) for line in lines(node)]
-    return "\n".join(blocks or lines(root))
+    blocks = blocks or lines(root)
+    if not blocks and html:  # a name that marks furniture was given to what holds the text
+        root = parse(html, by_name=False)
+        blocks = [line for node in _mains(root) for line in lines(node)] or lines(root)
+    return "\n".join(blocks)
 
 
 def _host(url):

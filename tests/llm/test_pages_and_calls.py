@@ -30,6 +30,8 @@ def test_reader():
     assert text("a < b <p>c</p") == ["a < b", "c"]
     assert text('<div class="sidebar">no</div><div class="with-sidebar">yes</div><form>no</form><ul><li>1<li>2</ul>') == ["yes", "1", "2"]
     assert text('<div hidden>no</div><div style="display:none">no</div><div id="cookie-notice">no</div><section class="comments"><p>no</p></section>ok') == ["ok"]
+    assert text('<div class="main-menu">no</div><article class="post"><div class="article-header">t</div><div class="post-comments">no</div>x</article>') == ["t", "x"]
+    assert wrapper.main_text('<div class="menu-page"><article>kept</article></div>', None) == "kept"
     assert text("<table><tr><td>a<td>b<tr><td>c</table>") == ["a", "b", "c"]
     assert text("<div>" * 5000 + "deep") == ["deep"] and text(None) == text("") == text("<") [:0]
     assert text("<textarea>no</textarea><title>no</title>&lt;p&gt;") == ["<p>"]
