@@ -279,3 +279,18 @@ def sample_dump(t):
 
     place = F.row_number().over(Window.partitionBy("kind").orderBy("p_partkey"))  # five rows a kind
     return first.withColumn("place", place).join(sizes, "kind").select("kind", "place", "p_partkey", "sample", "nodes")
+
+
+@query(f"""
+WITH {EDGES}, n AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS id FROM (SELECT DISTINCT src AS node FROM h)),
+d AS (SELECT n.id, count(*) AS degree, min(o.id) AS first FROM h JOIN n ON n.node = h.src JOIN n o ON o.node = h.dst GROUP BY n.id)
+SELECT id, (sum(degree) OVER (ORDER BY id) - degree)::BIGINT AS start, degree::INTEGER AS degree, first FROM d
+""")
+def csr_export(t):
+    """Dense ids in key order, and where each node's neighbours begin."""
+    from ..operators import export
+
+    edges = half(t)
+    ids = export.dense_ids(edges.select(F.col("src").alias("node")).distinct(), "node")
+    rows = export.compressed_rows(ids, edges)
+    return rows.select("id", "start", "degree", F.get("neighbours", F.lit(0)).alias("first"))
