@@ -399,3 +399,14 @@ def literal_priority(t):
     )
     best = both.groupBy("p_partkey").agg(F.min(F.struct("priority", "text")).alias("b"))
     return best.select("p_partkey", "b.text", F.lit("sl").alias("lang"), "b.priority")
+
+
+@query("""
+SELECT 'pos' AS property, ['noun', 'verb', 'adjective', 'residual'][p_partkey % 4 + 1] AS value, count(*) AS n FROM part GROUP BY ALL
+UNION ALL SELECT 'number', ['singular', 'dual', 'plural'][p_partkey % 3 + 1], count(*) FROM part WHERE p_partkey % 7 <> 0 GROUP BY ALL
+""")
+def value_census(t):
+    """How often each value of a property occurs, unlabelled values too."""
+    pos, _, forms = _feature_columns()
+    cells = F.explode(F.array(F.struct(F.lit("pos").alias("property"), pos.alias("value")), F.struct(F.lit("number").alias("property"), forms["number"].alias("value"))))
+    return t.part.select(cells.alias("c")).select("c.*").filter("value is not null").groupBy("property", "value").agg(F.count("*").alias("n"))

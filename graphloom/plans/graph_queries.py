@@ -294,3 +294,16 @@ def csr_export(t):
     ids = export.dense_ids(edges.select(F.col("src").alias("node")).distinct(), "node")
     rows = export.compressed_rows(ids, edges)
     return rows.select("id", "start", "degree", F.get("neighbours", F.lit(0)).alias("first"))
+
+
+@query("""
+WITH n AS (SELECT p_partkey AS node, p_partkey * 10 AS start, p_size % 10 AS length FROM part), q AS (SELECT o_orderkey, (o_orderkey * 7) % 25000 AS place FROM orders)
+SELECT o_orderkey, place, node FROM q JOIN n ON place >= start AND place < start + length
+""")
+def offset_lookup(t):
+    """Offsets into concatenated texts -> the node whose text lies there; gaps belong to no node."""
+    from ..operators import ranges
+
+    nodes = t.part.select(F.col("p_partkey").alias("node"), (F.col("p_partkey") * 10).alias("start"), (F.col("p_size") % 10).alias("length"))
+    points = t.orders.select("o_orderkey", ((F.col("o_orderkey") * 7) % 25000).alias("place"))
+    return ranges.interval_lookup(points, nodes, "place", "start", "length", 64).select("o_orderkey", "place", "node")
