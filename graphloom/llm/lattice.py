@@ -84,8 +84,8 @@ class Lattice:
         each = [self.byte_weights[list(chr(int(c)).encode("utf-8", "replace"))].sum() for c in unique]
         return np.array(each)[back].reshape(codes.shape)
 
-    def arcs(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(length - 1, row, position) piece ids and weights; id len(names) and weight -inf where nothing matches."""
+    def arcs(self, codes: np.ndarray) -> np.ndarray:
+        """(length - 1, row, position) ids of matching pieces; len(names) where nothing matches."""
         b, n = codes.shape
         none = len(self.hashes) - 1
         ids = np.full((min(self.longest, n), b, n), none, dtype=np.int32)
@@ -98,11 +98,15 @@ class Lattice:
                 found = way[slot]
                 hit = self.hashes[found] == final
                 ids[k][:, : n - k][hit] = found[hit]
+        return ids
+
+    def weigh(self, ids: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Weights of arcs, -inf where there is none; a character without a piece is spelled in bytes."""
         weights = self.log_weights[ids]
-        bare = ids[0] == none
+        bare = ids[0] == len(self.hashes) - 1
         if bare.any():
             weights[0][bare] = self._spelled(codes[bare])
-        return ids, weights
+        return weights
 
     def _forward(self, weights: np.ndarray) -> np.ndarray:
         depth, b, n = weights.shape
@@ -142,20 +146,27 @@ class Lattice:
         raw = "".join(MARK + w for w in words).encode("utf-32-le", "surrogatepass")
         return np.frombuffer(raw, dtype="<u4").reshape(len(words), n).astype(np.uint64)
 
-    def log_probability(self, words: list[str]) -> np.ndarray:
-        """Natural-log marginal over all segmentations of every word."""
-        out = np.empty(len(words))
+    def log_probabilities(self, words: list[str], models: list[np.ndarray]) -> np.ndarray:
+        """Natural-log marginal over all segmentations, (words, models), under each model's log weights."""
+        out = np.empty((len(words), len(models)))
         for n, own in self._groups(words):
-            _, weights = self.arcs(self._codes([words[i] for i in own], n))
-            out[own] = self._forward(weights)[:, -1]
+            codes = self._codes([words[i] for i in own], n)
+            ids = self.arcs(codes)
+            for k, log_weights in enumerate(models):
+                self.set_weights(log_weights)
+                out[own, k] = self._forward(self.weigh(ids, codes))[:, -1]
         return out
 
+    def log_probability(self, words: list[str]) -> np.ndarray:
+        return self.log_probabilities(words, [self.log_weights[:-1]])[:, 0]
+
     def expected(self, words: list[str], times: np.ndarray) -> np.ndarray:
         """Expected uses of every piece when each word is spelled `times` times."""
         counts = np.zeros(len(self.log_weights))
         for n, own in self._groups(words):
             codes = self._codes([words[i] for i in own], n)
-            ids, weights = self.arcs(codes)
+            ids = self.arcs(codes)
+            weights = self.weigh(ids, codes)
             alpha, beta = self._forward(weights), self._backward(weights)
             share = np.log(times[own]) - alpha[:, -1]
             for k in range(len(ids)):

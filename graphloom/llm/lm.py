@@ -1,10 +1,11 @@
 """Document likelihood under a subword lattice.
 
 A word's probability sums all its segmentations: into pieces of an existing vocabulary (their scores start the
-estimate; one expectation step over all distinct training words fits them), and the arc that spells a word seen in
-training whole, weighted by its discounted count. The document's probability marginalises, in log space, over
-segmentations and over a document class (the training documents' language) whose word arcs back off to the common ones;
-words are independent given the class, so the forward recursion over a document is the product of its words' marginals.
+estimate; ROUNDS expectation steps over all distinct training words of a class fit them), and the arc that spells a word
+seen in training whole, weighted by its discounted count. The document's probability marginalises, in log space, over
+segmentations and over a document class (the training documents' language) whose word arcs back off to spellings and to
+the words of all classes; words are independent given the class, so the forward recursion over a document is the product
+of its words' marginals.
 Every part is a probability distribution, so the score is a log10 probability of the text.
 
 Each distinct word is scored once for the whole table. Words of the HOT most frequent (a bounded broadcast) are summed
@@ -28,7 +29,9 @@ from pyspark.sql import functions as F
 from .common import materialize
 from .lattice import Lattice, load_pieces, spelling_weights
 
-HOT, HOT_CHARS, CLASSES, DISCOUNT = 50_000, 64, 8, 0.75
+HOT, HOT_CHARS, CLASSES, DISCOUNT, ROUNDS = 50_000, 64, 8, 0.75, 2
+#: Share of a class's spelling mass that goes to the words of all classes.
+COMMON = 0.5
 #: Distinct words counted before a partial count is passed on.
 FLUSH = 200_000
 
@@ -61,26 +64,47 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text", "cls").mapInArrow(run, "word string, cls int, c long")
 
 
-def _expected(types: DataFrame, pieces) -> np.ndarray:
-    """Expected uses of every piece when each distinct word is spelled DISCOUNT times; one number a piece returns."""
-    names, weights, byte_ids = pieces.value
+def _expected(vocabulary: DataFrame, pieces, models, k: int) -> np.ndarray:
+    """(classes, pieces) expected uses when each distinct word of a class is spelled DISCOUNT times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Lattice(*pieces.value)
-        total = np.zeros(len(pieces.value[0]))
-        for whole in batches:
-            words = whole.column(0).to_pylist()
-            total += own.expected(words, np.full(len(words), DISCOUNT))
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["piece", "uses"])
-
-    rows = types.select("word").mapInArrow(run, "piece long, uses double").groupBy("piece").agg(F.sum("uses").alias("uses"))
-    out = np.zeros(len(names))
-    for r in rows.orderBy("piece").collect():  # at most one row per piece of the vocabulary
-        out[r["piece"]] = r["uses"]
+        names, prior, byte_ids = pieces.value
+        own = Lattice(names, prior, byte_ids)
+        total = np.zeros((k, len(names)))
+        for batch in batches:
+            words = np.array(batch.column(0).to_pylist(), dtype=object)
+            for i in range(k):
+                here = words[batch.column(i + 1).to_numpy() > 0].tolist()
+                if here:
+                    own.set_weights(models.value[i])
+                    total[i] += own.expected(here, np.full(len(here), DISCOUNT))
+        cls, used = np.nonzero(total)
+        kinds = [pa.array(cls, pa.int64()), pa.array(used, pa.int64()), pa.array(total[cls, used])]
+        yield pa.RecordBatch.from_arrays(kinds, ["cls", "piece", "uses"])
+
+    rows = vocabulary.mapInArrow(run, "cls long, piece long, uses double").groupBy("cls", "piece").agg(F.sum("uses").alias("uses"))
+    found = rows.orderBy("cls", "piece").toPandas()  # at most one row per class and piece of the vocabulary
+    out = np.zeros((k, len(pieces.value[0])))
+    out[found["cls"], found["piece"]] = found["uses"]
     return out
 
 
+def _most_frequent(words: DataFrame) -> DataFrame:
+    """The words at or above the least count level that no more than HOT words reach.
+
+    Levels are eighths of powers of two, so the histogram is a few hundred rows, and only the chosen words are sent on.
+    """
+    level = F.floor(F.log2("c") * 8).cast("int")
+    histogram = words.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect()
+    total, least = 0, None
+    for r in histogram:
+        total += r["count"]
+        if total > HOT:
+            break
+        least = r["level"]
+    return words.filter(level >= least) if least is not None else words.filter("false")
+
+
 def score(
     docs: DataFrame, training: Column, path: str, key: str = "doc_id", text: str = "text", label: str | None = "lang"
 ) -> DataFrame:
@@ -114,30 +138,33 @@ def score(
     n, v = float(n_k.sum()), float((sums["types"] or 0) + (ends.sum() > 0))
     names, prior, byte_ids = load_pieces(path)
     pieces = spark.sparkContext.broadcast((names, prior, byte_ids))
-    uses = _expected(vocabulary.filter(seen > 0), pieces)
-    weights, stop = spelling_weights(names, uses, prior, DISCOUNT * max(0.0, v - 1))
-    fitted = spark.sparkContext.broadcast((names, weights, byte_ids))
-
-    def by_count(counts: np.ndarray, spelled: np.ndarray) -> np.ndarray:
-        """Natural-log probability in every class, (rows, k), from counts by class and spelling probabilities."""
+    weights, stops = [prior] * k, np.zeros(k)
+    for _ in range(ROUNDS if n else 0):
+        models = spark.sparkContext.broadcast(np.array(weights))
+        uses = _expected(vocabulary, pieces, models, k)
+        fits = [spelling_weights(names, uses[i], prior, DISCOUNT * v_k[i]) for i in range(k)]
+        weights, stops = [f[0] for f in fits], np.array([f[1] for f in fits])
+    fitted = spark.sparkContext.broadcast(np.array(weights))
+    share = np.log(np.maximum(v_k, 1e-300) / max(v_k.sum(), 1e-300))
+
+    def by_count(counts: np.ndarray, logs: np.ndarray) -> np.ndarray:
+        """Natural-log probability in every class, (rows, k), from counts and log spelling probabilities by class."""
         if n == 0:
-            return np.log(spelled)[:, None].repeat(k, axis=1)
-        overall = (np.maximum(counts.sum(axis=1) - DISCOUNT, 0) + DISCOUNT * v * spelled) / n
-        own = (np.maximum(counts - DISCOUNT, 0) + DISCOUNT * v_k * overall[:, None]) / np.maximum(n_k, 1e-300)
-        return np.log(np.maximum(np.where(n_k > 0, own, overall[:, None]), 1e-300))
+            return logs
+        top = np.maximum(logs.max(axis=1, keepdims=True), -1e300)
+        common = top[:, 0] + np.log(np.maximum(np.exp(logs - top) @ np.exp(share), 1e-300))
+        mass, own_mass = np.log(DISCOUNT * v / n), np.log(np.maximum(DISCOUNT * v_k, 1e-300) / np.maximum(n_k, 1e-300))
+        overall = np.logaddexp(np.log(np.maximum(counts.sum(axis=1) - DISCOUNT, 1e-300) / n), mass + common)
+        spelled = np.logaddexp(np.log(1 - COMMON) + logs, np.log(COMMON) + overall[:, None])
+        own = np.logaddexp(np.log(np.maximum(counts - DISCOUNT, 1e-300) / np.maximum(n_k, 1e-300)), own_mass + spelled)
+        return np.where(n_k > 0, own, overall[:, None])
 
     def score_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Lattice(*fitted.value)
+        own = Lattice(*pieces.value)
         for whole in batches:
             counts = np.column_stack([whole.column(i + 1).to_numpy() for i in range(k)]).astype(np.float64)
             words = whole.column(0).to_pylist()
-            # A spelling too unlikely for a double keeps its log through the floor of by_count only if nothing else counts.
-            logs = own.log_probability(words) + stop
-            lp = by_count(counts, np.exp(logs))
-            unseen = counts.sum(axis=1) == 0
-            if unseen.any():
-                factor = np.zeros(k) if n == 0 else np.log(DISCOUNT * v / n) + np.where(n_k > 0, np.log(np.maximum(DISCOUNT * v_k, 1e-300) / np.maximum(n_k, 1e-300)), 0)
-                lp[unseen] = logs[unseen, None] + factor
+            lp = by_count(counts, own.log_probabilities(words, list(fitted.value)) + stops)
             total = counts.sum(axis=1)
             base = np.log10((total + 1) / (n + v + 1))
             offsets = pa.array(np.arange(0, len(words) * k + 1, k, dtype=np.int32))
@@ -149,7 +176,7 @@ def score(
     scored = materialize(
         vocabulary.mapInArrow(score_words, "word string, c long, base double, lp array<double>"), "scored-words"
     )
-    top = scored.filter((F.col("c") > 0) & (F.length("word") <= HOT_CHARS)).orderBy(F.desc("c"), "word").limit(HOT)
+    top = _most_frequent(scored.filter((F.col("c") > 0) & (F.length("word") <= HOT_CHARS)))
     top = top.select("word", "base", *[F.get("lp", F.lit(i)).alias(f"lp{i}") for i in range(k)]).toPandas()
     lexicon = {w.encode("utf-8"): i for i, w in enumerate(top["word"])}
     hot = spark.sparkContext.broadcast((lexicon, top.drop(columns="word").to_numpy(dtype=np.float64)))
@@ -201,7 +228,7 @@ def score(
             *[F.sum(F.col("t") * F.get("lp", F.lit(i))).alias(f"m{i}") for i in range(k)],
         )
     )
-    end_lp = np.full(k, np.log(0.5)) if n == 0 else by_count(ends[None, :], np.zeros(1))[0]
+    end_lp = np.full(k, np.log(0.5)) if n == 0 else by_count(ends[None, :], np.full((1, k), -np.inf))[0]
     prior_k = np.log(np.maximum(ends, 1e-300) / max(ends.sum(), 1e-300)) if n else np.append(np.full(k - 1, -np.inf), 0.0)
     total = [
         F.get("lp", F.lit(i)) + F.coalesce(F.col(f"m{i}"), F.lit(0.0)) + float(end_lp[i] + prior_k[i]) for i in range(k) if np.isfinite(prior_k[i])
