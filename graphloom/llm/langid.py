@@ -5,7 +5,7 @@ network between two space bytes. The network labels every byte position; a docum
 mean over the positions of its segments that hold a letter. It is trained in numpy by backpropagation through time.
 
 Training sample: at most PER_LANGUAGE documents of every language, chosen by a hash of the key, at most TRAIN_CHARS
-characters of each; the languages are those of the labelled training rows, whose counts are taken over all rows. The
+characters of each; the languages are the LANGUAGES most frequent ones of the labelled training rows, counted over all. The
 bound only limits training: every prediction reads the whole text.
 
 Defined results: null text or a text without a letter is `und` with score 0; without any labelled training row every
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-PER_LANGUAGE, TRAIN_CHARS = 250, 1500
+PER_LANGUAGE, TRAIN_CHARS, LANGUAGES = 250, 1500, 64
 HIDDEN, WINDOW = 24, 40
 STEPS, BATCH, RATE = 260, 384, 0.02
 #: Segments a worker remembers.
@@ -209,7 +209,8 @@ class Labeller:
 def sample(docs: DataFrame, key: str, text: str, lang: str, training: Column) -> pd.DataFrame:
     """The bounded training sample: label counts cover all rows, then a hash of the key chooses the documents."""
     usable = docs.filter(training & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = {r[0]: r[1] for r in usable.groupBy(lang).count().collect()}
+    counted = usable.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(LANGUAGES)
+    counts = {r[0]: r[1] for r in counted.collect()}
     if not counts:
         return pd.DataFrame({"text": [], "lang": []})
     share = F.lit(0.0)
