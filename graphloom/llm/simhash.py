@@ -13,6 +13,7 @@ columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 from itertools import combinations
 
@@ -91,8 +92,13 @@ def as_hex(fingerprint: Column) -> Column:
 def _bucket(key: Column, bounds: list[int]) -> Column:
     """Number of bounds up to the key, found in two steps of about the square root of their number; null keys: -1."""
     step = max(1, round(len(bounds) ** 0.5))
-    coarse = F.array(*[F.lit(b) for b in bounds[::step]]).cast("array<long>")
-    fine = F.array(*[F.array(*[F.lit(b) for b in bounds[i : i + step]]).cast("array<long>") for i in range(0, len(bounds), step)])
+
+    def constant(values: list, kind: str) -> Column:
+        # One folded literal, however many bounds there are.
+        return F.from_json(F.lit(json.dumps(values)), kind)
+
+    coarse = constant(bounds[::step], "array<bigint>")
+    fine = constant([bounds[i : i + step] for i in range(0, len(bounds), step)], "array<array<bigint>>")
     at = F.size(F.filter(coarse, lambda b: b <= key))
     inner = F.size(F.filter(F.get(fine, at - 1), lambda b: b <= key))
     return F.when(key.isNull(), -1).when(at == 0, 0).otherwise((at - 1) * step + inner).cast("int")
