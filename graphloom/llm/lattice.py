@@ -47,18 +47,25 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Lattice:
-    def __init__(self, names: list[str], log_weights: np.ndarray, byte_ids: np.ndarray):
-        self.byte_ids = byte_ids
+    def __init__(self, names: list[str], log_weights: np.ndarray, byte_ids: np.ndarray, kind: type = np.float64):
+        """kind: precision of the recursions; single precision serves to estimate weights."""
+        self.byte_ids, self.kind = byte_ids, kind
         self.longest = max(map(len, names))
-        coded = [np.array([ord(c) for c in name], dtype=np.uint64) for name in names]
+        by_length: dict[int, list[int]] = {}
+        for i, name in enumerate(names):
+            by_length.setdefault(len(name), []).append(i)
+        coded = []
+        for n, at in by_length.items():
+            raw = "".join(names[i] for i in at).encode("utf-32-le", "surrogatepass")
+            coded.append((at, np.frombuffer(raw, dtype="<u4").reshape(len(at), n).astype(np.uint64)))
         for seed in range(1, 100):
             self.step = _mix(np.array([seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1], dtype=np.uint64))[0] | U(1)
             own = np.zeros(len(names), dtype=np.uint64)
-            for i, codes in enumerate(coded):
-                h = np.zeros(1, dtype=np.uint64)
-                for c in codes:
-                    h = h * self.step + c + U(1)
-                own[i] = h[0]
+            for at, codes in coded:
+                h = np.zeros(len(at), dtype=np.uint64)
+                for k in range(codes.shape[1]):
+                    h = h * self.step + codes[:, k] + U(1)
+                own[at] = h
             own = _mix(own)
             real = np.array([bool(n) for n in names])
             slots = (own >> U(64 - _SLOT_BITS)).astype(np.int64)
@@ -74,7 +81,7 @@ class Lattice:
         self.set_weights(log_weights)
 
     def set_weights(self, log_weights: np.ndarray) -> None:
-        self.log_weights = np.append(log_weights, -np.inf)
+        self.log_weights = np.append(log_weights, -np.inf).astype(self.kind)
         known = self.byte_ids >= 0
         self.byte_weights = np.where(known, self.log_weights[self.byte_ids], np.log(1e-9))
 
@@ -110,7 +117,7 @@ class Lattice:
 
     def _forward(self, weights: np.ndarray) -> np.ndarray:
         depth, b, n = weights.shape
-        alpha = np.full((b, n + 1), -np.inf)
+        alpha = np.full((b, n + 1), -np.inf, dtype=self.kind)
         alpha[:, 0] = 0
         for j in range(1, n + 1):
             m = min(depth, j)
@@ -121,7 +128,7 @@ class Lattice:
 
     def _backward(self, weights: np.ndarray) -> np.ndarray:
         depth, b, n = weights.shape
-        beta = np.full((b, n + 1), -np.inf)
+        beta = np.full((b, n + 1), -np.inf, dtype=self.kind)
         beta[:, n] = 0
         for i in range(n - 1, -1, -1):
             m = min(depth, n - i)
@@ -168,7 +175,7 @@ class Lattice:
             ids = self.arcs(codes)
             weights = self.weigh(ids, codes)
             alpha, beta = self._forward(weights), self._backward(weights)
-            share = np.log(times[own]) - alpha[:, -1]
+            share = np.log(times[own]).astype(self.kind) - alpha[:, -1]
             for k in range(len(ids)):
                 use = np.exp(alpha[:, : n - k] + weights[k][:, : n - k] + beta[:, k + 1 :] + share[:, None])
                 counts += np.bincount(ids[k][:, : n - k].ravel(), use.ravel(), minlength=len(counts))

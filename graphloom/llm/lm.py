@@ -69,7 +69,7 @@ def _expected(vocabulary: DataFrame, pieces, models, k: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, prior, byte_ids = pieces.value
-        own = Lattice(names, prior, byte_ids)
+        own = Lattice(names, prior, byte_ids, np.float32)
         total = np.zeros((k, len(names)))
         for batch in batches:
             words = np.array(batch.column(0).to_pylist(), dtype=object)
