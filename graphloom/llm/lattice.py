@@ -11,7 +11,7 @@ import numpy as np
 
 U = np.uint64
 MARK = "▁"
-_SLOT_BITS = 21
+_SLOT_BITS, _FIRST_BITS = 21, 20
 #: Characters up to which words of one length are batched; longer words run one by one, whole.
 BATCHED = 64
 
@@ -78,6 +78,9 @@ class Lattice:
         for way in range(2):
             chosen = order[rank == way]
             self.ways[way, slots[chosen]] = chosen
+        #: A first look that fits the cache: most substrings end there.
+        self.first = np.zeros(1 << _FIRST_BITS, dtype=bool)
+        self.first[(own[real] >> U(64 - _FIRST_BITS)).astype(np.int64)] = True
         self.set_weights(log_weights)
 
     def set_weights(self, log_weights: np.ndarray) -> None:
@@ -91,8 +94,11 @@ class Lattice:
         each = [self.byte_weights[list(chr(int(c)).encode("utf-8", "replace"))].sum() for c in unique]
         return np.array(each)[back].reshape(codes.shape)
 
-    def arcs(self, codes: np.ndarray) -> np.ndarray:
-        """(length - 1, row, position) ids of matching pieces; len(names) where nothing matches."""
+    def arcs(self, codes: np.ndarray) -> tuple[np.ndarray, list[int]]:
+        """(length, row, position) ids of matching pieces, len(names) where nothing matches, and the lengths less 1.
+
+        Only lengths that match somewhere are listed; single characters always are.
+        """
         b, n = codes.shape
         none = len(self.hashes) - 1
         ids = np.full((min(self.longest, n), b, n), none, dtype=np.int32)
@@ -100,12 +106,15 @@ class Lattice:
         for k in range(len(ids)):
             h = h[:, : n - k] * self.step + codes[:, k:] + U(1)
             final = _mix(h)
+            likely = np.nonzero(self.first[(final >> U(64 - _FIRST_BITS)).astype(np.int64)])
+            final = final[likely]
             slot = (final >> U(64 - _SLOT_BITS)).astype(np.int64)
             for way in self.ways:
                 found = way[slot]
                 hit = self.hashes[found] == final
-                ids[k][:, : n - k][hit] = found[hit]
-        return ids
+                ids[k][likely[0][hit], likely[1][hit]] = found[hit]
+        lengths = [k for k in range(len(ids)) if k == 0 or (ids[k] != none).any()]
+        return ids[lengths], lengths
 
     def weigh(self, ids: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """Weights of arcs, -inf where there is none; a character without a piece is spelled in bytes."""
@@ -115,24 +124,22 @@ class Lattice:
             weights[0][bare] = self._spelled(codes[bare])
         return weights
 
-    def _forward(self, weights: np.ndarray) -> np.ndarray:
-        depth, b, n = weights.shape
+    def _forward(self, weights: np.ndarray, lengths: list[int]) -> np.ndarray:
+        _, b, n = weights.shape
         alpha = np.full((b, n + 1), -np.inf, dtype=self.kind)
         alpha[:, 0] = 0
         for j in range(1, n + 1):
-            m = min(depth, j)
-            into = np.stack([alpha[:, j - 1 - k] + weights[k, :, j - 1 - k] for k in range(m)])
+            into = np.stack([alpha[:, j - 1 - k] + weights[a, :, j - 1 - k] for a, k in enumerate(lengths) if k < j])
             top = into.max(axis=0)
             alpha[:, j] = top + np.log(np.exp(into - top).sum(axis=0))
         return alpha
 
-    def _backward(self, weights: np.ndarray) -> np.ndarray:
-        depth, b, n = weights.shape
+    def _backward(self, weights: np.ndarray, lengths: list[int]) -> np.ndarray:
+        _, b, n = weights.shape
         beta = np.full((b, n + 1), -np.inf, dtype=self.kind)
         beta[:, n] = 0
         for i in range(n - 1, -1, -1):
-            m = min(depth, n - i)
-            out = np.stack([weights[k, :, i] + beta[:, i + 1 + k] for k in range(m)])
+            out = np.stack([weights[a, :, i] + beta[:, i + 1 + k] for a, k in enumerate(lengths) if k < n - i])
             top = out.max(axis=0)
             beta[:, i] = top + np.log(np.exp(out - top).sum(axis=0))
         return beta
@@ -158,10 +165,10 @@ class Lattice:
         out = np.empty((len(words), len(models)))
         for n, own in self._groups(words):
             codes = self._codes([words[i] for i in own], n)
-            ids = self.arcs(codes)
+            ids, lengths = self.arcs(codes)
             for k, log_weights in enumerate(models):
                 self.set_weights(log_weights)
-                out[own, k] = self._forward(self.weigh(ids, codes))[:, -1]
+                out[own, k] = self._forward(self.weigh(ids, codes), lengths)[:, -1]
         return out
 
     def log_probability(self, words: list[str]) -> np.ndarray:
@@ -172,13 +179,13 @@ class Lattice:
         counts = np.zeros(len(self.log_weights))
         for n, own in self._groups(words):
             codes = self._codes([words[i] for i in own], n)
-            ids = self.arcs(codes)
+            ids, lengths = self.arcs(codes)
             weights = self.weigh(ids, codes)
-            alpha, beta = self._forward(weights), self._backward(weights)
+            alpha, beta = self._forward(weights, lengths), self._backward(weights, lengths)
             share = np.log(times[own]).astype(self.kind) - alpha[:, -1]
-            for k in range(len(ids)):
-                use = np.exp(alpha[:, : n - k] + weights[k][:, : n - k] + beta[:, k + 1 :] + share[:, None])
-                counts += np.bincount(ids[k][:, : n - k].ravel(), use.ravel(), minlength=len(counts))
+            for a, k in enumerate(lengths):
+                use = np.exp(alpha[:, : n - k] + weights[a][:, : n - k] + beta[:, k + 1 :] + share[:, None])
+                counts += np.bincount(ids[a][:, : n - k].ravel(), use.ravel(), minlength=len(counts))
                 if k == 0 and (bare := ids[0] == len(counts) - 1).any():
                     for c, u in zip(codes[bare], use[bare], strict=True):
                         np.add.at(counts, self.byte_ids[list(chr(int(c)).encode("utf-8", "replace"))], u)

@@ -33,7 +33,7 @@ HOT, HOT_CHARS, CLASSES, DISCOUNT, ROUNDS = 50_000, 64, 8, 0.75, 2
 #: Share of a class's spelling mass that goes to the words of all classes.
 COMMON = 0.5
 #: Distinct words counted before a partial count is passed on.
-FLUSH = 200_000
+FLUSH = 500_000
 
 
 def _words(text: str | None) -> list[bytes]:
