@@ -5,8 +5,9 @@ network between two space bytes. The network labels every byte position; a docum
 mean over the positions of its segments that hold a letter. It is trained in numpy by backpropagation through time.
 
 Training sample: at most PER_LANGUAGE documents of every language, chosen by a hash of the key, at most TRAIN_CHARS
-characters of each; the languages are the LANGUAGES most frequent ones of the labelled training rows, counted over all. The
-bound only limits training: every prediction reads the whole text.
+characters of each. Every label that occurs in the training rows is learned; from LANGUAGES labels on they share
+LANGUAGES * PER_LANGUAGE documents evenly (at least one each), and the steps grow with their number. The bounds only limit
+training: every prediction reads the whole text.
 
 Defined results: null text or a text without a letter is `und` with score 0; without any labelled training row every
 text is `und`; extra columns are ignored; equal texts get equal results.
@@ -14,6 +15,7 @@ text is `und`; extra columns are ignored; equal texts get equal results.
 
 from __future__ import annotations
 
+import json
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,8 +31,8 @@ from pyspark.sql.types import StructType
 PER_LANGUAGE, TRAIN_CHARS, LANGUAGES = 250, 1500, 64
 HIDDEN, WINDOW = 24, 40
 STEPS, BATCH, RATE = 260, 384, 0.02
-#: Segments a worker remembers.
-MEMO_ENTRIES = 300_000
+#: Segments a worker remembers, and labels at once, up to LANGUAGES languages; fewer in proportion if there are more.
+MEMO_ENTRIES, CHUNK = 300_000, 2048
 _LETTER = regex.compile(r"\p{L}")
 _NAMES = [f"{d}{p}" for d in "fb" for p in ("x", "h", "c")]
 
@@ -139,7 +141,8 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> Model:
     m = {name: np.zeros_like(v) for name, v in w.items()}
     v2 = {name: np.zeros_like(v) for name, v in w.items()}
     some = [i for i in range(k) if parts[i]]
-    for step in range(1, STEPS + 1 if some else 1):
+    steps = STEPS * max(1, -(-k // LANGUAGES))
+    for step in range(1, steps + 1 if some else 1):
         label = np.sort(rng.choice(some, BATCH))
         drawn = [parts[i][rng.integers(len(parts[i]))] for i in label]
         x, mask, both, p, f_kept, b_kept = _forward(w, drawn)
@@ -154,7 +157,7 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> Model:
         _back(x, mask, d_both[:, :, :n], f_kept, w["fh"], w["fc"], g, "f")
         _back(x[::-1], mask[::-1], d_both[::-1, :, n:], b_kept, w["bh"], w["bc"], g, "b")
         norm = float(np.sqrt(sum((a.astype(np.float64) ** 2).sum() for a in g.values())))
-        rate = RATE * min(1.0, 3 * (1 - (step - 1) / STEPS))
+        rate = RATE * min(1.0, 3 * (1 - (step - 1) / steps))
         for name in w:
             a = g[name] * min(1.0, 5.0 / max(norm, 1e-12))
             m[name] = 0.9 * m[name] + 0.1 * a
@@ -168,6 +171,7 @@ class Labeller:
 
     def __init__(self, model: Model):
         self.model, self.memo = model, {}
+        self.part = min(1.0, LANGUAGES / max(1, len(model.languages)))
 
     def _learn(self, words: list[str]) -> None:
         """Memo entry of a word: sum of its positions' probabilities, then their number; zeros without a letter."""
@@ -180,15 +184,16 @@ class Labeller:
                     owner.append(i)
                     parts.append(part)
         order = sorted(range(len(parts)), key=lambda j: len(parts[j]))
-        for at in range(0, len(order), 2048):
-            chosen = order[at : at + 2048]
+        chunk = max(1, int(CHUNK * self.part))
+        for at in range(0, len(order), chunk):
+            chosen = order[at : at + chunk]
             _, mask, _, p, _, _ = _forward(self.model.weights, [parts[j] for j in chosen])
             total = (p * mask[:, :, None]).sum(axis=0)
             np.add.at(sums, [owner[j] for j in chosen], np.column_stack((total, mask.sum(axis=0))))
         self.memo.update(zip(words, sums, strict=True))
 
     def label(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        if len(self.memo) > MEMO_ENTRIES:
+        if len(self.memo) > MEMO_ENTRIES * self.part:
             self.memo.clear()
         counts = [Counter(segments(t)) if t else Counter() for t in texts]
         if self.model.languages:
@@ -209,19 +214,19 @@ class Labeller:
 def sample(docs: DataFrame, key: str, text: str, lang: str, training: Column) -> pd.DataFrame:
     """The bounded training sample: label counts cover all rows, then a hash of the key chooses the documents."""
     usable = docs.filter(training & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counted = usable.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(LANGUAGES)
-    counts = {r[0]: r[1] for r in counted.collect()}
+    counts = {r[0]: r[1] for r in usable.groupBy(lang).count().collect()}
     if not counts:
         return pd.DataFrame({"text": [], "lang": []})
-    share = F.lit(0.0)
-    for name, n in counts.items():
-        share = F.when(F.col(lang) == name, min(1.0, 1.2 * PER_LANGUAGE / n)).otherwise(share)
+    most = max(1, min(PER_LANGUAGE, LANGUAGES * PER_LANGUAGE // len(counts)))
+    # A margin above the documents wanted, so that no label draws none; one folded literal, however many labels there are.
+    shares = {name: min(1.0, max(1.2 * most, most + 20) / n) for name, n in counts.items()}
+    share = F.element_at(F.from_json(F.lit(json.dumps(shares)), "map<string,double>"), F.col(lang))
     draw = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 30)) / float(1 << 30)
     chosen = usable.filter(draw < share).select(
         F.substring(text, 1, TRAIN_CHARS).alias("text"), F.col(lang).alias("lang"), draw.alias("draw"), F.col(key).alias("key")
     )
     rows = chosen.toPandas().sort_values(["lang", "draw", "key", "text"])
-    return rows.groupby("lang").head(PER_LANGUAGE)[["text", "lang"]]
+    return rows.groupby("lang").head(most)[["text", "lang"]]
 
 
 def identify(

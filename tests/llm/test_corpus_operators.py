@@ -250,6 +250,21 @@ def test_language_accuracy_and_edges(spark):
     assert langid.identify(cases.empty(spark), F.lit(True)).count() == 0
 
 
+def test_every_label_is_learned(spark):
+    # 70 languages of their own letters; the rarest came 65th and later.
+    r = np.random.default_rng(4)
+    rows, languages = [], langid.LANGUAGES + 6
+    for k in range(languages):
+        letters = [chr(0x4E00 + 64 * k + i) for i in range(24)]
+        for n in range(3 if k < langid.LANGUAGES else 2):
+            rows.append((len(rows), " ".join("".join(r.choice(letters, 4)) for _ in range(60)), f"l{k:02}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = langid.sample(df, "doc_id", "text", "lang", F.lit(True))
+    assert learned["lang"].nunique() == languages and len(learned) == len(rows)
+    rare = langid.identify(df, F.lit(True)).filter(F.col("lang") >= f"l{langid.LANGUAGES}").collect()
+    assert len(rare) == 12 and np.mean([x["lang"] == x["lang_pred"] for x in rare]) > 0.8
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "language_id", "near_dedup", "mix_sources", "encode"]
