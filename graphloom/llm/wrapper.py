@@ -3,7 +3,7 @@
 Every page becomes a small tree of block elements (runs of alike siblings without blocks of their own are one node).
 One page of each host, drawn by a hash, is the reference; simple tree matching aligns every other page of the host with
 it. Over all pages of the host, an aligned slot whose text stays the same is template, one whose text varies is content;
-the wrapper is the label path from the root to the smallest container that keeps the varying text. A page's main text is
+the wrapper is the label path from the root to the smallest container that keeps all varying text but links. A page's main text is
 the text in that container without the furniture (menus, forms, notices, ...) its elements declare. Pages the wrapper
 does not fit, or whose host shows no varying text, use their own main elements, else the body.
 
@@ -27,8 +27,6 @@ from .html import MAIN, Node, lines, parse
 
 #: Elements a container path may pass through.
 CONTAINERS = frozenset("html body div section article main center table tbody tr td #root".split())
-#: Share of its parent's varying text that a container must keep.
-KEEP = 0.8
 #: Hosts up to which wrappers are broadcast; more are joined by host. A wrapper has at most WRAPPER_LABELS labels.
 BROADCAST_HOSTS, WRAPPER_LABELS = 20_000, 200
 
@@ -110,12 +108,14 @@ def align(page: list, reference: list) -> list[tuple[int, int]]:
     return out
 
 
-def induce(reference: list, stats: dict[int, tuple[int, int, int, int]]) -> list[str] | None:
-    """Label path of the container of varying text, from per-node (matched, same, text, links); None if none varies."""
-    weight = [0.0] * len(reference)
-    for i, (matched, same, text, links) in stats.items():
-        if same < matched:
-            weight[i] = max(0, text - 2 * links)
+def induce(reference: list, stats: dict[int, tuple[int, int, int, int, int]]) -> list[str] | None:
+    """Label path of the lowest container of all varying text, None if none varies.
+
+    stats: per node (matched, same, text, links, text below it on pages that the reference has no node for).
+    """
+    weight = [0] * len(reference)
+    for i, (matched, same, text, links, extra) in stats.items():
+        weight[i] = extra + (max(0, text - 2 * links) if same < matched else 0)
     for i in range(len(reference) - 1, 0, -1):
         weight[reference[i][0]] += weight[i]
     if weight[0] <= 0:
@@ -126,7 +126,7 @@ def induce(reference: list, stats: dict[int, tuple[int, int, int, int]]) -> list
         best = max(children[at], key=lambda c: weight[c], default=None)
         label = reference[at][1]
         done = label.split(".")[0] in MAIN or label.partition(".")[2].lower() in MAIN
-        if done or best is None or weight[best] < KEEP * weight[at] or reference[best][1].split(".")[0] not in CONTAINERS:
+        if done or best is None or weight[best] < weight[at] or reference[best][1].split(".")[0] not in CONTAINERS:
             return path
         path.append(reference[best][1])
         at = best
@@ -167,7 +167,7 @@ def _within(node: Node) -> Iterator[Node]:
 
 def main_text(html: str | None, path: list[str] | None) -> str:
     root = parse(html)
-    chosen = _follow(root, path) if path else []
+    chosen = _follow(root, path) if path is not None else []
     blocks = [line for node in chosen for line in lines(node)]
     if not blocks:
         blocks = [line for node in _mains(root) for line in lines(node)]
@@ -198,37 +198,47 @@ def wrappers(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
     chosen = trees.join(first, ["host", "draw"], "left_semi").groupBy("host").agg(F.min("tree").alias("reference"))
     references = materialize(chosen, "references")
 
+    counts = ["matched", "same", "chars", "links", "extra"]
+
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            totals: dict[tuple[str, int], list[int]] = defaultdict(lambda: [0, 0, 0, 0])
+            totals: dict[tuple[str, int], list[int]] = defaultdict(lambda: [0, 0, 0, 0, 0])
             known: dict[str, list] = {}
             for host, tree, reference in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 page, other = json.loads(tree), known.get(host) or known.setdefault(host, json.loads(reference))
-                for i, j in align(page, other):
+                pairs = dict(align(page, other))
+                for i, node in enumerate(page):
+                    if i not in pairs and node[3] > 2 * node[4]:
+                        at = node[0]
+                        while at not in pairs:
+                            at = page[at][0]
+                        if at:  # a page that shares the root only is of another kind
+                            totals[host, pairs[at]][4] += node[3] - 2 * node[4]
+                for i, j in pairs.items():
                     t = totals[host, j]
                     t[0] += 1
                     t[1] += page[i][2] == other[j][2]
                     t[2] += page[i][3]
                     t[3] += page[i][4]
             rows = [(h, j, *t) for (h, j), t in totals.items()]
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = [pa.string(), *[pa.int64()] * 5]
-            names = ["host", "node", "matched", "same", "chars", "links"]
+            columns = list(zip(*rows, strict=True)) or [()] * 7
+            kinds = [pa.string(), *[pa.int64()] * 6]
+            names = ["host", "node", *counts]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     counted = trees.join(references, "host").select("host", "tree", "reference")
-    stats = counted.mapInArrow(aligned, "host string, node long, matched long, same long, chars long, links long")
-    summed = stats.groupBy("host", "node").agg(*[F.sum(c).alias(c) for c in ("matched", "same", "chars", "links")])
+    stats = counted.mapInArrow(aligned, "host string, node long" + "".join(f", {c} long" for c in counts))
+    summed = stats.groupBy("host", "node").agg(*[F.sum(c).alias(c) for c in counts])
     # A host's list has as many entries as its reference page has nodes.
-    gathered = summed.groupBy("host").agg(F.to_json(F.collect_list(F.struct("node", "matched", "same", "chars", "links"))).alias("stats"))
+    gathered = summed.groupBy("host").agg(F.to_json(F.collect_list(F.struct("node", *counts))).alias("stats"))
 
     def induced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             paths = []
             for stats, reference in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                by = {x["node"]: (x["matched"], x["same"], x["chars"], x["links"]) for x in json.loads(stats)}
+                by = {x["node"]: tuple(x[c] for c in counts) for x in json.loads(stats)}
                 path = induce(json.loads(reference), by)
-                paths.append(json.dumps(path, ensure_ascii=False) if path and len(path) <= WRAPPER_LABELS else None)
+                paths.append(json.dumps(path, ensure_ascii=False) if path is not None and len(path) <= WRAPPER_LABELS else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(paths, pa.string())], ["host", "wrapper"])
 
     joined = gathered.join(references, "host").select("host", "stats", "reference")

@@ -55,6 +55,19 @@ def test_wrapper_without_semantic_tags(spark):
     assert wrapper.extract(df.limit(0)).count() == 0
 
 
+def test_container_keeps_all_varying_text(spark):
+    def page(n):
+        lead, text = f"Lead {n}.", f"Sentence {n} of the text. " * 20
+        more = f"<section>Extra section {n}.</section>" if n % 3 == 0 else ""
+        return f"<body><div class=wrap><h1>Title {n}</h1><div class=lead>{lead}</div><div class=text><p>{text}</p></div>{more}</div><div class=low>Same</div></body>"
+
+    df = spark.createDataFrame([(n, f"http://k.example/{n}", page(n)) for n in range(9)], "page_id long, url string, html string")
+    for r in wrapper.extract(df).collect():
+        n = r["page_id"]
+        want = [f"Title {n}", f"Lead {n}.", (f"Sentence {n} of the text. " * 20).strip(), *([f"Extra section {n}."] if n % 3 == 0 else [])]
+        assert r["text"].split("\n") == want
+
+
 def test_tree_matching_keeps_order():
     a = wrapper.skeleton(parse("<body><div>1</div><section>2</section><div>3</div></body>"))
     b = wrapper.skeleton(parse("<body><section>2</section><div>3</div><p>4</p></body>"))
