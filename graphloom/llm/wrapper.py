@@ -1,11 +1,11 @@
 """Main-text extraction by wrapper induction over the pages of a host.
 
 Every page becomes a small tree of block elements (runs of alike siblings without blocks of their own are one node).
-One page of each host, drawn by a hash, is the reference; simple tree matching aligns every other page of the host with
-it. Over all pages of the host, an aligned slot whose text stays the same is template, one whose text varies is content;
+Pages of a host whose outer containers bear the same labels are of one kind. One page with text of each kind, drawn by a
+hash, is its reference; simple tree matching aligns every page of the kind with it. Over all those pages, an aligned slot whose text stays the same is template, one whose text varies is content;
 the wrapper is the label path from the root to the smallest container that keeps all varying text but links. A page's main text is
 the text in that container without the furniture (menus, forms, notices, ...) its elements declare. Pages the wrapper
-does not fit, or whose host shows no varying text, use their own main elements, else the body.
+does not fit, or whose kind shows no varying text, use their own main elements, else the body.
 
 Defined results: null or empty html, or a page without text, gives an empty text; a null url is a host of its own
 without name; character references are decoded once; equal rows get equal results; extra columns are ignored.
@@ -27,8 +27,8 @@ from .html import MAIN, Node, lines, parse
 
 #: Elements a container path may pass through.
 CONTAINERS = frozenset("html body div section article main center table tbody tr td #root".split())
-#: Hosts up to which wrappers are broadcast; more are joined by host. A wrapper has at most WRAPPER_LABELS labels.
-BROADCAST_HOSTS, WRAPPER_LABELS = 20_000, 200
+#: Wrappers up to which they are broadcast; more are joined by host and kind. A wrapper has at most WRAPPER_LABELS labels.
+BROADCAST_WRAPPERS, WRAPPER_LABELS = 20_000, 200
 
 
 def skeleton(root: Node) -> list[tuple[int, str, int, int, int]]:
@@ -60,6 +60,18 @@ def skeleton(root: Node) -> list[tuple[int, str, int, int, int]]:
     return out
 
 
+def kind_of(root: Node) -> int:
+    """Hash of the labels of a page's containers, down to where they branch."""
+    own, node = xxhash.xxh3_64(), root
+    while True:
+        blocks = node.blocks()
+        inner = [c for c in blocks if c.main or c.tag in CONTAINERS]
+        own.update("\n".join(sorted({c.label for c in inner})) + "\0")
+        if len(blocks) != 1 or not inner or inner[0].main:
+            return own.intdigest() & (1 << 53) - 1
+        node = inner[0]
+
+
 def _children(tree: list) -> list[list[int]]:
     out: list[list[int]] = [[] for _ in tree]
     for i, node in enumerate(tree):
@@ -183,75 +195,91 @@ def _host(url):
 
 
 def wrappers(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
-    """host and wrapper (JSON label path), for hosts whose pages show varying text."""
+    """host, kind and wrapper (JSON label path), for kinds of pages that show varying text."""
 
     def skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 200):
                 batch = whole.slice(at, 200)
-                trees = [json.dumps(skeleton(parse(h)), ensure_ascii=False) for h in batch.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(trees)], ["host", "draw", "tree"])
+                kinds, trees = [], []
+                for h in batch.column(2).to_pylist():
+                    root = parse(h)
+                    tree = skeleton(root)
+                    kinds.append(kind_of(root))
+                    trees.append(json.dumps(tree, ensure_ascii=False) if any(node[3] for node in tree) else None)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), pa.array(kinds, pa.int64()), pa.array(trees, pa.string())], ["host", "draw", "kind", "tree"]
+                )
 
     drawn = pages.select(_host(F.col(url)).alias("host"), F.xxhash64(key, url).alias("draw"), F.col(html).alias("html"))
-    trees = materialize(drawn.mapInArrow(skeletons, "host string, draw long, tree string"), "skeletons")
-    first = trees.groupBy("host").agg(F.min("draw").alias("draw"))
-    chosen = trees.join(first, ["host", "draw"], "left_semi").groupBy("host").agg(F.min("tree").alias("reference"))
+    trees = materialize(drawn.mapInArrow(skeletons, "host string, draw long, kind long, tree string").filter("tree is not null"), "skeletons")
+    first = trees.groupBy("host", "kind").agg(F.min("draw").alias("draw"))
+    chosen = trees.join(first, ["host", "kind", "draw"], "left_semi").groupBy("host", "kind").agg(F.min("tree").alias("reference"))
     references = materialize(chosen, "references")
 
     counts = ["matched", "same", "chars", "links", "extra"]
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            totals: dict[tuple[str, int], list[int]] = defaultdict(lambda: [0, 0, 0, 0, 0])
-            known: dict[str, list] = {}
-            for host, tree, reference in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                page, other = json.loads(tree), known.get(host) or known.setdefault(host, json.loads(reference))
+            totals: dict[tuple[str, int, int], list[int]] = defaultdict(lambda: [0, 0, 0, 0, 0])
+            known: dict[tuple[str, int], list] = {}
+            for host, kind, tree, reference in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                page, other = json.loads(tree), known.get((host, kind)) or known.setdefault((host, kind), json.loads(reference))
                 pairs = dict(align(page, other))
                 for i, node in enumerate(page):
                     if i not in pairs and node[3] > 2 * node[4]:
                         at = node[0]
                         while at not in pairs:
                             at = page[at][0]
-                        if at:  # a page that shares the root only is of another kind
-                            totals[host, pairs[at]][4] += node[3] - 2 * node[4]
+                        totals[host, kind, pairs[at]][4] += node[3] - 2 * node[4]
                 for i, j in pairs.items():
-                    t = totals[host, j]
+                    t = totals[host, kind, j]
                     t[0] += 1
                     t[1] += page[i][2] == other[j][2]
                     t[2] += page[i][3]
                     t[3] += page[i][4]
-            rows = [(h, j, *t) for (h, j), t in totals.items()]
-            columns = list(zip(*rows, strict=True)) or [()] * 7
-            kinds = [pa.string(), *[pa.int64()] * 6]
-            names = ["host", "node", *counts]
+            rows = [(*at, *t) for at, t in totals.items()]
+            columns = list(zip(*rows, strict=True)) or [()] * 8
+            kinds = [pa.string(), *[pa.int64()] * 7]
+            names = ["host", "kind", "node", *counts]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    counted = trees.join(references, "host").select("host", "tree", "reference")
-    stats = counted.mapInArrow(aligned, "host string, node long" + "".join(f", {c} long" for c in counts))
-    summed = stats.groupBy("host", "node").agg(*[F.sum(c).alias(c) for c in counts])
-    # A host's list has as many entries as its reference page has nodes.
-    gathered = summed.groupBy("host").agg(F.to_json(F.collect_list(F.struct("node", *counts))).alias("stats"))
+    counted = trees.join(references, ["host", "kind"]).select("host", "kind", "tree", "reference")
+    stats = counted.mapInArrow(aligned, "host string, kind long, node long" + "".join(f", {c} long" for c in counts))
+    summed = stats.groupBy("host", "kind", "node").agg(*[F.sum(c).alias(c) for c in counts])
+    # A kind's list has as many entries as its reference page has nodes.
+    gathered = summed.groupBy("host", "kind").agg(F.to_json(F.collect_list(F.struct("node", *counts))).alias("stats"))
 
     def induced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             paths = []
-            for stats, reference in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for stats, reference in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 by = {x["node"]: tuple(x[c] for c in counts) for x in json.loads(stats)}
                 path = induce(json.loads(reference), by)
                 paths.append(json.dumps(path, ensure_ascii=False) if path is not None and len(path) <= WRAPPER_LABELS else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(paths, pa.string())], ["host", "wrapper"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(paths, pa.string())], ["host", "kind", "wrapper"])
 
-    joined = gathered.join(references, "host").select("host", "stats", "reference")
-    return materialize(joined.mapInArrow(induced, "host string, wrapper string").filter("wrapper is not null"), "wrappers")
+    joined = gathered.join(references, ["host", "kind"]).select("host", "kind", "stats", "reference")
+    return materialize(joined.mapInArrow(induced, "host string, kind long, wrapper string").filter("wrapper is not null"), "wrappers")
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """key, url, text, n_chars and the wrapper used (null: none) of every row of pages."""
     induced = wrappers(pages, key, url, html)
-    if induced.count() <= BROADCAST_HOSTS:
+    if induced.count() <= BROADCAST_WRAPPERS:
         induced = F.broadcast(induced)
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).alias("html"), _host(F.col(url)).alias("host"))
-    dressed = rows.join(induced, "host", "left").select("key", "url", "html", "wrapper")
+    fields = f"key {pages.schema[key].dataType.simpleString()}, url string, "
+
+    def sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 200):
+                batch = whole.slice(at, 200)
+                kinds = pa.array([kind_of(parse(h)) for h in batch.column(2).to_pylist()], pa.int64())
+                yield pa.RecordBatch.from_arrays([*batch.columns, kinds], ["key", "url", "html", "host", "kind"])
+
+    kinds = rows.mapInArrow(sorted_out, fields + "html string, host string, kind long")
+    dressed = kinds.join(induced, ["host", "kind"], "left").select("key", "url", "html", "wrapper")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -266,6 +294,5 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
                     ["key", "url", "text", "n_chars", "wrapper"],
                 )
 
-    kind = pages.schema[key].dataType.simpleString()
-    out = dressed.mapInArrow(run, f"key {kind}, url string, text string, n_chars long, wrapper string")
+    out = dressed.mapInArrow(run, fields + "text string, n_chars long, wrapper string")
     return out.withColumnRenamed("key", key)

@@ -68,6 +68,20 @@ def test_container_keeps_all_varying_text(spark):
         assert r["text"].split("\n") == want
 
 
+def test_every_kind_of_page_has_its_reference(spark):
+    def page(n):
+        text = "".join(f"<p>Own words {n} {k}.</p>" for k in range(3))
+        low = "<div class=low>Same on all pages</div>"
+        return f"<body><div class=one><h1>Title {n}</h1>{text}</div>{low}</body>" if n % 2 else f"<body><section class=two><h2>Title {n}</h2>{text}</section>{low}</body>"
+
+    rows = [(n, "http://two.example/", page(n)) for n in range(20)] + [(100 + n, "http://two.example/", h) for n, h in enumerate([None, "", "<body></body>"] * 20)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for r in wrapper.extract(df).filter("page_id < 100").collect():
+        n = r["page_id"]
+        assert r["wrapper"] == ('["body", "div.one"]' if n % 2 else '["body", "section.two"]')
+        assert r["text"].split("\n") == [f"Title {n}", *(f"Own words {n} {k}." for k in range(3))]
+
+
 def test_tree_matching_keeps_order():
     a = wrapper.skeleton(parse("<body><div>1</div><section>2</section><div>3</div></body>"))
     b = wrapper.skeleton(parse("<body><section>2</section><div>3</div><p>4</p></body>"))
