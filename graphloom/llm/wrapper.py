@@ -4,7 +4,9 @@ Every page becomes a small tree of block elements (runs of alike siblings withou
 Pages of a host whose outer containers bear the same labels are of one kind. One page with text of each kind, drawn by a
 hash, is its reference; simple tree matching aligns every page of the kind with it. Over all those pages, an aligned slot whose text stays the same is template, one whose text varies is content;
 the wrapper is the label path from the root to the smallest container that keeps all varying text but links. A page's main text is
-the text in that container without the furniture (menus, forms, notices, ...) its elements declare. Pages the wrapper
+the text in that container without the furniture (menus, forms, notices, ...) its elements declare and without the blocks
+that the alignment has shown to be template: blocks with the same text at the same label path on all of REPEATS or more
+different pages of a kind that have less such text than varying text. Pages the wrapper
 does not fit, or whose kind shows no varying text, use their own main elements, else the body.
 
 Defined results: null or empty html, or a page without text, gives an empty text; a null url is a host of its own
@@ -27,14 +29,16 @@ from .html import MAIN, Node, lines, parse
 
 #: Elements a container path may pass through.
 CONTAINERS = frozenset("html body div section article main center table tbody tr td #root".split())
+#: Different pages of a kind on which a block must stand unchanged to be left out.
+REPEATS = 5
 #: Wrappers up to which they are broadcast; more are joined by host and kind. A wrapper has at most WRAPPER_LABELS labels.
 BROADCAST_WRAPPERS, WRAPPER_LABELS = 20_000, 200
 
 
-def skeleton(root: Node) -> list[tuple[int, str, int, int, int]]:
-    """Nodes in document order: (parent, label, text hash, text length, link length); alike leaf siblings are one."""
-    out: list[tuple[int, str, int, int, int]] = []
+def _groups(root: Node) -> Iterator[tuple[list[Node], int, int, int, int]]:
+    """Nodes in document order, alike leaf siblings as one: (nodes, parent's place, text hash, text length, link length)."""
     stack: list[tuple[Node | list[Node], int]] = [(root, -1)]
+    me = -1
     while stack:
         group, parent = stack.pop()
         nodes = group if isinstance(group, list) else [group]
@@ -46,8 +50,8 @@ def skeleton(root: Node) -> list[tuple[int, str, int, int, int]]:
                     own.update(piece)
                     text += len(piece)
                     links += 0 if isinstance(item, str) else len(piece)
-        me = len(out)
-        out.append((parent, nodes[0].label, own.intdigest() & (1 << 53) - 1, text, links))
+        me += 1
+        yield nodes, parent, own.intdigest() & (1 << 53) - 1, text, links
         children: list[Node | list[Node]] = []
         for child in nodes[0].blocks() if len(nodes) == 1 else []:
             last = children[-1] if children else None
@@ -57,9 +61,32 @@ def skeleton(root: Node) -> list[tuple[int, str, int, int, int]]:
             else:
                 children.append([child] if leaf else child)
         stack.extend((c, me) for c in reversed(children))
+
+
+def skeleton(root: Node) -> list[tuple[int, str, int, int, int]]:
+    """Nodes in document order: (parent, label, text hash, text length, link length); alike leaf siblings are one."""
+    return [(parent, nodes[0].label, *rest) for nodes, parent, *rest in _groups(root)]
+
+
+def slots(tree: list) -> list[int]:
+    """Of each node, a hash of its label path and text."""
+    paths, out = [], []
+    for parent, label, text, *_ in tree:
+        paths.append(xxhash.xxh3_64_intdigest(label, paths[parent] if parent >= 0 else 0))
+        out.append(xxhash.xxh3_64_intdigest(str(text), paths[-1]) & (1 << 53) - 1)
     return out
 
 
+def without(root: Node, fixed: frozenset[int]) -> None:
+    """Takes the text of the slots in `fixed` out of the page."""
+    groups = list(_groups(root))
+    tree = [(parent, nodes[0].label, *rest) for nodes, parent, *rest in groups]
+    for (nodes, _, _, text, _), slot in zip(groups, slots(tree), strict=True):
+        if text and slot in fixed:
+            for node in nodes:
+                node.items = [x for x in node.items if isinstance(x, Node)]
+
+
 def kind_of(root: Node) -> int:
     """Hash of the labels of a page's containers, down to where they branch."""
     own, node = xxhash.xxh3_64(), root
@@ -144,6 +171,26 @@ def induce(reference: list, stats: dict[int, tuple[int, int, int, int, int]]) ->
         at = best
 
 
+def template_slots(reference: list, stats: dict[int, tuple[int, int, int, int, int]]) -> list[int]:
+    """Slots with the same text on all pages of the kind, none if they hold more text than the varying ones.
+
+    Pages that repeat most of their text are copies of one another, not of a template.
+    """
+    pages = stats[0][0]
+    if pages < REPEATS:
+        return []
+    out, same_text, other_text = [], 0, 0
+    for i, slot in enumerate(slots(reference)):
+        matched, same, text, links, extra = stats.get(i, (0, 0, 0, 0, 0))
+        other_text += extra
+        if reference[i][3] and matched == same == pages:
+            out.append(slot)
+            same_text += max(0, text - 2 * links)
+        else:
+            other_text += max(0, text - 2 * links)
+    return out if same_text < other_text else []
+
+
 def _follow(root: Node, path: list[str]) -> list[Node]:
     """Nodes that the label path leads to; several where the last label repeats."""
     found = [root]
@@ -177,13 +224,17 @@ def _within(node: Node) -> Iterator[Node]:
             stack.extend(reversed(x.blocks()))
 
 
-def main_text(html: str | None, path: list[str] | None) -> str:
+def main_text(html: str | None, path: list[str] | None, fixed: frozenset[int] = frozenset()) -> str:
     root = parse(html)
+    if fixed:
+        without(root, fixed)
     chosen = _follow(root, path) if path is not None else []
     blocks = [line for node in chosen for line in lines(node)]
     if not blocks:
         blocks = [line for node in _mains(root) for line in lines(node)]
     blocks = blocks or lines(root)
+    if not blocks and fixed:  # nothing but template
+        return main_text(html, path)
     if not blocks and html:  # a name that marks furniture was given to what holds the text
         root = parse(html, by_name=False)
         blocks = [line for node in _mains(root) for line in lines(node)] or lines(root)
@@ -195,7 +246,7 @@ def _host(url):
 
 
 def wrappers(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
-    """host, kind and wrapper (JSON label path), for kinds of pages that show varying text."""
+    """host, kind, wrapper (JSON label path) and fixed (JSON template slots), for kinds of pages that show varying text."""
 
     def skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -244,7 +295,9 @@ def wrappers(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
             names = ["host", "kind", "node", *counts]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    counted = trees.join(references, ["host", "kind"]).select("host", "kind", "tree", "reference")
+    # Copies of a page count once: what they share is no template.
+    different = trees.select("host", "kind", "tree").distinct()
+    counted = different.join(references, ["host", "kind"]).select("host", "kind", "tree", "reference")
     stats = counted.mapInArrow(aligned, "host string, kind long, node long" + "".join(f", {c} long" for c in counts))
     summed = stats.groupBy("host", "kind", "node").agg(*[F.sum(c).alias(c) for c in counts])
     # A kind's list has as many entries as its reference page has nodes.
@@ -252,15 +305,17 @@ def wrappers(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
 
     def induced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            paths = []
+            paths, fixed = [], []
             for stats, reference in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 by = {x["node"]: tuple(x[c] for c in counts) for x in json.loads(stats)}
-                path = induce(json.loads(reference), by)
+                tree = json.loads(reference)
+                path = induce(tree, by)
+                fixed.append(json.dumps(template_slots(tree, by)))
                 paths.append(json.dumps(path, ensure_ascii=False) if path is not None and len(path) <= WRAPPER_LABELS else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(paths, pa.string())], ["host", "kind", "wrapper"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(paths, pa.string()), pa.array(fixed, pa.string())], ["host", "kind", "wrapper", "fixed"])
 
     joined = gathered.join(references, ["host", "kind"]).select("host", "kind", "stats", "reference")
-    return materialize(joined.mapInArrow(induced, "host string, kind long, wrapper string").filter("wrapper is not null"), "wrappers")
+    return materialize(joined.mapInArrow(induced, "host string, kind long, wrapper string, fixed string").filter("wrapper is not null"), "wrappers")
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -279,15 +334,15 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
                 yield pa.RecordBatch.from_arrays([*batch.columns, kinds], ["key", "url", "html", "host", "kind"])
 
     kinds = rows.mapInArrow(sorted_out, fields + "html string, host string, kind long")
-    dressed = kinds.join(induced, ["host", "kind"], "left").select("key", "url", "html", "wrapper")
+    dressed = kinds.join(induced, ["host", "kind"], "left").select("key", "url", "html", "wrapper", "fixed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 200):
                 batch = whole.slice(at, 200)
                 texts = [
-                    main_text(h, json.loads(w) if w else None)
-                    for h, w in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+                    main_text(h, json.loads(w) if w else None, frozenset(json.loads(f or "[]")))
+                    for h, w, f in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)
                 ]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()), batch.column(3)],

@@ -82,6 +82,23 @@ def test_every_kind_of_page_has_its_reference(spark):
         assert r["text"].split("\n") == [f"Title {n}", *(f"Own words {n} {k}." for k in range(3))]
 
 
+def test_repeated_blocks_are_template(spark):
+    def page(n, m, name="wrap"):
+        text = "".join(f"<p>Own words {n} {k} that differ from page to page.</p>" for k in range(6))
+        return f"<body><div class={name}><h1>Title {n}</h1>{text}<div class=box7>Word for word on every page.</div><div class=tail>End {n} {m}</div></div></body>"
+
+    # Many copies of page 0 and near copies of page 50 on another host must keep what they share.
+    rows = [(n, "http://t.example/", page(n, 0)) for n in [*range(8), *[0] * 20]] + [(50 + n, "http://c.example/", page(50, n, "content")) for n in range(8)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = wrapper.extract(df).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        n = min(r["page_id"], 50)
+        own = [f"Title {n}", *(f"Own words {n} {k} that differ from page to page." for k in range(6))]
+        want = [*own, "Word for word on every page.", f"End 50 {r['page_id'] - 50}"] if n == 50 else [*own, f"End {n} 0"]
+        assert r["text"].split("\n") == want
+
+
 def test_tree_matching_keeps_order():
     a = wrapper.skeleton(parse("<body><div>1</div><section>2</section><div>3</div></body>"))
     b = wrapper.skeleton(parse("<body><section>2</section><div>3</div><p>4</p></body>"))
