@@ -106,7 +106,7 @@ FROM documents d JOIN r ON r.a = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id GRO
 
 @_query
 def op9_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of all documents and of their edited texts; n_near answers the ids divisible by 100."""
+    """Fingerprints of all documents and of their edited texts; n_near and near answer the ids divisible by 100."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     own = simhash.with_fingerprint(docs, "text", "fp")
     paired = simhash.with_next(own, "doc_id", "text", ["text", "fp"])
@@ -118,9 +118,10 @@ def op9_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     narrow = both.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fp", "edited_fp", "next_fp")
     done = materialize(narrow, "fingerprints")
-    near = simhash.search(done, done.filter("doc_id % 100 = 0"))
-    asked = done.filter("doc_id % 100 = 0").join(near, "fp").select(done.columns + ["n_near"])
+    near = simhash.search(done, done.filter("doc_id % 100 = 0"), "doc_id")
+    asked = done.filter("doc_id % 100 = 0").join(near, "fp").select(done.columns + ["n_near", "near"])
     rest = done.filter("doc_id % 100 <> 0 or doc_id is null").withColumn("n_near", F.lit(None).cast("long"))
+    rest = rest.withColumn("near", F.lit(None).cast(near.schema["near"].dataType))
     return asked.union(rest).select(
         "doc_id",
         "n_chars",
@@ -130,6 +131,7 @@ def op9_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         simhash.likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
         simhash.likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
         "n_near",
+        "near",
     )
 
 

@@ -142,20 +142,33 @@ def _follow(heads: DataFrame) -> DataFrame:
     )
 
 
-def search(fingerprints: DataFrame, asked: DataFrame) -> DataFrame:
-    """For each distinct `fp` of asked: n_near, the rows of fingerprints within RADIUS bits (its own row counts).
+def near(fingerprints: DataFrame, asked: DataFrame, key: str) -> DataFrame:
+    """(fp, found, distance, member, copies): for each distinct `fp` of asked, every fingerprint within RADIUS bits.
 
-    Equal fingerprints are one row with a count before the tables are built, so copies cost nothing.
+    member is the least key among the rows with the found fingerprint, copies their number. Equal fingerprints are one row
+    before the tables are built, so copies cost nothing; the rows with fingerprint `found` are the matches.
     """
-    counted = fingerprints.groupBy("fp").agg(F.count("*").alias("copies"))
+    counted = fingerprints.groupBy("fp").agg(F.count("*").alias("copies"), F.min(key).alias("member"))
 
     def tables(df: DataFrame, keep: list[str]) -> DataFrame:
         keys = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for t, m in enumerate(MASKS)])
         return df.select(*keep, F.explode(keys).alias("e")).select(*keep, "e.t", "e.k")
 
     left = tables(asked.select("fp").distinct(), ["fp"]).withColumnRenamed("fp", "asked")
-    right = tables(counted, ["fp", "copies"])
+    right = tables(counted, ["fp", "copies", "member"])
     differ = F.col("asked").bitwiseXOR(F.col("fp"))
     first = F.coalesce(*[F.when(differ.bitwiseAND(F.lit(m)) == 0, F.lit(t)) for t, m in enumerate(MASKS)])
     on = (left["t"] == right["t"]) & (left["k"] == right["k"]) & (F.bit_count(differ) <= RADIUS) & (first == left["t"])
-    return left.join(right, on).groupBy(F.col("asked").alias("fp")).agg(F.sum("copies").alias("n_near"))
+    return left.join(right, on).select(
+        F.col("asked").alias("fp"), F.col("fp").alias("found"), F.bit_count(differ).alias("distance"), "member", "copies"
+    )
+
+
+def search(fingerprints: DataFrame, asked: DataFrame, key: str = "fp") -> DataFrame:
+    """For each distinct `fp` of asked: n_near, the rows of fingerprints within RADIUS bits (its own row counts), and near.
+
+    near holds (distance, member, fingerprint, copies) of each fingerprint found, the closest first; see `near`.
+    """
+    one = F.struct("distance", "member", as_hex(F.col("found")).alias("fingerprint"), "copies")
+    found = near(fingerprints, asked, key).groupBy("fp")
+    return found.agg(F.sum("copies").alias("n_near"), F.array_sort(F.collect_list(one)).alias("near"))
