@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import qa, traverse
+from ..operators import qa, store, traverse
 from ..sources import relational
 from .build_queries import EDGES
-from .catalog import query
+from .catalog import ORACLES, query
 from .graph_queries import half, seeds
 
 
@@ -260,8 +260,8 @@ u AS (SELECT * FROM f WHERE anchor NOT IN (SELECT anchor FROM bad))
 """
 
 
-def _cells(t):
-    rows = t.lineitem.filter("l_quantity > 49 and l_partkey % 4 = 0").join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+def _cells(t, used="l_quantity > 49 and l_partkey % 4 = 0"):
+    rows = t.lineitem.filter(used).join(t.part, F.col("l_partkey") == F.col("p_partkey"))
     case = F.get(F.array(*[F.lit(c) for c in qa.CASES]), (F.col("p_partkey") % 6).cast("int"))
     number = F.get(F.array(*[F.lit(n) for n in qa.NUMBERS]), (F.col("p_size") % 3).cast("int"))
     return rows.select(F.col("l_suppkey").alias("anchor"), F.col("p_name").alias("surface"), case.alias("case"), number.alias("number"))
@@ -308,9 +308,13 @@ SELECT surface, string_agg(['nominative', 'genitive', 'dative', 'accusative', 'l
 """)
 def ambiguous_readings(t):
     """All readings of a surface with at least two."""
+    return _readings(t.part.filter("p_partkey % 5 = 0"))
+
+
+def _readings(part):
     case = F.get(F.array(*[F.lit(c) for c in qa.CASES]), (F.col("p_partkey") % 6).cast("int"))
     number = F.get(F.array(*[F.lit(n) for n in qa.NUMBERS]), (F.col("p_size") % 3).cast("int"))
-    rows = t.part.filter("p_partkey % 5 = 0").select(F.col("p_name").alias("surface"), case.alias("case"), number.alias("number"))
+    rows = part.select(F.col("p_name").alias("surface"), case.alias("case"), number.alias("number"))
     return qa.readings(rows).filter("n >= 2").withColumn("gold", F.array_join("gold", " ali "))
 
 
@@ -409,8 +413,12 @@ WHERE surface NOT IN ('kaj', 'pomeni')
 """)
 def question_units(t):
     """Fallback extraction: words of a question, without stopwords, looked up in the index."""
-    questions = t.part.filter("p_partkey < 300").select(F.col("p_partkey").alias("id"), F.concat(F.lit("Kaj pomeni "), "p_name", F.lit("?")).alias("question"))
-    used = t.lineitem.filter("l_quantity > 49").join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    return _units(t, t.part.filter("p_partkey < 300"), "l_quantity > 49")
+
+
+def _units(t, part, used):
+    questions = part.select(F.col("p_partkey").alias("id"), F.concat(F.lit("Kaj pomeni "), "p_name", F.lit("?")).alias("question"))
+    used = t.lineitem.filter(used).join(t.part, F.col("l_partkey") == F.col("p_partkey"))
     index = used.select(F.substring_index("p_name", " ", 1).alias("surface"), F.col("l_suppkey").alias("unit")).distinct()
     return qa.extracted(questions, index, ("kaj", "pomeni"))
 
@@ -498,7 +506,11 @@ FROM u GROUP BY anchor HAVING count(*) >= 1
 """)
 def verb_paradigm(t):
     """Three persons by three numbers, with the tense's label."""
-    rows = t.lineitem.filter("l_quantity > 49 and l_partkey % 8 = 0").join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    return _verbs(t, "l_quantity > 49 and l_partkey % 8 = 0")
+
+
+def _verbs(t, used):
+    rows = t.lineitem.filter(used).join(t.part, F.col("l_partkey") == F.col("p_partkey"))
     person = F.get(F.array(*[F.lit(p) for p in qa.PERSONS]), (F.col("p_partkey") % 3).cast("int"))
     number = F.get(F.array(*[F.lit(n) for n in qa.NUMBERS]), (F.col("p_size") % 3).cast("int"))
     forms = rows.select(F.col("l_suppkey").alias("anchor"), F.col("p_name").alias("surface"), person.alias("person"), number.alias("number"))
@@ -580,3 +592,50 @@ def gold_checks(t):
     items = t.part.select(F.col("p_partkey").alias("id"), line.alias("pred"), line.alias("gold"), F.lit("T12").alias("type"))
     bad = F.count_if(~F.col("gold").rlike(r"^ODGOVOR: [^\n]+$"))
     return qa.graded(items, "|", True).groupBy("type").agg(F.count("*").alias("items"), bad.alias("bad_lines"), F.avg("f1").alias("self_grade"))
+
+
+# The queries above read the subsets their SQL reads; these answer whole tables.
+def _whole(sql: str, *filters: str) -> str:
+    for f in filters:
+        assert f in sql
+        sql = sql.replace(f, "")
+    return sql
+
+
+@query(_whole(ORACLES["paradigm_table"], " WHERE l_quantity > 49 AND l_partkey % 4 = 0"))
+def paradigm_table_all(t):
+    return qa.paradigm(_cells(t, "true"), ("number", qa.NUMBERS), ("case", qa.CASES), 2)
+
+
+@query(_whole(ORACLES["single_cell"], " WHERE l_quantity > 49 AND l_partkey % 4 = 0"))
+def single_cell_all(t):
+    return qa.unique_cells(_cells(t, "true"), ("case", "number")).filter("number = 'plural'").select("anchor", "case", "number", "surface")
+
+
+@query(_whole(ORACLES["verb_paradigm"], "\n    WHERE l_quantity > 49 AND l_partkey % 8 = 0"))
+def verb_paradigm_all(t):
+    return _verbs(t, "true")
+
+
+@query(_whole(ORACLES["ambiguous_readings"], " WHERE p_partkey % 5 = 0"))
+def ambiguous_readings_all(t):
+    return _readings(t.part)
+
+
+@query(_whole(ORACLES["question_units"], " WHERE p_partkey < 300", " WHERE l_quantity > 49"))
+def question_units_all(t):
+    return _units(t, t.part, "true")
+
+
+@query(_whole(ORACLES["union_balls"], " WHERE p_partkey < 12"))
+def union_balls_all(t):
+    chosen = t.part.select(F.col("p_partkey").alias("seed"), (F.col("p_partkey") % 4).alias("item"))
+    return traverse.union_balls(chosen, traverse.balls(chosen.select("seed"), half(t), 1))
+
+
+@query("""
+WITH e AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem)
+SELECT src, dst FROM e WHERE NOT EXISTS (SELECT 1 FROM e b WHERE b.src = e.dst AND b.dst = e.src)
+""")
+def edge_symmetry_check_all(t):
+    return store.asymmetric(t.lineitem.select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct())

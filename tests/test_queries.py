@@ -2,7 +2,7 @@ import pytest
 
 from graphloom.plans import registry
 
-from .oracle import rows_by_sql, rows_of
+from .oracle import FOLDER, rows_by_sql, rows_of
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
@@ -15,3 +15,12 @@ def test_entry_runs_without_the_training_data_operators(spark):
 
     assert set(registry.QUERIES) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
+
+
+def test_whole_tables_reach_the_operators(spark):
+    lines = spark.read.parquet(f"{FOLDER}/lineitem.parquet").select("l_partkey", "l_suppkey").distinct().collect()
+    pairs = {tuple(r) for r in lines}
+    got = {tuple(r) for r in registry.QUERIES["edge_symmetry_check_all"](spark, FOLDER).select("src", "dst").collect()}
+    assert got == {(a, b) for a, b in pairs if (b, a) not in pairs}
+    ids = {r["id"] for r in registry.QUERIES["question_units_all"](spark, FOLDER).select("id").distinct().collect()}
+    assert ids == {r["p_partkey"] for r in spark.read.parquet(f"{FOLDER}/part.parquet").collect()}
