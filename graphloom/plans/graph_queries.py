@@ -307,3 +307,44 @@ def offset_lookup(t):
     nodes = t.part.select(F.col("p_partkey").alias("node"), (F.col("p_partkey") * 10).alias("start"), (F.col("p_size") % 10).alias("length"))
     points = t.orders.select("o_orderkey", ((F.col("o_orderkey") * 7) % 25000).alias("place"))
     return ranges.interval_lookup(points, nodes, "place", "start", "length", 64).select("o_orderkey", "place", "node")
+
+
+#: The production parameters of the study; the queries above keep to fewer seeds and hops, as their SQL does.
+STUDY_SEEDS, STUDY_HOPS = 400, 3
+
+
+def study_nodes(t) -> DataFrame:
+    """Small parts stand for forms, finished orders for examples, pending ones for collocations, so every variant leaves some out."""
+    words = t.part.select(F.col("p_partkey").alias("node"), F.when(F.col("p_size") <= 10, vocab.FORM).otherwise(vocab.ANCHOR).alias("kind"), scalar.token_proxy(F.col("p_name")).alias("token_len"))
+    status = F.col("o_orderstatus")
+    kind = F.when(status == "F", vocab.EXAMPLE).when(status == "P", vocab.COLLOCATION).otherwise(vocab.SENSE)
+    entries = t.orders.select((F.col("o_orderkey") + relational.ORDERS).alias("node"), kind.alias("kind"), scalar.token_proxy(F.col("o_orderpriority")).alias("token_len"))
+    return words.unionByName(entries)
+
+
+def study_seeds(t) -> DataFrame:
+    return sizing.sample(t.part.select(F.col("p_partkey").alias("seed")), "seed", STUDY_SEEDS)
+
+
+@query()
+def sizing_study(t):
+    """The whole report: 400 seeds, three hops, eight variants; nodes, edges and tokens by seed kind."""
+    kinds = study_seeds(t).withColumn("is_mwe", F.col("seed") % 5 == 0)
+    return sizing.study(study_nodes(t), half(t), kinds, STUDY_HOPS)
+
+
+@query()
+def khop_balls_study(t):
+    """Balls of 400 seeds to three hops."""
+    return traverse.balls(study_seeds(t), half(t), STUDY_HOPS)
+
+
+@query()
+def neighbourhood_lookup_study(t):
+    """Headwords and their one- to three-hop neighbourhoods, 400 seeds: nodes, induced edges and tokens."""
+    edges = half(t)
+    reached = traverse.balls(study_seeds(t), edges, STUDY_HOPS)
+    sized = traverse.ball_sizes(reached, tokens(t).select("node", "token_len"), STUDY_HOPS)
+    words = t.part.select(F.col("p_partkey").alias("seed"), F.col("p_name").alias("headword"))
+    both = sized.join(traverse.induced_edges(reached, edges, STUDY_HOPS), ["seed", "hop"]).join(words, "seed")
+    return both.select("seed", "headword", "hop", "nodes", "edges", "tokens")
