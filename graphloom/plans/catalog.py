@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .staging import worker_path
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -16,12 +17,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
-        # Python workers import this package too when the driver was started from another folder.
-        root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-        env = spark.sparkContext.environment
-        known = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
-        if root not in known.split(os.pathsep):
-            env["PYTHONPATH"] = os.pathsep.join(p for p in (root, known) if p)
+        worker_path(spark)
 
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
