@@ -184,21 +184,45 @@ def op8_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_tool_call_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical call records of all conversations."""
     calls, results = toolcalls.from_turns(table(spark, sf_dir, "conversations"))
-    return toolcalls.link(calls, results, toolcalls.REPLY)
+    return toolcalls.link(calls, results, toolcalls.TOOLS)
 
 
 ORACLES["op2_tool_call_records"] = r"""
-WITH u AS (SELECT *, conv_id || ':' || turn AS call_id FROM conversations WHERE role = 'user'),
+WITH RECURSIVE u AS (
+    SELECT *, conv_id || ':' || turn AS call_id, length(text) AS n, coalesce(to_json(text), 'null') AS j,
+        CASE WHEN length(text) % 5 = 1 THEN 'chat.search' WHEN length(text) % 5 = 2 THEN 'chat.note'
+            WHEN length(text) % 25 = 3 THEN 'chat.lost' ELSE 'chat.reply' END AS name
+    FROM conversations WHERE role = 'user'),
+f AS (
+    SELECT conv_id, call_id, conv_id || ':' || (turn - 2) AS ref FROM u WHERE turn >= 2
+    UNION ALL SELECT conv_id, call_id, conv_id || ':' || (turn + 2) FROM u WHERE n % 11 = 0),
 k AS (SELECT DISTINCT call_id FROM u),
+e AS (SELECT DISTINCT f.call_id AS a, f.ref AS b FROM f JOIN k ON k.call_id = f.ref),
+g AS (SELECT f.call_id, count(*) AS n FROM f LEFT JOIN k ON k.call_id = f.ref WHERE k.call_id IS NULL GROUP BY 1),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+o AS (SELECT a FROM r WHERE a = b),
+c AS (SELECT a AS call_id FROM o UNION SELECT r.a FROM r JOIN o ON o.a = r.b),
+p AS (
+    SELECT call_id, 0 AS level FROM k WHERE call_id NOT IN (SELECT call_id FROM c)
+    UNION SELECT e.a, p.level + 1 FROM p JOIN e ON e.b = p.call_id WHERE e.a NOT IN (SELECT call_id FROM c)),
+l AS (SELECT call_id, max(level) AS level FROM p GROUP BY 1),
 a AS (
     SELECT conv_id || ':' || (turn - 1) AS call_id, arg_min(text, (turn, text)) AS content, count(*) AS n
-    FROM conversations WHERE role = 'assistant' GROUP BY 1)
-SELECT conv_id, turn, u.call_id, 'chat.reply' AS name, 0 AS level,
-    (turn >= 2 AND k.call_id IS NULL)::BIGINT AS dangling,
-    a.n IS NOT NULL AS linked, coalesce(a.n, 0) AS n_results, text IS NOT NULL AS valid,
-    CASE WHEN text IS NULL THEN 'missing:prompt' ELSE '' END AS errors,
-    '{"arguments":{' || CASE WHEN text IS NULL THEN '' ELSE '"prompt":' || to_json(text) || ',' END || '"turn":' || turn
-        || '},"id":' || to_json(u.call_id) || ',"name":"chat.reply","result":' || coalesce(to_json(a.content), 'null') || '}'
-        AS record
-FROM u LEFT JOIN k ON k.call_id = u.conv_id || ':' || (u.turn - 2) LEFT JOIN a ON a.call_id = u.call_id
+    FROM conversations WHERE role = 'assistant' GROUP BY 1),
+x AS (
+    SELECT u.conv_id, u.turn, u.call_id, u.name, l.level, coalesce(g.n, 0) AS dangling, a.n AS found, a.content,
+        list_sort(list_filter(CASE name
+            WHEN 'chat.search' THEN [CASE WHEN u.n % 2 = 0 THEN 'type:limit' END, CASE WHEN u.n % 2 = 0 THEN 'type:exact' END]
+            WHEN 'chat.note' THEN ['unknown:odd'] WHEN 'chat.lost' THEN ['tool']
+            ELSE [CASE WHEN text IS NULL THEN 'missing:prompt' END] END, lambda y: y IS NOT NULL))
+            || CASE WHEN l.level IS NULL THEN ['cycle'] ELSE [] END AS errors,
+        CASE name
+            WHEN 'chat.search' THEN CASE WHEN u.n % 2 = 0 THEN '"exact":"yes","limit":"10","query":' || j ELSE '"limit":10,"query":' || j END
+            WHEN 'chat.note' THEN '"body":{"at":' || u.turn || ',"list":[1,2],"text":' || j || '},"odd":1'
+            ELSE CASE WHEN text IS NULL THEN '' ELSE '"prompt":' || j || ',' END || '"turn":' || u.turn END AS arguments
+    FROM u LEFT JOIN l ON l.call_id = u.call_id LEFT JOIN g ON g.call_id = u.call_id LEFT JOIN a ON a.call_id = u.call_id)
+SELECT conv_id, turn, call_id, name, level, dangling, found IS NOT NULL AS linked, coalesce(found, 0) AS n_results, len(errors) = 0 AS valid,
+    array_to_string(errors, ',') AS errors,
+    '{"arguments":{' || arguments || '},"id":' || to_json(call_id) || ',"name":"' || name || '","result":' || coalesce(to_json(content), 'null') || '}' AS record
+FROM x
 """

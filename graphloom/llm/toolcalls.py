@@ -1,15 +1,18 @@
 """Tool-call linking and canonical serialisation, in DataFrame functions only.
 
-Calls and results are hash-joined by conversation and identifier. Dependencies between calls of a conversation give
-their topological level: where every reference points to an earlier turn, turns are already in order and the level is 0;
-other conversations are peeled level by level, and calls on a cycle get no level and an error. Arguments are checked
-against the tools' schemas, and each call becomes one canonical JSON record: keys sorted at every depth, no white space.
+Calls and results are hash-joined by conversation and identifier. The level of a call is the number of calls on the
+longest chain of references below it; calls on a cycle, or behind one, get no level and an error. Levels are found by
+doubling: tables of the pairs that are exactly 1, 2, 4, ... references apart, so the number of rounds is the logarithm
+of the longest chain. Arguments are checked against the tools' schemas, and each call becomes one canonical JSON
+record: keys sorted at every depth, no white space.
 
 Defined results: a call without a result has linked = false and a null result; of several results for one identifier
 the one of the earliest turn (then the least content) is linked and n_results counts them; a call without conversation
 or identifier is linked with nothing; arguments that are null or not JSON give the error `json`; references to calls
-that do not exist are counted in `dangling` and order nothing; repeated calls are rows of their own; extra columns are
-ignored; empty tables give no rows. Every join key holds the identifier, so one very long conversation spreads.
+that do not exist are counted in `dangling` and order nothing; repeated calls are rows of their own and share their
+identifier's references; turns may be null and order nothing; extra columns are ignored, whatever their names; empty
+tables give no rows. Every join key holds the identifier, so one very long conversation spreads. A conversation whose
+calls refer to several others each may hold a pair for every two calls that are so many references apart.
 """
 
 from __future__ import annotations
@@ -31,6 +34,7 @@ _KINDS = {
     "array": r"^ARRAY<",
     "object": r"^OBJECT<",
 }
+_ID = ["conv_id", "call_id"]
 
 
 def argument_errors(name: Column, arguments: Column, schemas: Schemas) -> Column:
@@ -57,44 +61,47 @@ def argument_errors(name: Column, arguments: Column, schemas: Schemas) -> Column
 def levels(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, level, dangling) of the calls that refer to others: null level on or behind a cycle.
 
-    Calls that refer to earlier turns only are level 0; callers take calls that are not listed as level 0 too.
+    Calls that are not listed have level 0 and nothing dangling.
     """
-    ids = calls.filter("conv_id is not null and call_id is not null")
-    known = ids.groupBy("conv_id", "call_id").agg(F.min("turn").alias("turn"))
-    refs = ids.select("conv_id", "call_id", "turn", F.explode("refs").alias("ref"))
-    at = known.select(F.col("conv_id").alias("c"), F.col("call_id").alias("r"), F.col("turn").alias("ref_turn"))
-    edges = materialize(
-        refs.join(at, (refs["conv_id"] == at["c"]) & (refs["ref"] == at["r"]), "left").select(
-            "conv_id", "call_id", "ref", "turn", "ref_turn"
-        ),
-        "references",
-    )
-    loose = edges.groupBy("conv_id", "call_id").agg(F.count_if(F.col("ref_turn").isNull()).alias("dangling"))
-    odd = edges.filter("ref_turn >= turn").select("conv_id").distinct()
-    if odd.isEmpty():
-        return loose.withColumn("level", F.lit(0))
-    # Peel: level k holds the calls whose references all have a lower level.
-    left = materialize(edges.filter("ref_turn is not null").join(odd, "conv_id", "left_semi").select("conv_id", "call_id", "ref").distinct(), "peel")
-    rest = materialize(known.join(odd, "conv_id", "left_semi").select("conv_id", "call_id"), "peel")
-    done, k = None, 0
-    while True:
-        ready = rest.join(left, ["conv_id", "call_id"], "left_anti")
-        level = materialize(ready.withColumn("level", F.lit(k)), "level")
-        if level.isEmpty():
+    ids = calls.filter("conv_id is not null and call_id is not null").select(*_ID, "refs")
+    known = ids.select("conv_id", F.col("call_id").alias("ref")).distinct().withColumn("there", F.lit(True))
+    refs = ids.select(*_ID, F.explode("refs").alias("ref")).groupBy(*_ID, "ref").agg(F.count("*").alias("times"))
+    edges = materialize(refs.join(known, ["conv_id", "ref"], "left").select(*_ID, "ref", "times", "there"), "references")
+    loose = edges.groupBy(*_ID).agg(F.coalesce(F.sum(F.when(F.col("there").isNull(), F.col("times"))), F.lit(0)).alias("dangling"))
+    # apart[k]: pairs of calls 2**k references apart. A call with such a pair lies on a chain of that length at least.
+    apart = [edges.filter("there").select(*_ID, "ref")]
+    sizes = apart[0].select("conv_id", F.explode(F.array("call_id", "ref")).alias("c")).distinct().groupBy("conv_id").agg(F.count("*").alias("calls"))
+    sizes = materialize(sizes, "sizes")
+    longest = sizes.agg(F.max("calls")).first()[0] or 0
+    while 1 << len(apart) - 1 < longest:
+        a, b = apart[-1], apart[-1].select("conv_id", F.col("call_id").alias("ref"), F.col("ref").alias("to"))
+        far = materialize(a.join(b, ["conv_id", "ref"]).select(*_ID, F.col("to").alias("ref")).distinct(), "apart")
+        if far.isEmpty():
             break
-        done = level if done is None else done.union(level)
-        gone = level.select("conv_id", F.col("call_id").alias("ref"))
-        left = materialize(left.join(gone, ["conv_id", "ref"], "left_anti").select("conv_id", "call_id", "ref"), "peel")
-        rest = materialize(rest.join(level, ["conv_id", "call_id"], "left_anti"), "peel")
-        k += 1
-    cyclic = rest.withColumn("level", F.lit(None).cast("int"))
-    ordered = (cyclic if done is None else done.union(cyclic)).withColumn("peeled", F.lit(True))
-    joined = loose.join(ordered, ["conv_id", "call_id"], "full")
-    return joined.select(
-        "conv_id",
-        "call_id",
-        F.coalesce("dangling", F.lit(0)).alias("dangling"),
-        F.when(F.col("peeled"), F.col("level")).otherwise(F.lit(0)).alias("level"),
+        apart.append(far)
+    # No chain of a conversation without cycles is as long as its number of calls.
+    endless = None
+    for k in range(len(apart)):
+        small = sizes.filter(f"calls <= {1 << k} and calls > {(1 << k) // 2}").select("conv_id")
+        on = apart[k].join(small, "conv_id", "left_semi").select(*_ID)
+        endless = on if endless is None else endless.unionAll(on)
+    endless = materialize(endless.distinct(), "cycles")
+    done = None
+    for k, pairs in enumerate(apart):
+        longer = apart[k + 1].select(*_ID).distinct() if k + 1 < len(apart) else None
+        mine = pairs.join(endless, _ID, "left_anti")
+        if longer is not None:
+            mine = mine.join(longer, _ID, "left_anti")
+        if done is None:
+            level = mine.select(*_ID).distinct().withColumn("level", F.lit(1))
+        else:
+            below = done.select("conv_id", F.col("call_id").alias("ref"), F.col("level").alias("rest"))
+            level = mine.join(below, ["conv_id", "ref"], "left").groupBy(*_ID).agg((F.max(F.coalesce("rest", F.lit(0))) + (1 << k)).alias("level"))
+        done = materialize(level if done is None else done.unionAll(level), "levels")
+    cyclic = endless.withColumn("level", F.lit(None).cast("int")).withColumn("chained", F.lit(True))
+    placed = done.select(*_ID, F.col("level").cast("int").alias("level"), F.lit(True).alias("chained")).unionAll(cyclic)
+    return loose.join(placed, _ID, "left").select(
+        *_ID, "dangling", F.when(F.col("chained"), F.col("level")).otherwise(F.lit(0)).alias("level")
     )
 
 
@@ -104,12 +111,14 @@ def link(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
     calls(conv_id, turn, call_id, name, arguments, refs), results(conv_id, call_id, turn, content). Ordered by
     (level, turn, call_id), the calls of a conversation are in topological order.
     """
+    calls = calls.select(*_ID, "turn", "name", "arguments", "refs")
     best = (
-        results.filter("conv_id is not null and call_id is not null")
-        .groupBy("conv_id", "call_id")
+        results.select(*_ID, "turn", "content")
+        .filter("conv_id is not null and call_id is not null")
+        .groupBy(*_ID)
         .agg(F.min(F.struct("turn", "content")).alias("first"), F.count("*").alias("n_results"))
     )
-    joined = calls.join(best, ["conv_id", "call_id"], "left").join(levels(calls), ["conv_id", "call_id"], "left")
+    joined = calls.join(best, _ID, "left").join(levels(calls), _ID, "left")
     cycle = F.col("dangling").isNotNull() & F.col("level").isNull()
     wrong = F.concat(argument_errors(F.col("name"), F.col("arguments"), schemas), F.when(cycle, F.array(F.lit("cycle"))).otherwise(F.array().cast("array<string>")))
     record = F.to_json(
@@ -140,28 +149,37 @@ def link(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
     )
 
 
-#: The one tool that plain conversations call: a user turn asks for the reply that the next assistant turn gives.
-REPLY = {"chat.reply": [("prompt", "string", True), ("turn", "integer", True)]}
+#: The tools that plain conversations are read as calling.
+TOOLS = {
+    "chat.reply": [("prompt", "string", True), ("turn", "integer", True)],
+    "chat.search": [("query", "string", True), ("limit", "integer", True), ("exact", "boolean", False)],
+    "chat.note": [("body", "object", True)],
+}
 
 
 def from_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results of plain conversations(conv_id, turn, role, text).
 
-    The call of a user turn is named by conversation and turn, and refers to the call two turns before it; the
-    assistant turn that follows bears its identifier.
+    A user turn is a call, named by conversation and turn; the assistant turn that follows bears its identifier. It
+    refers to the user turn two before; a text whose length is a multiple of 11 also refers to the turn two after, which
+    refers back: a cycle. The tool and the shape of its arguments follow from the length of the text, so that all tools,
+    a tool without schema, wrong types, missing and unknown parameters occur.
     """
 
     def name(turn: Column) -> Column:
         return F.concat(F.col("conv_id").cast("string"), F.lit(":"), turn.cast("string"))
 
-    turn = F.col("turn")
+    turn, text, n = F.col("turn"), F.col("text"), F.length("text")
+    tool = F.when(n % 5 == 1, "chat.search").when(n % 5 == 2, "chat.note").when(n % 25 == 3, "chat.lost").otherwise("chat.reply")
+    limit = F.to_json(F.struct(F.lit(10).alias("limit"), text.alias("query")))
+    worded = F.to_json(F.struct(F.lit("yes").alias("exact"), F.lit("10").alias("limit"), text.alias("query")))
+    note = F.to_json(F.struct(F.struct(turn.alias("at"), F.array(F.lit(1), F.lit(2)).alias("list"), text.alias("text")).alias("body"), F.lit(1).alias("odd")))
+    plain = F.to_json(F.struct(text.alias("prompt"), turn.alias("turn")))
+    arguments = F.when(tool == "chat.search", F.when(n % 2 == 0, worded).otherwise(limit)).when(tool == "chat.note", note).otherwise(plain)
+    back = F.when((turn >= 2) & name(turn).isNotNull(), name(turn - 2))
+    ahead = F.when((n % 11 == 0) & name(turn).isNotNull(), name(turn + 2))
     calls = turns.filter("role = 'user'").select(
-        "conv_id",
-        "turn",
-        name(turn).alias("call_id"),
-        F.lit("chat.reply").alias("name"),
-        F.to_json(F.struct(F.col("text").alias("prompt"), turn.alias("turn"))).alias("arguments"),
-        F.when((turn >= 2) & name(turn).isNotNull(), F.array(name(turn - 2))).otherwise(F.array().cast("array<string>")).alias("refs"),
+        "conv_id", "turn", name(turn).alias("call_id"), tool.alias("name"), arguments.alias("arguments"), F.array_compact(F.array(back, ahead)).alias("refs")
     )
     results = turns.filter("role = 'assistant'").select("conv_id", name(turn - 1).alias("call_id"), "turn", F.col("text").alias("content"))
     return calls, results

@@ -3,6 +3,8 @@
 import html
 import re
 
+from pyspark.sql import functions as F
+
 from graphloom.llm import queries, toolcalls, wrapper
 from graphloom.llm.html import lines, parse
 
@@ -138,8 +140,24 @@ def test_calls(spark):
 
 
 def test_turns_with_nulls(spark):
-    rows = [(1, 0, "system", "s"), (1, 1, "user", None), (1, 2, "assistant", "a"), (None, 1, "user", "u"), (1, None, "user", "u"), (1, 1, "user", None)]
+    rows = [(1, 0, "system", "s"), (1, 1, "user", None), (1, 2, "assistant", "a"), (None, 1, "user", "user"), (1, None, "user", "user"), (1, 1, "user", None)]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = toolcalls.link(*toolcalls.from_turns(turns), toolcalls.REPLY).collect()
+    got = toolcalls.link(*toolcalls.from_turns(turns), toolcalls.TOOLS).collect()
     assert len(got) == 4
     assert {(r["turn"], r["errors"], r["linked"]) for r in got if r["conv_id"] == 1} == {(1, "missing:prompt", True), (None, "missing:turn", False)}
+
+
+def test_clashing_columns_and_chains(spark):
+    n = 1000
+    rows = [(1, n - k, f"c{k}", "f", '{"x":1}', [f"c{k - 1}"] if k else []) for k in range(n)]
+    # A diamond with a long and a short side, a loop of three with a call behind it, and calls without turns.
+    rows += [(2, None, c, "f", "{}", list(r)) for c, r in (("a", "bx"), ("b", "c"), ("c", "d"), ("d", ""), ("x", "d"), ("p", "q"), ("q", "r"), ("r", "p"), ("s", "p"))]
+    calls = spark.createDataFrame(rows, "conv_id long, turn long, call_id string, name string, arguments string, refs array<string>")
+    results = spark.createDataFrame([(1, "c0", 1, "r")], "conv_id long, call_id string, turn long, content string")
+    extra = ("level", "n_results", "first", "dangling", "there", "ref", "times", "calls", "rest", "errors", "record")
+    for c in extra:
+        calls, results = calls.withColumn(c, F.lit(1)), results.withColumn(c, F.lit(2))
+    got = {(r["conv_id"], r["call_id"]): r for r in toolcalls.link(calls, results, {"f": [("x", "integer", False)]}).collect()}
+    assert len(got) == len(rows) and all(got[1, f"c{k}"]["level"] == k for k in range(n))
+    assert {c: got[2, c]["level"] for c in "abcdxpqrs"} == dict(zip("abcdxpqrs", (3, 2, 1, 0, 1, None, None, None, None), strict=True))
+    assert got[2, "s"]["errors"] == "cycle" and all(r["dangling"] == 0 for r in got.values())
