@@ -7,10 +7,14 @@ the wrapper is the label path from the root to the smallest container that keeps
 the text in that container without the furniture (menus, forms, notices, ...) its elements declare and without the blocks
 that the alignment has shown to be template: blocks with the same text at the same label path on all of REPEATS or more
 different pages of a kind that have less such text than varying text. Pages the wrapper
-does not fit, or whose kind shows no varying text, use their own main elements, else the body.
-
-Defined results: null or empty html, or a page without text, gives an empty text; a null url is a host of its own
-without name; character references are decoded once; equal rows get equal results; extra columns are ignored.
+does not fit, or whose kind shows no varying text, use their own main elements, else the body. An element whose name
+speaks for furniture is kept where the page's text is in it (see `html.prune`).
+
+Defined results: null or empty html, or a page without text, gives an empty text; a page without a host (null or relative
+url) is aligned with none and has no wrapper; character references are decoded once; equal rows get equal results, and of
+pages with equal draws the least tree is the reference; extra columns are ignored; no pages give no rows. Very long
+pages are read whole; beyond BAND siblings with children, or CELLS cells, siblings are aligned with those near in place
+only, so the time for a page grows in proportion to its length.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ import json
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -33,6 +38,8 @@ CONTAINERS = frozenset("html body div section article main center table tbody tr
 REPEATS = 5
 #: Wrappers up to which they are broadcast; more are joined by host and kind. A wrapper has at most WRAPPER_LABELS labels.
 BROADCAST_WRAPPERS, WRAPPER_LABELS = 20_000, 200
+#: Siblings with children beyond which only those near in place are compared, and cells of a table of siblings.
+BAND, CELLS = 64, 4_000_000
 
 
 def _groups(root: Node) -> Iterator[tuple[list[Node], int, int, int, int]]:
@@ -107,11 +114,59 @@ def _children(tree: list) -> list[list[int]]:
     return out
 
 
+def _paired(xs: list[int], ys: list[int], page: list, reference: list, score: dict[tuple[int, int], int]) -> tuple[list[tuple[int, int]], int]:
+    """Best order-keeping pairing of two runs of siblings by the nodes matched below them, and its sum.
+
+    Runs whose table would exceed CELLS are cut into pieces of equal proportion, and piece is paired with piece.
+    """
+    if len(xs) * len(ys) > CELLS:
+        parts = -(-max(len(xs), len(ys)) // 1000)
+        out, total = [], 0
+        for k in range(parts):
+            x, y = (v[len(v) * k // parts : len(v) * (k + 1) // parts] for v in (xs, ys))
+            pairs, n = _paired(x, y, page, reference, score)
+            out, total = out + pairs, total + n
+        return out, total
+    worth = np.array([[score.get((x, y), 0) for y in ys] for x in xs]) if len(xs) * len(ys) < 64 else _worth(xs, ys, page, reference, score)
+    table = np.zeros((len(xs) + 1, len(ys) + 1), dtype=np.int32)
+    for i in range(len(xs)):
+        np.maximum.accumulate(np.maximum(table[i, 1:], table[i, :-1] + worth[i]), out=table[i + 1, 1:])
+    out, i, j = [], len(xs), len(ys)
+    while i and j:
+        if table[i, j] == table[i - 1, j]:
+            i -= 1
+        elif table[i, j] == table[i, j - 1]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.append((xs[i], ys[j]))
+    return out, int(table[-1, -1])
+
+
+def _worth(xs, ys, page, reference, score) -> np.ndarray:
+    """Matrix of nodes matched below each pair of siblings: 1 for leaves with equal labels, else from score."""
+    names: dict[str, int] = {}
+    a, b = (np.array([names.setdefault(t[v][1], len(names)) for v in run]) for run, t in ((xs, page), (ys, reference)))
+    out = (a[:, None] == b[None, :]).astype(np.int32)
+    place_x, place_y = {x: i for i, x in enumerate(xs)}, {y: j for j, y in enumerate(ys)}
+    bushy = [x for x in xs if page[x][5]], [y for y in ys if reference[y][5]]
+    for x in bushy[0]:
+        for y in bushy[1]:
+            if (x, y) in score:
+                out[place_x[x], place_y[y]] = score[x, y]
+    return out
+
+
 def align(page: list, reference: list) -> list[tuple[int, int]]:
-    """Pairs (page node, reference node) of a simple tree matching: order kept, roots and labels equal, most nodes."""
+    """Pairs (page node, reference node) of a simple tree matching: order kept, roots and labels equal, most nodes.
+
+    Among more than BAND siblings with children, those far apart in place are not compared.
+    """
     a_children, b_children = _children(page), _children(reference)
+    page = [(*n[:5], bool(a_children[i])) for i, n in enumerate(page)]
+    reference = [(*n[:5], bool(b_children[i])) for i, n in enumerate(reference)]
     score: dict[tuple[int, int], int] = {}
-    table: dict[tuple[int, int], list[list[int]]] = {}
+    pairs: dict[tuple[int, int], list[tuple[int, int]]] = {}
     stack = [(0, 0, False)]
     while stack:
         a, b, ready = stack.pop()
@@ -120,30 +175,26 @@ def align(page: list, reference: list) -> list[tuple[int, int]]:
         xs, ys = a_children[a], b_children[b]
         if not ready:
             stack.append((a, b, True))
-            stack.extend((x, y, False) for x in xs for y in ys if page[x][1] == reference[y][1])
+            if xs and ys:
+                shift = len(ys) / len(xs)
+                for i, x in enumerate(xs):
+                    if len(ys) <= BAND:
+                        near = ys
+                    elif page[x][5]:
+                        near = ys[max(0, int(i * shift) - BAND // 2) : int(i * shift) + BAND // 2]
+                    else:
+                        near = ()
+                    for y in near:
+                        if page[x][1] == reference[y][1] and (page[x][5] or reference[y][5] or len(xs) * len(ys) < 64):
+                            stack.append((x, y, False))
             continue
-        m = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
-        for i, x in enumerate(xs):
-            row, above = m[i + 1], m[i]
-            for j, y in enumerate(ys):
-                both = above[j] + score.get((x, y), 0)
-                row[j + 1] = max(row[j], above[j + 1], both)
-        table[a, b] = m
-        score[a, b] = 1 + m[-1][-1]
+        pairs[a, b], below = _paired(xs, ys, page, reference, score) if xs and ys else ([], 0)
+        score[a, b] = 1 + below
     out, stack2 = [], [(0, 0)]
     while stack2:
-        a, b = stack2.pop()
-        out.append((a, b))
-        xs, ys, m = a_children[a], b_children[b], table[a, b]
-        i, j = len(xs), len(ys)
-        while i and j:
-            if m[i][j] == m[i - 1][j]:
-                i -= 1
-            elif m[i][j] == m[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                stack2.append((xs[i], ys[j]))
+        at = stack2.pop()
+        out.append(at)
+        stack2.extend(pairs.get(at, ()))
     return out
 
 
@@ -202,26 +253,15 @@ def _follow(root: Node, path: list[str]) -> list[Node]:
 
 
 def _mains(root: Node) -> list[Node]:
-    """Outermost main elements of the page, articles before others if both stand alone."""
+    """Outermost main elements of the page, whole; where there is a `main`, nothing beside it."""
     out, stack = [], [root]
     while stack:
         node = stack.pop()
         if node.main:
-            inner = [x for x in _within(node) if x.tag == "article"]
-            out.extend(inner if node.tag != "article" and inner else [node])
+            out.append(node)
         else:
             stack.extend(reversed(node.blocks()))
-    return out
-
-
-def _within(node: Node) -> Iterator[Node]:
-    stack = list(reversed(node.blocks()))
-    while stack:
-        x = stack.pop()
-        if x.tag == "article":
-            yield x
-        else:
-            stack.extend(reversed(x.blocks()))
+    return [n for n in out if n.tag == "main" and lines(n)] or out
 
 
 def main_text(html: str | None, path: list[str] | None, fixed: frozenset[int] = frozenset()) -> str:
@@ -235,8 +275,8 @@ def main_text(html: str | None, path: list[str] | None, fixed: frozenset[int] =
     blocks = blocks or lines(root)
     if not blocks and fixed:  # nothing but template
         return main_text(html, path)
-    if not blocks and html:  # a name that marks furniture was given to what holds the text
-        root = parse(html, by_name=False)
+    if not blocks and html:  # nothing but what bears the names of comments or adverts
+        root = parse(html, strict=False)
         blocks = [line for node in _mains(root) for line in lines(node)] or lines(root)
     return "\n".join(blocks)
 
@@ -262,7 +302,7 @@ def wrappers(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
                     [batch.column(0), batch.column(1), pa.array(kinds, pa.int64()), pa.array(trees, pa.string())], ["host", "draw", "kind", "tree"]
                 )
 
-    drawn = pages.select(_host(F.col(url)).alias("host"), F.xxhash64(key, url).alias("draw"), F.col(html).alias("html"))
+    drawn = pages.select(_host(F.col(url)).alias("host"), F.xxhash64(key, url).alias("draw"), F.col(html).alias("html")).filter("host <> ''")
     trees = materialize(drawn.mapInArrow(skeletons, "host string, draw long, kind long, tree string").filter("tree is not null"), "skeletons")
     first = trees.groupBy("host", "kind").agg(F.min("draw").alias("draw"))
     chosen = trees.join(first, ["host", "kind", "draw"], "left_semi").groupBy("host", "kind").agg(F.min("tree").alias("reference"))

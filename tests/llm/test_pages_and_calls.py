@@ -1,7 +1,9 @@
 """HTML extraction and tool-call records."""
 
 import html
+import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -39,6 +41,61 @@ def test_reader():
     assert text("<textarea>no</textarea><title>no</title>&lt;p&gt;") == ["<p>"]
 
 
+def test_names_on_ancestors_and_inside_articles():
+    text = lambda x: wrapper.main_text(x, None)
+    assert text('<div class="layout sidebar-right"><article>Real text of the page.</article></div><p>tiny tail</p>') == "Real text of the page."
+    assert text('<form id="aspnetForm"><div class=top-menu>Home</div><div><h1>T</h1><p>Real text of the page.</p></div><footer>f</footer></form>') == "T\nReal text of the page."
+    inner = '<p class="search-engines">a</p><p id="related-work">b</p><p class="notice-period">c</p>'
+    assert text(f"<article>{inner}</article>") == "a\nb\nc"
+    assert text("<main><h1>Title</h1><p>Lead</p><article>Teaser</article></main><article>Other</article>") == "Title\nLead\nTeaser"
+    for name in ("commentlist", "user-feedback", "adslot", "post-comments", "relatedPosts", "share_buttons", "topnav"):
+        assert text(f"<article>x<div class={name}><p>gone, however long it may be</p></div></article>") == "x"
+    assert text('<div class=story>Short.</div><section class=comments><article class=comment>A long comment of a reader.</article></section>') == "Short."
+    assert text('<p>Text <span class="ad">no</span> goes <span class="commentary">on</span>.</p>') == "Text goes on."
+    assert text("<nav>n</nav><footer>f</footer>") == ""
+
+
+def plain_matching(a, b, i=0, j=0):
+    """Most nodes matched below a pair of nodes with equal labels, by trying every choice."""
+    xs, ys = ([k for k, n in enumerate(t) if n[0] == at] for t, at in ((a, i), (b, j)))
+
+    def best(x, y):
+        if not x or not y:
+            return 0
+        out = max(best(x[1:], y), best(x, y[1:]))
+        return max(out, plain_matching(a, b, x[0], y[0]) + best(x[1:], y[1:])) if a[x[0]][1] == b[y[0]][1] else out
+
+    return 1 + best(xs, ys)
+
+
+def test_tree_matching_against_every_choice():
+    r = random.Random(5)
+
+    def tree():
+        out = [(-1, "r", 0, 0, 0)]
+        for _ in range(r.randint(0, 8)):
+            out.append((r.randrange(len(out)), r.choice("ab"), 0, 0, 0))
+        return out
+
+    for _ in range(150):
+        a, b = tree(), tree()
+        pairs = wrapper.align(a, b)
+        assert len(pairs) == plain_matching(a, b) and len({i for i, _ in pairs}) == len(pairs) == len({j for _, j in pairs})
+        assert all(a[i][1] == b[j][1] and (i == 0 or (a[i][0], b[j][0]) in pairs) for i, j in pairs)
+
+
+def test_long_pages_in_time():
+    pairs = wrapper.skeleton(parse("<body>" + "<h2>h</h2><p>t</p>" * 1200 + "</body>"))
+    began = time.perf_counter()
+    assert len(wrapper.align(pairs, pairs)) == len(pairs) and time.perf_counter() - began < 1.5
+    bushy = wrapper.skeleton(parse("<body>" + "<div><h2>h</h2><p>t</p></div>" * 3000 + "</body>"))
+    began = time.perf_counter()
+    assert len(wrapper.align(bushy, bushy)) == len(bushy) and time.perf_counter() - began < 15
+    began = time.perf_counter()
+    assert lines(parse("<div>" * 20_000 + "deep")) == ["deep"] and len(lines(parse("<span>" * 20_000 + "<div>x</div>" * 20_000))) == 20_000
+    assert time.perf_counter() - began < 5
+
+
 def page(n, body, title="t"):
     menu = "".join(f"<li><a href=/x{i}>Menu {i}</a></li>" for i in range(4))
     return f"<html><body><div class=top><ul>{menu}</ul></div><div class=wrap><div class=box><h1>{title} {n}</h1>{body}</div><div class=low>Company Ltd, all pages</div></div></body></html>"
@@ -48,7 +105,7 @@ def test_wrapper_without_semantic_tags(spark):
     body = lambda n: "".join(f"<p>Paragraph {n} {k} has its own words.</p>" for k in range(2 + n % 5))
     rows = [(n, f"http://h.example/{n}", page(n, body(n))) for n in range(12)]
     rows += [(100, None, None), (101, "http://one.example/", ""), (102, "http://h.example/x", "<p>odd page</p>"), (0, "http://h.example/0", page(0, body(0)))]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumnRenamed("x", "x")
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS host", "2 AS kind", "3 AS text", "4 AS wrapper", "5 AS key", "6 AS fixed")
     got = wrapper.extract(df).collect()
     assert len(got) == len(rows)
     by = {r["page_id"]: r for r in got}
