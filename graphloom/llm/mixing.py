@@ -10,8 +10,10 @@ target, is the source's cumulative demand; inverting it at the words taken befor
 and the demand of all sources at that time is its training position in words. Documents are range-sorted by position.
 
 Defined results: a null text has size 0; a document of size 0 is taken 0 times and has no placement; a null source is a
-source of its own, last in order; a source of size 0 has target 0; repeated rows are documents of their own; extra
-columns are ignored by the assignment; no documents give no rows. Hash and keys fix the order, so reruns agree.
+source of its own, last in order; a source of size 0 has target 0; repeated rows are documents of their own, and rows
+that share a key (or have none) are told apart by their other columns; rows alike in all columns are placed side by side,
+which of them where makes no difference; extra columns are ignored by the assignment; no documents give no rows. Hashes
+of whole rows fix the order, so reruns agree, and no key, however frequent, gathers its rows in one task.
 """
 
 from __future__ import annotations
@@ -20,9 +22,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 from pyspark.sql.window import Window
 
-from .common import words
+from .common import materialize, words
 
 WEIGHTS = (5, 2, 1)
 BUDGET, CAP = 1.5, 2.0
@@ -30,6 +33,8 @@ BUDGET, CAP = 1.5, 2.0
 CURRICULUM = ((1.0, 1.0, 1.0), (0.5, 1.0, 1.5), (1.5, 1.0, 0.5))
 #: Least rows aimed at in a bucket of a source; large sources use the square root of their rows.
 BUCKET_ROWS = 128
+#: Copies of one row that are listed by one task.
+LOT = 1000
 
 
 def _integral(curve: Sequence[float]) -> list[float]:
@@ -86,7 +91,7 @@ def targets(sized: DataFrame, weights: Sequence[int] = WEIGHTS, budget: float =
     by = F.get(F.array(*[F.lit(float(x)) for x in weights]), (F.col("place") % len(weights)).cast("int"))
     per = (
         sized.groupBy("source")
-        .agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
+        .agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"), F.count("*").alias("n_rows"))
         .withColumn("place", place)
         .withColumn("weight", by)
         .withColumn("limit", F.col("source_size") * cap)
@@ -113,31 +118,40 @@ def assign(
     cap: float = CAP,
     curriculum: Sequence[Sequence[float]] = CURRICULUM,
 ) -> DataFrame:
-    """One row per document: key, source, size, source_size, target, taken, and `placements`.
+    """One row per document: key, source, size, source_size, target, taken, draw (see `identity`) and `placements`.
 
     placements: array of (position in words from the start of training, words taken) for every pass that takes it.
     """
-    draw = F.xxhash64(F.col(key), F.lit("mix"))
-    sized = docs.select(
-        F.col(key).alias("key"), F.col(source).alias("source"), F.size(words(F.col(text))).cast("long").alias("size"), draw.alias("draw")
+    # Sizes are counted once; rows alike in every column are one row with a number of copies from here on.
+    sized = materialize(
+        docs.select(
+            F.col(key).alias("key"),
+            F.col(source).alias("source"),
+            F.size(words(F.col(text))).cast("long").alias("size"),
+            identity(docs).alias("draw"),
+        )
+        .groupBy("key", "source", "size", "draw")
+        .agg(F.count("*").alias("copies")),
+        "sizes",
     )
-    per = targets(sized, weights, budget, cap)
+    per = materialize(targets(sized, weights, budget, cap), "targets")
     share = F.shiftrightunsigned("draw", 33) / float(1 << 31)
     buckets = F.greatest(F.lit(1), F.ceil(F.col("n_rows") / F.greatest(F.lit(float(BUCKET_ROWS)), F.sqrt("n_rows"))))
     # Sources are few rows, one each, but their number is not bounded: the join is left to the optimizer.
     dealt = sized.join(per, sized["source"].eqNullSafe(per["source"])).drop(per["source"])
-    dealt = dealt.withColumn("bucket", F.least(F.floor(share * buckets), buckets - 1).cast("long"))
+    dealt = dealt.withColumn("bucket", F.least(F.floor(share * buckets), buckets - 1).cast("long")).withColumn("total", F.col("size") * F.col("copies"))
     inside = (
         Window.partitionBy("place", "bucket").orderBy("draw", "key", "size").rowsBetween(Window.unboundedPreceding, 0)
     )
     earlier = Window.partitionBy("place").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = (
         dealt.groupBy("place", "bucket")
-        .agg(F.sum("size").alias("bucket_size"))
+        .agg(F.sum("total").alias("bucket_size"))
         .select("place", "bucket", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0)).alias("offset"))
     )
-    placed = dealt.withColumn("within", F.sum("size").over(inside)).join(sums, ["place", "bucket"])
-    before = F.col("offset") + F.col("within") - F.col("size")
+    summed = dealt.withColumn("within", F.sum("total").over(inside)).join(sums, ["place", "bucket"])
+    placed = _copies(summed.withColumn("first", F.col("offset") + F.col("within") - F.col("total")))
+    before = F.col("first") + F.col("copy") * F.col("size")
     budgeted = F.round("target").cast("long")
     passes = []
     for k in range(int(cap) if float(cap).is_integer() else int(cap) + 1):
@@ -166,6 +180,7 @@ def assign(
     return timed.select(
         F.col("key").alias(key),
         F.col("source").alias(source),
+        "draw",
         "size",
         "source_size",
         "target",
@@ -174,17 +189,34 @@ def assign(
     )
 
 
-def training_order(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs in training order, once for every pass that takes at least half of them.
+def identity(docs: DataFrame) -> Column:
+    """A hash of the whole row, which is its draw; columns that cannot be hashed count as text."""
+    return F.xxhash64(*[F.to_json(c) if isinstance(docs.schema[c].dataType, MapType) else F.col(c) for c in docs.columns], F.lit("mix"))
 
-    Keys are taken to name documents; rows that share one are placed alike.
-    """
-    placed = assign(docs, key=key, **options).dropDuplicates([key])
-    copies = placed.select(F.col(key).alias("__key"), "size", F.explode("placements").alias("__at")).filter(
+
+def _copies(rows: DataFrame) -> DataFrame:
+    """rows once for each of their copies, numbered in `copy`; many copies are dealt out in lots first."""
+    few = rows.filter(F.col("copies") <= LOT).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    lots = rows.filter(F.col("copies") > LOT).withColumn("lot", F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / LOT))))
+    last = F.least(F.col("lot") * LOT + LOT, F.col("copies")) - 1
+    many = lots.repartition("draw", "lot").withColumn("copy", F.explode(F.sequence(F.col("lot") * LOT, last))).drop("lot")
+    return few.unionByName(many)
+
+
+def training_order(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
+    """The rows of docs in training order, once for every pass that takes at least half of them."""
+    placed = materialize(assign(docs, key=key, **options).select("draw", "size", "placements"), "placed")
+    copies = placed.select(F.col("draw").alias("__draw"), "size", F.explode("placements").alias("__at")).filter(
         2 * F.col("__at.words") >= F.col("size")
-    ).drop("size")
+    ).select("__draw", "__at")
+    known = docs.withColumn("__draw", identity(docs))
+    # Rows alike in every column share their draw: one of them stands for all, and takes all their placements.
+    repeated = materialize(placed.groupBy("draw").count().filter("count > 1").select(F.col("draw").alias("__draw")), "repeated")
+    if not repeated.isEmpty():
+        once = known.join(repeated, "__draw", "left_semi").dropDuplicates(["__draw"]).select(known.columns)
+        known = known.join(repeated, "__draw", "left_anti").select(known.columns).unionByName(once)
     return (
-        docs.join(copies, docs[key].eqNullSafe(copies["__key"]))
+        known.join(copies, "__draw")
         .repartitionByRange(F.col("__at.position"), F.col(key))
         .sortWithinPartitions("__at.position", key)
         .select(*docs.columns)

@@ -151,6 +151,18 @@ def test_training_order_repeats_and_sorts(spark):
     assert max(counts.values()) == 2 and abs(sum(counts.values()) - 225) <= 2 and out.columns == docs.columns
 
 
+def test_rows_without_key_or_alike_are_documents_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "LOT", 7)
+    rows = [(None, f"w{i} " * (i % 9 + 1), "en", "a", i) for i in range(120)] + [(5, "one two", "en", "b", 7)] * 60 + [(6, f"x{i}", "en", "b", 2) for i in range(40)]
+    df = spark.createDataFrame(rows, cases.SCHEMA)
+    check_mix(rows, mixing.assign(df).collect())
+    out = mixing.training_order(df.withColumn("size", F.lit(3)).withColumn("draw", F.lit(4))).collect()
+    given, taken = Counter(r[:2] for r in rows), Counter((r["doc_id"], r["text"]) for r in out)
+    # Both sources are below their caps here, so nearly every document is taken, none more than twice.
+    assert all(taken[x] <= 2 * n for x, n in given.items()) and sum(n > 0 for n in taken.values()) > 150
+    assert 60 <= taken[5, "one two"] <= 120
+
+
 def brute(word, log_weights, names):
     index = {n: i for i, n in enumerate(names) if n}
     s, a = lattice.MARK + word, [1.0]
