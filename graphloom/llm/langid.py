@@ -1,16 +1,20 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-Segments (runs without white space, long ones cut into windows of WINDOW bytes so that whole texts are read) enter the
-network between two space bytes. The network labels every byte position; a document's probability of a language is the
-mean over the positions of its segments that hold a letter. It is trained in numpy by backpropagation through time.
+Segments (runs without white space; long ones are cut, between characters, into windows of WINDOW bytes that also see
+CONTEXT bytes on either side, so that whole texts are read) enter the network between two space bytes. The network
+labels every byte position; a document's probability of a language is the mean over the positions of its segments that
+hold a letter. It is trained in numpy by backpropagation through time. States do not pass from one segment to the next:
+a worker then labels each distinct segment once, which is what makes whole texts affordable.
 
-Training sample: at most PER_LANGUAGE documents of every language, chosen by a hash of the key, at most TRAIN_CHARS
+Training sample: at most PER_LANGUAGE documents of every language, chosen by a hash of key and text, at most TRAIN_CHARS
 characters of each. Every label that occurs in the training rows is learned; from LANGUAGES labels on they share
 LANGUAGES * PER_LANGUAGE documents evenly (at least one each), and the steps grow with their number. The bounds only limit
-training: every prediction reads the whole text.
+training, and hold before rows reach the driver: every prediction reads the whole text.
 
-Defined results: null text or a text without a letter is `und` with score 0; without any labelled training row every
-text is `und`; extra columns are ignored; equal texts get equal results.
+Defined results: null text or a text without a letter is `und` with score 0; without any labelled training row (an empty
+table too) every text is `und`; rows without a key, repeated keys and repeated rows are rows of their own; of labels with
+equal probability the first by code point wins; columns that bear the names of the results give way to them; equal
+texts get equal results.
 """
 
 from __future__ import annotations
@@ -27,9 +31,10 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
 PER_LANGUAGE, TRAIN_CHARS, LANGUAGES = 250, 1500, 64
-HIDDEN, WINDOW = 24, 40
+HIDDEN, WINDOW, CONTEXT = 24, 40, 8
 STEPS, BATCH, RATE = 260, 384, 0.02
 #: Segments a worker remembers, and labels at once, up to LANGUAGES languages; fewer in proportion if there are more.
 MEMO_ENTRIES, CHUNK = 300_000, 2048
@@ -47,9 +52,26 @@ def segments(text: str) -> list[str]:
     return text.split()
 
 
-def _windows(word: str) -> list[bytes]:
+def _windows(word: str) -> list[tuple[bytes, int, int]]:
+    """(bytes, first, last): windows of a segment, each with its context; the positions first to last are its own."""
     raw = word.encode("utf-8")
-    return [raw[i : i + WINDOW] for i in range(0, len(raw), WINDOW)]
+    if len(raw) <= WINDOW:
+        return [(raw, 0, len(raw))]
+
+    def edge(i: int) -> int:
+        """The start of the character that byte i belongs to."""
+        while 0 < i < len(raw) and raw[i] & 0xC0 == 0x80:
+            i -= 1
+        return min(i, len(raw))
+
+    cuts = [0]
+    while cuts[-1] < len(raw):
+        cuts.append(edge(cuts[-1] + WINDOW))
+    out = []
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        left, right = edge(max(0, a - CONTEXT)), edge(b + CONTEXT)
+        out.append((raw[left:right], a - left, b - left))
+    return out
 
 
 def _batch(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -129,7 +151,7 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> Model:
         own = parts[languages.index(label)]
         for word in segments(text):
             if _LETTER.search(word):
-                own.extend(_windows(word))
+                own.extend(part for part, _, _ in _windows(word))
     n, k = HIDDEN, len(languages)
     w = {}
     for d in "fb":
@@ -183,13 +205,18 @@ class Labeller:
                 for part in _windows(word):
                     owner.append(i)
                     parts.append(part)
-        order = sorted(range(len(parts)), key=lambda j: len(parts[j]))
+        order = sorted(range(len(parts)), key=lambda j: len(parts[j][0]))
         chunk = max(1, int(CHUNK * self.part))
         for at in range(0, len(order), chunk):
-            chosen = order[at : at + chunk]
-            _, mask, _, p, _, _ = _forward(self.model.weights, [parts[j] for j in chosen])
+            chosen = [parts[j] for j in order[at : at + chunk]]
+            _, mask, _, p, _, _ = _forward(self.model.weights, [c[0] for c in chosen])
+            # Own positions, and the spaces around the segment where a window begins or ends it.
+            first = np.array([f + (f > 0) for _, f, _ in chosen])
+            last = np.array([t + (1 if t < len(raw) else 2) for raw, _, t in chosen])
+            steps = np.arange(len(mask))[:, None]
+            mask = mask & (steps >= first) & (steps < last)
             total = (p * mask[:, :, None]).sum(axis=0)
-            np.add.at(sums, [owner[j] for j in chosen], np.column_stack((total, mask.sum(axis=0))))
+            np.add.at(sums, [owner[j] for j in order[at : at + chunk]], np.column_stack((total, mask.sum(axis=0))))
         self.memo.update(zip(words, sums, strict=True))
 
     def label(self, texts: list[str | None]) -> list[tuple[str, float]]:
@@ -221,12 +248,19 @@ def sample(docs: DataFrame, key: str, text: str, lang: str, training: Column) ->
     # A margin above the documents wanted, so that no label draws none; one folded literal, however many labels there are.
     shares = {name: min(1.0, max(1.2 * most, most + 20) / n) for name, n in counts.items()}
     share = F.element_at(F.from_json(F.lit(json.dumps(shares)), "map<string,double>"), F.col(lang))
-    draw = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 30)) / float(1 << 30)
-    chosen = usable.filter(draw < share).select(
-        F.substring(text, 1, TRAIN_CHARS).alias("text"), F.col(lang).alias("lang"), draw.alias("draw"), F.col(key).alias("key")
-    )
-    rows = chosen.toPandas().sort_values(["lang", "draw", "key", "text"])
-    return rows.groupby("lang").head(most)[["text", "lang"]]
+    draw = F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(1 << 30)) / float(1 << 30)
+    drawn = usable.select(F.substring(text, 1, TRAIN_CHARS).alias("text"), F.col(lang).alias("lang"), draw.alias("draw"), F.col(key).alias("key"))
+    # The limit holds in every task before rows are sent on, however many rows share a draw.
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "key", "text"))
+
+    def first(some: DataFrame) -> pd.DataFrame:
+        return some.withColumn("place", place).filter(F.col("place") <= most).toPandas()
+
+    rows = first(drawn.filter(F.col("draw") < share))
+    missed = sorted(set(counts) - set(rows["lang"]))  # all their rows are copies of a few texts
+    if missed:
+        rows = pd.concat([rows, first(drawn.filter(F.col("lang").isin(missed)))])
+    return rows.sort_values(["lang", "place"])[["text", "lang"]]
 
 
 def identify(

@@ -252,6 +252,59 @@ def test_gradients(monkeypatch):
         assert abs((up - down) / (2 * eps) - g[name][at]) < 2e-2 * max(1, abs(g[name][at]))
 
 
+def plain_labels(model, text):
+    """Pooled probabilities of a text: one byte, one unit and one step at a time."""
+    n, k = len(model.weights["fc"]), len(model.languages)
+    sigma = lambda x: 1 / (1 + math.exp(-x))
+
+    def states(raw, d):
+        h, out = [0.0] * n, []
+        for byte in raw:
+            x, wh, wc = (model.weights[d + c] for c in "xhc")
+            gate = [sigma(x[byte][j] + sum(h[i] * wh[i][j] for i in range(n))) for j in range(2 * n)]
+            c = [math.tanh(x[byte][2 * n + j] + sum(gate[n + i] * h[i] * wc[i][j] for i in range(n))) for j in range(n)]
+            h = [h[j] + gate[j] * (c[j] - h[j]) for j in range(n)]
+            out.append(h)
+        return out
+
+    total, positions = np.zeros(k), 0
+    for word in text.split():
+        if not any(c.isalpha() for c in word):
+            continue
+        for part, first, last in langid._windows(word):
+            raw = b" " + part + b" "
+            both = [f + b for f, b in zip(states(raw, "f"), states(raw[::-1], "b")[::-1], strict=True)]
+            for at in range(first + (first > 0), last + (1 if last < len(part) else 2)):
+                s = [sum(both[at][i] * model.weights["out"][i][j] for i in range(2 * n)) + model.weights["bias"][j] for j in range(k)]
+                e = np.exp(np.array(s) - max(s))
+                total, positions = total + e / e.sum(), positions + 1
+    return total / positions
+
+
+def test_pooled_probabilities_against_plain_steps(monkeypatch):
+    monkeypatch.setattr(langid, "HIDDEN", 4)
+    monkeypatch.setattr(langid, "STEPS", 15)
+    model = langid.train(["the and of with", "der und die mit", "漢字仮名交"], ["en", "de", "ja"])
+    texts = ["the  und 12 ... x1", "漢字仮名" * 30, "a" * 95 + " öäü" * 5, "é" * 61]
+    for text, (label, score) in zip(texts, langid.Labeller(model).label(texts), strict=True):
+        want = plain_labels(model, text)
+        assert label == model.languages[int(want.argmax())] and abs(score - want.max()) < 1e-4
+
+
+def test_windows_cut_between_characters():
+    r = random.Random(2)
+    for _ in range(200):
+        word = "".join(r.choice("aé漢🙂") for _ in range(r.randint(1, 150)))
+        parts = langid._windows(word)
+        assert b"".join(raw[a:b] for raw, a, b in parts) == word.encode() and all(raw.decode() and raw[a:b].decode() for raw, a, b in parts)
+        assert all(b - a <= langid.WINDOW for _, a, b in parts)
+
+
+def test_training_sample_is_bounded_without_keys(spark):
+    df = spark.range(4000).selectExpr("CAST(NULL AS long) AS doc_id", "'the same text' AS text", "'en' AS lang").repartition(4)
+    assert len(langid.sample(df, "doc_id", "text", "lang", F.lit(True))) == langid.PER_LANGUAGE
+
+
 def test_language_accuracy_and_edges(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = queries.QUERIES["op7_language_id"](spark, "/root/testdata/sf0.01").filter("held_out").join(docs.select("doc_id", "lang"), "doc_id").collect()
