@@ -1,9 +1,10 @@
 """Tool-call linking and canonical serialisation, in DataFrame functions only.
 
 Calls and results are hash-joined by conversation and identifier. The level of a call is the number of calls on the
-longest chain of references below it; calls on a cycle, or behind one, get no level and an error. Levels are found by
-doubling: tables of the pairs that are exactly 1, 2, 4, ... references apart, so the number of rounds is the logarithm
-of the longest chain. Arguments are checked against the tools' schemas, and each call becomes one canonical JSON
+longest chain of references below it; calls on a cycle, or behind one, get no level and an error. In each round every
+open reference moves on: to the level of its target where that is known, through its target where that has one open
+reference only. So unbranched chains take rounds in the logarithm of their length, other calls one for each branching
+below them, and the number of references never grows. Arguments are checked against the tools' schemas, and each call becomes one canonical JSON
 record: keys sorted at every depth, no white space.
 
 Defined results: a call without a result has linked = false and a null result; of several results for one identifier
@@ -11,8 +12,7 @@ the one of the earliest turn (then the least content) is linked and n_results co
 or identifier is linked with nothing; arguments that are null or not JSON give the error `json`; references to calls
 that do not exist are counted in `dangling` and order nothing; repeated calls are rows of their own and share their
 identifier's references; turns may be null and order nothing; extra columns are ignored, whatever their names; empty
-tables give no rows. Every join key holds the identifier, so one very long conversation spreads. A conversation whose
-calls refer to several others each may hold a pair for every two calls that are so many references apart.
+tables give no rows. Every join key holds the identifier, so one very long conversation spreads.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.staging import mark, release
 from .common import materialize
 
 #: tool -> (parameter, kind, required); kinds: string integer number boolean array object.
@@ -68,41 +69,39 @@ def levels(calls: DataFrame) -> DataFrame:
     refs = ids.select(*_ID, F.explode("refs").alias("ref")).groupBy(*_ID, "ref").agg(F.count("*").alias("times"))
     edges = materialize(refs.join(known, ["conv_id", "ref"], "left").select(*_ID, "ref", "times", "there"), "references")
     loose = edges.groupBy(*_ID).agg(F.coalesce(F.sum(F.when(F.col("there").isNull(), F.col("times"))), F.lit(0)).alias("dangling"))
-    # apart[k]: pairs of calls 2**k references apart. A call with such a pair lies on a chain of that length at least.
-    apart = [edges.filter("there").select(*_ID, "ref")]
-    sizes = apart[0].select("conv_id", F.explode(F.array("call_id", "ref")).alias("c")).distinct().groupBy("conv_id").agg(F.count("*").alias("calls"))
-    sizes = materialize(sizes, "sizes")
-    longest = sizes.agg(F.max("calls")).first()[0] or 0
-    while 1 << len(apart) - 1 < longest:
-        a, b = apart[-1], apart[-1].select("conv_id", F.col("call_id").alias("ref"), F.col("ref").alias("to"))
-        far = materialize(a.join(b, ["conv_id", "ref"]).select(*_ID, F.col("to").alias("ref")).distinct(), "apart")
-        if far.isEmpty():
+    # Calls with the least level known so far and their open references (ref, references away); a call has few.
+    some = edges.filter("there")
+    opened = some.groupBy(*_ID).agg(F.lit(0).alias("level"), F.collect_list(F.struct("ref", F.lit(1).alias("away"))).alias("open"))
+    ends = some.select("conv_id", F.col("ref").alias("call_id")).distinct().join(opened, _ID, "left_anti")
+    kind = "array<struct<ref:string,away:int>>"
+    opened = opened.withColumn("open", F.col("open").cast(kind))
+    since = mark()
+    state = materialize(opened.unionByName(ends.select(*_ID, F.lit(0).alias("level"), F.array().cast(kind).alias("open"))), "levels")
+    closed = -1
+    while True:
+        now, left = state.agg(F.count_if(F.size("open") == 0), F.count_if(F.size("open") > 0)).first()
+        if not left or now == closed:  # where nothing closes, every open call leads to a cycle
             break
-        apart.append(far)
-    # No chain of a conversation without cycles is as long as its number of calls.
-    endless = None
-    for k in range(len(apart)):
-        small = sizes.filter(f"calls <= {1 << k} and calls > {(1 << k) // 2}").select("conv_id")
-        on = apart[k].join(small, "conv_id", "left_semi").select(*_ID)
-        endless = on if endless is None else endless.unionAll(on)
-    endless = materialize(endless.distinct(), "cycles")
-    done = None
-    for k, pairs in enumerate(apart):
-        longer = apart[k + 1].select(*_ID).distinct() if k + 1 < len(apart) else None
-        mine = pairs.join(endless, _ID, "left_anti")
-        if longer is not None:
-            mine = mine.join(longer, _ID, "left_anti")
-        if done is None:
-            level = mine.select(*_ID).distinct().withColumn("level", F.lit(1))
-        else:
-            below = done.select("conv_id", F.col("call_id").alias("ref"), F.col("level").alias("rest"))
-            level = mine.join(below, ["conv_id", "ref"], "left").groupBy(*_ID).agg((F.max(F.coalesce("rest", F.lit(0))) + (1 << k)).alias("level"))
-        done = materialize(level if done is None else done.unionAll(level), "levels")
-    cyclic = endless.withColumn("level", F.lit(None).cast("int")).withColumn("chained", F.lit(True))
-    placed = done.select(*_ID, F.col("level").cast("int").alias("level"), F.lit(True).alias("chained")).unionAll(cyclic)
-    return loose.join(placed, _ID, "left").select(
-        *_ID, "dangling", F.when(F.col("chained"), F.col("level")).otherwise(F.lit(0)).alias("level")
-    )
+        closed = now
+        target = state.filter(F.size("open") <= 1).select(
+            "conv_id", F.col("call_id").alias("ref"), F.col("level").alias("below"), F.get("open", F.lit(0)).alias("next"), F.lit(True).alias("known")
+        )
+        each = state.filter(F.size("open") > 0).select(*_ID, "level", F.explode("open").alias("o")).select(*_ID, "level", "o.ref", "o.away")
+        moved = each.join(target, ["conv_id", "ref"], "left")
+        on = F.when(F.col("known").isNull(), F.struct("ref", "away")).when(
+            F.col("next").isNotNull(), F.struct(F.col("next.ref").alias("ref"), (F.col("away") + F.col("next.away")).alias("away"))
+        )
+        grown = moved.groupBy(*_ID).agg(
+            F.max(F.greatest("level", F.coalesce(F.col("away") + F.col("below"), F.lit(0)))).alias("level"), F.collect_list(on).alias("open")
+        )
+        names = F.array_distinct(F.transform("open", lambda o: o["ref"]))
+        longest = F.transform(
+            names, lambda r: F.struct(r.alias("ref"), F.array_max(F.transform(F.filter("open", lambda o: o["ref"] == r), lambda o: o["away"])).alias("away"))
+        )
+        state = materialize(state.filter(F.size("open") == 0).unionByName(grown.withColumn("open", longest.cast(kind))), "levels")
+        release(calls.sparkSession, since, keep=1)
+    placed = state.select(*_ID, F.when(F.size("open") == 0, F.col("level")).alias("found"), F.lit(True).alias("chained"))
+    return loose.join(placed, _ID, "left").select(*_ID, "dangling", F.when(F.col("chained"), F.col("found")).otherwise(F.lit(0)).alias("level"))
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:

@@ -218,3 +218,22 @@ def test_clashing_columns_and_chains(spark):
     assert len(got) == len(rows) and all(got[1, f"c{k}"]["level"] == k for k in range(n))
     assert {c: got[2, c]["level"] for c in "abcdxpqrs"} == dict(zip("abcdxpqrs", (3, 2, 1, 0, 1, None, None, None, None), strict=True))
     assert got[2, "s"]["errors"] == "cycle" and all(r["dangling"] == 0 for r in got.values())
+
+
+def test_levels_of_any_references(spark):
+    r = random.Random(9)
+    rows, want = [], {}
+    for conv in range(25):
+        n = r.randint(1, 12)
+        refs = {i: [r.randrange(n if conv % 3 == 0 else max(1, i)) for _ in range(r.choice((0, 1, 1, 2, 3)))] for i in range(n)}
+        refs = {i: [x for x in v if conv % 3 == 0 or x < i] for i, v in refs.items()}
+
+        def level(i, path, refs=refs):
+            below = [None if x in path else level(x, path | {x}) for x in refs[i]]
+            return None if None in below else 1 + max(below, default=-1)
+
+        rows += [(conv, i, f"{i}", "f", "{}", [str(x) for x in v]) for i, v in refs.items()]
+        want |= {(conv, str(i)): level(i, {i}) for i in refs}
+    calls = spark.createDataFrame(rows, "conv_id long, turn long, call_id string, name string, arguments string, refs array<string>")
+    got = {(x["conv_id"], x["call_id"]): x["level"] for x in toolcalls.levels(calls).collect()}
+    assert {k: got.get(k, 0) for k in want} == want and None in want.values()
