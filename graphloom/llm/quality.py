@@ -19,12 +19,14 @@ from .common import SPACE_CHARS, words
 
 #: Fixed values of the base rules' symbol count.
 SYMBOLS = "#*$%&|<>"
-#: A line that carries one of these phrases, whatever its case, is boilerplate.
+#: A line of at most `notice_max_words` words that carries one of these phrases, whatever its case, is boilerplate.
 BOILERPLATE = (
     "cookie", "javascript", "all rights reserved", "privacy policy", "terms of use", "terms of service",
     "lorem ipsum", "copyright", "released under the", "licensed under", "subscribe to our", "sign up for",
     "log in to", "share this",
 )
+#: Navigation: a line of NAV_ENTRIES or more short entries between these signs.
+NAV_SIGNS, NAV_ENTRIES = r"\s[|»›•·/>→]+\s", 3
 #: A line of prose closes with one of these; MARKS stand between the entries of menus or decorate junk.
 TERMINAL = ".!?…:;,\"'”’»)]。！？：；，、"
 MARKS = r"[#*$%&|<>{}=_~^\\»›·•]"
@@ -40,6 +42,8 @@ class LineRules:
     shout_min_chars: int = 12
     repeat_min_words: int = 20
     distinct_percent: int = 25
+    nav_entry_words: int = 3
+    notice_max_words: int = 40
     max_loss_percent: int = 40
     min_words: int = 50
     max_repeat_percent: int = 50
@@ -56,6 +60,9 @@ def line_passes(line: Column, low: Column, w: Column, rules: LineRules) -> Colum
     spoken = F.lit(False)
     for phrase in BOILERPLATE:
         spoken = spoken | low.contains(phrase)
+    # Language-independent: entries of a menu are few words each, whatever sign the line closes with.
+    entries = F.size(F.split(line, NAV_SIGNS, -1))
+    menu = (entries >= NAV_ENTRIES) & (n <= entries * (rules.nav_entry_words + 1))
     return (
         F.lit(TERMINAL).contains(F.right(F.rtrim(line, F.lit(SPACE_CHARS)), F.lit(1)))
         & (occurrences(line, MARKS) * 100 <= n * rules.mark_percent)
@@ -65,7 +72,8 @@ def line_passes(line: Column, low: Column, w: Column, rules: LineRules) -> Colum
             | (occurrences(line, r"\p{Lu}") * 100 <= F.length(line) * rules.shout_percent)
         )
         & ((n < rules.repeat_min_words) | (F.size(F.array_distinct(w)) * 100 >= n * rules.distinct_percent))
-        & ~spoken
+        & ~((n <= rules.notice_max_words) & spoken)
+        & ~(line.rlike(NAV_SIGNS) & menu)
     )
 
 

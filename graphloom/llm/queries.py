@@ -54,7 +54,9 @@ o AS (SELECT doc_id, sum(length(array_to_string(lw, ''))) AS n FROM l
     AND {number('[!?]')} * 100 <= len(lw) * {rules.exclaim_percent} + 100
     AND (length(l) < {rules.shout_min_chars} OR {number(chr(92) + 'p{Lu}')} * 100 <= length(l) * {rules.shout_percent})
     AND (len(lw) < {rules.repeat_min_words} OR len(list_distinct(lw)) * 100 >= len(lw) * {rules.distinct_percent})
-    AND NOT ({spoken}) GROUP BY doc_id),
+    AND NOT (len(lw) <= {rules.notice_max_words} AND ({spoken}))
+    AND NOT (len(regexp_split_to_array(l, {quoted(quality.NAV_SIGNS)})) >= {quality.NAV_ENTRIES}
+        AND len(lw) <= len(regexp_split_to_array(l, {quoted(quality.NAV_SIGNS)})) * {rules.nav_entry_words + 1}) GROUP BY doc_id),
 m AS (SELECT w.doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
     length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
     coalesce(c.n, 0) AS n_repeat_words, coalesce(o.n, 0)::BIGINT AS left_chars
@@ -108,8 +110,7 @@ FROM documents d JOIN r ON r.a = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id GRO
 def op9_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts; n_near and near answer the ids divisible by 100."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    own = simhash.with_fingerprint(docs, "text", "fp")
-    paired = simhash.with_next(own, "doc_id", "text", ["text", "fp"])
+    paired = simhash.with_next(docs, "doc_id", "text", ["text"], lambda rows: simhash.with_fingerprint(rows, "text", "fp"), ["fp"])
     n = F.length("text")
     cut = F.floor(n / 3).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), n - cut), F.substr("next_text", F.lit(1), cut))

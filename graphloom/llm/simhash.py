@@ -7,13 +7,16 @@ whole blocks, so one of twenty tables, keyed by three blocks, holds the pair. A
 that holds it only.
 
 Defined results: a null or empty text, or one without words, has fingerprint 0; equal texts have equal fingerprints;
-texts are read whole; rows without a key come last in descending order of keys, and ties are ordered by text; extra
-columns are ignored; an empty table gives no rows.
+texts are read whole; rows without a key come last in descending order of keys, and rows with equal keys (or none) are
+ordered by a hash of their text, then the text; repeated rows follow one another; extra columns are ignored; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
 import json
+from collections import Counter
+from collections.abc import Sequence
 from functools import reduce
 from itertools import combinations
 
@@ -29,7 +32,7 @@ BLOCKS = (11, 11, 11, 11, 10, 10)
 #: Terms up to which votes fit into lanes of 16 bits; longer texts use lanes of 32.
 NARROW = (1 << 16) - 1
 #: Most buckets that order the keys (their bounds are held by every task), and rows aimed at in each.
-MAX_BUCKETS, BUCKET_ROWS = 40_000, 128
+MAX_BUCKETS, BUCKET_ROWS = 20_000, 2048
 
 
 def _signed(x: int) -> int:
@@ -89,56 +92,84 @@ def as_hex(fingerprint: Column) -> Column:
     return F.lpad(F.lower(F.hex(fingerprint)), 16, "0")
 
 
+def _constant(values: list, kind: str) -> Column:
+    """One folded literal, however many values there are."""
+    return F.from_json(F.lit(json.dumps(values)), kind)
+
+
 def _bucket(key: Column, bounds: list[int]) -> Column:
     """Number of bounds up to the key, found in two steps of about the square root of their number; null keys: -1."""
     step = max(1, round(len(bounds) ** 0.5))
-
-    def constant(values: list, kind: str) -> Column:
-        # One folded literal, however many bounds there are.
-        return F.from_json(F.lit(json.dumps(values)), kind)
-
-    coarse = constant(bounds[::step], "array<bigint>")
-    fine = constant([bounds[i : i + step] for i in range(0, len(bounds), step)], "array<array<bigint>>")
+    coarse = _constant(bounds[::step], "array<bigint>")
+    fine = _constant([bounds[i : i + step] for i in range(0, len(bounds), step)], "array<array<bigint>>")
     at = F.size(F.filter(coarse, lambda b: b <= key))
     inner = F.size(F.filter(F.get(fine, at - 1), lambda b: b <= key))
     return F.when(key.isNull(), -1).when(at == 0, 0).otherwise((at - 1) * step + inner).cast("int")
 
 
-def with_next(df: DataFrame, key: str, tie: str, carried: list[str]) -> DataFrame:
-    """df with `next_<c>` of the row that follows in descending order of keys (after the last: the first).
+def _dealt(df: DataFrame, key: str, tie: str) -> DataFrame:
+    """df with __bucket and __part (range buckets of the order), __alone (whether a bucket has one key) and __turn.
 
-    Keys are dealt into range buckets by their quantiles; each bucket also gets a copy of the first row of the bucket
-    that follows, so one window over buckets answers all rows without ordering the whole table in one task.
+    Keys are dealt by their quantiles. A key that fills several of them has a bucket of its own, as have the rows
+    without a key, and such a bucket is parted by the hash of the tie.
     """
-    rows = df.select(key).count()
-    buckets = max(1, min(MAX_BUCKETS, rows // BUCKET_ROWS))
+    rows, keyless = df.agg(F.count("*"), F.count_if(F.col(key).isNull())).first()
+    buckets = max(1, min(MAX_BUCKETS, (rows - keyless) // BUCKET_ROWS))
     shares = [k / buckets for k in range(1, buckets)]
-    found = df.agg(F.percentile_approx(key, shares, max(10_000, 10 * buckets))).first()[0] if shares else []
-    bounds = sorted(set(found or []))
-    dealt = df.withColumn("__bucket", _bucket(F.col(key), bounds) if bounds else F.when(F.col(key).isNull(), -1).otherwise(0))
-    dealt = dealt.withColumn("__copy", F.lit(0))
-    # At most one row a bucket: their number is bounded by MAX_BUCKETS + 1.
-    heads = dealt.groupBy("__bucket").agg(F.max(key).alias("__head"))
-    before = _follow(heads)
-    copies = (
-        dealt.join(F.broadcast(before), (dealt["__bucket"] == before["__own"]) & dealt[key].eqNullSafe(before["__head"]))
-        .drop("__bucket", "__own", "__head")
-        .withColumnRenamed("__to", "__bucket")
-        .withColumn("__copy", F.lit(1))
+    found = (df.agg(F.percentile_approx(key, shares, max(10_000, 4 * buckets))).first()[0] if shares else None) or []
+    often = {k: n for k, n in Counter(found).items() if n > 1}
+    bounds = sorted(set(found) | {k + 1 for k in often})
+    parts = [max(1, min(MAX_BUCKETS, keyless // BUCKET_ROWS)), 1, *[often.get(k, 1) for k in bounds]]
+    alone = [True, False, *[k in often for k in bounds]]
+    bucket = _bucket(F.col(key), bounds) if bounds else F.when(F.col(key).isNull(), -1).otherwise(0)
+    turn = F.shiftrightunsigned(F.xxhash64(tie), 1)
+    share = F.shiftrightunsigned(F.xxhash64(tie), 34) / float(1 << 30)
+    return (
+        df.withColumn("__bucket", bucket)
+        .withColumn("__part", F.floor(share * F.get(_constant(parts, "array<int>"), F.col("__bucket") + 1)).cast("int"))
+        .withColumn("__alone", F.get(_constant(alone, "array<boolean>"), F.col("__bucket") + 1))
+        .withColumn("__turn", turn)
     )
-    w = Window.partitionBy("__bucket").orderBy(F.col("__copy"), F.col(key).desc_nulls_last(), F.col(tie))
-    both = dealt.unionByName(copies)
+
+
+def with_next(df: DataFrame, key: str, tie: str, carried: list[str], derive=None, derived: Sequence[str] = ()) -> DataFrame:
+    """df with `next_<c>` of the row that follows in descending order of keys (after the last: the first).
+
+    derive(df) adds the columns `derived` to rows whose next columns are known; they get next columns of their own, in
+    the same pass. Each bucket also gets a copy of the first row of the bucket that follows, so one window over buckets
+    answers all rows without ordering the whole table in one task.
+    """
+    dealt = _dealt(df, key, tie)
+    place = ["__bucket", "__part"]
+    # One row a bucket and part: at most 2 * MAX_BUCKETS for the keys and MAX_BUCKETS for rows without one.
+    heads = dealt.groupBy(*place).agg(F.max(key).alias("__head"), F.min("__turn").alias("__least"))
+    before = _follow(heads)
+    first = F.when(F.col("__alone"), F.col("__turn") == F.col("__least")).otherwise(F.col(key).eqNullSafe(F.col("__head")))
+    own = dealt.join(F.broadcast(before), (F.col("__bucket") == F.col("__own")) & (F.col("__part") == F.col("__own_part")))
+    copies = own.filter(first).dropDuplicates(["__own", "__own_part", key, "__turn", tie])
+    copies = copies.select(*df.columns, F.col("__to").alias("__bucket"), F.col("__to_part").alias("__part"), "__turn", F.lit(1).alias("__copy"))
+    both = dealt.select(*df.columns, *place, "__turn", F.lit(0).alias("__copy")).unionByName(copies)
+    w = Window.partitionBy(*place).orderBy(F.col("__copy"), F.col(key).desc_nulls_last(), F.col("__turn"), F.col(tie))
     for c in carried:
         both = both.withColumn(f"next_{c}", F.lead(c).over(w))
-    return both.filter("__copy = 0").drop("__copy", "__bucket")
+    if derive is not None:
+        both = derive(both)
+        for c in derived:
+            both = both.withColumn(f"next_{c}", F.lead(c).over(w))
+    return both.filter("__copy = 0").drop("__copy", "__turn", *place)
 
 
 def _follow(heads: DataFrame) -> DataFrame:
-    """Of each bucket: its first key, and the bucket before it in descending order (of the first: the last)."""
-    order = Window.orderBy(F.col("__bucket").desc())
-    least = F.min("__bucket").over(Window.partitionBy())
+    """Of each bucket and part: its head, and the one before it in the order (of the first: the last). One row a part."""
+    order = Window.orderBy(F.col("__bucket").desc(), F.col("__part"))
+    last = F.max(F.struct((-F.col("__bucket")).alias("b"), F.col("__part").alias("p"))).over(Window.partitionBy())
     return heads.select(
-        F.col("__bucket").alias("__own"), "__head", F.coalesce(F.lag("__bucket").over(order), least).alias("__to")
+        F.col("__bucket").alias("__own"),
+        F.col("__part").alias("__own_part"),
+        "__head",
+        "__least",
+        F.coalesce(F.lag("__bucket").over(order), -last["b"]).alias("__to"),
+        F.coalesce(F.lag("__part").over(order), last["p"]).alias("__to_part"),
     )
 
 

@@ -145,9 +145,20 @@ def test_next_row_across_buckets(spark, monkeypatch):
     ids = [None, *random.Random(3).sample(range(-50, 1000), 60), 7, 7]
     df = spark.createDataFrame([(i, str(k)) for k, i in enumerate(ids)], "doc_id long, text string").repartition(4)
     out = simhash.with_next(df, "doc_id", "text", ["text"]).collect()
-    order = sorted(((i, str(k)) for k, i in enumerate(ids)), key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
+    turn = {r["text"]: r["h"] for r in df.select("text", F.shiftrightunsigned(F.xxhash64("text"), 1).alias("h")).collect()}
+    order = sorted(((i, str(k)) for k, i in enumerate(ids)), key=lambda x: (x[0] is None, -(x[0] or 0), turn[x[1]], x[1]))
     want = {t: order[(k + 1) % len(order)][1] for k, (_, t) in enumerate(order)}
     assert {r["text"]: r["next_text"] for r in out} == want and len(out) == len(ids)
+    # Half of the rows share a key and a quarter has none: both are parted, and the order stays whole.
+    ids = [9] * 60 + [None] * 30 + list(range(30))
+    df = spark.createDataFrame([(i, f"t{k}") for k, i in enumerate(ids)], "doc_id long, text string").repartition(4)
+    parts = simhash._dealt(df, "doc_id", "text").groupBy("__bucket", "__part").count().collect()
+    assert max(r["count"] for r in parts) <= 20 and len({r["__part"] for r in parts if r["__bucket"] == -1}) > 5
+    turn = {r["text"]: r["h"] for r in df.select("text", F.shiftrightunsigned(F.xxhash64("text"), 1).alias("h")).collect()}
+    order = sorted(((i, f"t{k}") for k, i in enumerate(ids)), key=lambda x: (x[0] is None, -(x[0] or 0), turn[x[1]], x[1]))
+    want = {t: order[(k + 1) % len(order)][1] for k, (_, t) in enumerate(order)}
+    again = simhash.with_next(df, "doc_id", "text", ["text"], lambda d: d.withColumn("n", F.length("text")), ["n"]).collect()
+    assert {r["text"]: r["next_text"] for r in again} == want and all(r["next_n"] == len(r["next_text"]) for r in again)
     assert simhash.with_next(cases.empty(spark), "doc_id", "text", ["text"]).count() == 0
 
 
