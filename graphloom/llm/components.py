@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.staging import mark, release
 from .common import materialize
 
 
@@ -22,9 +23,10 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every end of the edges (u, v); the component is its least node.
 
     Both steps only group and join on nodes with pre-aggregated minima, so a hub with any number of neighbours is
-    spread like any other rows. Every round is written to the shared folder; rounds grow with the logarithm of the
-    longest path. Self-loops and repeated edges do not matter; no edges give no rows.
+    spread like any other rows. Every round is written to the shared folder in place of the one before; rounds grow with
+    the logarithm of the longest path. Self-loops and repeated edges do not matter; no edges give no rows.
     """
+    since = mark()
     current = materialize(
         edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"
     )
@@ -40,6 +42,7 @@ def components(edges: DataFrame) -> DataFrame:
             .distinct()
         )
         current = materialize(small, "edges")
+        release(edges.sparkSession, since, keep=1)
         state = _state(current)
         if state == seen:
             break

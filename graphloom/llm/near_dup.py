@@ -8,7 +8,8 @@ after that. The chance that no band holds a pair at similarity 0.8 is (1 - 0.8**
 
 Defined results: a null or empty text, or one without words, has an empty set and is linked with nothing; a text with
 fewer words than a shingle has its whole sequence as one shingle; rows that share a key are one document; a row
-without a key is linked with nothing, has no class and is kept; extra columns are ignored.
+without a key is linked with nothing, has no class and is kept; very long texts are hashed in blocks and read whole;
+extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.staging import mark, release
 from .common import materialize
 from .components import components
 from .shingles import U, mix, shingle_set
@@ -29,8 +31,9 @@ ROWS, BANDS = 6, 48
 PERMUTATIONS = ROWS * BANDS // 2
 #: Shingles hashed at a time.
 BLOCK = 1 << 14
-#: Most bits of the filter that drops texts outside all pairs, and 64-bit words of marks kept of a difference.
-SIEVE_BITS, MARKS = 1 << 27, 8
+#: Most bits of the filter that drops texts outside all pairs (32 MB; beyond a quarter as many ids the texts are joined
+#: instead), and 64-bit words of marks kept of a difference.
+SIEVE_BITS, MARKS = 1 << 28, 8
 
 _SEED = mix(np.arange(1, 2 * PERMUTATIONS + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15))
 _FACTOR, _OFFSET = _SEED[:PERMUTATIONS] | U(1), _SEED[PERMUTATIONS:]
@@ -103,31 +106,42 @@ def signed(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     return docs.select(key, text).mapInArrow(run, "id long, n long, k1 long, k2 long, keys array<long>")
 
 
-def _sets(docs: DataFrame, key: str, text: str, width: int, sieve: np.ndarray) -> DataFrame:
-    """id and full set of the rows that the sieve lets through."""
+def _sets(docs: DataFrame, key: str, text: str, width: int, wanted: DataFrame) -> DataFrame:
+    """id and full set of the rows that are wanted, and of some others.
+
+    A Bloom filter of the wanted ids drops most other texts where they are read; where they are too many for one, the
+    texts are joined with them first.
+    """
+    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).filter("id is not null")
+    n = wanted.count()
+    sieve = None
+    if 4 * n > SIEVE_BITS:
+        rows = rows.join(wanted, "id", "left_semi")
+    else:
+        sieve = docs.sparkSession.sparkContext.broadcast(_sieve(wanted, n))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                batch = batch.filter(pa.array(_sifted(sieve, batch.column(0).to_numpy(zero_copy_only=False))))
+                if sieve is not None:
+                    batch = batch.filter(pa.array(_sifted(sieve.value, batch.column(0).to_numpy(zero_copy_only=False))))
                 sets = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
                 offsets = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
                 values = np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64)
                 column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), column], ["id", "shingles"])
 
-    return docs.select(key, text).filter(F.col(key).isNotNull()).mapInArrow(run, "id long, shingles array<long>")
+    return rows.mapInArrow(run, "id long, shingles array<long>")
 
 
 def _places(ids: np.ndarray, bits: int) -> list[np.ndarray]:
     h = mix(ids.astype(np.int64).view(np.uint64) + U(0x9E3779B97F4A7C15))
-    return [h & U(bits - 1), (h >> U(32)) & U(bits - 1)]
+    return [h & U(bits - 1), (h >> U(32)) & U(bits - 1), mix(h) & U(bits - 1)]
 
 
-def _sieve(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of the ids as 64-bit words, of 2**20 to SIEVE_BITS bits whatever their number."""
-    n = ids.count()
+def _sieve(ids: DataFrame, n: int) -> np.ndarray:
+    """A Bloom filter of the n ids as 64-bit words, of 2**20 to SIEVE_BITS bits."""
     bits = 1 << 20
     while bits < min(16 * n, SIEVE_BITS):
         bits *= 2
@@ -159,7 +173,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int,
     semi-join on the ids drops the rest. `bits` marks where the sets' difference falls among 64 * MARKS places.
     """
     wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), f"{name}-ids")
-    read = _sets(docs, key, text, width, _sieve(wanted))
+    read = _sets(docs, key, text, width, wanted)
     # Made distinct before it is written, so that the joins below stay plain ones, which skew handling can split.
     sets = materialize(read.join(wanted, "id", "left_semi").dropDuplicates(["id"]), f"{name}-sets")
     left, right = (sets.select(F.col("id").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
@@ -214,10 +228,14 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
         .agg(F.max(F.struct("bands", (-F.col("leader")).alias("minus"))).alias("best"))
         .select((-F.col("best.minus")).alias("a"), F.col("id").alias("b"))
     )
+    since = mark()
     first = materialize(confirm(met, docs, key, text, width, percent, "first"), "first")
+    release(docs.sparkSession, since, keep=1)  # full sets are the largest tables
     linked = components(first.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
     rest = _apart(members, first, linked, percent)
+    since = mark()
     second = materialize(confirm(rest, docs, key, text, width, percent, "second"), "second")
+    release(docs.sparkSession, since, keep=1)
     label = F.coalesce(F.col("component"), F.col("id"))
     bridges = second.filter("linked")
     for end in ("a", "b"):
