@@ -8,11 +8,16 @@ the words of all classes; words are independent given the class, so the forward
 of its words' marginals.
 Every part is a probability distribution, so the score is a log10 probability of the text.
 
+`vocabulary_score` is the marginal under the vocabulary's own scores alone, without anything learned: a lattice of its
+pieces only.
+
 Each distinct word is scored once for the whole table. Words of the HOT most frequent (a bounded broadcast) are summed
 where the document is read; all others are joined to their scores by word.
 
 Defined results: null and empty texts have one token, the end; without training documents the spelling alone scores and
-an end costs log10(0.5); repeated rows are scored each; rows without a key count as key ''; extra columns are ignored.
+an end costs log10(0.5); repeated rows are scored each; rows without a key count as key ''; of classes with equally many
+documents the first by code point counts as more frequent; very long texts and words are read whole; extra columns are
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -108,7 +113,7 @@ def _most_frequent(words: DataFrame) -> DataFrame:
 def score(
     docs: DataFrame, training: Column, path: str, key: str = "doc_id", text: str = "text", label: str | None = "lang"
 ) -> DataFrame:
-    """key, n_tokens, n_known, train_tokens, base_score and score of every row of docs.
+    """key, n_tokens, n_known, train_tokens, base_score, score and vocabulary_score of every row of docs.
 
     training chooses the rows to learn from; path is a sentencepiece vocabulary with scores.
     """
@@ -164,20 +169,21 @@ def score(
         for whole in batches:
             counts = np.column_stack([whole.column(i + 1).to_numpy() for i in range(k)]).astype(np.float64)
             words = whole.column(0).to_pylist()
-            lp = by_count(counts, own.log_probabilities(words, list(fitted.value)) + stops)
+            logs = own.log_probabilities(words, [*fitted.value, pieces.value[1]])
+            lp = by_count(counts, logs[:, :k] + stops)
             total = counts.sum(axis=1)
             base = np.log10((total + 1) / (n + v + 1))
             offsets = pa.array(np.arange(0, len(words) * k + 1, k, dtype=np.int32))
             lists = pa.ListArray.from_arrays(offsets, pa.array(lp.ravel()))
             yield pa.RecordBatch.from_arrays(
-                [whole.column(0), pa.array(total.astype(np.int64)), pa.array(base), lists], ["word", "c", "base", "lp"]
+                [whole.column(0), pa.array(total.astype(np.int64)), pa.array(base), pa.array(logs[:, k]), lists], ["word", "c", "base", "plain", "lp"]
             )
 
     scored = materialize(
-        vocabulary.mapInArrow(score_words, "word string, c long, base double, lp array<double>"), "scored-words"
+        vocabulary.mapInArrow(score_words, "word string, c long, base double, plain double, lp array<double>"), "scored-words"
     )
     top = _most_frequent(scored.filter((F.col("c") > 0) & (F.length("word") <= HOT_CHARS)))
-    top = top.select("word", "base", *[F.get("lp", F.lit(i)).alias(f"lp{i}") for i in range(k)]).toPandas()
+    top = top.select("word", "base", "plain", *[F.get("lp", F.lit(i)).alias(f"lp{i}") for i in range(k)]).toPandas()
     lexicon = {w.encode("utf-8"): i for i, w in enumerate(top["word"])}
     hot = spark.sparkContext.broadcast((lexicon, top.drop(columns="word").to_numpy(dtype=np.float64)))
     del top
@@ -194,7 +200,7 @@ def score(
                     n_of = np.fromiter(counts.values(), dtype=np.float64, count=len(counts))
                     at_hot = np.array(index, dtype=np.int64)
                     hits = at_hot >= 0
-                    found.append(values[at_hot[hits]].T @ n_of[hits] if hits.any() else np.zeros(k + 1))
+                    found.append(values[at_hot[hits]].T @ n_of[hits] if hits.any() else np.zeros(k + 2))
                     tokens.append(int(n_of.sum()) + 1)
                     known.append(int(n_of[hits].sum()))
                     words.append([w.decode("utf-8") for w, i in zip(counts, index, strict=True) if i < 0])
@@ -206,16 +212,17 @@ def score(
                         pa.array(tokens, pa.int64()),
                         pa.array(known, pa.int64()),
                         pa.array(sums[:, 0]),
-                        pa.array(list(sums[:, 1:]), pa.list_(pa.float64())),
+                        pa.array(sums[:, 1]),
+                        pa.array(list(sums[:, 2:]), pa.list_(pa.float64())),
                         pa.array(words, pa.list_(pa.string())),
                         pa.array(times, pa.list_(pa.int64())),
                     ],
-                    ["key", "n_tokens", "n_known", "base", "lp", "words", "times"],
+                    ["key", "n_tokens", "n_known", "base", "plain", "lp", "words", "times"],
                 )
 
     key_kind = docs.schema[key].dataType.simpleString()
     summed = rows.select("key", "text").mapInArrow(
-        read, f"key {key_kind}, n_tokens long, n_known long, base double, lp array<double>, words array<string>, times array<long>"
+        read, f"key {key_kind}, n_tokens long, n_known long, base double, plain double, lp array<double>, words array<string>, times array<long>"
     )
     parts = materialize(summed.withColumn("row", F.monotonically_increasing_id()), "summed")
     rare = parts.select("row", F.explode(F.arrays_zip("words", "times")).alias("e")).select("row", F.col("e.words").alias("word"), F.col("e.times").alias("t"))
@@ -225,6 +232,7 @@ def score(
         .agg(
             F.sum(F.when(F.col("c") > 0, F.col("t")).otherwise(0)).alias("more_known"),
             F.sum(F.col("t") * F.col("base")).alias("more_base"),
+            F.sum(F.col("t") * F.col("plain")).alias("more_plain"),
             *[F.sum(F.col("t") * F.get("lp", F.lit(i))).alias(f"m{i}") for i in range(k)],
         )
     )
@@ -246,5 +254,6 @@ def score(
             F.lit(int(n)).cast("long").alias("train_tokens"),
             (F.col("base") + F.coalesce("more_base", F.lit(0.0)) + end_base).alias("base_score"),
             (marginal / float(np.log(10))).alias("score"),
+            ((F.col("plain") + F.coalesce("more_plain", F.lit(0.0))) / float(np.log(10))).alias("vocabulary_score"),
         )
     )

@@ -207,6 +207,43 @@ def test_base_and_score(spark, likelihood):
     assert sum(r["score"] for r in learned) > sum(r["base_score"] for r in learned)
 
 
+def test_document_marginal_against_every_segmentation(spark, monkeypatch):
+    rows = [(i, t, l) for i, (t, l) in enumerate([("ab ab ba", "x"), ("ab c", "x"), ("ba ba c", "y"), ("abc ab zé", "x"), ("c", None), (None, "y"), ("abba ab", None)])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learn, names, prior, byte_ids = F.col("doc_id") != 6, *lattice.load_pieces(PIECES)
+    fitted = []
+    plain = lattice.spelling_weights
+    monkeypatch.setattr(lm, "spelling_weights", lambda *a: fitted.append(plain(*a)) or fitted[-1])
+    got = {r["doc_id"]: r for r in lm.score(df, learn, PIECES).collect()}
+    kinds = ["x", "y", None]
+    models = fitted[-len(kinds):]
+    counts = [Counter(w for i, t, l in rows if i != 6 and l == kind for w in (t or "").split()) for kind in kinds]
+    ends = [sum(i != 6 and l == kind for i, _, l in rows) for kind in kinds]
+    n_k, v_k = [sum(c.values()) + e for c, e in zip(counts, ends, strict=True)], [len(c) + 1 for c in counts]
+    n, v = sum(n_k), len(set().union(*counts)) + 1
+    own = lattice.Lattice(names, prior, byte_ids)
+
+    def word(w, k):
+        """Probability in class k: counts of the class, then its spelling or the counts of all, then all spellings."""
+        def spelled(j):
+            if w is None:
+                return 0.0
+            if "é" in w:  # a character may be spelled in bytes
+                return math.exp(own.log_probabilities([w], [models[j][0]])[0, 0] + models[j][1])
+            return math.exp(brute(w, models[j][0], names) + models[j][1])
+
+        c = [x[w] if w else e for x, e in zip(counts, ends, strict=True)]
+        every = max(sum(c) - lm.DISCOUNT, 0) / n + lm.DISCOUNT * v / n * sum(v_k[j] / sum(v_k) * spelled(j) for j in range(3))
+        return max(c[k] - lm.DISCOUNT, 0) / n_k[k] + lm.DISCOUNT * v_k[k] / n_k[k] * ((1 - lm.COMMON) * spelled(k) + lm.COMMON * every)
+
+    for i, text, _ in rows:
+        tokens = [*(text or "").split(), None]
+        want = sum(ends[k] / sum(ends) * math.prod(word(w, k) for w in tokens) for k in range(3))
+        assert abs(got[i]["score"] - math.log10(want)) < 1e-9 * abs(got[i]["score"]) + 1e-9
+        if "é" not in (text or ""):
+            assert abs(got[i]["vocabulary_score"] - sum(brute(w, prior, names) for w in tokens[:-1]) / math.log(10)) < 1e-9
+
+
 def test_hot_and_joined_words_score_alike(spark, likelihood, monkeypatch):
     monkeypatch.setattr(lm, "HOT", 20)
     again = {r["doc_id"]: r["score"] for r in queries.QUERIES["op5_lattice_likelihood"](spark, FOLDER).collect()}
