@@ -1,4 +1,4 @@
-"""Scalar functions of the lexical graph as Column -> Column expressions (Python only for escapes and NFC)."""
+"""Scalar functions of the lexical graph as Column -> Column expressions (Python only for NFC)."""
 
 from __future__ import annotations
 
@@ -91,26 +91,38 @@ def local_name(iri: Column) -> Column:
     return F.substring_index(F.substring_index(iri, "#", -1), "/", -1)
 
 
-_ESCAPE = re.compile(r"\\(u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|[\"\\nrtbf/'])")
-_PLAIN = {'"': '"', "\\": "\\", "n": "\n", "r": "\r", "t": "\t", "b": "\b", "f": "\f", "/": "/", "'": "'"}
+# One-letter escapes of literals.
+_PLAIN = {'"': '"', "n": "\n", "r": "\r", "t": "\t", "b": "\b", "f": "\f", "/": "/", "'": "'"}
+#: Code points written out: four digits, or eight below 0x110000; no surrogates.
+_POINT = r"^(?:u(?![dD][89a-fA-F])[0-9A-Fa-f]{4}|U(?!0000[dD][89a-fA-F])00(?:0[0-9A-Fa-f]|10)[0-9A-Fa-f]{4})"
 
 
-def _unescaped(m: re.Match) -> str:
-    kind = m.group(1)
-    if kind in _PLAIN:
-        return _PLAIN[kind]
-    point = int(kind[1:], 16)
-    return chr(point) if point < 0x110000 and not 0xD800 <= point < 0xE000 else m.group(0)
+def _points(text: Column) -> Column:
+    """Written-out code points of a text in which no two backslashes stand together."""
 
+    def one(part: Column, i: Column) -> Column:
+        digits = F.when(part.startswith("u"), 4).otherwise(8)
+        point = F.decode(F.unhex(F.lpad(F.substr(part, F.lit(2), digits), 8, "0")), "UTF-32")
+        known = F.concat(point, F.substr(part, digits + 2))
+        return F.when(i == 0, part).when(part.rlike(_POINT), known).otherwise(F.concat(F.lit("\\"), part))
 
-@F.pandas_udf(StringType())
-def _unescape(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else _ESCAPE.sub(_unescaped, t))
+    return F.when(F.instr(text, "\\") == 0, text).otherwise(F.array_join(F.transform(F.split(text, r"\\", -1), one), ""))
 
 
 def unescape(text: Column) -> Column:
-    """Literal escapes resolved in one pass from the left; unknown ones stay. Only texts with a backslash reach Python."""
-    return F.when(F.instr(text, "\\") == 0, text).otherwise(_unescape(text))
+    """Literal escapes resolved in one pass from the left; unknown ones stay.
+
+    Doubled backslashes are the only escapes in which two stand together, so the text is cut at them first; no
+    replacement inside a piece can then begin another escape, if code points come last.
+    """
+
+    def piece(part: Column) -> Column:
+        for letter, meant in _PLAIN.items():
+            part = F.replace(part, F.lit("\\" + letter), F.lit(meant))
+        return _points(part)
+
+    whole = F.array_join(F.transform(F.split(text, r"\\\\", -1), piece), "\\")
+    return F.when(F.instr(text, "\\") == 0, text).otherwise(whole)
 
 
 def is_slovene(tail: Column) -> Column:
@@ -252,8 +264,9 @@ def _nfc(texts: pd.Series) -> pd.Series:
 
 
 def normal(text: Column) -> Column:
-    """NFC, white space to one space, trimmed, without trailing periods, folded. Only non-ASCII texts reach Python."""
-    composed = F.when(text.rlike(r"^\p{ASCII}*$"), text).otherwise(_nfc(text))
+    """NFC, white space to one space, trimmed, without trailing periods, folded. Python gets null for ASCII texts."""
+    plain = F.length(text) == F.octet_length(text)
+    composed = F.when(plain, text).otherwise(_nfc(F.when(~plain, text)))
     flat = F.trim(F.regexp_replace(composed, r"(?U)\s+", " "))
     return F.replace(F.lower(F.rtrim(flat, F.lit("."))), F.lit("ß"), F.lit("ss"))
 
@@ -291,3 +304,20 @@ def band(proxy: Column) -> Column:
 
 def sample_weight(proxy: Column) -> Column:
     return F.log1p(proxy)
+
+
+def grouped(n: Column) -> Column:
+    """A whole number with commas between thousands."""
+    return F.format_number(n, 0)
+
+
+def percent(part: Column, whole: Column, places: int = 1) -> Column:
+    """A share as text, such as 12.5 %; empty if there is nothing to share."""
+    return F.when(whole > 0, F.concat(F.format_number(100 * part / whole, places), F.lit(" %"))).otherwise("")
+
+
+def elapsed(seconds: Column) -> Column:
+    """Seconds as h:mm:ss."""
+    whole = F.floor(seconds).cast("long")
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    return F.concat_ws(":", F.floor(whole / 3600).cast("string"), two(F.floor(whole / 60) % 60), two(whole % 60))

@@ -180,7 +180,7 @@ KIND_NAMES = {
     "drugo": OTHER,
     "other": OTHER,
 }
-#: Slovene alphabet of the collation key.
+# Fixed value: Slovene alphabet of the collation key.
 ALPHABET = "abcčdefghijklmnoprsštuvzž"
 
 # Relation labels of the second-generation graph, by edge key; both translation directions share one.
@@ -194,3 +194,17 @@ RELATIONS = {
     "translation": (7, "prevod"),
     "head": (8, "glava"),
 }
+
+# Predicates of the second generation and the relation each stands for.
+SECOND_PREDICATES = {
+    ONTOLEX + "otherForm": "other",
+    ONTOLEX + "sense": "sense",
+    LEXINFO + "synonym": "syn",
+    LEXINFO + "antonym": "ant",
+    LEXICOG + "usageExample": "usage",
+    DECOMP + "constituent": "constituent",
+    DECOMP + "correspondsTo": "corresponds",
+    VARTRANS + "source": "translation",
+    VARTRANS + "target": "translation back",
+    FRAC + "head": "head",
+}

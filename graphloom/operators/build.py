@@ -28,14 +28,14 @@ class Graph:
 
     @property
     def half_edges(self) -> DataFrame:
-        return half_edges(self.edges)
+        return self.parts.get("half_edges", half_edges(self.edges))
 
 
 def half_edges(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
-    """Both directions of every edge; repeated edges and self-loops keep their multiplicity."""
-    return edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).unionAll(
-        edges.select(F.col(dst).alias("src"), F.col(src).alias("dst"))
-    )
+    """Both directions of every edge; repeated edges and self-loops keep their multiplicity. The edges are read once."""
+    a, b = F.col(src), F.col(dst)
+    both = F.array(F.struct(a.alias("src"), b.alias("dst")), F.struct(b.alias("src"), a.alias("dst")))
+    return edges.select(F.explode(both).alias("e")).select("e.src", "e.dst")
 
 
 def unordered_pairs(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -91,6 +91,163 @@ def _features(found: DataFrame, role: str, props: Sequence[str], types: Sequence
     return rows.groupBy(F.col("sc").alias("code")).agg(*cells)
 
 
+def translations_out(edges: DataFrame, lu: str) -> DataFrame:
+    """Edges whose lexical unit is not the entry of a translation; such chains are collapsed to form and sense."""
+    return edges.filter(scalar.type_of(F.col(lu)) != vocab.TYPES["lexical-entry-translation"])
+
+
+def literals(found: DataFrame) -> dict[str, DataFrame]:
+    """written, definition, value in Slovene, (code, ...) with one text each, and foreign (code, f: lang and lit)."""
+
+    def of(key: str) -> DataFrame:
+        return found.filter((F.col("role") == "literal") & (F.col("key") == key)).select(F.col("sc").alias("code"), "lit", "tail", "lang")
+
+    slovene = scalar.is_slovene(F.col("tail"))
+    spelled = of("written").filter(slovene).select("code", F.col("lit").alias("text"))
+    return {
+        "written": best_spelling(spelled, "code", "text"),
+        "foreign": of("written").filter(~slovene).groupBy("code").agg(F.min(F.struct("lang", "lit")).alias("f")),
+        "definition": of("definition").filter(slovene).groupBy("code").agg(F.min("lit").alias("definition")),
+        "value": of("value").filter(slovene).groupBy("code").agg(F.min("lit").alias("value")),
+    }
+
+
+def anchor_texts(
+    canon_of: DataFrame, other: DataFrame, text_of: DataFrame, features: DataFrame, pos: DataFrame, units: DataFrame, unit_features: Sequence[str]
+) -> DataFrame:
+    """(code, kind, text) of lexical units: the canonical form, else the least inflected form with text, and features.
+
+    canon_of(lu, form), other(lu, form), text_of(form, text), features(form, ...), pos(code, pos), units(code, ...).
+    """
+    first_inflected = other.join(text_of, "form", "left_semi").groupBy("lu").agg(F.min("form").alias("inflected"))
+    shown = (
+        canon_of.join(text_of.select("form"), "form", "left_semi")
+        .join(first_inflected, "lu", "full")
+        .select("lu", F.coalesce("form", "inflected").alias("form"))
+    )
+    labels = scalar.feature_text(F.col("pos"), {p: F.col(p) for p in unit_features}, {p: F.col(p) for p in vocab.FEATURES})
+    return (
+        shown.join(text_of, "form")
+        .join(features, "form", "left")
+        .join(pos.withColumnRenamed("code", "lu"), "lu", "left")
+        .join(units.withColumnRenamed("code", "lu"), "lu", "left")
+        .select(
+            F.col("lu").alias("code"),
+            F.lit(vocab.ANCHOR).alias("kind"),
+            F.concat(F.lit(vocab.TAGS[vocab.ANCHOR]), "text", labels).alias("text"),
+        )
+    )
+
+
+def form_texts(other: DataFrame, text_of: DataFrame, features: DataFrame) -> DataFrame:
+    """(code, kind, text) of inflected forms with a text."""
+    labels = scalar.feature_text(F.lit(None).cast("string"), {}, {p: F.col(p) for p in vocab.FEATURES})
+    return other.select("form").distinct().join(text_of, "form").join(features, "form", "left").select(
+        F.col("form").alias("code"), F.lit(vocab.FORM).alias("kind"), F.concat(F.lit(vocab.TAGS[vocab.FORM]), "text", labels).alias("text")
+    )
+
+
+def first_examples(usage: DataFrame, value: DataFrame) -> DataFrame:
+    """(sense, example, example_text): of the examples with a text the least. usage(sense, example), value(code, value)."""
+    texts = value.select(F.col("code").alias("example"), F.col("value"))
+    first = usage.join(texts, "example").groupBy("sense").agg(F.min(F.struct("example", "value")).alias("e"))
+    return first.select("sense", F.col("e.example").alias("example"), F.col("e.value").alias("example_text"))
+
+
+def sense_texts(sense_lemma: DataFrame, definition: DataFrame, examples: DataFrame, numbered: DataFrame, snippet_chars: int = 60) -> DataFrame:
+    """(code, kind, text): the definition, else the lemma with a short example; the ordinal where there is one.
+
+    sense_lemma(sense, lemma), definition(code, definition), examples(sense, example_text), numbered(sense, ordinal).
+    Senses with neither definition nor lemma are left out.
+    """
+    short = scalar.snippet(F.coalesce("example_text", F.lit("")), snippet_chars)
+    body = F.when(F.coalesce("definition", F.lit("")) != "", F.col("definition")).otherwise(
+        F.concat("lemma", F.when(short != "", F.concat(F.lit(" (zgled: "), short, F.lit(")"))).otherwise(""))
+    )
+    tag = F.coalesce(F.concat(F.lit("pomen "), F.col("ordinal").cast("string"), F.lit(": ")), F.lit(vocab.TAGS[vocab.SENSE]))
+    return (
+        sense_lemma.join(definition.withColumnRenamed("code", "sense"), "sense", "left")
+        .join(examples.select("sense", "example_text"), "sense", "left")
+        .join(numbered, "sense", "left")
+        .filter((F.coalesce("definition", F.lit("")) != "") | (F.coalesce("lemma", F.lit("")) != ""))
+        .select(F.col("sense").alias("code"), F.lit(vocab.SENSE).alias("kind"), F.concat(tag, body).alias("text"))
+    )
+
+
+def _pairs(df: DataFrame, kind: int, joiner: str) -> DataFrame:
+    return df.select("lo", "hi", "phrase", F.lit(kind).alias("kind"), F.lit(joiner).alias("joiner"))
+
+
+def minted(synonyms: DataFrame, antonyms: DataFrame, collocations: DataFrame, lemmas: DataFrame) -> DataFrame:
+    """(key, kind, lo, hi, text) of the nodes that stand for pairs whose two members are among lemmas(sense, lemma).
+
+    synonyms and antonyms have ends (a, b); collocations(lo, hi, phrase).
+    """
+    left = lemmas.select(F.col("sense").alias("lo"), F.col("lemma").alias("la"))
+    right = lemmas.select(F.col("sense").alias("hi"), F.col("lemma").alias("lb"))
+    plain = F.lit(None).cast("string")
+    pairs = (
+        _pairs(unordered_pairs(synonyms, "a", "b").withColumn("phrase", plain), vocab.SYNONYM, "~")
+        .unionByName(_pairs(unordered_pairs(antonyms, "a", "b").withColumn("phrase", plain), vocab.ANTONYM, "~"))
+        .unionByName(_pairs(collocations, vocab.COLLOCATION, "+"))
+    )
+    tags = F.create_map(*[x for k in (vocab.SYNONYM, vocab.ANTONYM, vocab.COLLOCATION) for x in (F.lit(k), F.lit(vocab.TAGS[k]))])
+    text = F.concat(F.element_at(tags, F.col("kind")), F.coalesce("phrase", F.concat_ws(" ", "la", "joiner", "lb")))
+    return pairs.join(left, "lo").join(right, "hi").select(F.concat_ws(":", "kind", "lo", "hi").alias("key"), "kind", "lo", "hi", text.alias("text"))
+
+
+def minted_ends(pairs: DataFrame) -> DataFrame:
+    """(src, end, rel): two edges of every minted node."""
+    return pairs.select(F.col("key").alias("src"), F.explode(F.array("lo", "hi")).alias("end"), F.col("kind").cast("string").alias("rel"))
+
+
+def named_by_owner(pairs: DataFrame, sense_lemma: DataFrame) -> DataFrame:
+    """pairs(lo, hi, owner) with `phrase`: the lemma of the sense that the owner's code names, if it names one."""
+    number = F.shiftright("owner", vocab.HALF_BITS).bitwiseAND(F.lit((1 << vocab.HALF_BITS) - 1))
+    sense = F.when(scalar.type_of(F.col("owner")) == vocab.T_COLLOCATION, number.bitwiseOR(F.lit(vocab.TYPES["sense"] << vocab.TYPE_SHIFT)))
+    phrases = sense_lemma.select(F.col("sense").alias("named"), F.nullif("lemma", F.lit("")).alias("phrase"))
+    return pairs.withColumn("named", sense).join(phrases, "named", "left").select("lo", "hi", "owner", "phrase")
+
+
+def coverage(features: DataFrame, props: Sequence[str]) -> DataFrame:
+    """(prop, codes): how many codes carry each property."""
+    return features.unpivot(features.columns[0], list(props), "prop", "value").filter("value is not null").groupBy("prop").agg(F.count("*").alias("codes"))
+
+
+def textless(nodes: DataFrame, kind: str = "type_id") -> DataFrame:
+    """(kind, textless, n)."""
+    return nodes.groupBy(kind).agg(F.count_if(F.coalesce("text", F.lit("")) == "").alias("textless"), F.count("*").alias("n"))
+
+
+def token_budget(nodes: DataFrame, kind: str = "kind") -> DataFrame:
+    """(kind, nodes, tokens, share, mean) of nodes(kind, token_len); the window has one row a kind."""
+    counted = nodes.groupBy(kind).agg(F.count("*").alias("nodes"), F.sum("token_len").alias("tokens"), F.avg("token_len").alias("mean"))
+    return counted.withColumn("share", F.col("tokens") / F.sum("tokens").over(Window.partitionBy()))
+
+
+def with_token_lengths(nodes: DataFrame, tokens, text: str = "text", distinct: bool = False) -> DataFrame:
+    """nodes with token_len; `distinct` measures every different text once and joins the lengths back."""
+    if not distinct:
+        return nodes.withColumn("token_len", tokens(F.col(text)))
+    lengths = nodes.select(F.col(text).alias("__t")).distinct().withColumn("token_len", tokens(F.col("__t")))
+    return nodes.join(lengths, nodes[text] == lengths["__t"], "left").drop("__t")
+
+
+#: Triples a file of the dispatched table should hold at most; a role and key is dealt over as many tasks.
+LOT = 2_000_000
+
+
+def dispatched_table(triples: DataFrame, hosts: Sequence[str]) -> DataFrame:
+    """Dispatched triples, written once by role and key, so each relation reads its own partitions only.
+
+    Rows are first gathered by role, key and a salt, so the number of files does not grow with the number of tasks.
+    """
+    found = ntriples.dispatched(triples, hosts).drop("is_iri", "p")
+    spark = found.sparkSession
+    salt = F.pmod(F.xxhash64("s"), F.lit(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)))
+    return staged(found.repartition("role", "key", salt), "triples", ("role", "key"))
+
+
 def build(
     triples: DataFrame,
     hosts: Sequence[str] = vocab.HOSTS,
@@ -99,32 +256,23 @@ def build(
     colloc_text: str = "phrase",
     unit_features: Sequence[str] = vocab.UNIT_FEATURES,
     tokens=scalar.token_proxy,
+    distinct_tokens: bool = False,
 ) -> Graph:
-    """The graph of parsed triples. `tokens` maps a text column to its length in tokens.
-
-    The dispatched triples are written once, by role and key, so each relation reads its own partitions only.
-    """
-    found = staged(ntriples.dispatched(triples, hosts).drop("is_iri", "p"), "triples", ("role", "key"))
+    """The graph of parsed triples. `tokens` maps a text column to its length in tokens."""
+    found = dispatched_table(triples, hosts)
 
     def edge(key: str, a: str, b: str) -> DataFrame:
         return found.filter((F.col("role") == "edge") & (F.col("key") == key) & F.col("oc").isNotNull()).select(
             F.col("sc").alias(a), F.col("oc").alias(b)
         )
 
-    def literal(key: str) -> DataFrame:
-        return found.filter((F.col("role") == "literal") & (F.col("key") == key)).select(F.col("sc").alias("code"), "lit", "tail", "lang")
-
-    not_chain = scalar.type_of(F.col("lu")) != vocab.TYPES["lexical-entry-translation"]
-    canon, sense = edge("canon", "lu", "form").filter(not_chain), edge("sense", "lu", "sense").filter(not_chain)
+    canon, sense = translations_out(edge("canon", "lu", "form"), "lu"), translations_out(edge("sense", "lu", "sense"), "lu")
     other, usage = edge("other", "lu", "form"), edge("usage", "sense", "example")
-    translated = edge("tsrc", "form", "sense")
+    translated, members = edge("tsrc", "form", "sense"), edge("member", "owner", "member")
     mwe = contract(edge("constit", "mwe", "part"), edge("corr", "part", "word"))
-    slovene = scalar.is_slovene(F.col("tail"))
-    spelled = best_spelling(literal("written").filter(slovene).select("code", F.col("lit").alias("text")), "code", "text")
-    written = staged(spelled, "written")
-    foreign = literal("written").filter(~slovene).groupBy("code").agg(F.min(F.struct("lang", "lit")).alias("f"))
-    definition = literal("definition").filter(slovene).groupBy("code").agg(F.min("lit").alias("definition"))
-    value = literal("value").filter(slovene).groupBy("code").agg(F.min("lit").alias("value"))
+    texts = literals(found)
+    written = staged(texts["written"], "written")
+    foreign, definition, value = (texts[k] for k in ("foreign", "definition", "value"))
     forms = _features(found, "feature", vocab.FEATURES, (vocab.TYPES["word-form"], vocab.TYPES["form-lexical-unit"]))
     units = _features(found, "unit", unit_features, (vocab.TYPES["lexical-unit"],))
     pos = found.filter("role = 'pos'").groupBy(F.col("sc").alias("code")).agg(F.min(scalar.local_name(F.col("o"))).alias("pos"))
@@ -148,55 +296,12 @@ def build(
     real = staged(real, "edges")
     universe = real.select(F.col("a").alias("code")).union(real.select("b")).union(canon.select("lu")).distinct()
 
-    # Texts by kind; each is (code, kind, text).
-    form_columns = {p: F.col(p) for p in vocab.FEATURES}
-    unit_columns = {p: F.col(p) for p in unit_features}
     features = forms.withColumnRenamed("code", "form")
-    first_inflected = other.join(text_of, "form", "left_semi").groupBy("lu").agg(F.min("form").alias("inflected"))
-    shown = (
-        canon_of.join(text_of.select("form"), "form", "left_semi")
-        .join(first_inflected, "lu", "full")
-        .select("lu", F.coalesce("form", "inflected").alias("form"))
-    )
-    anchors = (
-        shown.join(text_of, "form")
-        .join(features, "form", "left")
-        .join(pos.withColumnRenamed("code", "lu"), "lu", "left")
-        .join(units.withColumnRenamed("code", "lu"), "lu", "left")
-        .select(
-            F.col("lu").alias("code"),
-            F.lit(vocab.ANCHOR).alias("kind"),
-            F.concat(F.lit(vocab.TAGS[vocab.ANCHOR]), "text", scalar.feature_text(F.col("pos"), unit_columns, form_columns)).alias("text"),
-        )
-    )
-    no_pos = F.lit(None).cast("string")
-    inflected = (
-        other.select("form").distinct().join(text_of, "form").join(features, "form", "left").select(
-            F.col("form").alias("code"),
-            F.lit(vocab.FORM).alias("kind"),
-            F.concat(F.lit(vocab.TAGS[vocab.FORM]), "text", scalar.feature_text(no_pos, {}, form_columns)).alias("text"),
-        )
-    )
-    first_example = (
-        usage.join(value.select(F.col("code").alias("example"), F.col("value")), "example")
-        .groupBy("sense")
-        .agg(F.min(F.struct("example", "value")).alias("e"))
-        .select("sense", F.col("e.value").alias("example_text"))
-    )
-    short = scalar.snippet(F.coalesce("example_text", F.lit("")), snippet_chars)
-    body = F.when(F.coalesce("definition", F.lit("")) != "", F.col("definition")).otherwise(
-        F.concat("lemma", F.when(short != "", F.concat(F.lit(" (zgled: "), short, F.lit(")"))).otherwise(""))
-    )
+    anchors = anchor_texts(canon_of, other, text_of, features, pos, units, unit_features)
+    examples = first_examples(usage, value)
     numbered = ordinals(sense, "lu", "sense") if sense_index else sense.select("sense").limit(0).withColumn("ordinal", F.lit(0))
-    tag = F.coalesce(F.concat(F.lit("pomen "), F.col("ordinal").cast("string"), F.lit(": ")), F.lit(vocab.TAGS[vocab.SENSE]))
-    senses = (
-        sense_lemma.join(definition.withColumnRenamed("code", "sense"), "sense", "left")
-        .join(first_example, "sense", "left")
-        .join(numbered, "sense", "left")
-        .filter((F.coalesce("definition", F.lit("")) != "") | (F.coalesce("lemma", F.lit("")) != ""))
-        .select(F.col("sense").alias("code"), F.lit(vocab.SENSE).alias("kind"), F.concat(tag, body).alias("text"))
-    )
-    ranked = anchors.union(inflected).union(senses).groupBy("code").agg(F.min(F.struct("kind", "text")).alias("own"))
+    senses = sense_texts(sense_lemma, definition, examples, numbered, snippet_chars)
+    ranked = anchors.union(form_texts(other, text_of, features)).union(senses).groupBy("code").agg(F.min(F.struct("kind", "text")).alias("own"))
     some = lambda c: F.nullif(c, F.lit(""))
     type_id = scalar.type_of(F.col("code"))
     d, v, w = some(F.col("definition")), some(F.col("value")), some(F.col("text"))
@@ -227,42 +332,19 @@ def build(
 
     # Minted nodes: both members must be nodes and have a lemma.
     lemmas = sense_lemma.filter(F.coalesce("lemma", F.lit("")) != "").join(universe, F.col("sense") == F.col("code"), "left_semi")
-    left = lemmas.select(F.col("sense").alias("lo"), F.col("lemma").alias("la"))
-    right = lemmas.select(F.col("sense").alias("hi"), F.col("lemma").alias("lb"))
-    members = edge("member", "owner", "member")
-    phrases = sense_lemma.select(F.col("sense").alias("named"), F.nullif("lemma", F.lit("")).alias("phrase"))
-    owner_sense = F.when(
-        scalar.type_of(F.col("owner")) == vocab.T_COLLOCATION,
-        F.shiftright("owner", vocab.HALF_BITS).bitwiseAND(F.lit((1 << vocab.HALF_BITS) - 1)).bitwiseOR(F.lit(vocab.TYPES["sense"] << vocab.TYPE_SHIFT)),
-    )
-    collocations = binary_member_sets(members).withColumn("named", owner_sense).join(phrases, "named", "left")
+    collocations = named_by_owner(binary_member_sets(members), sense_lemma)
     if colloc_text != "phrase":
         collocations = collocations.withColumn("phrase", F.lit(None).cast("string"))
-    plain = F.lit(None).cast("string").alias("phrase")
-    pairs = (
-        unordered_pairs(edge("syn", "a", "b"), "a", "b").select("lo", "hi", plain, F.lit(vocab.SYNONYM).alias("kind"), F.lit("~").alias("joiner"))
-        .unionByName(unordered_pairs(edge("ant", "a", "b"), "a", "b").select("lo", "hi", plain, F.lit(vocab.ANTONYM).alias("kind"), F.lit("~").alias("joiner")))
-        .unionByName(collocations.select("lo", "hi", "phrase", F.lit(vocab.COLLOCATION).alias("kind"), F.lit("+").alias("joiner")))
-    )
-    tags = F.create_map(*[x for k in (vocab.SYNONYM, vocab.ANTONYM, vocab.COLLOCATION) for x in (F.lit(k), F.lit(vocab.TAGS[k]))])
-    minted = (
-        pairs.join(left, "lo")
-        .join(right, "hi")
-        .select(
-            F.concat_ws(":", "kind", "lo", "hi").alias("key"),
-            "kind",
-            "lo",
-            "hi",
-            F.concat(F.element_at(tags, F.col("kind")), F.coalesce("phrase", F.concat_ws(" ", "la", "joiner", "lb"))).alias("text"),
-        )
-    )
-    minted_nodes = minted.select(
+    pairs = minted(edge("syn", "a", "b"), edge("ant", "a", "b"), collocations, lemmas)
+    minted_nodes = pairs.select(
         "key", F.lit(None).cast("long").alias("code"), F.lit(-1).alias("type_id"), F.col("kind").cast("byte").alias("kind"), F.lit(False).alias("is_mwe"), "text"
     )
-    nodes = named.unionByName(minted_nodes).withColumn("token_len", tokens(F.col("text")))
-    ends = minted.select(F.col("key").alias("src"), F.explode(F.array("lo", "hi")).alias("end"), F.col("kind").cast("string").alias("rel"))
+    nodes = with_token_lengths(named.unionByName(minted_nodes), tokens, distinct=distinct_tokens)
     edges = real.select(real_key(F.col("a")).alias("src"), real_key(F.col("b")).alias("dst"), "rel").unionByName(
-        ends.select("src", real_key(F.col("end")).alias("dst"), "rel")
+        minted_ends(pairs).select("src", real_key(F.col("end")).alias("dst"), "rel")
     )
-    parts = {"mwe": mwe, "sense_lemma": sense_lemma, "members": members, "written": written, "features": forms, "canon_of": canon_of, "other": other, "definition": definition, "pos": pos, "sense": sense, "usage": usage, "value": value, "found": found}
+    parts = {
+        "mwe": mwe, "sense_lemma": sense_lemma, "members": members, "written": written, "features": forms, "units": units, "canon_of": canon_of, "other": other,
+        "definition": definition, "pos": pos, "sense": sense, "usage": usage, "value": value, "found": found, "examples": examples, "numbered": numbered,
+    }
     return Graph(nodes, edges, parts)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import scalar, vocab
 from .build import Graph
@@ -35,10 +34,16 @@ class Lexicon:
         return self.graph.nodes.filter(hit)
 
     def word(self, word: str, also: list[str] | None = None, rank_cap: int = RANK_CAP) -> DataFrame:
-        """(kind, tier, label, key, text) of the searched kinds, best first; counts in `counts` stay exact beyond rank_cap."""
-        wanted = set(BASE_KINDS) | kinds_named(also or [])
-        place = F.row_number().over(Window.partitionBy("kind").orderBy("key"))
-        ranked = self.matches(word).filter(F.col("kind").isin(*wanted)).withColumn("place", place).filter(F.col("place") <= rank_cap)
+        """(kind, tier, label, key, text) of the searched kinds, best first; counts in `counts` stay exact beyond rank_cap.
+
+        One ordered limit a kind: tasks keep their least rank_cap rows, and those alone are merged.
+        """
+        wanted = sorted(set(BASE_KINDS) | kinds_named(also or []))
+        found = self.matches(word)
+        ranked = None
+        for kind in wanted:
+            one = found.filter(F.col("kind") == kind).orderBy("key").limit(rank_cap)
+            ranked = one if ranked is None else ranked.unionAll(one)
         return ranked.select(
             "kind",
             scalar.tier(F.col("text"), F.col("kind"), word).alias("tier"),
@@ -47,6 +52,22 @@ class Lexicon:
             "text",
         ).orderBy("kind", "tier", "label")
 
+    def best_forms(self, ranked: DataFrame) -> DataFrame:
+        """(key) of the forms in the best tier that forms reach, from the rows of `word`."""
+        forms = ranked.filter(F.col("kind") == vocab.FORM)
+        best = forms.agg(F.min("tier").alias("best"))  # one row
+        return forms.join(F.broadcast(best), F.col("tier") == F.col("best"), "left_semi").select("key")
+
+    def inflected_only(self, ranked: DataFrame) -> DataFrame:
+        """One row: whether a form bears the word exactly and no headword does."""
+        exact = lambda kind: F.count_if((F.col("kind") == kind) & (F.col("tier") == 0)) > 0
+        return ranked.agg((exact(vocab.FORM) & ~exact(vocab.ANCHOR)).alias("inflected_only"))
+
+    def unsearched(self, word: str, also: list[str] | None = None) -> DataFrame:
+        """(kind, nodes) of the kinds that `word` does not rank but that hold the word, most first."""
+        wanted = set(BASE_KINDS) | kinds_named(also or [])
+        return self.counts(word).filter(~F.col("kind").isin(*wanted))
+
     def counts(self, word: str) -> DataFrame:
         return self.matches(word).groupBy("kind").agg(F.count("*").alias("nodes")).orderBy(F.desc("nodes"), "kind")
 

@@ -19,7 +19,7 @@ NUMBERS = ("singular", "dual", "plural")
 PERSONS = ("first", "second", "third")
 VERB_FORMS = ("infinitive", "supine", "imperative")
 DEGREES = ("positive", "comparative", "superlative")
-#: type -> (arity or None, separator or None for one item, order graded, filler of gaps or None)
+# The answer contracts, type -> (arity or None, separator or None for one item, order graded, filler of gaps or None).
 CONTRACTS: Mapping[str, tuple[int | None, str | None, bool, str | None]] = {
     "T1": (18, ", ", True, "/"),
     "T2": (6, ", ", True, "/"),
@@ -44,6 +44,22 @@ CONTRACTS: Mapping[str, tuple[int | None, str | None, bool, str | None]] = {
 }
 
 
+def contract_breaches(items: DataFrame) -> DataFrame:
+    """items(type, gold as array, answer) whose answer is no line, holds its own separator in an item, or has the wrong
+    number of items for its type; one row for each, with `breach`."""
+    rows = [(t, n or 0, sep or "", gap or "") for t, (n, sep, _, gap) in CONTRACTS.items()]
+    known = items.sparkSession.createDataFrame(rows, "type string, arity int, sep string, gap string")
+    joined = items.join(F.broadcast(known), "type", "left")  # one row a type
+    lone = F.col("sep") == ""
+    breach = (
+        F.when(F.col("arity").isNull(), "type")
+        .when(~F.col("answer").rlike(r"^ODGOVOR: [^\n]+$"), "line")
+        .when((F.col("arity") > 0) & (F.size("gold") != F.col("arity")), "arity")
+        .when(~lone & F.exists("gold", lambda x: F.instr(x, F.trim("sep")) > 0), "separator")
+    )
+    return joined.withColumn("breach", breach).filter("breach is not null").select(*items.columns, "breach")
+
+
 def reverse_index(forms: DataFrame) -> DataFrame:
     """(surface, lemmas, n_units) from forms(surface, unit, lemma), surfaces in lower case."""
     low = forms.select(F.lower("surface").alias("surface"), "unit", "lemma")
@@ -65,17 +81,40 @@ def frequency(collocations: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def quota_sample(pool: DataFrame, key: str, n: int, seed: int = 42, quotas: Sequence[int] = QUOTAS) -> DataFrame:
-    """Exactly quota * n rows of each band (all of a smaller one), in the order of their draws."""
+    """Exactly quota * n rows of each band (all of a smaller one), in the order of their draws.
+
+    Draws are counted in 4096 slots a band first; only rows of the slots that the quota reaches are ranked.
+    """
     draw = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
-    place = F.row_number().over(Window.partitionBy("band").orderBy(draw, key))
     limit = F.get(F.array(*[F.lit(q * n // 100) for q in quotas]), F.col("band"))
-    return pool.withColumn("__place", place).filter(F.col("__place") <= limit).drop("__place")
+    drawn = pool.withColumns({"__draw": draw, "__slot": F.substring(draw, 1, 3)})
+    slots = drawn.groupBy("band", "__slot").agg(F.count("*").alias("rows"))
+    upto = Window.partitionBy("band").orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
+    some = slots.withColumn("before", F.coalesce(F.sum("rows").over(upto), F.lit(0))).filter(F.col("before") < limit).select("band", "__slot")
+    # At most 4096 slots a band and as many bands as quotas.
+    place = F.row_number().over(Window.partitionBy("band").orderBy("__draw", key))
+    few = drawn.join(F.broadcast(some), ["band", "__slot"]).withColumn("__place", place).filter(F.col("__place") <= limit)
+    return few.select(*pool.columns)
 
 
-def lemma_split(items: DataFrame, lemma: str, test_percent: int = 15, seed: int = 42) -> DataFrame:
-    """items with `split`: a lemma falls into one side as a whole, by a hash."""
-    rest = scalar.hash56(F.concat(F.lit(f"{seed}:"), F.lower(lemma))) % 100
-    return items.withColumn("split", F.when(rest < test_percent, "test").otherwise("train"))
+def lemma_split(items: DataFrame, lemma: str, test_percent: int = 15, seed: int = 42, band: str | None = None) -> DataFrame:
+    """items with `split`: a lemma falls into one side as a whole, by a hash.
+
+    With `band`, every band gives the same share of its lemmas: those whose draw is least in their band (a lemma in
+    several bands counts in the least). Lemmas are dealt by draws into slots, so no band is sorted as a whole.
+    """
+    draw = scalar.hash56(F.concat(F.lit(f"{seed}:"), F.lower(lemma)))
+    if band is None:
+        return items.withColumn("split", F.when(draw % 100 < test_percent, "test").otherwise("train"))
+    lemmas = items.groupBy(F.lower(lemma).alias("__l")).agg(F.min(band).alias("__b"))
+    drawn = lemmas.withColumn("__d", scalar.hash56(F.concat(F.lit(f"{seed}:"), F.col("__l")))).withColumn("__slot", F.shiftright("__d", 44))
+    slots = drawn.groupBy("__b", "__slot").agg(F.count("*").alias("rows"))
+    upto = Window.partitionBy("__b").orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = slots.select("__b", "__slot", F.coalesce(F.sum("rows").over(upto), F.lit(0)).alias("before"), F.sum("rows").over(Window.partitionBy("__b")).alias("all"))
+    inside = F.row_number().over(Window.partitionBy("__b", "__slot").orderBy("__d", "__l"))
+    ranked = drawn.withColumn("place", inside).join(offsets, ["__b", "__slot"])
+    side = ranked.select("__l", F.when((F.col("before") + F.col("place")) * 100 <= F.col("all") * test_percent, "test").otherwise("train").alias("split"))
+    return items.withColumn("__l", F.lower(lemma)).join(side, "__l", "left").drop("__l")
 
 
 def weighted_cap(partners: DataFrame, anchor: str, node: str, proxy: str, cap: int = 15) -> DataFrame:
@@ -107,6 +146,114 @@ def partners(pairs: DataFrame, cap: int = 10) -> DataFrame:
     return few.groupBy("anchor").agg(F.sort_array(F.collect_list(F.struct("place", "name"))).alias("l")).select("anchor", F.col("l.name").alias("gold"))
 
 
+def eligible(pool: DataFrame, flags: DataFrame, number: str, below: int = 1_000_000) -> DataFrame:
+    """(seed) of a pool whose number is small and that has one of the flagged relations. flags(seed)."""
+    return pool.filter(F.col(number) < below).select(F.col(number).alias("seed")).join(flags.select("seed").distinct(), "seed", "left_semi")
+
+
+def availability(banded: DataFrame, types: Sequence[str]) -> DataFrame:
+    """Band by type matrix of how many words offer a type. banded(band, type)."""
+    wide = banded.groupBy("band").pivot("type", list(types)).agg(F.count("band"))
+    return wide.select("band", *[F.coalesce(F.col(f"`{c}`"), F.lit(0)).alias(c) for c in types])
+
+
+def covered(words: DataFrame, population: str, flags: Mapping[str, DataFrame]) -> DataFrame:
+    """(population, share of its words that have each flagged relation, n). words(word, population), flags: name -> (word)."""
+    out = words
+    for name, has in flags.items():
+        out = out.join(has.select("word").distinct().withColumn(name, F.lit(1)), "word", "left")
+    return out.groupBy(population).agg(*[F.avg(F.coalesce(F.col(f), F.lit(0))).alias(f) for f in flags], F.count("*").alias("n"))
+
+
+#: Of a hundred negatives, how many ask for words that do not exist.
+MADE_UP_PERCENT = 30
+
+
+def negatives(
+    words: DataFrame, has: DataFrame, senses: DataFrame, neighbours: DataFrame, percent: int = 10, seed: int = 42
+) -> DataFrame:
+    """(word, flavour): items without an answer, drawn by hash: about `percent` of the words each asked for a relation.
+
+    made_up: the word does not exist (its draw falls into MADE_UP_PERCENT); lacks: it lacks the relation, and no
+    neighbour has it; distractor: it lacks it, but a neighbour drawn into its ball has it; other_sense: another of its
+    senses has it. words(word), has(word) with the relation, senses(word, sense, has), neighbours(word, near).
+    """
+    draw = lambda salt: scalar.hash56(F.concat(F.lit(f"{seed}:{salt}:"), F.col("word").cast("string")))
+    asked = words.select("word").filter(draw("negative") % 100 < percent)
+    made_up = draw("made up") % 100 < MADE_UP_PERCENT
+    owned = has.select("word").distinct()
+    mixed = senses.groupBy("word").agg(F.bool_or("has").alias("some"), F.bool_and("has").alias("all")).filter("some and not all").select("word")
+    lacking = asked.filter(~made_up).join(owned, "word", "left_anti")
+    near = neighbours.join(owned.select(F.col("word").alias("near")), "near", "left_semi").select("word").distinct().withColumn("told", F.lit(True))
+    rows = [
+        asked.filter(made_up).select("word", F.lit("made_up").alias("flavour")),
+        lacking.join(near, "word", "left").select("word", F.when(F.col("told"), "distractor").otherwise("lacks").alias("flavour")),
+        asked.filter(~made_up).join(owned, "word", "left_semi").join(mixed, "word", "left_semi").select("word", F.lit("other_sense").alias("flavour")),
+    ]
+    return rows[0].unionAll(rows[1]).unionAll(rows[2])
+
+
+def held_out(items: DataFrame, frames: int, withheld: int = 2, new_types: Sequence[str] = (), relation_types: Sequence[str] = ("T16",)) -> DataFrame:
+    """items(type, frame, split) with `tier`: A for phrasings withheld from training, B for new question types, C for the
+    relation that training never sees; such items are never in the training split, other items have no tier."""
+    tier = (
+        F.when(F.col("type").isin(*relation_types), "C")
+        .when(F.col("type").isin(*new_types) if new_types else F.lit(False), "B")
+        .when(F.col("frame") >= frames - withheld, "A")
+    )
+    return items.withColumn("tier", tier).withColumn("split", F.when(F.col("tier").isNotNull(), "test").otherwise(F.col("split")))
+
+
+def counted(partners: DataFrame, least: int = 2, most: int = 10, short_percent: int = 10, seed: int = 42) -> DataFrame:
+    """(anchor, asked, gold, short): exactly `asked` items, a number drawn for every anchor, in canonical order.
+
+    Anchors with fewer are left out, but for a drawn share of them, whose honest list is all they have. partners(anchor, gold).
+    """
+    key = F.col("anchor").cast("string")
+    asked = (scalar.hash56(F.concat(F.lit(f"{seed}:asked:"), key)) % (most - least + 1) + least).cast("int")
+    drawn = scalar.hash56(F.concat(F.lit(f"{seed}:short:"), key)) % 100 < short_percent
+    short = F.size("gold") < F.col("asked")
+    return partners.withColumn("asked", asked).withColumn("short", short).filter(~F.col("short") | drawn).select(
+        "anchor", "asked", F.slice("gold", F.lit(1), F.col("asked")).alias("gold"), "short"
+    )
+
+
+def by_category(phrases: DataFrame, category: str) -> DataFrame:
+    """(anchor, gold): names of partners of one part of speech, in order. phrases(anchor, name, pos)."""
+    some = phrases.filter(F.col("pos") == category).select("anchor", "name").distinct()
+    return some.groupBy("anchor").agg(F.sort_array(F.collect_list("name")).alias("gold"))
+
+
+def by_sense(pairs: DataFrame) -> DataFrame:
+    """(anchor, sense, gold): partners of each sense by itself. pairs(anchor, sense, name)."""
+    return pairs.select("anchor", "sense", "name").distinct().groupBy("anchor", "sense").agg(F.sort_array(F.collect_list("name")).alias("gold"))
+
+
+def extraction_rates(asked: DataFrame, found: DataFrame) -> DataFrame:
+    """One row: items, recall (the unit asked for is among those found) and several (share of items with more than one).
+
+    asked(id, unit), found(id, unit).
+    """
+    per = found.groupBy("id").agg(F.count_distinct("unit").alias("n"))
+    hit = found.select("id", "unit").distinct().withColumn("hit", F.lit(1))
+    rows = asked.join(hit, ["id", "unit"], "left").join(per, "id", "left")
+    return rows.agg(
+        F.count("*").alias("items"), F.avg(F.coalesce("hit", F.lit(0))).alias("recall"), F.avg((F.coalesce("n", F.lit(0)) > 1).cast("int")).alias("several")
+    )
+
+
+def in_sentences(sentences: DataFrame, forms: DataFrame, on: Sequence[str], text: str = "text", surface: str = "surface") -> DataFrame:
+    """sentences joined with the forms of their anchor (the columns `on`) that stand in them as whole words."""
+    whole = F.expr(rf"`{text}` rlike concat('(?U)(?<!\\w)\\Q', `{surface}`, '\\E(?!\\w)')")
+    return sentences.join(forms, list(on)).filter(whole)
+
+
+def unambiguous(forms: DataFrame, on: Sequence[str], reading: str) -> DataFrame:
+    """(*on, reading) of forms that have one reading only."""
+    found = forms.groupBy(*on).agg(F.min(reading).alias(reading), F.count_distinct(reading).alias("__n"))
+    return found.filter("__n = 1").drop("__n")
+
+
 def unique_cells(forms: DataFrame, cell: Sequence[str]) -> DataFrame:
     """forms(anchor, surface, *cell) of anchors none of whose cells has two surfaces, without repeats."""
     rows = forms.select("anchor", "surface", *cell).distinct()
@@ -114,13 +261,18 @@ def unique_cells(forms: DataFrame, cell: Sequence[str]) -> DataFrame:
     return rows.join(doublets, "anchor", "left_anti")
 
 
-def paradigm(forms: DataFrame, outer: tuple[str, Sequence[str]], inner: tuple[str, Sequence[str]], least: int) -> DataFrame:
+def paradigm(forms: DataFrame, outer: tuple[str, Sequence[str]], inner: tuple[str, Sequence[str]], least: int, by_outer: bool = False) -> DataFrame:
     """(anchor, filled, table): cells joined by ', ' within an outer value and '; ' between them; gaps are '/'.
 
-    Anchors with doublets or fewer than `least` filled cells are left out.
+    Anchors with doublets or fewer than `least` filled cells are left out. With `by_outer`, one row for every outer
+    value (as a column of its name), with its cells alone and the same rule.
     """
     (o_name, o_values), (i_name, i_values) = outer, inner
     rows = unique_cells(forms, (o_name, i_name))
+    if by_outer:
+        cells = [F.max(F.when(F.col(i_name) == i, F.col("surface"))) for i in i_values]
+        one = rows.groupBy("anchor", o_name).agg(F.count("*").cast("int").alias("filled"), F.concat_ws(", ", *[F.coalesce(c, F.lit("/")) for c in cells]).alias("table"))
+        return one.filter(F.col("filled") >= least)
     cells = {(o, i): F.max(F.when((F.col(o_name) == o) & (F.col(i_name) == i), F.col("surface"))).alias(f"{o}_{i}") for o in o_values for i in i_values}
     wide = rows.groupBy("anchor").agg(*cells.values())
     named = {k: F.col(f"{k[0]}_{k[1]}") for k in cells}
@@ -136,14 +288,18 @@ def picked(forms: DataFrame, slot: str, values: Sequence[str], rank: Column) ->
     return wide.select("anchor", F.array(*[F.coalesce(F.col(f"b{i}.s"), F.lit("/")) for i in range(len(values))]).alias("gold"))
 
 
-def readings(forms: DataFrame) -> DataFrame:
-    """(surface, gold, n): all (case, number) readings of a surface in canonical order."""
+def readings(forms: DataFrame, lone_percent: int = 0, seed: int = 42) -> DataFrame:
+    """(surface, gold, n): all (case, number) readings of a surface in canonical order.
+
+    Surfaces with one reading are left out, but for a drawn share of them.
+    """
     def rank(column: str, values: Sequence[str]) -> Column:
         return F.array_position(F.array(*[F.lit(v) for v in values]), F.col(column))
 
     rows = forms.select("surface", F.struct(rank("number", NUMBERS).alias("n"), rank("case", CASES).alias("c"), F.concat_ws(" ", "case", "number").alias("t")).alias("r")).distinct()
     listed = rows.groupBy("surface").agg(F.sort_array(F.collect_list("r")).alias("l"))
-    return listed.select("surface", F.col("l.t").alias("gold"), F.size("l").alias("n"))
+    drawn = scalar.hash56(F.concat(F.lit(f"{seed}:lone:"), F.col("surface"))) % 100 < lone_percent
+    return listed.select("surface", F.col("l.t").alias("gold"), F.size("l").alias("n")).filter((F.col("n") > 1) | drawn)
 
 
 def answer_line(gold: Column, separator: str) -> Column:

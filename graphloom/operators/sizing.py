@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocab
+from ..plans.staging import staged
 from . import traverse
 
 PERCENTS = (10, 25, 50, 75, 90, 95, 99)
@@ -48,24 +49,35 @@ def variants() -> dict[str, tuple[int, ...]]:
     return out
 
 
+def masks(kind: Column, only: Sequence[str] | None = None) -> Column:
+    """Bits of the variants in which a node of this kind is active, the first variant lowest."""
+    names = list(only or variants())
+    out = F.lit(0)
+    for bit, name in enumerate(names):
+        gone = variants()[name]
+        out = out + F.when(kind.isin(*gone) if gone else F.lit(False), 0).otherwise(1 << bit)
+    return out
+
+
 def study(
-    nodes: DataFrame, half_edges: DataFrame, seeds: DataFrame, hops: int = 3, prompt_tokens: int = 24, only: list[str] | None = None
+    nodes: DataFrame, half_edges: DataFrame, seeds: DataFrame, hops: int = 3, prompt_tokens: int = 24, only: Sequence[str] | None = None
 ) -> DataFrame:
     """Summaries (variant, hop, seed_kind, metric, n, mean, ...) for all, word and multi-word seeds.
 
-    nodes(node, kind, token_len), seeds(seed, is_mwe). Each seed is traversed once a variant.
+    nodes(node, kind, token_len), seeds(seed, is_mwe). Edges get the variants of their target as bits and are staged
+    once; every seed starts once a variant, and one traversal serves them all.
     """
-    out = []
-    for name, gone in variants().items():
-        if only and name not in only:
-            continue
-        active = nodes.filter(~F.col("kind").isin(*gone)) if gone else None
-        reached = traverse.balls(seeds, half_edges, hops, active)
-        sized = traverse.ball_sizes(reached, nodes.select("node", "token_len"), hops, prompt_tokens)
-        both = sized.join(traverse.induced_edges(reached, half_edges, hops), ["seed", "hop"]).join(seeds, "seed")
-        metrics = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("nodes", "edges", "tokens")]))
-        kinds = F.explode(F.array(F.lit("all"), F.when(F.col("is_mwe"), "mwe").otherwise("word")))
-        rows = both.withColumn("m", metrics).withColumn("seed_kind", kinds)
-        rows = rows.select("hop", "seed_kind", F.col("m.metric").alias("metric"), F.col("m.value").alias("value"))
-        out.append(summary(rows, "value", ["hop", "seed_kind", "metric"]).withColumn("variant", F.lit(name)))
-    return reduce(DataFrame.unionByName, out)
+    names = list(only or variants())
+    keys = ("variant", "seed")
+    targets = nodes.select(F.col("node").alias("dst"), masks(F.col("kind"), names).alias("mask"))
+    edges = staged(half_edges.select("src", "dst").join(targets, "dst").select("src", "dst", "mask"), "masked-edges")
+    starts = seeds.select("seed").withColumn("variant", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))))
+    reached = traverse.balls(starts, edges, hops, keys=keys)
+    sized = traverse.ball_sizes(reached, nodes.select("node", "token_len"), hops, prompt_tokens, keys)
+    both = sized.join(traverse.induced_edges(reached, edges, hops, keys), [*keys, "hop"]).join(seeds, "seed")
+    metrics = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("nodes", "edges", "tokens")]))
+    kinds = F.explode(F.array(F.lit("all"), F.when(F.col("is_mwe"), "mwe").otherwise("word")))
+    rows = both.withColumn("m", metrics).withColumn("seed_kind", kinds)
+    named = F.get(F.array(*[F.lit(x) for x in names]), F.col("variant")).alias("variant")
+    rows = rows.select(named, "hop", "seed_kind", F.col("m.metric").alias("metric"), F.col("m.value").alias("value"))
+    return summary(rows, "value", ["variant", "hop", "seed_kind", "metric"])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar, vocab
-from . import traverse
+from . import build, traverse
 
 #: Variants of the second generation and the text kinds they leave out.
 VARIANTS = {
@@ -26,10 +26,21 @@ def first_generation(triples: DataFrame, hosts: Sequence[str] = vocab.HOSTS, dec
     ends = triples.filter(F.col("is_iri") & F.col("p").isin(*kept)).select(
         scalar.node_code(F.col("s"), hosts).alias("a"), scalar.node_code(F.col("o"), hosts).alias("b"), F.try_element_at(ids, F.col("p")).alias("pred")
     )
+    return least_predicates(ends)
+
+
+def least_predicates(ends: DataFrame) -> DataFrame:
+    """(lo, hi, pred) of undirected ends(a, b, pred): the least predicate of every pair, no self-loops."""
     inner = ends.filter("a is not null and b is not null and a <> b")
     return inner.groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.min("pred").alias("pred"))
 
 
+def label_tokens(labelled: DataFrame, group: Column, tokens=scalar.token_proxy) -> DataFrame:
+    """(group, label_tokens): tokens of the labels of undirected edges, summed over half-edges and halved after the sum."""
+    half = labelled.select(group.alias("group"), F.explode(F.array(F.lit(0), F.lit(1))), tokens(F.col("label")).alias("k"))
+    return half.groupBy("group").agg(F.floor(F.sum("k") / 2).cast("long").alias("label_tokens"))
+
+
 def predicate_label(pred: Column) -> Column:
     labels = dict(vocab.TYPED_PREDICATES.values())
     return F.try_element_at(F.create_map(*[F.lit(x) for pair in labels.items() for x in pair]), pred)
@@ -40,8 +51,34 @@ def first_generation_texts(triples: DataFrame, hosts: Sequence[str] = vocab.HOST
     priority = F.when(F.col("p").isin(vocab.SKOS + "definition", vocab.RDF + "value"), 1).when(F.col("p") == vocab.ONTOLEX + "writtenRep", 2)
     passes = (F.col("p") == vocab.RDF + "value") | scalar.is_slovene(F.col("tail"))
     found = triples.filter(~F.col("is_iri") & passes).select(scalar.node_code(F.col("s"), hosts).alias("code"), priority.alias("priority"), "lit")
-    best = found.filter("code is not null and priority is not null").groupBy("code").agg(F.min(F.struct("priority", "lit")).alias("b"))
-    return best.select("code", F.col("b.lit").alias("text"))
+    return best_texts(found.filter("code is not null and priority is not null")).select("code", "text")
+
+
+def best_texts(found: DataFrame) -> DataFrame:
+    """(code, text, priority): of found(code, priority, lit) the text of least priority, then the least."""
+    best = found.groupBy("code").agg(F.min(F.struct("priority", "lit")).alias("b"))
+    return best.select("code", F.col("b.lit").alias("text"), "b.priority")
+
+
+def second_generation(triples: DataFrame, hosts: Sequence[str] = vocab.HOSTS) -> DataFrame:
+    """(src, dst, rel) as codes: the directed edges of the second generation, heads among them, both directions of a
+    translation as one relation from form to sense, and parts contracted to words."""
+    keys = dict(vocab.SECOND_PREDICATES)
+    named = F.create_map(*[F.lit(x) for pair in keys.items() for x in pair])
+    ends = triples.filter(F.col("is_iri") & F.col("p").isin(*keys)).select(
+        scalar.node_code(F.col("s"), hosts).alias("s"), scalar.node_code(F.col("o"), hosts).alias("o"), F.try_element_at(named, F.col("p")).alias("rel")
+    ).filter("s is not null and o is not null")
+    mwe = build.contract(
+        ends.filter("rel = 'constituent'").select(F.col("s").alias("mwe"), F.col("o").alias("part")),
+        ends.filter("rel = 'corresponds'").select(F.col("s").alias("part"), F.col("o").alias("word")),
+    )
+    back = F.col("rel") == "translation back"
+    plain = ends.filter(~F.col("rel").isin("constituent", "corresponds")).select(
+        F.when(back, F.col("o")).otherwise(F.col("s")).alias("src"),
+        F.when(back, F.col("s")).otherwise(F.col("o")).alias("dst"),
+        F.when(back, "translation").otherwise(F.col("rel")).alias("rel"),
+    )
+    return plain.unionByName(mwe.select(F.col("mwe").alias("src"), F.col("word").alias("dst"), F.lit("constituent").alias("rel"))).distinct()
 
 
 def with_labels(edges: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalar, vocab
-from ..operators import build, sizing, store
+from ..operators import build, sizing, store, typed
 from ..sources import ntriples, relational
 from .catalog import query
 
@@ -17,7 +17,7 @@ UNION ALL SELECT '{_HOST}lexical-unit-' || p_partkey, '{vocab.RDF}type', '{_HOST
 UNION ALL SELECT '{_HOST}sense-' || o_orderkey, '{vocab.SKOS}definition', NULL, o_orderpriority, 'sl' FROM orders
 UNION ALL SELECT '{_HOST}lexical-unit-' || (l_orderkey + 10000000000), '{vocab.DECOMP}constituent',
     '{_HOST}lexical-unit-part-' || (l_orderkey * 100 + l_linenumber), NULL, NULL FROM lineitem
-UNION ALL SELECT '{_HOST}example-' || doc_id, '{vocab.RDF}value', NULL, 'doc ' || doc_id, lang FROM documents
+UNION ALL SELECT '{_HOST}example-' || doc_id, '{vocab.RDF}value', NULL, text, lang FROM documents
 """
 #: Constituent edges as the oracles see them.
 EDGES = """
@@ -118,11 +118,11 @@ def undirected_dedup(t):
     return build.unordered_pairs(t.lineitem, "l_partkey", "l_suppkey")
 
 
-_MEMBERS = "s AS (SELECT DISTINCT l_orderkey AS owner, l_partkey % 50 AS member FROM lineitem)"
+_MEMBERS = "s AS (SELECT DISTINCT l_orderkey AS owner, l_suppkey AS member FROM lineitem)"
 
 
 def _members(t):
-    return t.lineitem.select(F.col("l_orderkey").alias("owner"), (F.col("l_partkey") % 50).alias("member"))
+    return t.lineitem.select(F.col("l_orderkey").alias("owner"), F.col("l_suppkey").alias("member"))
 
 
 @query(f"""
@@ -195,12 +195,24 @@ FROM part LEFT JOIN (SELECT l_partkey, min(o_orderpriority) AS o FROM lineitem J
 """)
 def anchor_text(t):
     """Lemma of the canonical form (absent for small parts), else of the first inflected form, with features."""
-    other = t.lineitem.join(t.orders.filter("o_orderstatus = 'F'"), F.col("l_orderkey") == F.col("o_orderkey"))
-    fallback = other.groupBy("l_partkey").agg(F.min("o_orderpriority").alias("inflected"))
-    canon = t.part.withColumn("lemma", F.when(F.col("p_size") > 5, F.col("p_name")))
-    joined = canon.join(fallback, F.col("p_partkey") == F.col("l_partkey"), "left")
-    shown = F.coalesce("lemma", "inflected")
-    return joined.select("p_partkey", F.concat(F.lit(vocab.TAGS[vocab.ANCHOR]), shown, scalar.feature_text(*_feature_columns())).alias("text"))
+    k = F.col("p_partkey")
+    pos, units, forms = _feature_columns()
+    shift = 1 << 40  # codes of inflected forms: the text stands for the form
+    ranked = t.orders.filter("o_orderstatus = 'F'").select("o_orderkey", (F.lit(shift) + F.substring("o_orderpriority", 1, 1).cast("long")).alias("form"), "o_orderpriority")
+    other = t.lineitem.join(ranked, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_partkey").alias("lu"), "form").distinct()
+    texts = t.part.select(k.alias("form"), F.col("p_name").alias("text")).unionByName(ranked.select("form", F.col("o_orderpriority").alias("text")).distinct())
+    # Features belong to the unit here, so every form of a unit gets them after the texts are assembled without.
+    bare = build.anchor_texts(
+        t.part.filter("p_size > 5").select(k.alias("lu"), k.alias("form")),
+        other,
+        texts,
+        texts.select("form", *[F.lit(None).cast("string").alias(c) for c in vocab.FEATURES]).limit(0),
+        t.part.select(k.alias("code"), F.lit(None).cast("string").alias("pos")),
+        t.part.select(k.alias("code"), *[F.lit(None).cast("string").alias(c) for c in vocab.UNIT_FEATURES]),
+        vocab.UNIT_FEATURES,
+    )
+    joined = t.part.join(bare, k == F.col("code"), "left")
+    return joined.select("p_partkey", F.concat("text", scalar.feature_text(pos, units, forms)).alias("text"))
 
 
 _ORDINALS = """
@@ -221,9 +233,8 @@ FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F' G
 """)
 def first_example(t):
     usage = t.lineitem.select(F.col("l_partkey").alias("sense"), F.col("l_orderkey").alias("example")).distinct()
-    texts = t.orders.filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("example"), F.col("o_orderpriority").alias("text"))
-    first = usage.join(texts, "example").groupBy("sense").agg(F.min(F.struct("example", "text")).alias("e"))
-    return first.select("sense", "e.example", "e.text")
+    texts = t.orders.filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("code"), F.col("o_orderpriority").alias("value"))
+    return build.first_examples(usage, texts).withColumnRenamed("example_text", "text")
 
 
 _SNIPPET = """
@@ -238,7 +249,7 @@ def sense_snippet(t):
 
 
 @query(f"""
-WITH {_ORDINALS}, d AS (SELECT doc_id, left(text, 40) AS definition FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND doc_id % 2 = 0)
+WITH {_ORDINALS}, d AS (SELECT doc_id, text AS definition FROM documents JOIN labels USING (doc_id) WHERE quality = 1)
 SELECT lu, sense, CASE WHEN n > 1 THEN 'pomen ' || k || ': ' ELSE 'pomen: ' END
     || coalesce(definition, p_name || ' (zgled: ' || p_type || ')') AS text
 FROM o JOIN part ON p_partkey = lu LEFT JOIN d ON doc_id = lu + sense
@@ -247,15 +258,13 @@ def sense_text(t):
     """Definition where there is one (sparse), else the lemma with a short example; ordinals where an entry has several."""
     owned = t.lineitem.select(F.col("l_partkey").alias("lu"), F.col("l_suppkey").alias("number")).distinct()
     senses = owned.withColumn("sense", F.struct("lu", "number"))
-    ranked = build.ordinals(senses, "lu", "sense")
-    good = t.labels.filter("quality = 1 and doc_id % 2 = 0").select("doc_id")
-    definition = t.documents.join(good, "doc_id", "left_semi").select("doc_id", F.substring("text", 1, 40).alias("definition"))
-    words = t.part.select(F.col("p_partkey").alias("lu"), "p_name", "p_type")
-    joined = senses.join(words, "lu").join(ranked, "sense", "left").join(definition, F.col("doc_id") == senses["lu"] + senses["number"], "left")
-    short = scalar.snippet(F.col("p_type"))
-    tag = F.coalesce(F.concat(F.lit("pomen "), "ordinal", F.lit(": ")), F.lit(vocab.TAGS[vocab.SENSE]))
-    body = F.coalesce("definition", F.concat("p_name", F.lit(" (zgled: "), short, F.lit(")")))
-    return joined.select(senses["lu"], F.col("number").alias("sense"), F.concat(tag, body).alias("text"))
+    good = t.labels.filter("quality = 1").select("doc_id")
+    told = t.documents.join(good, "doc_id", "left_semi").select("doc_id", F.col("text").alias("definition"))
+    definition = senses.join(told, F.col("doc_id") == F.col("lu") + F.col("number")).select(F.col("sense").alias("code"), "definition")
+    words = t.part.select(F.col("p_partkey").alias("lu"), F.col("p_name").alias("lemma"), F.col("p_type").alias("example_text"))
+    named = senses.join(words, "lu")
+    texts = build.sense_texts(named.select("sense", "lemma"), definition, named.select("sense", "example_text"), build.ordinals(senses, "lu", "sense"))
+    return texts.select("code.lu", F.col("code.number").alias("sense"), "text")
 
 
 @query("""
@@ -265,16 +274,12 @@ FROM p JOIN part a ON a.p_partkey = lo AND a.p_size > 10 JOIN part b ON b.p_part
 """)
 def mint_pairs(t):
     """Reified pairs: both members must be nodes with a lemma (here: larger parts); two edges each."""
-    words = t.part.filter("p_size > 10")
-    a = words.select(F.col("p_partkey").alias("lo"), F.col("p_name").alias("la"))
-    b = words.select(F.col("p_partkey").alias("hi"), F.col("p_name").alias("lb"))
-    minted = build.unordered_pairs(t.lineitem, "l_partkey", "l_suppkey").join(a, "lo").join(b, "hi")
-    named = minted.select(
-        F.concat_ws(":", F.lit(vocab.SYNONYM), "lo", "hi").alias("key"),
-        F.concat(F.lit(vocab.TAGS[vocab.SYNONYM]), "la", F.lit(" ~ "), "lb").alias("text"),
-        F.explode(F.array("lo", "hi")).alias("end"),
-    )
-    return named.groupBy("key", "text").agg(F.count("*").cast("int").alias("degree"))
+    lemmas = t.part.filter("p_size > 10").select(F.col("p_partkey").alias("sense"), F.col("p_name").alias("lemma"))
+    pairs = t.lineitem.select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"))
+    none = pairs.limit(0)
+    minted = build.minted(pairs, none, none.select(F.col("a").alias("lo"), F.col("b").alias("hi"), F.lit("").alias("phrase")), lemmas)
+    degrees = build.minted_ends(minted).groupBy(F.col("src").alias("key")).agg(F.count("*").cast("int").alias("degree"))
+    return minted.select("key", "text").join(degrees, "key")
 
 
 @query(f"""
@@ -294,13 +299,12 @@ def half_edges_degree(t):
 
 
 @query("""
-WITH e AS (SELECT DISTINCT l_partkey % 100 AS src, l_suppkey % 100 AS dst FROM lineitem WHERE l_partkey % 7 = 0)
+WITH e AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem)
 SELECT src, dst FROM e WHERE NOT EXISTS (SELECT 1 FROM e b WHERE b.src = e.dst AND b.dst = e.src)
 """)
 def edge_symmetry_check(t):
     """Half-edges without their reverse, over a table that is not symmetric."""
-    rows = t.lineitem.filter("l_partkey % 7 = 0").select((F.col("l_partkey") % 100).alias("src"), (F.col("l_suppkey") % 100).alias("dst"))
-    return store.asymmetric(rows.distinct())
+    return store.asymmetric(t.lineitem.select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct())
 
 
 def _stores(t):
@@ -324,10 +328,8 @@ def store_diff(t):
 
 @query("SELECT p_type AS type, count_if(p_size <= 10) AS textless, count(*) AS n FROM part GROUP BY p_type")
 def textless_by_type(t):
-    text = F.when(F.col("p_size") > 10, F.col("p_name")).otherwise("")
-    return t.part.select(F.col("p_type").alias("type"), text.alias("text")).groupBy("type").agg(
-        F.count_if(F.col("text") == "").alias("textless"), F.count("*").alias("n")
-    )
+    text = F.when(F.col("p_size") > 10, F.col("p_name"))
+    return build.textless(t.part.select(F.col("p_type").alias("type"), text.alias("text")), "type")
 
 
 @query("""
@@ -335,23 +337,18 @@ SELECT lang, count(*) AS nodes, sum(k)::BIGINT AS tokens, round(sum(k) / sum(sum
 FROM (SELECT lang, CASE WHEN length(text) > 0 THEN greatest(1, length(text) // 4) ELSE 0 END AS k FROM documents) GROUP BY lang
 """)
 def token_budget(t):
-    from pyspark.sql.window import Window
-
-    counted = t.documents.withColumn("k", scalar.token_proxy(F.col("text"))).groupBy("lang").agg(
-        F.count("*").alias("nodes"), F.sum("k").alias("tokens"), F.avg("k").alias("mean")
-    )
-    share = F.col("tokens") / F.sum("tokens").over(Window.partitionBy())  # one row a language
-    return counted.select("lang", "nodes", "tokens", F.round(share, 6).alias("share"), F.round("mean", 6).alias("mean"))
+    nodes = build.with_token_lengths(t.documents.select("lang", "text"), scalar.token_proxy)
+    out = build.token_budget(nodes, "lang")
+    return out.select("lang", "nodes", "tokens", F.round("share", 6).alias("share"), F.round("mean", 6).alias("mean"))
 
 
 @query("""
-SELECT p_type AS type, count(*) AS forms, count_if(p_partkey % 7 <> 0) AS with_number, count_if(p_partkey % 2 <> 0) AS with_gender FROM part GROUP BY 1
+SELECT 'number' AS prop, count_if(p_partkey % 7 <> 0) AS codes FROM part UNION ALL SELECT 'gender', count_if(p_partkey % 2 <> 0) FROM part
+UNION ALL SELECT 'case', count(*) FROM part
 """)
 def feature_coverage(t):
     _, _, forms = _feature_columns()
-    return t.part.groupBy(F.col("p_type").alias("type")).agg(
-        F.count("*").alias("forms"), F.count(forms["number"]).alias("with_number"), F.count(forms["gender"]).alias("with_gender")
-    )
+    return build.coverage(t.part.select("p_partkey", *[forms[p].alias(p) for p in ("case", "number", "gender")]), ("case", "number", "gender"))
 
 
 @query("""
@@ -381,24 +378,36 @@ FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) JOIN part ON p_partkey
 """)
 def sibling_duplicates(t):
     forms = t.lineitem.select("l_suppkey", "l_partkey").distinct().join(t.part, F.col("l_partkey") == F.col("p_partkey"))
-    return forms.groupBy(F.col("l_suppkey").alias("anchor"), F.col("p_name").alias("text")).agg(F.count("*").alias("siblings")).filter("siblings > 1")
+    return store.sibling_duplicates(forms, "l_suppkey", "p_name")
 
 
-@query()
+#: Written escapes and what they stand for, one pair for each remainder of the key.
+_ESCAPES = (
+    ("\\u010d\\\\n\\n\\q\\\"", "č\\n\n\\q\""), ("\\\\\\u0041\\U0001F642", "\\A🙂"), ("\\u005cn\\t\\/", "\\n\t/"), ("\\ud83d\\U00110000\\uZ", "\\ud83d\\U00110000\\uZ"),
+    ("\\\\\\\\\\\\r\\r", "\\\\\\r\r"), ("\\'\\b\\f\\ ", "'\b\f\\ "), ("\\U0000", "\\U0000"), ("plain", "plain"),
+)
+
+
+def _quoted(x: str) -> str:
+    return " || ".join(f"chr({ord(c)})" for c in x)
+
+
+@query(f"""
+SELECT p_partkey, CASE p_partkey % {len(_ESCAPES)} {" ".join(f"WHEN {i} THEN {_quoted(meant)}" for i, (_, meant) in enumerate(_ESCAPES))} END || p_name AS text FROM part
+""")
 def unescape(t):
     """Escapes resolved left to right; shown on texts that carry every kind of escape."""
-    hard = F.concat(F.lit("\\u010d\\\\n\\n\\q\\\""), "p_name")
-    return t.part.select("p_partkey", scalar.unescape(hard).alias("text"))
+    written = F.get(F.array(*[F.lit(w) for w, _ in _ESCAPES]), (F.col("p_partkey") % len(_ESCAPES)).cast("int"))
+    return t.part.select("p_partkey", scalar.unescape(F.concat(written, "p_name")).alias("text"))
 
 
 @query("SELECT p_partkey, p_name AS text, 'sl' AS lang, 2 AS priority FROM part WHERE p_size > 25 UNION ALL SELECT p_partkey, p_type, 'sl', 1 FROM part WHERE p_size <= 25")
 def literal_priority(t):
     """First-generation texts: a definition or value wins over a written form."""
-    both = t.part.filter("p_size <= 25").select("p_partkey", F.col("p_type").alias("text"), F.lit(1).alias("priority")).unionByName(
-        t.part.select("p_partkey", F.col("p_name").alias("text"), F.lit(2).alias("priority"))
+    both = t.part.filter("p_size <= 25").select(F.col("p_partkey").alias("code"), F.col("p_type").alias("lit"), F.lit(1).alias("priority")).unionByName(
+        t.part.select(F.col("p_partkey").alias("code"), F.col("p_name").alias("lit"), F.lit(2).alias("priority"))
     )
-    best = both.groupBy("p_partkey").agg(F.min(F.struct("priority", "text")).alias("b"))
-    return best.select("p_partkey", "b.text", F.lit("sl").alias("lang"), "b.priority")
+    return typed.best_texts(both).select(F.col("code").alias("p_partkey"), "text", F.lit("sl").alias("lang"), "priority")
 
 
 @query("""

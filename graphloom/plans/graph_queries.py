@@ -2,30 +2,48 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar, vocab
-from ..operators import build, lookup, sizing, traverse
+from ..operators import build, lookup, sizing, traverse, typed
 from ..sources import relational
 from .build_queries import EDGES
 from .catalog import query
+from .staging import staged
 
-SEEDS = 20
+#: The production parameters of the sizing study.
+SEEDS, HOPS, PROMPT = 400, 3, 24
 _SEEDS = f"seeds AS (SELECT p_partkey AS seed FROM part ORDER BY md5('42:' || p_partkey), p_partkey LIMIT {SEEDS})"
-_B2 = f"""
-{EDGES}, {_SEEDS},
-b1 AS (SELECT DISTINCT seed, dst AS node FROM seeds JOIN h ON src = seed WHERE dst <> seed),
-b2 AS (SELECT DISTINCT b1.seed, h.dst AS node FROM b1 JOIN h ON h.src = b1.node WHERE h.dst <> b1.seed
-    EXCEPT SELECT seed, node FROM b1),
-b AS (SELECT seed, seed AS node, 0 AS depth FROM seeds UNION ALL SELECT seed, node, 1 FROM b1 UNION ALL SELECT seed, node, 2 FROM b2)
+_HOPS = f"k AS (SELECT unnest(range(1, {HOPS + 1})) AS hop)"
+
+
+def _ball_sql(name: str, hops: int, edges: str = "h", gone: str | None = None) -> str:
+    """CTEs <name>0..<name><hops> of new nodes by depth, and <name>(seed, node, depth)."""
+    active = f" AND dst NOT IN (SELECT node FROM knd WHERE kind IN ({gone}))" if gone else ""
+    out = [f"{name}0 AS (SELECT seed, seed AS node FROM seeds)"]
+    for k in range(1, hops + 1):
+        seen = " ".join(f"EXCEPT SELECT seed, node FROM {name}{j}" for j in range(k))
+        out.append(f"{name}{k} AS (SELECT DISTINCT x.seed, e.dst AS node FROM {name}{k - 1} x JOIN {edges} e ON e.src = x.node WHERE true{active} {seen})")
+    union = " UNION ALL ".join(f"SELECT seed, node, {k} AS depth FROM {name}{k}" for k in range(hops + 1))
+    return ", ".join([*out, f"{name} AS ({union})"])
+
+
+_BALLS = f"""
+{EDGES}, {_SEEDS}, {_HOPS}, {_ball_sql('b', HOPS)}
 """
 _TOKENS = """
 t AS (SELECT p_partkey AS node, greatest(1, length(p_name) // 4) AS token_len FROM part
     UNION ALL SELECT o_orderkey + 10000000000, greatest(1, length(o_orderpriority) // 4) FROM orders)
 """
+_SIZES = f"z AS (SELECT seed, hop, count(*) AS nodes, sum(token_len)::BIGINT + {PROMPT} AS tokens FROM b JOIN t USING (node) JOIN k ON depth <= hop GROUP BY seed, hop)"
+
+
+def _induced_sql(name: str, ball: str) -> str:
+    """CTE of edges inside the balls: each half-edge counts from the hop on that reaches both its ends."""
+    return f"""{name} AS (
+    SELECT seed, hop, count(*) // 2 AS edges FROM (SELECT x.seed, greatest(x.depth, y.depth) AS reach FROM {ball} x JOIN h ON h.src = x.node
+        JOIN {ball} y ON y.seed = x.seed AND y.node = h.dst) JOIN k ON reach <= hop GROUP BY seed, hop)"""
 
 
 def seeds(t) -> DataFrame:
@@ -33,7 +51,12 @@ def seeds(t) -> DataFrame:
 
 
 def half(t) -> DataFrame:
-    return build.half_edges(relational.constituents(t.lineitem))
+    """Half-edges, staged once for all hops."""
+    return staged(build.half_edges(relational.constituents(t.lineitem)), "half-edges")
+
+
+def reached(t, edges: DataFrame | None = None) -> DataFrame:
+    return traverse.balls(seeds(t), half(t) if edges is None else edges, HOPS)
 
 
 def tokens(t) -> DataFrame:
@@ -47,94 +70,100 @@ def seed_sample(t):
     return seeds(t)
 
 
-@query(f"WITH {_B2} SELECT seed, node, depth FROM b")
+@query(f"WITH {_BALLS} SELECT seed, node, depth FROM b")
 def khop_balls(t):
-    return traverse.balls(seeds(t), half(t), 2)
+    return reached(t)
 
 
-@query(f"""
-WITH {_B2}, {_TOKENS}, k AS (SELECT unnest([1, 2]) AS hop)
-SELECT seed, hop, count(*) AS nodes, sum(token_len)::BIGINT + 24 AS tokens FROM b JOIN t USING (node) JOIN k ON depth <= hop GROUP BY seed, hop
-""")
+@query(f"WITH {_BALLS}, {_TOKENS}, {_SIZES} SELECT seed, hop, nodes, tokens FROM z")
 def ball_sizes(t):
-    return traverse.ball_sizes(traverse.balls(seeds(t), half(t), 2), tokens(t).select("node", "token_len"), 2)
-
-
-_INDUCED = """
-i AS (SELECT x.seed, k.hop, count(*) // 2 AS edges FROM (SELECT unnest([1, 2]) AS hop) k JOIN b x ON x.depth <= k.hop
-    JOIN h ON h.src = x.node JOIN b y ON y.seed = x.seed AND y.node = h.dst AND y.depth <= k.hop GROUP BY x.seed, k.hop)
-"""
+    return traverse.ball_sizes(reached(t), tokens(t).select("node", "token_len"), HOPS, PROMPT)
 
 
-@query(f"WITH {_B2}, {_INDUCED} SELECT seed, hop, edges FROM i")
+@query(f"WITH {_BALLS}, {_induced_sql('i', 'b')} SELECT seed, hop, edges FROM i")
 def induced_edges(t):
     edges = half(t)
-    return traverse.induced_edges(traverse.balls(seeds(t), edges, 2), edges, 2)
+    return traverse.induced_edges(reached(t, edges), edges, HOPS)
 
 
 @query(f"""
-WITH {_B2}, {_INDUCED}, n AS (SELECT seed, hop, count(*) AS nodes FROM b JOIN (SELECT unnest([1, 2]) AS hop) ON depth <= hop GROUP BY ALL)
-SELECT seed, hop, nodes + edges AS levi_nodes FROM n JOIN i USING (seed, hop)
+WITH {_BALLS}, {_TOKENS}, {_SIZES}, {_induced_sql('i', 'b')}
+SELECT seed, hop, nodes AS orig_nodes, edges AS induced_edges, nodes + edges AS levi_nodes, tokens + edges * 2 AS tokens FROM z JOIN i USING (seed, hop)
 """)
 def levi_size(t):
-    edges = half(t)
-    reached = traverse.balls(seeds(t), edges, 2)
-    sized = traverse.ball_sizes(reached, tokens(t).select("node", "token_len"), 2)
-    both = sized.join(traverse.induced_edges(reached, edges, 2), ["seed", "hop"])
-    return both.select("seed", "hop", (F.col("nodes") + F.col("edges")).alias("levi_nodes"))
+    """Every edge is a node of its own, with the two tokens of its label."""
+    edges = relational.constituents(t.lineitem).withColumn("label", F.lit("sestavina"))
+    return typed.levi_sizes(reached(t), edges, tokens(t).select("node", "token_len"), HOPS)
 
 
 @query(f"""
-WITH {_B2} SELECT hop, CASE WHEN node >= 10000000000 THEN 'mwe' ELSE 'word' END AS type,
-    round(count(*) / {SEEDS}.0, 6) AS nodes_per_seed
-FROM b JOIN (SELECT unnest([1, 2]) AS hop) ON depth <= hop GROUP BY ALL
+WITH {_BALLS} SELECT hop, CASE WHEN node >= 10000000000 THEN 'mwe' ELSE 'other' END AS type,
+    round(count(*) / (SELECT count(*) FROM seeds)::DOUBLE, 6) AS nodes_per_seed
+FROM b JOIN k ON depth <= hop GROUP BY ALL
 """)
 def ball_composition(t):
-    out = traverse.composition(traverse.balls(seeds(t), half(t), 2), tokens(t).select("node", "type"), 2)
+    out = traverse.composition(reached(t), tokens(t).select("node", "type"), HOPS, shown=("mwe",))
     return out.select("hop", "type", F.round("nodes_per_seed", 6).alias("nodes_per_seed"))
 
 
-_VARIANT = """
-{name}1 AS (SELECT DISTINCT seed, dst AS node FROM seeds JOIN h ON src = seed JOIN act ON act.node = dst AND {name} WHERE dst <> seed),
-{name}2 AS (SELECT DISTINCT x.seed, h.dst AS node FROM {name}1 x JOIN h ON h.src = x.node JOIN act ON act.node = h.dst AND {name}
-    WHERE h.dst <> x.seed EXCEPT SELECT seed, node FROM {name}1),
-{name}b AS (SELECT seed, seed AS node, 0 AS depth FROM seeds UNION ALL SELECT seed, node, 1 FROM {name}1 UNION ALL SELECT seed, node, 2 FROM {name}2),
-{name}s AS (SELECT '{name}' AS variant, seed, hop, count(*) AS nodes FROM {name}b JOIN (SELECT unnest([1, 2]) AS hop) ON depth <= hop GROUP BY ALL)
-"""
+def study_nodes(t) -> DataFrame:
+    """Small parts stand for forms, finished orders for examples, pending ones for collocations, so every variant leaves some out."""
+    words = t.part.select(F.col("p_partkey").alias("node"), F.when(F.col("p_size") <= 10, vocab.FORM).otherwise(vocab.ANCHOR).alias("kind"), scalar.token_proxy(F.col("p_name")).alias("token_len"))
+    status = F.col("o_orderstatus")
+    kind = F.when(status == "F", vocab.EXAMPLE).when(status == "P", vocab.COLLOCATION).otherwise(vocab.SENSE)
+    entries = t.orders.select((F.col("o_orderkey") + relational.ORDERS).alias("node"), kind.alias("kind"), scalar.token_proxy(F.col("o_orderpriority")).alias("token_len"))
+    return words.unionByName(entries)
+
+
+def _study_sql() -> str:
+    kinds = f"""knd AS (SELECT p_partkey AS node, CASE WHEN p_size <= 10 THEN {vocab.FORM} ELSE {vocab.ANCHOR} END AS kind FROM part
+    UNION ALL SELECT o_orderkey + 10000000000, CASE o_orderstatus WHEN 'F' THEN {vocab.EXAMPLE} WHEN 'P' THEN {vocab.COLLOCATION} ELSE {vocab.SENSE} END FROM orders)"""
+    parts, rows = [], []
+    for n, (name, gone) in enumerate(sizing.variants().items()):
+        parts += [_ball_sql(f"v{n}_", HOPS, gone=", ".join(map(str, gone)) or None), _induced_sql(f"i{n}", f"v{n}_")]
+        rows.append(f"""SELECT '{name}' AS variant, seed, hop, count(*) AS nodes, sum(token_len)::BIGINT + {PROMPT} AS tokens, coalesce(any_value(edges), 0) AS edges
+            FROM v{n}_ JOIN t USING (node) JOIN k ON depth <= hop LEFT JOIN i{n} USING (seed, hop) GROUP BY seed, hop""")
+    return f"{EDGES}, {_SEEDS}, {_HOPS}, {_TOKENS}, {kinds}, {', '.join(parts)}, r AS ({' UNION ALL '.join(rows)})"
+
+
+_FIGURES = ", ".join(
+    ["count(*) AS n", "round(avg(value), 6) AS mean", "min(value)::BIGINT AS min", "max(value)::BIGINT AS max"]
+    + [f"round(quantile_cont(value::DOUBLE, {p / 100}), 6) AS p{p}" for p in sizing.PERCENTS]
+)
+
+
+def _rounded(rows: DataFrame) -> DataFrame:
+    return rows.select(*[F.round(c, 6).alias(c) if c == "mean" or c[1:].isdigit() else F.col(c) for c in rows.columns])
 
 
 @query(f"""
-WITH {EDGES}, {_SEEDS},
-act AS (SELECT p_partkey AS node, true AS expand, p_size > 20 AS collapse FROM part
-    UNION ALL SELECT o_orderkey + 10000000000, true, o_orderstatus <> 'F' FROM orders),
-{_VARIANT.format(name='expand')}, {_VARIANT.format(name='collapse')},
-s AS (SELECT * FROM expands UNION ALL SELECT * FROM collapses)
-SELECT variant, hop, count(*) AS n, round(avg(nodes), 6) AS mean, min(nodes) AS min, max(nodes) AS max,
-    round(quantile_cont(nodes::DOUBLE, 0.5), 6) AS p50, round(quantile_cont(nodes::DOUBLE, 0.95), 6) AS p95
-FROM s GROUP BY variant, hop
+WITH {_study_sql()}, kinds AS (
+    SELECT variant, hop, unnest(['all', CASE WHEN seed % 5 = 0 THEN 'mwe' ELSE 'word' END]) AS seed_kind, nodes, edges, tokens FROM r),
+x AS (SELECT variant, hop, seed_kind, unnest(['nodes', 'edges', 'tokens']) AS metric, unnest([nodes, edges, tokens]) AS value FROM kinds)
+SELECT variant, hop, seed_kind, metric, {_FIGURES} FROM x GROUP BY variant, hop, seed_kind, metric
 """)
+def sizing_study(t):
+    """The whole report: 400 seeds, three hops, eight variants; nodes, edges and tokens by seed kind."""
+    kinds = seeds(t).withColumn("is_mwe", F.col("seed") % 5 == 0)
+    return _rounded(sizing.study(study_nodes(t), half(t), kinds, HOPS, PROMPT))
+
+
+@query(f"WITH {_study_sql()}, x AS (SELECT variant, hop, nodes AS value FROM r) SELECT variant, hop, {_FIGURES} FROM x GROUP BY variant, hop")
 def variant_summary(t):
-    """Ball sizes with all nodes, and with small parts and finished orders left out (a seed is never left out)."""
-    edges, chosen, every = half(t), seeds(t), tokens(t)
-    open_orders = t.orders.filter("o_orderstatus <> 'F'").select((F.col("o_orderkey") + relational.ORDERS).alias("node"))
-    some = t.part.filter("p_size > 20").select(F.col("p_partkey").alias("node")).unionAll(open_orders)
-    out = []
-    for name, active in (("expand", None), ("collapse", some)):
-        reached = traverse.balls(chosen, edges, 2, active)
-        out.append(traverse.ball_sizes(reached, every.select("node", "token_len"), 2).withColumn("variant", F.lit(name)))
-    summed = sizing.summary(reduce(DataFrame.unionByName, out), "nodes", ["variant", "hop"])
-    return summed.select("variant", "hop", "n", F.round("mean", 6).alias("mean"), "min", "max", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
+    """Ball sizes in the eight variants (a seed is never left out)."""
+    kinds = seeds(t).withColumn("is_mwe", F.lit(False))
+    out = sizing.study(study_nodes(t), half(t), kinds, HOPS, PROMPT).filter("metric = 'nodes' and seed_kind = 'all'")
+    return _rounded(out.drop("metric", "seed_kind"))
 
 
 @query(f"""
-WITH {_B2}, {_TOKENS}, k AS (SELECT unnest([1, 2]) AS hop),
-z AS (SELECT seed, hop, sum(token_len) + 24 AS tokens FROM b JOIN t USING (node) JOIN k ON depth <= hop GROUP BY ALL),
+WITH {_BALLS}, {_TOKENS}, {_SIZES},
 g AS (SELECT hop, tokens, unnest(['all', CASE WHEN seed % 5 = 0 THEN 'mwe' ELSE 'word' END]) AS seed_kind FROM z)
 SELECT hop, seed_kind, count(*) AS n, round(avg(tokens), 6) AS mean, round(quantile_cont(tokens::DOUBLE, 0.9), 6) AS p90 FROM g GROUP BY ALL
 """)
 def sizing_report(t):
     """Token sizes for all seeds and by seed kind: one pass, seeds counted in both groups."""
-    sized = traverse.ball_sizes(traverse.balls(seeds(t), half(t), 2), tokens(t).select("node", "token_len"), 2)
+    sized = traverse.ball_sizes(reached(t), tokens(t).select("node", "token_len"), HOPS, PROMPT)
     kinds = F.explode(F.array(F.lit("all"), F.when(F.col("seed") % 5 == 0, "mwe").otherwise("word"))).alias("seed_kind")
     out = sizing.summary(sized.select("hop", "tokens", kinds), "tokens", ["hop", "seed_kind"])
     return out.select("hop", "seed_kind", "n", F.round("mean", 6).alias("mean"), F.round("p90", 6).alias("p90"))
@@ -142,39 +171,39 @@ def sizing_report(t):
 
 _TYPED = """
 e AS (SELECT least(a, b) AS lo, greatest(a, b) AS hi, pred FROM (
-    SELECT l_partkey AS a, l_suppkey AS b, 3 AS pred FROM lineitem UNION ALL SELECT l_partkey, l_partkey % 100, 4 FROM lineitem
+    SELECT l_partkey AS a, l_suppkey AS b, 3 AS pred FROM lineitem UNION ALL SELECT l_partkey, l_linenumber, 4 FROM lineitem
     UNION ALL SELECT l_partkey, l_orderkey, 7 FROM lineitem) WHERE a <> b)
 """
 
 
 def _typed(t):
-    rows = (
+    return (
         t.lineitem.select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"), F.lit(3).alias("pred"))
-        .unionAll(t.lineitem.select("l_partkey", F.col("l_partkey") % 100, F.lit(4)))
+        .unionAll(t.lineitem.select("l_partkey", F.col("l_linenumber").cast("long"), F.lit(4)))
         .unionAll(t.lineitem.select("l_partkey", "l_orderkey", F.lit(7)))
     )
-    return rows.filter("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), "pred")
 
 
 @query(f"WITH {_TYPED} SELECT lo, hi, min(pred) AS pred FROM e GROUP BY lo, hi")
 def typed_dedup(t):
     """First-generation graph: one predicate per undirected pair, the least."""
-    return _typed(t).groupBy("lo", "hi").agg(F.min("pred").alias("pred"))
+    return typed.least_predicates(_typed(t))
 
 
 @query(f"WITH {_TYPED}, d AS (SELECT lo, hi, min(pred) AS pred FROM e WHERE pred <> 7 GROUP BY lo, hi) SELECT pred, count(*) AS edges FROM d GROUP BY pred")
 def semantic_core(t):
     """The typed graph without its decomposition predicates."""
-    return _typed(t).filter("pred <> 7").groupBy("lo", "hi").agg(F.min("pred").alias("pred")).groupBy("pred").agg(F.count("*").alias("edges"))
+    return typed.least_predicates(_typed(t).filter("pred <> 7")).groupBy("pred").agg(F.count("*").alias("edges"))
 
 
-@query(f"WITH {_TYPED}, d AS (SELECT lo, hi, min(pred) AS pred FROM e GROUP BY lo, hi) SELECT lo % 50 AS bucket, sum(CASE pred WHEN 3 THEN 1 WHEN 4 THEN 2 ELSE 3 END * 2)::BIGINT // 2 AS label_tokens FROM d GROUP BY 1")
+@query(f"""
+WITH {_TYPED}, d AS (SELECT lo, hi, min(pred) AS pred FROM e GROUP BY lo, hi)
+SELECT lo AS "group", sum(length(CASE pred WHEN 3 THEN 'sense' WHEN 4 THEN 'synonym' ELSE 'constituent' END) // 4)::BIGINT AS label_tokens FROM d GROUP BY 1
+""")
 def relation_label_tokens(t):
-    """Label tokens of undirected edges, summed over half-edges and halved after the sum."""
-    length = F.when(F.col("pred") == 3, 1).when(F.col("pred") == 4, 2).otherwise(3)
-    one = _typed(t).groupBy("lo", "hi").agg(F.min("pred").alias("pred")).withColumn("n", length)
-    both = one.select("lo", "n").unionAll(one.select("lo", "n"))
-    return both.groupBy((F.col("lo") % 50).alias("bucket")).agg(F.floor(F.sum("n") / 2).cast("long").alias("label_tokens"))
+    """Tokens of the labels of undirected edges, by their lesser end."""
+    one = typed.least_predicates(_typed(t))
+    return typed.label_tokens(one.withColumn("label", typed.predicate_label(F.col("pred"))), F.col("lo"))
 
 
 def lexicon(t) -> lookup.Lexicon:
@@ -218,9 +247,22 @@ SELECT DISTINCT 'c:' || ((3::BIGINT << 56) | l_suppkey) AS form, 'c:' || ((1::BI
 FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_suppkey % 9 = 0
 """)
 def form_headwords(t):
+    """Headwords of the forms that match best."""
+    found = lexicon(t)
+    return found.headwords(found.best_forms(found.word("red")))
+
+
+@query(f"WITH {_NODES} SELECT kind, count(*) AS nodes FROM r WHERE kind NOT IN (0, 1) GROUP BY kind")
+def lookup_unsearched(t):
+    """Totals of the kinds that a plain lookup does not rank."""
+    return lexicon(t).unsearched("red")
+
+
+@query(f"WITH {_NODES} SELECT count_if(kind = 1 AND tier = 0) > 0 AND count_if(kind = 0 AND tier = 0) = 0 AS inflected_only FROM r WHERE kind IN (0, 1)")
+def lookup_inflected_note(t):
+    """Whether the word is an inflected form and no headword."""
     found = lexicon(t)
-    forms = found.word("red").filter(f"kind = {vocab.FORM} and tier = 0")
-    return found.headwords(forms.select("key"))
+    return found.inflected_only(found.word("red"))
 
 
 @query(f"""
@@ -251,18 +293,16 @@ def raw_word(t):
 
 
 @query(f"""
-WITH {_B2}, {_TOKENS}, k AS (SELECT unnest([1, 2]) AS hop),
-z AS (SELECT seed, hop, count(*) AS nodes, sum(token_len)::BIGINT + 24 AS tokens FROM b JOIN t USING (node) JOIN k ON depth <= hop GROUP BY ALL),
-{_INDUCED}
+WITH {_BALLS}, {_TOKENS}, {_SIZES}, {_induced_sql('i', 'b')}
 SELECT z.seed, p_name AS headword, z.hop, nodes, edges, tokens FROM z JOIN i USING (seed, hop) JOIN part ON p_partkey = z.seed
 """)
 def neighbourhood_lookup(t):
-    """Headwords and their one- and two-hop neighbourhoods: nodes, induced edges and tokens."""
+    """Headwords and their one- to three-hop neighbourhoods: nodes, induced edges and tokens."""
     edges = half(t)
-    reached = traverse.balls(seeds(t), edges, 2)
-    sized = traverse.ball_sizes(reached, tokens(t).select("node", "token_len"), 2)
+    found = reached(t, edges)
+    sized = traverse.ball_sizes(found, tokens(t).select("node", "token_len"), HOPS, PROMPT)
     words = t.part.select(F.col("p_partkey").alias("seed"), F.col("p_name").alias("headword"))
-    both = sized.join(traverse.induced_edges(reached, edges, 2), ["seed", "hop"]).join(words, "seed")
+    both = sized.join(traverse.induced_edges(found, edges, HOPS), ["seed", "hop"]).join(words, "seed")
     return both.select("seed", "headword", "hop", "nodes", "edges", "tokens")
 
 
@@ -307,44 +347,3 @@ def offset_lookup(t):
     nodes = t.part.select(F.col("p_partkey").alias("node"), (F.col("p_partkey") * 10).alias("start"), (F.col("p_size") % 10).alias("length"))
     points = t.orders.select("o_orderkey", ((F.col("o_orderkey") * 7) % 25000).alias("place"))
     return ranges.interval_lookup(points, nodes, "place", "start", "length", 64).select("o_orderkey", "place", "node")
-
-
-#: The production parameters of the study; the queries above keep to fewer seeds and hops, as their SQL does.
-STUDY_SEEDS, STUDY_HOPS = 400, 3
-
-
-def study_nodes(t) -> DataFrame:
-    """Small parts stand for forms, finished orders for examples, pending ones for collocations, so every variant leaves some out."""
-    words = t.part.select(F.col("p_partkey").alias("node"), F.when(F.col("p_size") <= 10, vocab.FORM).otherwise(vocab.ANCHOR).alias("kind"), scalar.token_proxy(F.col("p_name")).alias("token_len"))
-    status = F.col("o_orderstatus")
-    kind = F.when(status == "F", vocab.EXAMPLE).when(status == "P", vocab.COLLOCATION).otherwise(vocab.SENSE)
-    entries = t.orders.select((F.col("o_orderkey") + relational.ORDERS).alias("node"), kind.alias("kind"), scalar.token_proxy(F.col("o_orderpriority")).alias("token_len"))
-    return words.unionByName(entries)
-
-
-def study_seeds(t) -> DataFrame:
-    return sizing.sample(t.part.select(F.col("p_partkey").alias("seed")), "seed", STUDY_SEEDS)
-
-
-@query()
-def sizing_study(t):
-    """The whole report: 400 seeds, three hops, eight variants; nodes, edges and tokens by seed kind."""
-    kinds = study_seeds(t).withColumn("is_mwe", F.col("seed") % 5 == 0)
-    return sizing.study(study_nodes(t), half(t), kinds, STUDY_HOPS)
-
-
-@query()
-def khop_balls_study(t):
-    """Balls of 400 seeds to three hops."""
-    return traverse.balls(study_seeds(t), half(t), STUDY_HOPS)
-
-
-@query()
-def neighbourhood_lookup_study(t):
-    """Headwords and their one- to three-hop neighbourhoods, 400 seeds: nodes, induced edges and tokens."""
-    edges = half(t)
-    reached = traverse.balls(study_seeds(t), edges, STUDY_HOPS)
-    sized = traverse.ball_sizes(reached, tokens(t).select("node", "token_len"), STUDY_HOPS)
-    words = t.part.select(F.col("p_partkey").alias("seed"), F.col("p_name").alias("headword"))
-    both = sized.join(traverse.induced_edges(reached, edges, STUDY_HOPS), ["seed", "hop"]).join(words, "seed")
-    return both.select("seed", "headword", "hop", "nodes", "edges", "tokens")

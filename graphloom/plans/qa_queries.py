@@ -8,8 +8,9 @@ from ..functions import scalar
 from ..operators import qa, store, traverse
 from ..sources import relational
 from .build_queries import EDGES
-from .catalog import ORACLES, query
+from .catalog import query
 from .graph_queries import half, seeds
+from .staging import staged
 
 
 
@@ -36,15 +37,15 @@ def surface_ambiguity(t):
 
 
 _BANDS = f"""
-{EDGES}, f AS (SELECT word, count(*) AS proxy FROM (SELECT l_partkey AS word FROM lineitem WHERE l_quantity > 45 UNION ALL SELECT dst FROM m WHERE src % 3 = 0) GROUP BY word),
+{EDGES}, f AS (SELECT word, count(*) AS proxy FROM (SELECT l_partkey AS word FROM lineitem UNION ALL SELECT l_suppkey FROM lineitem UNION ALL SELECT dst FROM m) GROUP BY word),
 bands AS (SELECT word, proxy, CASE WHEN proxy <= 0 THEN 0 WHEN proxy <= 4 THEN 1 WHEN proxy <= 16 THEN 2 WHEN proxy <= 64 THEN 3
     WHEN proxy <= 256 THEN 4 WHEN proxy <= 1024 THEN 5 ELSE 6 END AS band FROM f)
 """
 
 
 def _bands(t):
-    collocations = t.lineitem.filter("l_quantity > 45").select(F.col("l_partkey").alias("word"))
-    entries = relational.constituents(t.lineitem).filter("src % 3 = 0").select(F.col("dst").alias("word"))
+    collocations = t.lineitem.select(F.explode(F.array("l_partkey", "l_suppkey")).alias("word"))
+    entries = relational.constituents(t.lineitem).select(F.col("dst").alias("word"))
     return qa.frequency(collocations, entries)
 
 
@@ -69,28 +70,38 @@ def lemma_split(t):
 
 
 @query(f"""
-WITH {_BANDS} SELECT band, count_if(p_type = 'ECONOMY') AS economy, count_if(p_type = 'SMALL') AS small, count_if(p_type = 'PROMO') AS promo
-FROM bands JOIN part ON p_partkey = word GROUP BY band
+WITH {_BANDS}, l AS (SELECT p_partkey AS lemma_word, lower(p_name) || p_partkey AS lemma, band FROM part JOIN bands ON word = p_partkey),
+r AS (SELECT *, row_number() OVER (PARTITION BY band ORDER BY ('0x' || substr(md5('42:' || lemma), 1, 14))::BIGINT, lemma) AS place, count(*) OVER (PARTITION BY band) AS n FROM l)
+SELECT lemma_word AS word, CASE WHEN place * 100 <= n * 15 THEN 'test' ELSE 'train' END AS split FROM r
+""")
+def band_split(t):
+    """Lemmas split so that both sides have the same share of every band."""
+    words = t.part.select(F.col("p_partkey").alias("word"), F.concat("p_name", F.col("p_partkey").cast("string")).alias("lemma"))
+    return qa.lemma_split(words.join(_bands(t), "word"), "lemma", band="band").select("word", "split")
+
+
+@query(f"""
+WITH {_BANDS} SELECT band, count_if(p_type = 'ECONOMY') AS "ECONOMY", count_if(p_type = 'SMALL') AS "SMALL", count_if(p_type = 'PROMO') AS "PROMO"
+FROM bands JOIN part ON p_partkey = word WHERE p_type IN ('ECONOMY', 'SMALL', 'PROMO') GROUP BY band
 """)
 def availability_matrix(t):
-    joined = _bands(t).join(t.part, F.col("word") == F.col("p_partkey"))
-    wide = joined.groupBy("band").pivot("p_type", ["ECONOMY", "SMALL", "PROMO"]).agg(F.count("word"))
-    return wide.select("band", *[F.coalesce(F.col(c), F.lit(0)).alias(c.lower()) for c in ("ECONOMY", "SMALL", "PROMO")])
+    types = ("ECONOMY", "SMALL", "PROMO")
+    joined = _bands(t).join(t.part.filter(F.col("p_type").isin(*types)), F.col("word") == F.col("p_partkey"))
+    return qa.availability(joined.select("band", F.col("p_type").alias("type")), types)
 
 
 @query("""
 SELECT p_partkey AS seed FROM part WHERE p_partkey < 1000000 AND (p_partkey IN (SELECT doc_id FROM labels WHERE quality = 1)
-    OR p_partkey IN (SELECT l_suppkey FROM lineitem) OR p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49))
+    OR p_partkey IN (SELECT l_suppkey FROM lineitem) OR p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_linenumber = 7))
 """)
 def seed_pool(t):
-    """Numbered words with a definition, a synonym or an example."""
+    """Numbered words with a definition, a synonym or an example (a last line)."""
     flags = (
         t.labels.filter("quality = 1").select(F.col("doc_id").alias("seed"))
         .union(t.lineitem.select("l_suppkey"))
-        .union(t.lineitem.filter("l_quantity > 49").select("l_partkey"))
-        .distinct()
+        .union(t.lineitem.filter("l_linenumber = 7").select("l_partkey"))
     )
-    return t.part.filter("p_partkey < 1000000").select(F.col("p_partkey").alias("seed")).join(flags, "seed", "left_semi")
+    return qa.eligible(t.part, flags, "p_partkey")
 
 
 _UPWARD = f"""
@@ -116,7 +127,7 @@ def upward_cap(t):
 
 @query(f"""
 WITH {_UPWARD}, g AS (SELECT src, dst FROM m UNION ALL SELECT word, mwe FROM u WHERE place <= 15),
-s AS (SELECT p_partkey AS seed FROM part ORDER BY md5('42:' || p_partkey), p_partkey LIMIT 20),
+s AS (SELECT p_partkey AS seed FROM part ORDER BY md5('42:' || p_partkey), p_partkey LIMIT 400),
 b1 AS (SELECT DISTINCT seed, dst AS node FROM s JOIN g ON src = seed WHERE dst <> seed),
 b2 AS (SELECT DISTINCT b1.seed, g.dst AS node FROM b1 JOIN g ON g.src = b1.node WHERE g.dst <> b1.seed EXCEPT SELECT seed, node FROM b1)
 SELECT seed, depth, count(*) AS nodes FROM (SELECT seed, 1 AS depth FROM b1 UNION ALL SELECT seed, 2 FROM b2) GROUP BY ALL
@@ -125,19 +136,19 @@ def capped_extraction(t):
     """Two hops: down to constituents always, up to at most 15 entries; hubs are cut before they are joined."""
     down = relational.constituents(t.lineitem)
     up = _upward(t).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    reached = traverse.balls(seeds(t), down.unionByName(up), 2)
+    reached = traverse.balls(seeds(t), staged(down.unionByName(up), "directed"), 2)
     return reached.filter("depth > 0").groupBy("seed", "depth").agg(F.count("*").alias("nodes"))
 
 
 @query(f"""
-WITH {EDGES}, s AS (SELECT p_partkey AS seed, p_partkey % 4 AS item FROM part WHERE p_partkey < 12),
+WITH {EDGES}, s AS (SELECT p_partkey AS seed, p_size AS item FROM part),
 b AS (SELECT item, seed AS node, 0 AS depth FROM s UNION ALL SELECT item, dst, 1 FROM s JOIN h ON src = seed)
 SELECT item, node, min(depth) AS depth FROM b GROUP BY item, node
 """)
 def union_balls(t):
-    chosen = t.part.filter("p_partkey < 12").select(F.col("p_partkey").alias("seed"), (F.col("p_partkey") % 4).alias("item"))
-    reached = traverse.balls(chosen.select("seed"), half(t), 1)
-    return traverse.union_balls(chosen, reached)
+    """Balls of all parts, joined into one for every size."""
+    chosen = t.part.select(F.col("p_partkey").alias("seed"), F.col("p_size").alias("item"))
+    return traverse.union_balls(chosen, traverse.balls(chosen.select("seed"), half(t), 1))
 
 
 _WEIGHTED = """
@@ -154,14 +165,13 @@ def weighted_cap(t):
 
 
 @query(f"""
-WITH {_WEIGHTED.replace("FROM lineitem", "FROM lineitem WHERE l_quantity > 37")}
+WITH {_WEIGHTED.replace("l_partkey AS anchor", "l_orderkey AS anchor")}
 SELECT anchor, string_agg(s_name, ', ' ORDER BY s_name) AS gold, count(*) AS n
 FROM y JOIN supplier ON s_suppkey = node WHERE place <= 15 GROUP BY anchor HAVING count(*) BETWEEN 5 AND 10
 """)
 def collocation_list(t):
     """Five to ten phrases of the capped sample, in order."""
-    used = t.lineitem.filter("l_quantity > 37")
-    rows = used.select(F.col("l_partkey").alias("anchor"), F.col("l_suppkey").alias("node"), (F.col("l_suppkey") % 40).alias("proxy")).distinct()
+    rows = t.lineitem.select(F.col("l_orderkey").alias("anchor"), F.col("l_suppkey").alias("node"), (F.col("l_suppkey") % 40).alias("proxy")).distinct()
     names = t.supplier.select(F.col("s_suppkey").alias("node"), "s_name")
     few = qa.weighted_cap(rows, "anchor", "node", "proxy").join(names, "node")
     listed = few.groupBy("anchor").agg(F.array_join(F.sort_array(F.collect_list("s_name")), ", ").alias("gold"), F.count("*").alias("n"))
@@ -219,13 +229,13 @@ def sense_count(t):
 
 
 _PAIRS = """
-p AS (SELECT DISTINCT least(l_partkey, l_suppkey) AS a, greatest(l_partkey, l_suppkey) AS b FROM lineitem WHERE l_partkey <> l_suppkey AND l_quantity > 40),
+p AS (SELECT DISTINCT least(l_partkey, l_suppkey) AS a, greatest(l_partkey, l_suppkey) AS b FROM lineitem WHERE l_partkey <> l_suppkey ),
 q AS (SELECT DISTINCT a AS anchor, y.p_name AS name FROM p JOIN part y ON y.p_partkey = b UNION SELECT b, x.p_name FROM p JOIN part x ON x.p_partkey = a)
 """
 
 
 def _partners(t, cap):
-    pairs = t.lineitem.filter("l_partkey <> l_suppkey and l_quantity > 40").select(F.least("l_partkey", "l_suppkey").alias("a"), F.greatest("l_partkey", "l_suppkey").alias("b")).distinct()
+    pairs = t.lineitem.filter("l_partkey <> l_suppkey").select(F.least("l_partkey", "l_suppkey").alias("a"), F.greatest("l_partkey", "l_suppkey").alias("b")).distinct()
     names = t.part.select(F.col("p_partkey").alias("k"), "p_name")
     named = (
         pairs.join(names.select(F.col("k").alias("a"), F.col("p_name").alias("name_a")), "a")
@@ -244,27 +254,90 @@ def synonym_list(t):
 
 
 @query(f"""
-WITH {_PAIRS}, r AS (SELECT anchor, name, row_number() OVER (PARTITION BY anchor ORDER BY name) AS place, count(*) OVER (PARTITION BY anchor) AS n FROM q)
-SELECT anchor, 3 AS asked, string_agg(name, ', ' ORDER BY place) AS gold FROM r WHERE place <= 3 AND n >= 3 GROUP BY anchor
+WITH {_PAIRS}, r AS (SELECT anchor, name, row_number() OVER (PARTITION BY anchor ORDER BY name) AS place, count(*) OVER (PARTITION BY anchor) AS n,
+    (('0x' || substr(md5('42:asked:' || anchor), 1, 14))::BIGINT % 9 + 2)::INTEGER AS asked, ('0x' || substr(md5('42:short:' || anchor), 1, 14))::BIGINT % 100 < 10 AS drawn FROM q)
+SELECT anchor, asked, string_agg(name, ', ' ORDER BY place) AS gold, any_value(n) < asked AS short FROM r WHERE place <= asked AND (n >= asked OR drawn) GROUP BY anchor, asked
 """)
 def counted_list(t):
-    """Exactly N of anchors that have at least N."""
-    return _partners(t, 3).filter(F.size("gold") >= 3).select("anchor", F.lit(3).alias("asked"), F.array_join("gold", ", ").alias("gold"))
+    """Exactly N of anchors that have as many, and some honest short lists."""
+    return qa.counted(_partners(t, 1_000_000)).withColumn("gold", F.array_join("gold", ", "))
 
 
-_CELLS = """
-f AS (SELECT DISTINCT l_suppkey AS anchor, p_name AS surface, ['nominative', 'genitive', 'dative', 'accusative', 'locative', 'instrumental'][p_partkey % 6 + 1] AS "case",
-    ['singular', 'dual', 'plural'][p_size % 3 + 1] AS number FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity > 49 AND l_partkey % 4 = 0),
-bad AS (SELECT anchor FROM f GROUP BY anchor, "case", number HAVING count(*) > 1),
+@query("""
+WITH p AS (SELECT DISTINCT least(s_suppkey, s_nationkey) AS a, greatest(s_suppkey, s_nationkey) AS b FROM supplier WHERE s_suppkey <> s_nationkey),
+q AS (SELECT DISTINCT a AS anchor, y.n_name AS name FROM p JOIN nation y ON y.n_nationkey = b UNION SELECT b, x.n_name FROM p JOIN nation x ON x.n_nationkey = a),
+r AS (SELECT anchor, name, row_number() OVER (PARTITION BY anchor ORDER BY name) AS place FROM q)
+SELECT anchor, string_agg(name, ', ' ORDER BY place) AS gold, 'C' AS tier, 'test' AS split FROM r WHERE place <= 10 GROUP BY anchor
+""")
+def antonym_list(t):
+    """Partners of antonym pairs, at most ten; always in the test split, a relation that training never sees."""
+    pairs = t.supplier.filter("s_suppkey <> s_nationkey").select(F.least("s_suppkey", "s_nationkey").alias("a"), F.greatest("s_suppkey", "s_nationkey").alias("b")).distinct()
+    names = t.nation.select(F.col("n_nationkey").alias("k"), "n_name")
+    named = pairs.join(names.select(F.col("k").alias("a"), F.col("n_name").alias("name_a")), "a", "left").join(names.select(F.col("k").alias("b"), F.col("n_name").alias("name_b")), "b", "left")
+    listed = qa.partners(named, 10)
+    items = listed.withColumns({"type": F.lit("T16"), "frame": F.lit(0), "split": F.lit("train")})
+    return qa.held_out(items, 20).select("anchor", F.array_join("gold", ", ").alias("gold"), "tier", "split")
+
+
+@query("""
+WITH i AS (SELECT p_partkey AS id, 'T' || (p_size % 3 + 14) AS type, ('0x' || substr(md5('42:' || p_partkey), 1, 14))::BIGINT % 20 AS frame,
+    CASE WHEN ('0x' || substr(md5('42:' || lower(p_name)), 1, 14))::BIGINT % 100 < 15 THEN 'test' ELSE 'train' END AS split FROM part)
+SELECT id, CASE WHEN type = 'T16' THEN 'C' WHEN type = 'T15' THEN 'B' WHEN frame >= 18 THEN 'A' END AS tier,
+    CASE WHEN type <> 'T14' OR frame >= 18 THEN 'test' ELSE split END AS split FROM i
+""")
+def held_out_tiers(t):
+    """Phrasings, question types and a relation that only test items have."""
+    frame = scalar.hash56(F.concat(F.lit("42:"), F.col("p_partkey").cast("string"))) % 20
+    typed = t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("lemma"), F.concat(F.lit("T"), (F.col("p_size") % 3 + 14).cast("string")).alias("type"), frame.alias("frame"))
+    return qa.held_out(qa.lemma_split(typed, "lemma"), 20, 2, ("T15",)).select("id", "tier", "split")
+
+
+@query("""
+SELECT l_orderkey AS anchor, string_agg(DISTINCT p_name, ', ' ORDER BY p_name) AS gold FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_type = 'ECONOMY' GROUP BY l_orderkey
+""")
+def collocations_by_category(t):
+    """Partners of one part of speech only."""
+    rows = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    phrases = rows.select(F.col("l_orderkey").alias("anchor"), F.col("p_name").alias("name"), F.col("p_type").alias("pos"))
+    return qa.by_category(phrases, "ECONOMY").withColumn("gold", F.array_join("gold", ", "))
+
+
+@query("""
+SELECT l_partkey AS anchor, l_linenumber AS sense, string_agg(DISTINCT s_name, ', ' ORDER BY s_name) AS gold FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY ALL
+""")
+def synonyms_by_sense(t):
+    """Partners of each sense by itself."""
+    rows = t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    return qa.by_sense(rows.select(F.col("l_partkey").alias("anchor"), F.col("l_linenumber").alias("sense"), F.col("s_name").alias("name"))).withColumn("gold", F.array_join("gold", ", "))
+
+
+#: The cells of a part: all of them, all but one, two thirds or half, by its size; a tenth of the parts has a doublet.
+_PRESENT = "(p_size % 4 = 3 OR (p_size % 4 = 2 AND i <> p_partkey % 18) OR (p_size % 4 = 0 AND (p_partkey + i) % 3 <> 0) OR (p_size % 4 = 1 AND (p_partkey + i) % 2 = 0))"
+_CASE_SQL = "['nominative', 'genitive', 'dative', 'accusative', 'locative', 'instrumental']"
+_CELLS = f"""
+f AS (
+    SELECT p_partkey AS anchor, p_name || '-' || i AS surface, {_CASE_SQL}[i % 6 + 1] AS "case", ['singular', 'dual', 'plural'][i // 6 + 1] AS number
+    FROM part, (SELECT unnest(range(18)) AS i) WHERE {_PRESENT} AND p_partkey % 4 <> 1
+    UNION ALL SELECT p_partkey, p_name || '-x', 'nominative', 'singular' FROM part WHERE p_partkey % 10 = 0),
+bad AS (SELECT anchor FROM f GROUP BY anchor, "case", number HAVING count(DISTINCT surface) > 1),
 u AS (SELECT * FROM f WHERE anchor NOT IN (SELECT anchor FROM bad))
 """
 
 
-def _cells(t, used="l_quantity > 49 and l_partkey % 4 = 0"):
-    rows = t.lineitem.filter(used).join(t.part, F.col("l_partkey") == F.col("p_partkey"))
-    case = F.get(F.array(*[F.lit(c) for c in qa.CASES]), (F.col("p_partkey") % 6).cast("int"))
-    number = F.get(F.array(*[F.lit(n) for n in qa.NUMBERS]), (F.col("p_size") % 3).cast("int"))
-    return rows.select(F.col("l_suppkey").alias("anchor"), F.col("p_name").alias("surface"), case.alias("case"), number.alias("number"))
+def _slots(t, n: int):
+    return t.part.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+
+
+def _cells(t):
+    """Forms of nouns, adjectives and pronouns; every fourth part is a verb."""
+    i = F.col("i")
+    case = F.get(F.array(*[F.lit(c) for c in qa.CASES]), i % 6)
+    number = F.get(F.array(*[F.lit(n) for n in qa.NUMBERS]), F.floor(i / 6).cast("int"))
+    rows = _slots(t, 18).filter(_PRESENT).filter("p_partkey % 4 <> 1").select(
+        F.col("p_partkey").alias("anchor"), F.concat_ws("-", "p_name", i.cast("string")).alias("surface"), case.alias("case"), number.alias("number")
+    )
+    more = t.part.filter("p_partkey % 10 = 0").select(F.col("p_partkey").alias("anchor"), F.concat("p_name", F.lit("-x")).alias("surface"), F.lit("nominative").alias("case"), F.lit("singular").alias("number"))
+    return rows.unionByName(more)
 
 
 def _table_sql(inner):
@@ -274,48 +347,50 @@ def _table_sql(inner):
 
 
 @query(f"""
-WITH {_CELLS} SELECT anchor, count(DISTINCT ("case", number))::INTEGER AS filled, {_table_sql(qa.CASES)} AS "table" FROM u GROUP BY anchor HAVING count(*) >= 2
+WITH {_CELLS} SELECT anchor, count(DISTINCT ("case", number))::INTEGER AS filled, {_table_sql(qa.CASES)} AS "table" FROM u GROUP BY anchor HAVING count(*) >= 12
 """)
 def paradigm_table(t):
-    """T1 (T2, T5 and T6 likewise): six cases by three numbers; anchors with doublets are left out."""
-    return qa.paradigm(_cells(t), ("number", qa.NUMBERS), ("case", qa.CASES), 2)
+    """Six cases by three numbers, twelve cells at least; anchors with doublets are left out."""
+    return qa.paradigm(_cells(t), ("number", qa.NUMBERS), ("case", qa.CASES), 12)
 
 
-@query(f"WITH {_CELLS} SELECT anchor, \"case\", number, surface FROM u WHERE number = 'plural'")
+@query(f"""
+WITH {_CELLS} SELECT anchor, "case", number, surface FROM u JOIN part ON p_partkey = anchor
+WHERE ('0x' || substr(md5('slot:' || p_partkey), 1, 14))::BIGINT % 18 = list_position({_CASE_SQL}, "case") - 1 + 6 * (list_position(['singular', 'dual', 'plural'], number) - 1)
+""")
 def single_cell(t):
-    """One cell of paradigms without doublets."""
-    return qa.unique_cells(_cells(t), ("case", "number")).filter("number = 'plural'").select("anchor", "case", "number", "surface")
+    """Of every paradigm without doublets the one cell that its draw asks for, if it has it."""
+    place = F.array_position(F.array(*[F.lit(c) for c in qa.CASES]), F.col("case")) - 1 + 6 * (F.array_position(F.array(*[F.lit(n) for n in qa.NUMBERS]), F.col("number")) - 1)
+    asked = scalar.hash56(F.concat(F.lit("slot:"), F.col("anchor").cast("string"))) % 18
+    return qa.unique_cells(_cells(t), ("case", "number")).filter(place == asked).select("anchor", "case", "number", "surface")
 
 
 @query("""
 WITH b AS (SELECT l_suppkey AS anchor, p_size % 3 AS degree, min((p_partkey % 2, p_name)) AS best FROM lineitem JOIN part ON p_partkey = l_partkey
-    WHERE l_quantity > 48 GROUP BY ALL)
+    GROUP BY ALL)
 SELECT anchor, array_to_string([coalesce(max(CASE WHEN degree = k THEN best[2] END), '/') FOR k IN [0]], '') || ', ' ||
     coalesce(max(CASE WHEN degree = 1 THEN best[2] END), '/') || ', ' || coalesce(max(CASE WHEN degree = 2 THEN best[2] END), '/') AS gold FROM b GROUP BY anchor
 """.replace("array_to_string([coalesce(max(CASE WHEN degree = k THEN best[2] END), '/') FOR k IN [0]], '')", "coalesce(max(CASE WHEN degree = 0 THEN best[2] END), '/')"))
 def gradation(t):
     """T11 (T7 likewise): one form per degree by preference, gaps as '/'."""
-    rows = t.lineitem.filter("l_quantity > 48").join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    rows = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
     degree = F.get(F.array(*[F.lit(d) for d in qa.DEGREES]), (F.col("p_size") % 3).cast("int"))
     forms = rows.select(F.col("l_suppkey").alias("anchor"), F.col("p_name").alias("surface"), degree.alias("degree"), (F.col("p_partkey") % 2).alias("rank"))
     return qa.picked(forms, "degree", qa.DEGREES, F.col("rank")).select("anchor", F.array_join("gold", ", ").alias("gold"))
 
 
 @query("""
-WITH r AS (SELECT DISTINCT p_name AS surface, p_partkey % 6 AS c, p_size % 3 AS n FROM part WHERE p_partkey % 5 = 0)
+WITH r AS (SELECT DISTINCT p_name || '-' || p_size AS surface, p_partkey % 6 AS c, p_size % 3 AS n FROM part)
 SELECT surface, string_agg(['nominative', 'genitive', 'dative', 'accusative', 'locative', 'instrumental'][c + 1] || ' ' || ['singular', 'dual', 'plural'][n + 1],
-    ' ali ' ORDER BY n, c) AS gold, count(*)::INTEGER AS n FROM r GROUP BY surface HAVING count(*) >= 2
+    ' ali ' ORDER BY n, c) AS gold, count(*)::INTEGER AS n FROM r GROUP BY surface
+    HAVING count(*) >= 2 OR ('0x' || substr(md5('42:lone:' || surface), 1, 14))::BIGINT % 100 < 25
 """)
 def ambiguous_readings(t):
-    """All readings of a surface with at least two."""
-    return _readings(t.part.filter("p_partkey % 5 = 0"))
-
-
-def _readings(part):
+    """All readings of a surface with at least two, and of a quarter of those with one."""
     case = F.get(F.array(*[F.lit(c) for c in qa.CASES]), (F.col("p_partkey") % 6).cast("int"))
     number = F.get(F.array(*[F.lit(n) for n in qa.NUMBERS]), (F.col("p_size") % 3).cast("int"))
-    rows = part.select(F.col("p_name").alias("surface"), case.alias("case"), number.alias("number"))
-    return qa.readings(rows).filter("n >= 2").withColumn("gold", F.array_join("gold", " ali "))
+    rows = t.part.select(F.concat_ws("-", "p_name", F.col("p_size").cast("string")).alias("surface"), case.alias("case"), number.alias("number"))
+    return qa.readings(rows, 25).withColumn("gold", F.array_join("gold", " ali "))
 
 
 @query("SELECT p_partkey, CASE p_type WHEN 'ECONOMY' THEN 'samostalnik, moški spol' WHEN 'SMALL' THEN 'glagol, dovršni' ELSE 'pridevnik' END AS gold FROM part")
@@ -340,15 +415,26 @@ def first_example_verbatim(t):
     return short.groupBy("source").agg(F.min("doc_id").alias("node"), F.min_by("text", "doc_id").alias("gold"))
 
 
-@query("""
-WITH f AS (SELECT lang, w AS surface FROM (VALUES ('en', 'thth'), ('en', 'onth'), ('de', 'ungge'), ('fr', 'ment'), ('es', 'cosa')) x(lang, w))
-SELECT doc_id, surface FROM documents JOIN f USING (lang) WHERE regexp_matches(text, '(^|[^\\p{L}\\p{N}_])' || surface || '($|[^\\p{L}\\p{N}_])')
-""")
+_FORMS = r"""
+f AS (
+    SELECT source, lang, arg_min(regexp_extract(lower(text), '[a-zà-ÿ]+'), doc_id) AS surface FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL AND text IS NOT NULL
+    GROUP BY source, lang)
+"""
+_STANDS = r"regexp_matches(text, '(^|[^\p{L}\p{N}_])' || surface || '($|[^\p{L}\p{N}_])')"
+
+
+def _forms_of_sources(t):
+    """The first word of the first document of every source and language, in small letters."""
+    told = t.documents.filter("lang is not null and source is not null and text is not null")
+    word = F.regexp_extract(F.lower("text"), "[a-zà-ÿ]+", 0)
+    return told.groupBy("source", "lang").agg(F.min_by(word, "doc_id").alias("surface"))
+
+
+@query(f"WITH {_FORMS} SELECT doc_id, surface FROM documents JOIN f USING (source, lang) WHERE surface <> '' AND {_STANDS}")
 def form_in_sentence(t):
-    """T20's join: forms that stand as words in the sentences of their language."""
-    forms = t.spark.createDataFrame([("en", "thth"), ("en", "onth"), ("de", "ungge"), ("fr", "ment"), ("es", "cosa")], "lang string, surface string")
-    whole = F.expr(r"text rlike concat('(?U)(?<!\\w)', surface, '(?!\\w)')")
-    return t.documents.join(F.broadcast(forms), "lang").filter(whole).select("doc_id", "surface")
+    """T20's join: forms that stand as words in the sentences of their source and language."""
+    forms = _forms_of_sources(t).filter("surface <> ''")
+    return qa.in_sentences(t.documents, forms, ("source", "lang")).select("doc_id", "surface")
 
 
 @query("""
@@ -406,23 +492,38 @@ def question_answer_pairs(t):
     return asked.join(answers, ["conv_id", "turn"], "left_semi").select("conv_id", F.col("turn").alias("asked"), F.col("text").alias("question"))
 
 
-@query("""
-WITH q AS (SELECT p_partkey AS id, unnest(regexp_extract_all(lower('Kaj pomeni ' || p_name || '?'), '\\p{L}+')) AS surface FROM part WHERE p_partkey < 300)
-SELECT DISTINCT id, l_suppkey AS unit FROM q JOIN (SELECT DISTINCT split_part(p_name, ' ', 1) AS surface, l_suppkey FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity > 49) i USING (surface)
-WHERE surface NOT IN ('kaj', 'pomeni')
-""")
+_UNITS = r"""
+q AS (SELECT p_partkey AS id, unnest(regexp_extract_all(lower('Kaj pomeni ' || p_name || '?'), '\p{L}+')) AS surface FROM part),
+x AS (SELECT DISTINCT id, l_suppkey AS unit FROM q JOIN (SELECT DISTINCT split_part(p_name, ' ', 1) AS surface, l_suppkey FROM lineitem JOIN part ON p_partkey = l_partkey) i USING (surface)
+    WHERE surface NOT IN ('kaj', 'pomeni'))
+"""
+
+
+@query(f"WITH {_UNITS} SELECT id, unit FROM x")
 def question_units(t):
     """Fallback extraction: words of a question, without stopwords, looked up in the index."""
-    return _units(t, t.part.filter("p_partkey < 300"), "l_quantity > 49")
+    return _units(t)
 
 
-def _units(t, part, used):
-    questions = part.select(F.col("p_partkey").alias("id"), F.concat(F.lit("Kaj pomeni "), "p_name", F.lit("?")).alias("question"))
-    used = t.lineitem.filter(used).join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+def _units(t):
+    questions = t.part.select(F.col("p_partkey").alias("id"), F.concat(F.lit("Kaj pomeni "), "p_name", F.lit("?")).alias("question"))
+    used = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
     index = used.select(F.substring_index("p_name", " ", 1).alias("surface"), F.col("l_suppkey").alias("unit")).distinct()
     return qa.extracted(questions, index, ("kaj", "pomeni"))
 
 
+@query(f"""
+WITH {_UNITS}, a AS (SELECT l_partkey AS id, min(l_suppkey) AS unit FROM lineitem GROUP BY 1), n AS (SELECT id, count(DISTINCT unit) AS n FROM x GROUP BY id)
+SELECT count(*) AS items, round(avg((x.unit IS NOT NULL)::INT), 6) AS recall, round(avg((coalesce(n, 0) > 1)::INT), 6) AS several
+FROM a LEFT JOIN x ON x.id = a.id AND x.unit = a.unit LEFT JOIN n ON n.id = a.id
+""")
+def extraction_rates(t):
+    """Share of questions whose unit is found, and of those that name several."""
+    asked = t.lineitem.groupBy(F.col("l_partkey").alias("id")).agg(F.min("l_suppkey").alias("unit"))
+    out = qa.extraction_rates(asked, _units(t))
+    return out.select("items", F.round("recall", 6).alias("recall"), F.round("several", 6).alias("several"))
+
+
 @query("""
 SELECT p_partkey AS id, replace(['Kaj pomeni <L>?', 'Razloži besedo <L>.', 'Navedi pomene: <L>'][(('0x' || substr(md5('42:' || p_partkey), 1, 14))::BIGINT % 3) + 1], '<L>', p_name) AS question FROM part
 """)
@@ -432,7 +533,7 @@ def rendered_questions(t):
 
 
 @query(f"""
-WITH {EDGES}, s AS (SELECT p_partkey AS item FROM part ORDER BY md5('42:' || p_partkey), p_partkey LIMIT 20),
+WITH {EDGES}, s AS (SELECT p_partkey AS item FROM part ORDER BY md5('42:' || p_partkey), p_partkey LIMIT 400),
 b AS (SELECT item, item AS node, 0 AS depth FROM s UNION SELECT item, dst, 1 FROM s JOIN h ON src = item),
 x AS (SELECT item, depth, node, coalesce(p_name, o_orderpriority) AS text FROM b LEFT JOIN part ON p_partkey = node LEFT JOIN orders ON o_orderkey + 10000000000 = node)
 SELECT item, string_agg(text, chr(10) ORDER BY depth, node) AS document FROM x GROUP BY item
@@ -445,87 +546,117 @@ def serialise_ball(t):
     return qa.serialised(reached.join(tokens(t).select("node", "text"), "node").select(F.col("seed").alias("item"), "depth", "node", "text"))
 
 
-@query()
+#: One letter for each remainder of a key, and its place in the alphabet; the last one lies outside it.
+_LETTERS = ("a", "b", "c", "č", "s", "š", "z", "ž", "ö")
+_PLACES = (0, 1, 2, 3, 18, 19, 23, 24, 25 + ord("ö"))
+
+
+@query(f"""
+WITH w AS (SELECT p_partkey, {list(_LETTERS)}[p_partkey % 9 + 1] || {list(_LETTERS)}[p_size % 9 + 1] AS word, {list(_PLACES)}[p_partkey % 9 + 1] AS x, {list(_PLACES)}[p_size % 9 + 1] AS y FROM part)
+SELECT word, (rank() OVER (ORDER BY x, y))::INTEGER AS place, count(*) AS n FROM (SELECT DISTINCT p_partkey, word, x, y FROM w) GROUP BY word, x, y
+""")
 def slovene_collation(t):
-    """Names in the order of the Slovene alphabet."""
-    words = t.spark.createDataFrame([(w,) for w in ("žito", "cesta", "šola", "riba", "čas", "zima", "sok", "öde")], "word string")
-    return words.orderBy(scalar.slovene_key(F.col("word")), "word")
+    """Words in the order of the Slovene alphabet: how often each occurs and its place among the distinct ones."""
+    from pyspark.sql.window import Window
+
+    letter = lambda k: F.get(F.array(*[F.lit(x) for x in _LETTERS]), (k % 9).cast("int"))
+    words = t.part.select(F.concat(letter(F.col("p_partkey")), letter(F.col("p_size"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.orderBy(scalar.slovene_key(F.col("word")), "word"))  # one row a distinct word
+    return words.withColumn("place", place)
 
 
 @query("""
 WITH p AS (SELECT CASE WHEN p_size <= 25 THEN 'core' ELSE 'tail' END AS population, p_partkey FROM part)
 SELECT population, round(avg((p_partkey IN (SELECT doc_id FROM labels WHERE quality = 1))::INT), 6) AS defined,
-    round(avg((p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49))::INT), 6) AS exemplified, count(*) AS n FROM p GROUP BY 1
+    round(avg((p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_linenumber = 7))::INT), 6) AS exemplified, count(*) AS n FROM p GROUP BY 1
 """)
 def population_coverage(t):
     """Share of core and tail words that have each relation."""
-    good = t.labels.filter("quality = 1").select(F.col("doc_id").alias("p_partkey")).distinct().withColumn("d", F.lit(1))
-    used = t.lineitem.filter("l_quantity > 49").select(F.col("l_partkey").alias("p_partkey")).distinct().withColumn("x", F.lit(1))
-    flags = t.part.join(good, "p_partkey", "left").join(used, "p_partkey", "left")
-    return flags.groupBy(F.when(F.col("p_size") <= 25, "core").otherwise("tail").alias("population")).agg(
-        F.round(F.avg(F.coalesce("d", F.lit(0))), 6).alias("defined"), F.round(F.avg(F.coalesce("x", F.lit(0))), 6).alias("exemplified"), F.count("*").alias("n")
-    )
+    words = t.part.select(F.col("p_partkey").alias("word"), F.when(F.col("p_size") <= 25, "core").otherwise("tail").alias("population"))
+    flags = {
+        "defined": t.labels.filter("quality = 1").select(F.col("doc_id").alias("word")),
+        "exemplified": t.lineitem.filter("l_linenumber = 7").select(F.col("l_partkey").alias("word")),
+    }
+    out = qa.covered(words, "population", flags)
+    return out.select("population", *[F.round(f, 6).alias(f) for f in flags], "n")
 
 
-@query("""
-WITH x AS (SELECT p_partkey, p_partkey % 10 = 0 AS is_negative, CASE WHEN p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49) THEN 'no example'
-    WHEN p_size > 45 THEN 'rare' ELSE 'ordinary' END AS flavour FROM part)
-SELECT flavour, count(*) AS n FROM x WHERE is_negative GROUP BY flavour
+@query(f"""
+WITH {EDGES}, d AS (SELECT p_partkey AS word, ('0x' || substr(md5('42:negative:' || p_partkey), 1, 14))::BIGINT % 100 < 10 AS asked,
+    ('0x' || substr(md5('42:made up:' || p_partkey), 1, 14))::BIGINT % 100 < 30 AS made FROM part),
+o AS (SELECT DISTINCT l_partkey AS word FROM lineitem WHERE l_linenumber = 7),
+s AS (SELECT l_partkey AS word FROM (SELECT l_partkey, l_suppkey, bool_or(l_returnflag = 'R') AS has FROM lineitem GROUP BY ALL) GROUP BY l_partkey HAVING bool_or(has) AND NOT bool_and(has)),
+n AS (SELECT DISTINCT a.dst AS word FROM m a JOIN m b ON a.src = b.src AND a.dst <> b.dst JOIN o ON o.word = b.dst)
+SELECT word, CASE WHEN made THEN 'made_up' WHEN word NOT IN (SELECT word FROM o) THEN CASE WHEN word IN (SELECT word FROM n) THEN 'distractor' ELSE 'lacks' END ELSE 'other_sense' END AS flavour
+FROM d WHERE asked AND (made OR word NOT IN (SELECT word FROM o) OR word IN (SELECT word FROM s))
 """)
 def negative_slice(t):
-    """A tenth of the items are negatives, by the flavour of what is missing."""
-    used = t.lineitem.filter("l_quantity > 49").select(F.col("l_partkey").alias("p_partkey")).distinct()
-    negative = t.part.filter("p_partkey % 10 = 0")
-    missing = negative.join(used, "p_partkey", "left_anti").select(F.lit("no example").alias("flavour"))
-    rest = negative.join(used, "p_partkey", "left_semi").select(F.when(F.col("p_size") > 45, "rare").otherwise("ordinary").alias("flavour"))
-    return missing.unionAll(rest).groupBy("flavour").agg(F.count("*").alias("n"))
+    """A tenth of the items have no answer, in four flavours, three in ten for words that do not exist."""
+    words, has = t.part.select(F.col("p_partkey").alias("word")), t.lineitem.filter("l_linenumber = 7").select(F.col("l_partkey").alias("word"))
+    senses = t.lineitem.groupBy(F.col("l_partkey").alias("word"), F.col("l_suppkey").alias("sense")).agg(F.bool_or(F.col("l_returnflag") == "R").alias("has"))
+    edges = staged(relational.constituents(t.lineitem), "constituents")
+    a, b = edges.select("src", F.col("dst").alias("word")), edges.select("src", F.col("dst").alias("near"))
+    return qa.negatives(words, has, senses, a.join(b, "src").filter("word <> near").select("word", "near"))
 
 
 @query(f"""
 WITH {_CELLS} SELECT anchor, number, {" || ', ' || ".join(f"coalesce(max(CASE WHEN " + '"case"' + f" = '{c}' THEN surface END), '/')" for c in qa.CASES)} AS gold
-FROM u GROUP BY anchor, number HAVING count(*) >= 2
+FROM u GROUP BY anchor, number HAVING count(*) >= 5
 """)
 def paradigm_by_number(t):
-    """The six cases of one number."""
-    rows = qa.unique_cells(_cells(t), ("case", "number"))
-    cells = [F.max(F.when(F.col("case") == c, F.col("surface"))).alias(c) for c in qa.CASES]
-    wide = rows.groupBy("anchor", "number").agg(F.count("*").alias("n"), *cells).filter("n >= 2")
-    return wide.select("anchor", "number", F.concat_ws(", ", *[F.coalesce(F.col(c), F.lit("/")) for c in qa.CASES]).alias("gold"))
+    """The six cases of one number, five of them at least."""
+    out = qa.paradigm(_cells(t), ("number", qa.NUMBERS), ("case", qa.CASES), 5, by_outer=True)
+    return out.select("anchor", "number", F.col("table").alias("gold"))
+
+
+_VERB = f"""
+f AS (
+    SELECT p_partkey AS anchor, p_name || '-' || i AS surface, i % 3 AS person, i // 3 AS number FROM part, (SELECT unnest(range(9)) AS i) WHERE {_PRESENT} AND p_partkey % 4 = 1
+    UNION ALL SELECT p_partkey, p_name || '-x', 0, 0 FROM part WHERE p_partkey % 10 = 1),
+u AS (SELECT * FROM f WHERE anchor NOT IN (SELECT anchor FROM f GROUP BY anchor, person, number HAVING count(DISTINCT surface) > 1)),
+v AS (SELECT anchor, {" || '; ' || ".join(" || ', ' || ".join(f"coalesce(max(CASE WHEN person = {p} AND number = {n} THEN surface END), '/')" for p in range(3)) for n in range(3))} AS "table"
+    FROM u GROUP BY anchor HAVING count(*) = 9)
+"""
 
 
-_VERB = """
-f AS (SELECT DISTINCT l_suppkey AS anchor, p_name AS surface, p_partkey % 3 AS person, p_size % 3 AS number FROM lineitem JOIN part ON p_partkey = l_partkey
-    WHERE l_quantity > 49 AND l_partkey % 8 = 0),
-u AS (SELECT * FROM f WHERE anchor NOT IN (SELECT anchor FROM f GROUP BY anchor, person, number HAVING count(*) > 1))
-"""
+def _verbs(t):
+    """Tables of verbs with all nine cells of the present tense."""
+    i = F.col("i")
+    person = F.get(F.array(*[F.lit(p) for p in qa.PERSONS]), i % 3)
+    number = F.get(F.array(*[F.lit(n) for n in qa.NUMBERS]), F.floor(i / 3).cast("int"))
+    rows = _slots(t, 9).filter(_PRESENT).filter("p_partkey % 4 = 1").select(
+        F.col("p_partkey").alias("anchor"), F.concat_ws("-", "p_name", i.cast("string")).alias("surface"), person.alias("person"), number.alias("number")
+    )
+    more = t.part.filter("p_partkey % 10 = 1").select(F.col("p_partkey").alias("anchor"), F.concat("p_name", F.lit("-x")).alias("surface"), F.lit("first").alias("person"), F.lit("singular").alias("number"))
+    return qa.paradigm(rows.unionByName(more), ("number", qa.NUMBERS), ("person", qa.PERSONS), 9)
 
 
-@query(f"""
-WITH {_VERB} SELECT anchor, count(*)::INTEGER AS filled, 'sedanjik: ' || {" || '; ' || ".join(" || ', ' || ".join(f"coalesce(max(CASE WHEN person = {p} AND number = {n} THEN surface END), '/')" for p in range(3)) for n in range(3))} AS answer
-FROM u GROUP BY anchor HAVING count(*) >= 1
-""")
+@query(f"WITH {_VERB} SELECT anchor, 'ODGOVOR: ' || \"table\" AS answer FROM v")
 def verb_paradigm(t):
-    """Three persons by three numbers, with the tense's label."""
-    return _verbs(t, "l_quantity > 49 and l_partkey % 8 = 0")
+    """T5: three persons by three numbers, all nine."""
+    return _verbs(t).select("anchor", F.concat(F.lit(qa.ANSWER), "table").alias("answer"))
 
 
-def _verbs(t, used):
-    rows = t.lineitem.filter(used).join(t.part, F.col("l_partkey") == F.col("p_partkey"))
-    person = F.get(F.array(*[F.lit(p) for p in qa.PERSONS]), (F.col("p_partkey") % 3).cast("int"))
-    number = F.get(F.array(*[F.lit(n) for n in qa.NUMBERS]), (F.col("p_size") % 3).cast("int"))
-    forms = rows.select(F.col("l_suppkey").alias("anchor"), F.col("p_name").alias("surface"), person.alias("person"), number.alias("number"))
-    table = qa.paradigm(forms, ("number", qa.NUMBERS), ("person", qa.PERSONS), 1)
-    return table.select("anchor", "filled", F.concat(F.lit("sedanjik: "), "table").alias("answer"))
+@query(f"""
+WITH {_VERB} SELECT anchor, tense, CASE WHEN tense = 'sedanjik' THEN 'ODGOVOR: sedanjik: ' || "table" ELSE 'ODGOVOR: ni podatka v bazi' END AS answer
+FROM (SELECT *, ['sedanjik', 'prihodnjik', 'preteklik'][('0x' || substr(md5('tense:' || anchor), 1, 14))::BIGINT % 3 + 1] AS tense FROM v)
+""")
+def verb_tenses(t):
+    """The table of the present; other tenses are not recorded."""
+    drawn = scalar.hash56(F.concat(F.lit("tense:"), F.col("anchor").cast("string"))) % 3
+    asked = _verbs(t).withColumn("tense", F.get(F.array(F.lit("sedanjik"), F.lit("prihodnjik"), F.lit("preteklik")), drawn.cast("int")))
+    told = F.concat(F.lit(qa.ANSWER), "tense", F.lit(": "), "table")
+    return asked.select("anchor", "tense", F.when(F.col("tense") == "sedanjik", told).otherwise(F.lit(qa.NO_DATA)).alias("answer"))
 
 
 @query("""
-WITH b AS (SELECT l_suppkey AS anchor, p_partkey % 5 AS k, min(p_name) AS s FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity > 49 GROUP BY ALL)
+WITH b AS (SELECT l_suppkey AS anchor, p_partkey % 5 AS k, min(p_name) AS s FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL)
 SELECT anchor, 'nedoločnik: ' || coalesce(max(CASE WHEN k = 0 THEN s END), '/') || '; namenilnik: ' || coalesce(max(CASE WHEN k = 1 THEN s END), '/')
     || '; velelnik: ' || coalesce(max(CASE WHEN k = 2 THEN s END), '/') AS gold FROM b GROUP BY anchor
 """)
 def nonfinite_forms(t):
     """Infinitive, supine and imperative, labelled, gaps as '/'."""
-    rows = t.lineitem.filter("l_quantity > 49").join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    rows = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
     kinds = F.get(F.array(*[F.lit(v) for v in (*qa.VERB_FORMS, "present", "participle")]), (F.col("p_partkey") % 5).cast("int"))
     forms = rows.select(F.col("l_suppkey").alias("anchor"), F.col("p_name").alias("surface"), kinds.alias("vform"))
     gold = qa.picked(forms, "vform", qa.VERB_FORMS, F.lit(0))
@@ -541,18 +672,23 @@ def noun_gender(t):
     return t.part.filter("p_type = 'ECONOMY'").select("p_partkey", scalar.feature_label("gender", gender).alias("gold"))
 
 
-@query("""
-WITH f AS (SELECT * FROM (VALUES ('en', 'thth', 'genitive'), ('en', 'onth', 'dative'), ('fr', 'ment', 'genitive'), ('fr', 'ment', 'locative')) x(lang, surface, c)),
-a AS (SELECT lang, surface, min(c) AS c FROM f GROUP BY lang, surface HAVING count(*) = 1)
-SELECT doc_id, surface, 'ODGOVOR: ' || c AS answer FROM documents JOIN a USING (lang) WHERE regexp_matches(text, '(^|[^\\p{L}\\p{N}_])' || surface || '($|[^\\p{L}\\p{N}_])')
+@query("SELECT p_partkey, CASE p_size % 3 WHEN 1 THEN 'dovršni' WHEN 2 THEN 'nedovršni' ELSE 'dvovidski' END AS gold FROM part WHERE p_type = 'SMALL'")
+def verb_aspect(t):
+    """The aspect of a verb."""
+    aspect = F.get(F.array(F.lit("biaspectual"), F.lit("perfective"), F.lit("progressive")), (F.col("p_size") % 3).cast("int"))
+    return t.part.filter("p_type = 'SMALL'").select("p_partkey", scalar.feature_label("aspect", aspect).alias("gold"))
+
+
+@query(f"""
+WITH {_FORMS}, g AS (SELECT lang, surface, {_CASE_SQL}[ascii(right(source, 1)) % 6 + 1] AS c FROM f WHERE surface <> ''),
+a AS (SELECT lang, surface, min(c) AS c FROM g GROUP BY lang, surface HAVING count(DISTINCT c) = 1)
+SELECT doc_id, surface, 'ODGOVOR: ' || c AS answer FROM documents JOIN a USING (lang) WHERE {_STANDS}
 """)
 def form_analysis_in_sentence(t):
     """The reading of a form in an example, for forms with one reading only."""
-    rows = [("en", "thth", "genitive"), ("en", "onth", "dative"), ("fr", "ment", "genitive"), ("fr", "ment", "locative")]
-    forms = t.spark.createDataFrame(rows, "lang string, surface string, c string")
-    clear = forms.groupBy("lang", "surface").agg(F.count("*").alias("n"), F.min("c").alias("c")).filter("n = 1")
-    whole = F.expr(r"text rlike concat('(?U)(?<!\\w)', surface, '(?!\\w)')")
-    joined = t.documents.join(F.broadcast(clear), "lang").filter(whole)
+    case = F.get(F.array(*[F.lit(c) for c in qa.CASES]), F.ascii(F.right("source", F.lit(1))) % 6)
+    clear = qa.unambiguous(_forms_of_sources(t).filter("surface <> ''").withColumn("c", case), ("lang", "surface"), "c")
+    joined = qa.in_sentences(t.documents, clear, ("lang",))
     return joined.select("doc_id", "surface", F.concat(F.lit(qa.ANSWER), "c").alias("answer"))
 
 
@@ -567,19 +703,17 @@ def slot_sample(t):
 
 
 @query("""
-WITH a AS (SELECT doc_id, greatest(1, length(text) // 4) AS k FROM documents), b AS (SELECT doc_id, greatest(1, length(left(text, 400)) // 4) AS k FROM documents)
+WITH a AS (SELECT doc_id, CASE WHEN length(text) > 0 THEN greatest(1, length(text) // 4) ELSE 0 END AS k FROM documents),
+b AS (SELECT doc_id, CASE WHEN length(t) > 0 THEN greatest(1, length(t) // 4) ELSE 0 END AS k FROM (SELECT doc_id, replace(text, '.', '') AS t FROM documents))
 SELECT count(*) AS n, sum(a.k)::BIGINT AS old_tokens, sum(b.k)::BIGINT AS new_tokens, round(avg(b.k), 6) AS new_mean, count_if(b.k = 0) AS zeros,
     round(avg((a.k = b.k)::INT), 6) AS agreement FROM a JOIN b USING (doc_id)
 """)
 def token_agreement(t):
-    """Token lengths of two stores compared node by node."""
-    old = t.documents.select("doc_id", scalar.token_proxy(F.col("text")).alias("a"))
-    new = t.documents.select("doc_id", scalar.token_proxy(F.substring("text", 1, 400)).alias("b"))
-    same = (F.col("a") == F.col("b")).cast("int")
-    return old.join(new, "doc_id").agg(
-        F.count("*").alias("n"), F.sum("a").alias("old_tokens"), F.sum("b").alias("new_tokens"), F.round(F.avg("b"), 6).alias("new_mean"),
-        F.count_if(F.col("b") == 0).alias("zeros"), F.round(F.avg(same), 6).alias("agreement"),
-    )
+    """Token lengths of two stores compared node by node: with and without full stops."""
+    old = t.documents.select("doc_id", scalar.token_proxy(F.col("text")).alias("token_len"))
+    new = t.documents.select("doc_id", scalar.token_proxy(F.replace("text", F.lit("."), F.lit(""))).alias("token_len"))
+    out = store.token_agreement(old, new, "doc_id")
+    return out.select("n", "old_tokens", "new_tokens", F.round("new_mean", 6).alias("new_mean"), "zeros", F.round("agreement", 6).alias("agreement"))
 
 
 @query("""
@@ -594,48 +728,28 @@ def gold_checks(t):
     return qa.graded(items, "|", True).groupBy("type").agg(F.count("*").alias("items"), bad.alias("bad_lines"), F.avg("f1").alias("self_grade"))
 
 
-# The queries above read the subsets their SQL reads; these answer whole tables.
-def _whole(sql: str, *filters: str) -> str:
-    for f in filters:
-        assert f in sql
-        sql = sql.replace(f, "")
-    return sql
-
-
-@query(_whole(ORACLES["paradigm_table"], " WHERE l_quantity > 49 AND l_partkey % 4 = 0"))
-def paradigm_table_all(t):
-    return qa.paradigm(_cells(t, "true"), ("number", qa.NUMBERS), ("case", qa.CASES), 2)
-
-
-@query(_whole(ORACLES["single_cell"], " WHERE l_quantity > 49 AND l_partkey % 4 = 0"))
-def single_cell_all(t):
-    return qa.unique_cells(_cells(t, "true"), ("case", "number")).filter("number = 'plural'").select("anchor", "case", "number", "surface")
-
-
-@query(_whole(ORACLES["verb_paradigm"], "\n    WHERE l_quantity > 49 AND l_partkey % 8 = 0"))
-def verb_paradigm_all(t):
-    return _verbs(t, "true")
-
-
-@query(_whole(ORACLES["ambiguous_readings"], " WHERE p_partkey % 5 = 0"))
-def ambiguous_readings_all(t):
-    return _readings(t.part)
-
-
-@query(_whole(ORACLES["question_units"], " WHERE p_partkey < 300", " WHERE l_quantity > 49"))
-def question_units_all(t):
-    return _units(t, t.part, "true")
-
-
-@query(_whole(ORACLES["union_balls"], " WHERE p_partkey < 12"))
-def union_balls_all(t):
-    chosen = t.part.select(F.col("p_partkey").alias("seed"), (F.col("p_partkey") % 4).alias("item"))
-    return traverse.union_balls(chosen, traverse.balls(chosen.select("seed"), half(t), 1))
-
-
 @query("""
-WITH e AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem)
-SELECT src, dst FROM e WHERE NOT EXISTS (SELECT 1 FROM e b WHERE b.src = e.dst AND b.dst = e.src)
+SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN 'type' WHEN 1 THEN 'line' WHEN 2 THEN 'arity' ELSE 'separator' END AS breach FROM part WHERE p_partkey % 5 <> 4
 """)
-def edge_symmetry_check_all(t):
-    return store.asymmetric(t.lineitem.select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct())
+def contract_breaches(t):
+    """Gold answers that break the contract of their type: unknown types, no line, wrong number of items, separators inside items."""
+    k = F.col("p_partkey") % 5
+    kind = F.when(k == 0, "T99").when(k == 2, "T7").otherwise("T15")
+    gold = F.when(k == 3, F.array(F.concat("p_name", F.lit(", "), "p_type"))).otherwise(F.array("p_name", "p_type"))
+    answer = F.when(k == 1, F.lit("odgovor")).otherwise(F.concat(F.lit(qa.ANSWER), "p_name"))
+    items = t.part.select(F.col("p_partkey").alias("id"), kind.alias("type"), gold.alias("gold"), answer.alias("answer"))
+    return qa.contract_breaches(items).select("id", "breach")
+
+
+@query(f"""
+WITH {_SENSES}, {_DEFINED} SELECT count(*) AS lists, count(*) AS consistent, count(*) AS in_order FROM g
+""")
+def list_consistency(t):
+    """T14's number is the length of T12's list, and every list is in its canonical order."""
+    listed = _defined(t)
+    first = _senses(t).filter("class = 'defined'").groupBy("anchor", "definition").agg(F.min("number").alias("k"))
+    again = first.groupBy("anchor").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "definition"))), lambda x: x["definition"]).alias("sorted"))
+    both = listed.join(again, "anchor")
+    return both.agg(
+        F.count("*").alias("lists"), F.count_if(F.size("gold") == F.col("n")).alias("consistent"), F.count_if(F.col("gold") == F.col("sorted")).alias("in_order")
+    )

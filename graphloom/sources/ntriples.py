@@ -12,18 +12,36 @@ from ..functions import scalar, vocab
 SCHEMA = "s string, p string, o string, is_iri boolean, lit string, tail string, lang string"
 
 
+def files_of(spark: SparkSession, folder: str, recursive: bool = False) -> list[str]:
+    """Paths of folder/*.nt in name order, listed by the file system that holds them."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found, out = files.listFiles(where, recursive), []
+    while found.hasNext():
+        path = found.next().getPath()
+        if path.getName().endswith(".nt"):
+            out.append(path.toString())
+    return sorted(out)
+
+
 def read_lines(spark: SparkSession, folder: str, files_limit: int | None = None, recursive: bool = False) -> DataFrame:
     """Lines of folder/*.nt with their file; files_limit keeps the first files in name order.
 
-    Bytes that are not UTF-8 become replacement characters.
+    Bytes that are not UTF-8 become replacement characters. A folder or file that cannot be read is an error, whatever
+    the session tolerates elsewhere; a folder without such files has no lines.
     """
-    reader = spark.read.option("pathGlobFilter", "*.nt").option("recursiveFileLookup", str(recursive).lower())
-    lines = reader.text(folder).select(F.make_valid_utf8("value").alias("value"), F.col("_metadata.file_path").alias("file"))
-    if files_limit is not None:
-        # One row per file of the folder.
-        names = lines.select("file").distinct().orderBy("file").limit(files_limit)
-        lines = lines.join(names, "file", "left_semi")
-    return lines
+    reader = spark.read.option("ignoreMissingFiles", "false").option("ignoreCorruptFiles", "false")
+    if files_limit is None:
+        lines = reader.option("pathGlobFilter", "*.nt").option("recursiveFileLookup", str(recursive).lower()).text(folder)
+    else:
+        chosen = files_of(spark, folder, recursive)[:files_limit]
+        lines = reader.text(chosen) if chosen else reader.option("pathGlobFilter", "*.nt").text(folder).limit(0)
+    return lines.select(F.make_valid_utf8("value").alias("value"), F.col("_metadata.file_path").alias("file"))
+
+
+def _find(what: str, text: Column, start: Column) -> Column:
+    """Place of the first `what` from `start` on, 0 without one."""
+    return F.call_function("locate", F.lit(what), text, start)
 
 
 def literal_parts(o: Column) -> tuple[Column, Column]:
@@ -31,25 +49,32 @@ def literal_parts(o: Column) -> tuple[Column, Column]:
 
     This is the source's own, lenient reading: an escaped quote just before the closing quotes is cut.
     """
-    triple, plain = r'(?s)^"{3}(.*?)"{3}(.*)$', r'(?s)^"(.*?)"(.*)$'
     three = o.startswith('"""')
-    ok = F.when(three, o.rlike(triple)).otherwise(o.rlike(plain))
-    both = [F.when(three, F.regexp_extract(o, triple, k)).otherwise(F.regexp_extract(o, plain, k)) for k in (1, 2)]
-    return F.when(ok, both[0]), F.when(ok, both[1])
+    width = F.when(three, 3).otherwise(1)
+    end = F.when(three, _find('"""', o, F.lit(4))).when(o.startswith('"'), _find('"', o, F.lit(2)))
+    return F.when(end > 0, F.substr(o, width + 1, end - width - 1)), F.when(end > 0, F.substr(o, end + width))
 
 
 def parse(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Triples of well-formed lines; malformed lines and unterminated literals are dropped."""
-    pattern = r"(?s)^<(.*?)> <(.*?)> (.*)$"
-    s, p, o = (F.regexp_extract(column, pattern, k) for k in (1, 2, 3))
-    split = lines.filter(F.col(column).startswith("<") & F.col(column).rlike(pattern)).select(s.alias("s"), p.alias("p"), o.alias("raw"))
+    """Triples of well-formed lines; malformed lines and unterminated literals are dropped.
+
+    A line is cut at the first '> <' and the first '> ' after it.
+    """
+    line = F.col(column)
+    first = F.instr(line, "> <")
+    cut = lines.filter(line.startswith("<") & (first > 0)).select(
+        F.substr(line, F.lit(2), first - 2).alias("s"), F.substr(line, first + 3).alias("rest")
+    )
+    second = F.instr("rest", "> ")
+    split = cut.filter(second > 0).select("s", F.substr("rest", F.lit(1), second - 1).alias("p"), F.substr("rest", second + 2).alias("raw"))
     raw = F.col("raw")
     is_iri = raw.startswith("<")
     content, tail = literal_parts(raw)
+    name = F.when(F.instr(raw, ">") > 0, F.substring_index(F.substr(raw, F.lit(2)), ">", 1)).otherwise("")
     typed = split.select(
         "s",
         "p",
-        F.when(is_iri, F.regexp_extract("raw", r"^<([^>]*)>", 1)).alias("o"),
+        F.when(is_iri, name).alias("o"),
         is_iri.alias("is_iri"),
         F.when(~is_iri, content).alias("lit"),
         F.when(~is_iri, tail).alias("tail"),

@@ -36,9 +36,16 @@ def line(s: Column, predicate: str, o: Column) -> Column:
     return F.concat(s, F.lit(f" <{predicate}> "), o, F.lit(" ."))
 
 
+def escaped(text: Column) -> Column:
+    """A text as it is written inside quotes; quotes as code points, so that none can be taken for the closing ones."""
+    for plain, written in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ('"', "\\u0022")):
+        text = F.replace(text, F.lit(plain), F.lit(written))
+    return text
+
+
 def literal(text: Column, lang) -> Column:
     tag = F.lit(lang) if isinstance(lang, str) else lang
-    return F.concat(F.lit('"""'), text, F.lit('"""@'), tag)
+    return F.concat(F.lit('"""'), escaped(text), F.lit('"""@'), tag)
 
 
 def rendered(part: DataFrame, orders: DataFrame, lineitem: DataFrame, documents: DataFrame) -> DataFrame:
@@ -52,7 +59,7 @@ def rendered(part: DataFrame, orders: DataFrame, lineitem: DataFrame, documents:
         orders.select(line(iri("sense", F.col("o_orderkey")), vocab.SKOS + "definition", literal(F.col("o_orderpriority"), "sl")).alias("value")),
         lineitem.select(line(iri("lexical-unit", F.col("l_orderkey") + ORDERS), vocab.DECOMP + "constituent", iri("lexical-unit-part", connector)).alias("value")),
         documents.select(
-            line(iri("example", F.col("doc_id")), vocab.RDF + "value", literal(F.concat(F.lit("doc "), F.col("doc_id").cast("string")), F.col("lang"))).alias("value")
+            line(iri("example", F.col("doc_id")), vocab.RDF + "value", literal(F.col("text"), F.col("lang"))).alias("value")
         ),
     ]
     out = rows[0]
