@@ -110,7 +110,7 @@ FROM documents d JOIN r ON r.a = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id GRO
 def op9_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts; n_near and near answer the ids divisible by 100."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    paired = simhash.with_next(docs, "doc_id", "text", ["text"], lambda rows: simhash.with_fingerprint(rows, "text", "fp"), ["fp"])
+    paired = simhash.with_next(docs, "doc_id", "text", ["text", "fp"], lambda rows: simhash.with_fingerprint(rows, "text", "fp"))
     n = F.length("text")
     cut = F.floor(n / 3).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), n - cut), F.substr("next_text", F.lit(1), cut))

@@ -132,12 +132,12 @@ def _dealt(df: DataFrame, key: str, tie: str) -> DataFrame:
     )
 
 
-def with_next(df: DataFrame, key: str, tie: str, carried: list[str], derive=None, derived: Sequence[str] = ()) -> DataFrame:
+def with_next(df: DataFrame, key: str, tie: str, carried: Sequence[str], derive=lambda rows: rows) -> DataFrame:
     """df with `next_<c>` of the row that follows in descending order of keys (after the last: the first).
 
-    derive(df) adds the columns `derived` to rows whose next columns are known; they get next columns of their own, in
-    the same pass. Each bucket also gets a copy of the first row of the bucket that follows, so one window over buckets
-    answers all rows without ordering the whole table in one task.
+    derive(df) may add columns, also carried ones, where rows are read: once a row, and once more for the few copies.
+    Each bucket also gets a copy of the first row of the bucket that follows, so one window over buckets answers all
+    rows without ordering the whole table in one task.
     """
     dealt = _dealt(df, key, tie)
     place = ["__bucket", "__part"]
@@ -148,14 +148,10 @@ def with_next(df: DataFrame, key: str, tie: str, carried: list[str], derive=None
     own = dealt.join(F.broadcast(before), (F.col("__bucket") == F.col("__own")) & (F.col("__part") == F.col("__own_part")))
     copies = own.filter(first).dropDuplicates(["__own", "__own_part", key, "__turn", tie])
     copies = copies.select(*df.columns, F.col("__to").alias("__bucket"), F.col("__to_part").alias("__part"), "__turn", F.lit(1).alias("__copy"))
-    both = dealt.select(*df.columns, *place, "__turn", F.lit(0).alias("__copy")).unionByName(copies)
+    both = derive(dealt.select(*df.columns, *place, "__turn", F.lit(0).alias("__copy"))).unionByName(derive(copies))
     w = Window.partitionBy(*place).orderBy(F.col("__copy"), F.col(key).desc_nulls_last(), F.col("__turn"), F.col(tie))
     for c in carried:
         both = both.withColumn(f"next_{c}", F.lead(c).over(w))
-    if derive is not None:
-        both = derive(both)
-        for c in derived:
-            both = both.withColumn(f"next_{c}", F.lead(c).over(w))
     return both.filter("__copy = 0").drop("__copy", "__turn", *place)
 
 

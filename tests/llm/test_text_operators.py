@@ -157,7 +157,7 @@ def test_next_row_across_buckets(spark, monkeypatch):
     turn = {r["text"]: r["h"] for r in df.select("text", F.shiftrightunsigned(F.xxhash64("text"), 1).alias("h")).collect()}
     order = sorted(((i, f"t{k}") for k, i in enumerate(ids)), key=lambda x: (x[0] is None, -(x[0] or 0), turn[x[1]], x[1]))
     want = {t: order[(k + 1) % len(order)][1] for k, (_, t) in enumerate(order)}
-    again = simhash.with_next(df, "doc_id", "text", ["text"], lambda d: d.withColumn("n", F.length("text")), ["n"]).collect()
+    again = simhash.with_next(df, "doc_id", "text", ["text", "n"], lambda d: d.withColumn("n", F.length("text"))).collect()
     assert {r["text"]: r["next_text"] for r in again} == want and all(r["next_n"] == len(r["next_text"]) for r in again)
     assert simhash.with_next(cases.empty(spark), "doc_id", "text", ["text"]).count() == 0
 
