@@ -88,7 +88,8 @@ def _features(found: DataFrame, role: str, props: Sequence[str], types: Sequence
     """One row per code with a column for every property; the least value of repeated ones."""
     rows = found.filter((F.col("role") == role) & scalar.type_of(F.col("sc")).isin(*types)).withColumn("value", scalar.local_name(F.col("o")))
     cells = [F.min(F.when(F.col("key") == p, F.col("value"))).alias(p) for p in props]
-    return rows.groupBy(F.col("sc").alias("code")).agg(*cells)
+    grouped = rows.groupBy(F.col("sc").alias("code"))
+    return grouped.agg(*cells) if cells else rows.select(F.col("sc").alias("code")).distinct()
 
 
 def translations_out(edges: DataFrame, lu: str) -> DataFrame:

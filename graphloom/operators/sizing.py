@@ -24,6 +24,18 @@ def sample(nodes: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     return nodes.orderBy(draw(seed, F.col(key)), key).limit(n)
 
 
+def seed_pool(nodes: DataFrame, generation: int = 3) -> DataFrame:
+    """(seed, ...) that may be drawn: from the third generation on anchors with a text; in the second, lexical units with
+    a text; in the first, lexical units. nodes(key or node, kind, type_id, is_mwe, token_len) as the generation has them."""
+    rule = {
+        3: (F.col("kind") == vocab.ANCHOR) & (F.col("token_len") > 0) if "kind" in nodes.columns else F.lit(False),
+        2: (F.col("type_id") == vocab.TYPES["lexical-unit"]) & (F.col("token_len") > 0),
+        1: F.col("type_id") == vocab.TYPES["lexical-unit"],
+    }[generation]
+    key = "key" if "key" in nodes.columns else "node"
+    return nodes.filter(rule).select(F.col(key).alias("seed"), *[c for c in ("is_mwe",) if c in nodes.columns])
+
+
 def summary(df: DataFrame, value: str, groups: list[str]) -> DataFrame:
     """n, mean, least, greatest and exact, linearly interpolated percentiles of a column."""
     p = F.percentile(F.col(value).cast("double"), [x / 100 for x in PERCENTS])

@@ -360,3 +360,30 @@ def distinct_text_lengths(t):
     nodes = staged(graph(t).nodes.select("key", "text"), "texts")
     measured = build.with_token_lengths(nodes, scalar.token_proxy, distinct=True)
     return measured.agg(F.count("*").alias("nodes"), F.count_distinct("text").alias("texts"), F.sum("token_len").alias("tokens"))
+
+
+@query(f"""
+WITH {_SL}, c AS (SELECT mi.key, phrase, a.lemma AS la, b.lemma AS lb FROM mi JOIN pa ON pa.kind = mi.kind AND pa.lo = mi.lo AND pa.hi = mi.hi
+    JOIN le a ON a.sense = mi.lo JOIN le b ON b.sense = mi.hi WHERE mi.kind = 5)
+SELECT 'text changed, kind 5' AS "check", count_if(phrase IS NOT NULL AND phrase <> la || ' + ' || lb) AS found FROM c
+UNION ALL SELECT 'text changed, kind 0', count(*) FROM an JOIN ul ON ul.lu = an.code JOIN part ON {_c(1, 'p_partkey')} = an.code WHERE p_partkey % 4 = 1 OR p_partkey % 11 = 0
+UNION ALL SELECT unnest(['keys in one only', 'kind changed', 'surface changed', 'items lost', 'edges in old only', 'edges in new only', 'degree changed']), 0
+""")
+def store_rules(t):
+    """An older build, with pairs for names and without unit features, against the newer: what changed, and which rules broke."""
+    triples = ntriples.parse(lines(t))
+    old, new = build.build(triples, colloc_text="pair", unit_features=()), build.build(triples)
+    rules = store.text_rules(old, new).unionByName(store.edge_rules(old, new))
+    return rules.filter("check not in ('unanchored names', 'forms alike')")
+
+
+@query(f"""
+WITH {_SL}, c AS (SELECT key, text, unnest([lo, hi]) AS sense FROM mi WHERE kind = 5),
+l AS (SELECT key, unnest(regexp_extract_all(lower(substr(c.text, 13)), '\\p{{L}}+')) AS x, regexp_extract(an.text, '^iztočnica: (.*?)( \\(.*\\))?$', 1) AS lemma
+    FROM c JOIN sen USING (sense) JOIN an ON an.code = sen.lu),
+y AS (SELECT key, x, unnest(regexp_extract_all(lower(lemma), '\\p{{L}}+')) AS y FROM l)
+SELECT c.key, coalesce(bool_or(starts_with(y, left(x, 4)) OR starts_with(x, left(y, 4))), false) AS anchored FROM c LEFT JOIN y USING (key) GROUP BY c.key
+""")
+def collocation_anchors(t):
+    """Whether each collocation's name shares a stem with the headword of one of its members."""
+    return store.anchored(graph(t))
