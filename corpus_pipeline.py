@@ -2,7 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and returns the columns of documents,
 the last one the ids' digests instead. `run` writes each stage's result to the shared folder and reads it again, so a
-lost executor repeats one stage at most.
+lost executor repeats one stage at most; tables of earlier stages go as soon as the next result is written.
+
+Nulls, ties and repeated rows are treated as the operators say: a null text fails the quality rules; a null lang is not
+learned from; a null source is a source of its own; a row without doc_id is a document of its own in every stage; of
+rows that share a doc_id near-dedup keeps one. Columns beyond those of documents are dropped; an empty table passes.
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import bpe, langid, mixing, near_dup, quality
 from graphloom.llm.common import materialize, table, worker_path
+from graphloom.plans.staging import mark, release
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Least mean position probability of the language a document is taken to be in.
@@ -55,12 +60,13 @@ STAGES = [
     ("encode", encode),
 ]
 
-#: A recurrent network and hash-drawn passes have no SQL form; tests/llm compares the stages with brute force.
+#: A recurrent network and hash-drawn passes have no SQL form; tests/llm compares every stage with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, since = table(spark, sf_dir, "documents"), mark()
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        release(spark, since, keep=1)
     return STAGES[-1][1](spark, docs, sf_dir)
