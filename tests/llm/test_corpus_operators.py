@@ -1,17 +1,21 @@
 """Near-dedup, mixing, likelihood, language ID and the pipeline against plain Python."""
 
+import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
+import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from graphloom.llm import langid, lattice, lm, mixing, near_dup, queries, shingles
+from graphloom.llm import bpe, langid, lattice, lm, mixing, near_dup, quality, queries, shingles
 from graphloom.llm.common import crc_rest
 
 from ..oracle import FOLDER
@@ -367,10 +371,144 @@ def test_every_label_is_learned(spark):
     assert len(rare) == 12 and np.mean([x["lang"] == x["lang_pred"] for x in rare]) > 0.8
 
 
-def test_pipeline(spark):
-    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "language_id", "near_dedup", "mix_sources", "encode"]
-    assert queries.QUERIES and corpus_pipeline.run(spark, FOLDER).count() > docs.count() // 2
+SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def plain_clean(text, rules=quality.LineRules()):
+    """The cleaned text, or None for a rejected one: every rule spelled out for one line at a time."""
+    words = SPLIT.findall(text or "")
+    triples = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+    covered = {i + k for i in range(len(words) - 2) if triples[tuple(words[i : i + 3])] > 1 for k in range(3)}
+    if len(words) < rules.min_words or 100 * len(covered) > rules.max_repeat_percent * len(words):
+        return None
+    kept = []
+    for line in text.split("\n"):
+        w = SPLIT.findall(line)
+        if not w:
+            continue
+        entries = len(re.split(quality.NAV_SIGNS, line, flags=re.ASCII))
+        good = (
+            line.rstrip(" \t\n\x0b\x0c\r")[-1] in quality.TERMINAL
+            and 100 * len(re.findall(quality.MARKS, line)) <= rules.mark_percent * len(w)
+            and 100 * len(re.findall("[!?]", line)) <= rules.exclaim_percent * len(w) + 100
+            and (len(line) < rules.shout_min_chars or 100 * len(regex.findall(r"\p{Lu}", line)) <= rules.shout_percent * len(line))
+            and (len(w) < rules.repeat_min_words or 100 * len(set(w)) >= rules.distinct_percent * len(w))
+            and not (len(w) <= rules.notice_max_words and any(p in line.lower() for p in quality.BOILERPLATE))
+            and not (entries >= max(2, quality.NAV_ENTRIES) and len(w) <= entries * (rules.nav_entry_words + 1))
+        )
+        kept += [line] if good else []
+    left = sum(map(len, SPLIT.findall("\n".join(kept))))
+    return "\n".join(kept) if 100 * left >= (100 - rules.max_loss_percent) * sum(map(len, words)) else None
+
+
+def plain_scores(model, memo, text):
+    """Pooled probabilities of a text, one byte at a time; segments that were met are remembered."""
+    n = len(model.weights["fc"])
+
+    def states(raw, d):
+        h, out = np.zeros(n), []
+        for byte in raw:
+            x, wh, wc = (model.weights[d + c].astype(float) for c in "xhc")
+            gate = 1 / (1 + np.exp(-(x[byte][: 2 * n] + h @ wh)))
+            h = h + gate[:n] * (np.tanh(x[byte][2 * n :] + (gate[n:] * h) @ wc) - h)
+            out.append(h)
+        return out
+
+    total = np.zeros(len(model.languages) + 1)
+    for word in text.split():
+        if word not in memo:
+            memo[word] = np.zeros(len(total))
+            for part, first, last in langid._windows(word) if regex.search(r"\p{L}", word) else ():
+                both = np.hstack((states(b" " + part + b" ", "f"), states((b" " + part + b" ")[::-1], "b")[::-1]))
+                e = np.exp(both @ model.weights["out"] + model.weights["bias"])
+                own = slice(first + (first > 0), last + (1 if last < len(part) else 2))
+                memo[word] += np.append((e / e.sum(axis=1, keepdims=True))[own].sum(axis=0), own.stop - own.start)
+        total += memo[word]
+    return total[:-1] / max(total[-1], 1)
+
+
+def plain_order(rows, draws):
+    """doc_ids in training order: documents of a source by draw fill its target, and demand is inverted by bisection."""
+    sizes, by = Counter(), {}
+    for r in rows:
+        sizes[r["source"]] += len((r["text"] or "").encode().split())
+        by.setdefault(r["source"], []).append(r)
+    names = sorted((s for s in sizes if s is not None), key=str) + [s for s in sizes if s is None]
+    want = plain_targets(sizes)
+
+    def demand(curve, t):
+        xs = np.linspace(0, t, 2001)
+        heights = np.interp(xs, np.linspace(0, 1, len(curve)), curve)
+        return np.trapezoid(heights, xs) / np.trapezoid(curve, np.linspace(0, 1, len(curve)))
+
+    curves = {s: mixing.CURRICULUM[i % len(mixing.CURRICULUM)] for i, s in enumerate(names)}
+    out = []
+    for s in names:
+        n = len(by[s])
+        buckets = max(1, math.ceil(n / max(mixing.BUCKET_ROWS, math.sqrt(n))))
+        place = lambda r: (min(int((draws[r["doc_id"]] % 2**64 >> 33) / 2**31 * buckets), buckets - 1), draws[r["doc_id"]])  # noqa: B023, E731
+        done = 0
+        for r in sorted(by[s], key=place):
+            size = len((r["text"] or "").encode().split())
+            for k in range(2):
+                start = done + k * sizes[s]
+                taken = min(size, round(want[s]) - start)
+                if taken > 0 and 2 * taken >= size:
+                    low, high = 0.0, 1.0
+                    for _ in range(50):
+                        mid = (low + high) / 2
+                        low, high = (mid, high) if demand(curves[s], mid) < start / want[s] else (low, mid)
+                    out.append((sum(want[x] * demand(curves[x], low) for x in names), r["doc_id"]))
+            done += size
+    return sorted(out)
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    some = spark.read.parquet(f"{FOLDER}/documents.parquet").filter("n_chars < 1500").limit(90).collect()
+    rows = [tuple(r) for r in some] + [(5000 + i, r["text"] + " finis.", r["lang"], r["source"], 0) for i, r in enumerate(some[:12])]
+    rows += [(6000, None, None, None, None), (6001, "Home | News | About\n" + some[0]["text"], "en", "src0", 0)]
+    spark.createDataFrame(rows, cases.SCHEMA).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+
+    def step(k, docs):
+        name, stage = corpus_pipeline.STAGES[k]
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        return spark.read.parquet(f"{tmp_path}/{name}")
+
+    first = step(0, docs)
+    cleaned = {r[0]: plain_clean(r[1]) for r in rows}
+    assert {r["doc_id"]: r["text"] for r in first.collect()} == {i: t for i, t in cleaned.items() if t is not None}
+    assert all(r["n_chars"] == len(r["text"]) for r in first.collect())
+
+    second = step(1, first)
+    learned = langid.sample(first, "doc_id", "text", "lang", F.col("lang").isNotNull())
+    model, memo = langid.train(list(learned["text"]), list(learned["lang"])), {}
+    best = {r["doc_id"]: max(plain_scores(model, memo, r["text"]), default=0) for r in first.collect()}
+    least = corpus_pipeline.LEAST_LANGUAGE_SCORE
+    assert all(abs(x - least) > 1e-3 for x in best.values())  # none so near the limit that rounding decides
+    assert {r["doc_id"] for r in second.collect()} == {i for i, x in best.items() if x >= least}
+
+    third = step(2, second)
+    label = plain_classes([(r["doc_id"], r["text"]) for r in second.collect()], 5, 80)
+    assert {r["doc_id"] for r in third.collect()} == {i for i, c in label.items() if i == c} and third.count() < second.count()
+
+    fourth = step(3, third)
+    draws = {r["doc_id"]: r["d"] for r in third.select("doc_id", mixing.identity(third.select(*corpus_pipeline.COLUMNS)).alias("d")).collect()}
+    want = plain_order(third.collect(), draws)
+    assert Counter(r["doc_id"] for r in fourth.collect()) == Counter(i for _, i in want)
+    ordered = [r["doc_id"] for r in mixing.training_order(third.coalesce(1)).collect()]
+    place = [p for p, _ in want]
+    assert all(abs(a - b) < 1e-3 for a, b in zip(place, sorted(place), strict=True)) and len(ordered) == len(want)
+    assert sum(x == i for x, (_, i) in zip(ordered, want, strict=True)) >= 0.98 * len(want)  # ties by rounding aside
+
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.codec(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).ranks, special_tokens={})
+    texts = {r["doc_id"]: r["text"] for r in third.collect()}
+    digest = lambda raw: hashlib.sha256(raw).hexdigest()
+    for r in step(4, fourth).collect():
+        ids = np.array(library.encode_ordinary(texts[r["doc_id"]]), dtype="<u4")
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), digest(ids.tobytes()), digest(texts[r["doc_id"]].encode()))
+    whole = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter(r["doc_id"] for r in whole) == Counter(i for _, i in want)
 
 
 def test_pipeline_edges(spark):
