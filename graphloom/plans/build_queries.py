@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import functions as F
 
 from ..functions import scalar, vocab
@@ -10,7 +12,7 @@ from ..sources import ntriples, relational
 from .catalog import query
 
 _HOST = relational.HOST
-_LINES = f"""
+LINES = f"""
 SELECT '{_HOST}word-form-' || p_partkey AS s, '{vocab.ONTOLEX}writtenRep' AS p, NULL::VARCHAR AS o, p_name AS lit, 'sl' AS lang FROM part
 UNION ALL SELECT '{_HOST}lexical-unit-' || p_partkey, '{vocab.ONTOLEX}canonicalForm', '{_HOST}word-form-' || p_partkey, NULL, NULL FROM part
 UNION ALL SELECT '{_HOST}lexical-unit-' || p_partkey, '{vocab.RDF}type', '{_HOST}resource-' || p_size, NULL, NULL FROM part
@@ -31,17 +33,17 @@ def _parsed(t):
     return ntriples.parse(relational.rendered(t.part, t.orders, t.lineitem, t.documents))
 
 
-@query(_LINES)
+@query(LINES)
 def nt_parse(t):
     return _parsed(t).select("s", "p", "o", "lit", "lang")
 
 
-@query(f"SELECT p, count(*) AS n FROM ({_LINES}) GROUP BY p")
+@query(f"SELECT p, count(*) AS n FROM ({LINES}) GROUP BY p")
 def predicate_census(t):
     return _parsed(t).groupBy("p").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT p, lang, count(*) AS n, count(DISTINCT lit) AS n_values FROM ({_LINES}) WHERE lit IS NOT NULL GROUP BY ALL")
+@query(f"SELECT p, lang, count(*) AS n, count(DISTINCT lit) AS n_values FROM ({LINES}) WHERE lit IS NOT NULL GROUP BY ALL")
 def language_tag_census(t):
     found = _parsed(t).filter("lit is not null")
     return found.groupBy("p", "lang").agg(F.count("*").alias("n"), F.count_distinct("lit").alias("n_values"))
@@ -67,11 +69,15 @@ def iri_code_pack(t):
     return coded.withColumns({"type_id": scalar.type_of(F.col("code")), "number": scalar.payload(F.col("code"))})
 
 
-@query("SELECT 'lexical-unit-' || p_partkey AS name, 1000000000 + p_partkey AS code FROM part UNION ALL SELECT 'sense-' || s_suppkey, 5000000000 + s_suppkey FROM supplier")
+@query(f"""
+SELECT 'lexical-unit-' || p_partkey AS name, 1000000000 + p_partkey AS code FROM part UNION ALL SELECT 'sense-' || s_suppkey, 5000000000 + s_suppkey FROM supplier
+UNION ALL SELECT 'customer-' || c_custkey, {(500 + zlib.crc32(b"customer") % 400) * 10**9} + c_custkey FROM customer UNION ALL SELECT n_name, NULL FROM nation
+""")
 def legacy_codes(t):
+    """Codes of the first two generations: unknown prefixes share ids by crc32, names without a number have none."""
     names = t.part.select(F.concat(F.lit("lexical-unit-"), "p_partkey").alias("name")).unionAll(
         t.supplier.select(F.concat(F.lit("sense-"), "s_suppkey"))
-    )
+    ).unionAll(t.customer.select(F.concat(F.lit("customer-"), "c_custkey"))).unionAll(t.nation.select("n_name"))
     return names.withColumn("code", scalar.legacy_code(F.concat(F.lit(_HOST), "name")))
 
 
@@ -419,3 +425,23 @@ def value_census(t):
     pos, _, forms = _feature_columns()
     cells = F.explode(F.array(F.struct(F.lit("pos").alias("property"), pos.alias("value")), F.struct(F.lit("number").alias("property"), forms["number"].alias("value"))))
     return t.part.select(cells.alias("c")).select("c.*").filter("value is not null").groupBy("property", "value").agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 1 THEN p_name || ' = ' || p_type ELSE p_name || '/' || p_type END AS names FROM part")
+def pair_names(t):
+    """Names that minted nodes answer to: both halves of a pair, the whole of a phrase."""
+    k, a, b = F.col("p_partkey") % 4, F.col("p_name"), F.col("p_type")
+    kind = F.when(k < 2, vocab.COLLOCATION).when(k == 2, vocab.SYNONYM).otherwise(vocab.ANTONYM)
+    tag = F.when(k < 2, vocab.TAGS[vocab.COLLOCATION]).when(k == 2, vocab.TAGS[vocab.SYNONYM]).otherwise(vocab.TAGS[vocab.ANTONYM])
+    joiner = F.when(k == 0, " + ").when(k == 1, " = ").otherwise(" ~ ")
+    return t.part.select("p_partkey", F.array_join(scalar.names_of(F.concat(tag, a, joiner, b), kind), "/").alias("names"))
+
+
+@query("""
+SELECT p_type AS type, format('{:,}', count(*) * 1000) AS shown, format('{:.1f}', 100.0 * count_if(p_size > 25) / count(*)) || ' %' AS large,
+    (sum(p_size) // 3600) || ':' || lpad((sum(p_size) // 60 % 60)::VARCHAR, 2, '0') || ':' || lpad((sum(p_size) % 60)::VARCHAR, 2, '0') AS time FROM part GROUP BY p_type
+""")
+def shown_figures(t):
+    """Figures as reports show them: grouped thousands, shares, elapsed time."""
+    counted = t.part.groupBy(F.col("p_type").alias("type")).agg(F.count("*").alias("n"), F.count_if(F.col("p_size") > 25).alias("big"), F.sum("p_size").alias("s"))
+    return counted.select("type", scalar.grouped(F.col("n") * 1000).alias("shown"), scalar.percent(F.col("big"), F.col("n")).alias("large"), scalar.elapsed(F.col("s")).alias("time"))

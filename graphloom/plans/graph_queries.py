@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar, vocab
 from ..operators import build, lookup, sizing, traverse, typed
-from ..sources import relational
-from .build_queries import EDGES
+from ..sources import ntriples, relational
+from .build_queries import EDGES, LINES
 from .catalog import query
 from .staging import staged
 
@@ -347,3 +347,25 @@ def offset_lookup(t):
     nodes = t.part.select(F.col("p_partkey").alias("node"), (F.col("p_partkey") * 10).alias("start"), (F.col("p_size") % 10).alias("length"))
     points = t.orders.select("o_orderkey", ((F.col("o_orderkey") * 7) % 25000).alias("place"))
     return ranges.interval_lookup(points, nodes, "place", "start", "length", 64).select("o_orderkey", "place", "node")
+
+
+@query(f"""
+WITH x AS ({LINES}) SELECT CASE WHEN s LIKE '%/lexical-unit-7' THEN 'out' ELSE 'in' END AS direction, p, count(*) AS n FROM x
+WHERE s LIKE '%/lexical-unit-7' OR o LIKE '%/lexical-unit-7' GROUP BY ALL
+""")
+def raw_id(t):
+    """Triples that touch an entry, by direction and predicate."""
+    triples = ntriples.parse(relational.rendered(t.part, t.orders, t.lineitem, t.documents))
+    return lookup.Lexicon(None).raw_id(triples, 7).groupBy("direction", "p").agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH x AS (SELECT p_brand AS kind, count(*) AS nodes FROM part GROUP BY 1)
+SELECT kind, nodes, (rank() OVER (ORDER BY nodes DESC, kind))::INTEGER AS place FROM x
+""")
+def footer_order(t):
+    """Totals by kind in the order a footer lists them: most first, then by name."""
+    from pyspark.sql.window import Window
+
+    counted = t.part.groupBy(F.col("p_brand").alias("kind")).agg(F.count("*").alias("nodes"))
+    return counted.withColumn("place", F.row_number().over(Window.orderBy(F.desc("nodes"), "kind")))  # one row a kind

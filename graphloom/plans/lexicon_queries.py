@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar, vocab
-from ..operators import build, store, typed
+from ..operators import build, sizing, store, typed
 from ..sources import ntriples
 from ..sources.relational import iri, line
 from .build_queries import _CASES, _NUMBERS, _POS, _SNIPPET
@@ -87,6 +87,8 @@ def lines(t) -> DataFrame:
         (supplier, _name("translation-form", s), V.VARTRANS + "source", _name("sense", s * 100 + 1)),
         (supplier, _name("lexical-entry-translation", s), ont + "sense", _name("sense-translation", s)),
         (supplier, _name("lexical-entry-translation", s), ont + "canonicalForm", _name("translation-form", s)),
+        (supplier, _name("sense", s * 100 + 1), V.VARTRANS + "target", _name("translation-form", s)),
+        (orders, _name("lexical-unit", o + ENTRY), V.FRAC + "head", _name("lexical-unit", "o_custkey")),
     ]
     out = None
     for df, subject, predicate, object_ in rows:
@@ -323,7 +325,7 @@ WITH {_SL}, d AS (
         UNION ALL SELECT {_c(1, f'l_orderkey + {ENTRY}')}, {_c(2, 'l_orderkey * 100 + l_linenumber')}, 7 FROM it
         UNION ALL SELECT {_c(2, 'l_orderkey * 100 + l_linenumber')}, {_c(1, 'l_partkey')}, 8 FROM it
         UNION ALL SELECT {_c(2, 'l_orderkey * 100 + l_linenumber')}, {_c(1, 'l_suppkey')}, 8 FROM it WHERE l_suppkey % 3 = 0
-        UNION ALL SELECT form, sense, 9 FROM tra) WHERE a <> b GROUP BY 1, 2)
+        UNION ALL SELECT form, sense, 9 FROM tra UNION ALL SELECT {_c(1, f'o_orderkey + {ENTRY}')}, {_c(1, 'o_custkey')}, 11 FROM orders) WHERE a <> b GROUP BY 1, 2)
 SELECT lo, hi, pred FROM d
 """)
 def first_generation_graph(t):
@@ -387,3 +389,30 @@ SELECT c.key, coalesce(bool_or(starts_with(y, left(x, 4)) OR starts_with(x, left
 def collocation_anchors(t):
     """Whether each collocation's name shares a stem with the headword of one of its members."""
     return store.anchored(graph(t))
+
+
+@query(f"""
+WITH {_SL}, g AS (
+    SELECT lu AS src, form AS dst, 'other' AS rel FROM oth UNION ALL SELECT lu, sense, 'sense' FROM sen
+    UNION ALL SELECT {_c(10, 's_suppkey')}, {_c(6, 's_suppkey')}, 'sense' FROM supplier UNION ALL SELECT sense, example, 'usage' FROM use
+    UNION ALL SELECT mwe, word, 'constituent' FROM mw UNION ALL SELECT form, sense, 'translation' FROM tra
+    UNION ALL SELECT DISTINCT {_c(5, 'sn')}, {_c(5, 'l_suppkey * 100 + l_linenumber')}, CASE l_returnflag WHEN 'R' THEN 'syn' ELSE 'ant' END FROM it WHERE l_returnflag <> 'N'
+    UNION ALL SELECT {_c(1, f'o_orderkey + {ENTRY}')}, {_c(1, 'o_custkey')}, 'head' FROM orders)
+SELECT src, dst, rel FROM g
+""")
+def second_generation_graph(t):
+    """The directed, labelled graph of the second generation, heads and both directions of translations among its relations."""
+    return typed.second_generation(ntriples.parse(lines(t)))
+
+
+@query(f"""
+WITH {_SL}, n AS (SELECT *, CASE WHEN text = '' THEN 0 ELSE 1 END AS told FROM no)
+SELECT 3 AS generation, count_if(kind = 0 AND told = 1) AS seeds, count_if(kind = 0 AND told = 1 AND is_mwe) AS entries FROM n
+UNION ALL SELECT 2, count_if(type_id = 1 AND told = 1), count_if(type_id = 1 AND told = 1 AND is_mwe) FROM n
+UNION ALL SELECT 1, count_if(type_id = 1), count_if(type_id = 1 AND is_mwe) FROM n
+""")
+def seed_pools(t):
+    """How many nodes each generation's rule lets be drawn."""
+    nodes = staged(graph(t).nodes, "nodes")
+    counts = [sizing.seed_pool(nodes, g).agg(F.count("*").alias("seeds"), F.count_if("is_mwe").alias("entries")).withColumn("generation", F.lit(g)) for g in (3, 2, 1)]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])

@@ -524,12 +524,38 @@ def extraction_rates(t):
     return out.select("items", F.round("recall", 6).alias("recall"), F.round("several", 6).alias("several"))
 
 
-@query("""
-SELECT p_partkey AS id, replace(['Kaj pomeni <L>?', 'Razloži besedo <L>.', 'Navedi pomene: <L>'][(('0x' || substr(md5('42:' || p_partkey), 1, 14))::BIGINT % 3) + 1], '<L>', p_name) AS question FROM part
+#: Frames of one type: known phrasings first, then new ones, the last of which training never sees.
+_FRAMES = (
+    "Kaj pomeni <L>?", "Razloži besedo <L>.", "Navedi pomene: <L>", "Kaj je <L>?", "Pomen besede <L>?", "Kako bi razložil <L>?", "Opiši, kaj pomeni <L>.",
+    "Navedi <N> pomenov besede <L>.", "Kateri pomen ima <L> v zvezi <S>?", "Beseda <L>: pomen?", "Povej, kaj pomeni <L>.", "Kaj pomeni <L> (<S>)?", "Razloži <L> na <N> načinov.",
+    "Daj razlago za <L>.", "Kaj razumeš pod <L>?", "Zapiši pomen: <L>.", "Kaj označuje <L>?", "Kako razložimo <L>?", "Definicija: <L>", "<L> pomeni kaj?",
+)
+
+
+@query(f"""
+SELECT p_partkey AS id, replace(replace(replace({list(_FRAMES)}[(('0x' || substr(md5('42:' || p_partkey), 1, 14))::BIGINT % {len(_FRAMES)}) + 1], '<L>', p_name), '<S>', p_type), '<N>', p_size::VARCHAR) AS question FROM part
 """)
 def rendered_questions(t):
-    frames = ("Kaj pomeni <L>?", "Razloži besedo <L>.", "Navedi pomene: <L>")
-    return qa.rendered(t.part.select(F.col("p_partkey").alias("id"), "p_name"), frames, {"L": "p_name"}).select("id", "question")
+    """A frame drawn for every item, its slots filled."""
+    return qa.rendered(t.part.select(F.col("p_partkey").alias("id"), "p_name", "p_type", "p_size"), _FRAMES, {"L": "p_name", "S": "p_type", "N": "p_size"}).select("id", "question")
+
+
+@query(f"""
+WITH {_FORMS}, g AS (SELECT source, lang, surface, {_CASE_SQL}[ascii(right(source, 1)) % 6 + 1] AS c FROM f WHERE surface <> ''),
+a AS (SELECT lang, surface FROM g GROUP BY lang, surface HAVING count(DISTINCT c) = 1),
+s AS (SELECT DISTINCT source, lang FROM documents JOIN g USING (source, lang) WHERE {_STANDS}),
+x AS (SELECT g.*, s.source IS NOT NULL AS shown, a.surface IS NOT NULL AS clear FROM g LEFT JOIN s ON s.source = g.source AND s.lang = g.lang LEFT JOIN a ON a.lang = g.lang AND a.surface = g.surface)
+SELECT count(*) AS forms, count_if(shown) AS with_example, count_if(shown AND clear) AS both FROM x
+""")
+def example_intersection(t):
+    """How many forms stand in an example of their own, and how many of those have one reading only."""
+    case = F.get(F.array(*[F.lit(c) for c in qa.CASES]), F.ascii(F.right("source", F.lit(1))) % 6)
+    forms = _forms_of_sources(t).filter("surface <> ''").withColumn("c", case)
+    shown = qa.in_sentences(t.documents, forms.select("source", "lang", "surface"), ("source", "lang")).select("source", "lang").distinct().withColumn("shown", F.lit(True))
+    clear = qa.unambiguous(forms, ("lang", "surface"), "c").select("lang", "surface", F.lit(True).alias("clear"))
+    return forms.join(shown, ["source", "lang"], "left").join(clear, ["lang", "surface"], "left").agg(
+        F.count("*").alias("forms"), F.count_if("shown").alias("with_example"), F.count_if(F.col("shown") & F.col("clear")).alias("both")
+    )
 
 
 @query(f"""
