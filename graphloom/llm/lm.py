@@ -36,7 +36,7 @@ from .lattice import Lattice, load_pieces, spelling_weights
 
 HOT, HOT_CHARS, CLASSES, DISCOUNT, ROUNDS = 50_000, 64, 8, 0.75, 2
 #: Share of a class's spelling mass that goes to the words of all classes.
-COMMON = 0.5
+COMMON = 0.1
 #: Distinct words counted before a partial count is passed on.
 FLUSH = 500_000
 
