@@ -207,7 +207,8 @@ def held_out(items: DataFrame, frames: int, withheld: int = 2, new_types: Sequen
 def counted(partners: DataFrame, least: int = 2, most: int = 10, short_percent: int = 10, seed: int = 42) -> DataFrame:
     """(anchor, asked, gold, short): exactly `asked` items, a number drawn for every anchor, in canonical order.
 
-    Anchors with fewer are left out, but for a drawn share of them, whose honest list is all they have. partners(anchor, gold).
+    Anchors with fewer are left out, but for a drawn share of them, whose honest list is all they have. partners(anchor,
+    gold), each with at least its first `most` items.
     """
     key = F.col("anchor").cast("string")
     asked = (scalar.hash56(F.concat(F.lit(f"{seed}:asked:"), key)) % (most - least + 1) + least).cast("int")
