@@ -2,9 +2,9 @@
 
 Terms are a text's pairs of neighbouring words (its one word if it has no pair), each weighted by its occurrences;
 their 64-bit hashes vote on every bit. Votes are counted in packed lanes, so a text costs a few sums over its terms and
-no shuffle. The search splits fingerprints into six blocks; fingerprints within three bits agree on at least three
-whole blocks, so one of twenty tables, keyed by three blocks, holds the pair. A pair is reported by the first table
-that holds it only.
+no shuffle. The search splits fingerprints into eight blocks; fingerprints within five bits agree on at least three
+whole blocks, so one of 56 tables, keyed by three blocks (24 bits), holds the pair. A pair is reported by the first
+table that holds it only.
 
 Defined results: a null or empty text, or one without words, has fingerprint 0; equal texts have equal fingerprints;
 texts are read whole; rows without a key come last in descending order of keys, and rows with equal keys (or none) are
@@ -24,11 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import words
+from .common import materialize, words
 
-BITS, RADIUS = 64, 3
-#: Widths of the six blocks; any three of them are 31 to 33 bits.
-BLOCKS = (11, 11, 11, 11, 10, 10)
+BITS, RADIUS = 64, 5
+#: Widths of the blocks; RADIUS fewer than all of them make a table's key.
+BLOCKS = (8, 8, 8, 8, 8, 8, 8, 8)
 #: Terms up to which votes fit into lanes of 16 bits; longer texts use lanes of 32.
 NARROW = (1 << 16) - 1
 #: Most buckets that order the keys (their bounds are held by every task), and rows aimed at in each.
@@ -175,20 +175,20 @@ def near(fingerprints: DataFrame, asked: DataFrame, key: str) -> DataFrame:
     member is the least key among the rows with the found fingerprint, copies their number. Equal fingerprints are one row
     before the tables are built, so copies cost nothing; the rows with fingerprint `found` are the matches.
     """
-    counted = fingerprints.groupBy("fp").agg(F.count("*").alias("copies"), F.min(key).alias("member"))
+    counted = materialize(fingerprints.groupBy("fp").agg(F.count("*").alias("copies"), F.min(key).alias("member")), "counted")
 
-    def tables(df: DataFrame, keep: list[str]) -> DataFrame:
-        keys = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for t, m in enumerate(MASKS)])
-        return df.select(*keep, F.explode(keys).alias("e")).select(*keep, "e.t", "e.k")
+    def keys(fp: Column) -> list[Column]:
+        return [F.xxhash64(F.lit(t), fp.bitwiseAND(F.lit(m))) for t, m in enumerate(MASKS)]
 
-    left = tables(asked.select("fp").distinct(), ["fp"]).withColumnRenamed("fp", "asked")
-    right = tables(counted, ["fp", "copies", "member"])
+    left = asked.select(F.col("fp").alias("asked")).distinct()
+    left = left.select("asked", F.posexplode(F.array(*keys(F.col("asked")))).alias("t", "k"))
+    # Rows of the tables are two numbers; counts are joined to what is found.
+    right = counted.select("fp", F.explode(F.array(*keys(F.col("fp")))).alias("k"))
     differ = F.col("asked").bitwiseXOR(F.col("fp"))
     first = F.coalesce(*[F.when(differ.bitwiseAND(F.lit(m)) == 0, F.lit(t)) for t, m in enumerate(MASKS)])
-    on = (left["t"] == right["t"]) & (left["k"] == right["k"]) & (F.bit_count(differ) <= RADIUS) & (first == left["t"])
-    return left.join(right, on).select(
-        F.col("asked").alias("fp"), F.col("fp").alias("found"), F.bit_count(differ).alias("distance"), "member", "copies"
-    )
+    close = left.join(right, "k").filter(F.bit_count(differ) <= RADIUS).filter(first == F.col("t"))
+    found = close.select("asked", "fp", F.bit_count(differ).alias("distance"))
+    return found.join(counted, "fp").select(F.col("asked").alias("fp"), F.col("fp").alias("found"), "distance", "member", "copies")
 
 
 def search(fingerprints: DataFrame, asked: DataFrame, key: str = "fp") -> DataFrame:

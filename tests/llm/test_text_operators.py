@@ -113,24 +113,24 @@ def test_simhash_votes_and_search(spark):
     assert fps[None] == fps[""] == 0
     r = random.Random(2)
     base = [r.getrandbits(64) for _ in range(40)]
-    values = base + [b ^ sum(1 << k for k in r.sample(range(64), d)) for b in base for d in (1, 2, 3, 4)] + base[:5]
+    values = base + [b ^ sum(1 << k for k in r.sample(range(64), d)) for b in base for d in (1, 2, 3, 4, 5, 6, 7)] + base[:5]
     signed = [v - (1 << 64 if v >> 63 else 0) for v in values]
     table = spark.createDataFrame([(v,) for v in signed], "fp long")
     found = {x["fp"]: x["n_near"] for x in simhash.search(table, table).collect()}
-    assert found == {s: sum((v ^ w).bit_count() <= 3 for w in values) for s, v in zip(signed, values, strict=True)}
+    assert found == {s: sum((v ^ w).bit_count() <= simhash.RADIUS for w in values) for s, v in zip(signed, values, strict=True)}
 
 
 def test_near_documents_can_be_told(spark):
     base, r = 0x0123456789ABCDEF, random.Random(6)
-    values = [base, base, base ^ 1, base ^ 0b111 << 60, base ^ 0b1111 << 40, *[r.getrandbits(64) for _ in range(20)]]
+    values = [base, base, base ^ 1, base ^ 0b111 << 60, base ^ 0b111111 << 40, *[r.getrandbits(64) for _ in range(20)]]
     signed = [v - (1 << 64 if v >> 63 else 0) for v in values]
     table = spark.createDataFrame([(100 + i, v) for i, v in enumerate(signed)], "doc_id long, fp long")
     got = {(x["fp"], x["found"]): (x["distance"], x["member"], x["copies"]) for x in simhash.near(table, table, "doc_id").collect()}
     bits = lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count()
-    want = {(a, b): (bits(a, b), 100 + signed.index(b), signed.count(b)) for a in signed for b in signed if bits(a, b) <= 3}
+    want = {(a, b): (bits(a, b), 100 + signed.index(b), signed.count(b)) for a in signed for b in signed if bits(a, b) <= simhash.RADIUS}
     assert got == want
     row = simhash.search(table, table.filter("doc_id = 102"), "doc_id").first()
-    assert [(x["distance"], x["member"], x["copies"]) for x in row["near"]] == [(0, 102, 1), (1, 100, 2)]
+    assert [(x["distance"], x["member"], x["copies"]) for x in row["near"]] == [(0, 102, 1), (1, 100, 2), (4, 103, 1)]
 
 
 def test_wide_lanes_agree(spark, monkeypatch):
