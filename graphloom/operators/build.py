@@ -234,10 +234,6 @@ def with_token_lengths(nodes: DataFrame, tokens, text: str = "text", distinct: b
     return nodes.join(lengths, nodes[text] == lengths["__t"], "left").drop("__t")
 
 
-#: Triples a file of the dispatched table should hold at most; a role and key is dealt over as many tasks.
-LOT = 2_000_000
-
-
 def dispatched_table(triples: DataFrame, hosts: Sequence[str]) -> DataFrame:
     """Dispatched triples, written once by role and key, so each relation reads its own partitions only.
 
