@@ -186,7 +186,8 @@ def near(fingerprints: DataFrame, asked: DataFrame, key: str) -> DataFrame:
     right = counted.select("fp", F.explode(F.array(*keys(F.col("fp")))).alias("k"))
     differ = F.col("asked").bitwiseXOR(F.col("fp"))
     first = F.coalesce(*[F.when(differ.bitwiseAND(F.lit(m)) == 0, F.lit(t)) for t, m in enumerate(MASKS)])
-    close = left.join(right, "k").filter(F.bit_count(differ) <= RADIUS).filter(first == F.col("t"))
+    # Estimates of its size do not see the tables, so a broadcast must be ruled out.
+    close = left.join(right.hint("merge"), "k").filter(F.bit_count(differ) <= RADIUS).filter(first == F.col("t"))
     found = close.select("asked", "fp", F.bit_count(differ).alias("distance"))
     return found.join(counted, "fp").select(F.col("asked").alias("fp"), F.col("fp").alias("found"), "distance", "member", "copies")
 
