@@ -155,6 +155,24 @@ def test_training_order_repeats_and_sorts(spark):
     assert max(counts.values()) == 2 and abs(sum(counts.values()) - 225) <= 2 and out.columns == docs.columns
 
 
+def test_mixing_query(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").collect()]
+    out = queries.QUERIES["op4_curriculum_mixing"](spark, FOLDER).collect()
+    source, sizes, taken = {r[0]: r[3] for r in rows}, Counter(), Counter()
+    for r in rows:
+        sizes[r[3]] += len(SPLIT.findall(r[1] or ""))
+    want = plain_targets(sizes)
+    assert sorted(r["doc_id"] for r in out) == sorted(source)
+    for r in out:
+        s = source[r["doc_id"]]
+        assert r["source_size"] == sizes[s] and abs(r["target"] - want[s]) < 1e-6 * want[s] and 0 <= r["taken"] <= 2 * r["size"]
+        taken[s] += r["taken"]
+    assert all(abs(taken[s] - want[s]) <= 1 for s in want)
+    # Passes of one source follow one another without a gap: positions grow with the words taken before.
+    placed = [r["position"] for r in out if r["position"] is not None]
+    assert placed == sorted(placed) and 0 <= placed[0] and placed[-1] <= sum(want.values())
+
+
 def test_rows_without_key_or_alike_are_documents_of_their_own(spark, monkeypatch):
     monkeypatch.setattr(mixing, "LOT", 7)
     rows = [(None, f"w{i} " * (i % 9 + 1), "en", "a", i) for i in range(120)] + [(5, "one two", "en", "b", 7)] * 60 + [(6, f"x{i}", "en", "b", 2) for i in range(40)]

@@ -100,6 +100,35 @@ def test_round_trip_edges(spark):
     assert (ids["n_tokens"], ids["ids"]) == (0, b"")
 
 
+def test_byte_level_query(spark):
+    own = bpe.codec(PATH, PATTERN)
+    library = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=own.ranks, special_tokens={})
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
+    got = queries.QUERIES["op6_byte_level_bpe"](spark, FOLDER).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        ids = np.array(library.encode_ordinary(texts[r["doc_id"]]), dtype="<u4").tobytes()
+        want = (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest())
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == want
+
+
+def test_packing_query(spark):
+    own = bpe.codec(PATH, PATTERN)
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
+    parts, full = {}, 0
+    for x in queries.QUERIES["op8_token_packing"](spark, FOLDER).collect():
+        ids = np.frombuffer(x["ids"], "<u4")
+        full += x["n_tokens"]
+        for k, doc in enumerate(x["doc_ids"]):
+            a, b = x["cu_seqlens"][k : k + 2]
+            parts.setdefault(doc, []).append((x["starts"][k], ids[a:b]))
+    assert set(parts) == set(texts)
+    for doc, text in texts.items():
+        whole = np.concatenate([p for _, p in sorted(parts[doc], key=lambda y: y[0])])
+        assert whole[-1] == 50256 and own.decode(whole[:-1].tobytes()) == text.encode()
+    assert full == sum(len(p) for x in parts.values() for _, p in x)
+
+
 def test_simhash_votes_and_search(spark):
     df = cases.documents(spark).select("doc_id", "text")
     marked = simhash.with_fingerprint(df, "text", "fp")
