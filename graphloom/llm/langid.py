@@ -37,7 +37,7 @@ PER_LANGUAGE, TRAIN_CHARS, LANGUAGES = 250, 1500, 64
 HIDDEN, WINDOW, CONTEXT = 24, 40, 8
 STEPS, BATCH, RATE = 260, 384, 0.02
 #: Segments a worker remembers, and labels at once, up to LANGUAGES languages; fewer in proportion if there are more.
-MEMO_ENTRIES, CHUNK = 300_000, 2048
+MEMO_ENTRIES, CHUNK = 300_000, 1024
 _LETTER = regex.compile(r"\p{L}")
 _NAMES = [f"{d}{p}" for d in "fb" for p in ("x", "h", "c")]
 
@@ -87,8 +87,8 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (np.tanh(0.5 * x) + 1)
 
 
-def _run(x: np.ndarray, mask: np.ndarray, wx: np.ndarray, wh: np.ndarray, wc: np.ndarray) -> tuple[np.ndarray, list]:
-    """States of one direction, (time, rows, hidden), and what the backward pass needs.
+def _run(x: np.ndarray, mask: np.ndarray, wx: np.ndarray, wh: np.ndarray, wc: np.ndarray, learn: bool) -> tuple[np.ndarray, list]:
+    """States of one direction, (time, rows, hidden), and, to learn, what the backward pass needs.
 
     wx: (256, 3 hidden) rows of input sums by byte; wh: (hidden, 2 hidden) for the gates; wc: (hidden, hidden).
     """
@@ -102,7 +102,8 @@ def _run(x: np.ndarray, mask: np.ndarray, wx: np.ndarray, wh: np.ndarray, wc: np
         c = np.tanh(a[:, 2 * n :] + (r * h) @ wc)
         m = mask[t][:, None]
         new = np.where(m, h + z * (c - h), h)
-        kept.append((h, z, r, c))
+        if learn:
+            kept.append((h, z, r, c))
         h = states[t] = new
     return states, kept
 
@@ -127,11 +128,11 @@ def _back(x, mask, d_states, kept, wh, wc, g, name: str) -> None:
         d_h = np.where(m, d_in * (1 - z) + d_rh * r + d_gates @ wh.T, d_new)
 
 
-def _forward(w: dict[str, np.ndarray], parts: list[bytes]):
+def _forward(w: dict[str, np.ndarray], parts: list[bytes], learn: bool = True):
     x, lengths = _batch(parts)
     mask = np.arange(len(x))[:, None] < lengths[None, :]
-    f, f_kept = _run(x, mask, w["fx"], w["fh"], w["fc"])
-    b, b_kept = _run(x[::-1], mask[::-1], w["bx"], w["bh"], w["bc"])
+    f, f_kept = _run(x, mask, w["fx"], w["fh"], w["fc"], learn)
+    b, b_kept = _run(x[::-1], mask[::-1], w["bx"], w["bh"], w["bc"], learn)
     both = np.concatenate((f, b[::-1]), axis=2)
     scores = both @ w["out"] + w["bias"]
     scores -= scores.max(axis=2, keepdims=True)
@@ -209,7 +210,7 @@ class Labeller:
         chunk = max(1, int(CHUNK * self.part))
         for at in range(0, len(order), chunk):
             chosen = [parts[j] for j in order[at : at + chunk]]
-            _, mask, _, p, _, _ = _forward(self.model.weights, [c[0] for c in chosen])
+            _, mask, _, p, _, _ = _forward(self.model.weights, [c[0] for c in chosen], learn=False)
             # Own positions, and the spaces around the segment where a window begins or ends it.
             first = np.array([f + (f > 0) for _, f, _ in chosen])
             last = np.array([t + (1 if t < len(raw) else 2) for raw, _, t in chosen])
