@@ -50,7 +50,11 @@ def node_code(iri: Column, hosts: Sequence[str] = vocab.HOSTS) -> Column:
 
     No name under the hosts is dropped: one without known prefix and number is hashed into type 12.
     """
-    path = host_path(iri, hosts)
+    return path_code(host_path(iri, hosts))
+
+
+def path_code(path: Column) -> Column:
+    """The code of what follows the host, null for null."""
     d = F.regexp_extract(path, r"^dependent-sense-(\d+)-lexical-unit-(\d+)$", 1)
     h = F.regexp_extract(path, r"^dependent-sense-(\d+)-lexical-unit-(\d+)$", 2)
     half = F.lit(1 << vocab.HALF_BITS)
@@ -119,9 +123,9 @@ def unescape(text: Column) -> Column:
     def piece(part: Column) -> Column:
         for letter, meant in _PLAIN.items():
             part = F.replace(part, F.lit("\\" + letter), F.lit(meant))
-        return _points(part)
+        return part
 
-    whole = F.array_join(F.transform(F.split(text, r"\\\\", -1), piece), "\\")
+    whole = F.array_join(F.transform(F.transform(F.split(text, r"\\\\", -1), piece), _points), "\\")
     return F.when(F.instr(text, "\\") == 0, text).otherwise(whole)
 
 

@@ -44,14 +44,24 @@ def _find(what: str, text: Column, start: Column) -> Column:
     return F.call_function("locate", F.lit(what), text, start)
 
 
-def literal_parts(o: Column) -> tuple[Column, Column]:
+def once(value: Column) -> Column:
+    """A value that later steps read many times and filters test: the partition id keeps it from being written out again
+    in each of them, and filters on it from moving below it."""
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
+def _literal_end(o: Column) -> Column:
+    """Where the closing quotes begin; 0 or null without them."""
+    return F.when(o.startswith('"""'), _find('"""', o, F.lit(4))).when(o.startswith('"'), _find('"', o, F.lit(2)))
+
+
+def literal_parts(o: Column, end: Column | None = None) -> tuple[Column, Column]:
     """Content and tail of a literal: triple quotes end at the first three quotes, plain ones at the first; else null.
 
     This is the source's own, lenient reading: an escaped quote just before the closing quotes is cut.
     """
-    three = o.startswith('"""')
-    width = F.when(three, 3).otherwise(1)
-    end = F.when(three, _find('"""', o, F.lit(4))).when(o.startswith('"'), _find('"', o, F.lit(2)))
+    end = _literal_end(o) if end is None else end
+    width = F.when(o.startswith('"""'), 3).otherwise(1)
     return F.when(end > 0, F.substr(o, width + 1, end - width - 1)), F.when(end > 0, F.substr(o, end + width))
 
 
@@ -60,27 +70,24 @@ def parse(lines: DataFrame, column: str = "value") -> DataFrame:
 
     A line is cut at the first '> <' and the first '> ' after it.
     """
-    line = F.col(column)
-    first = F.instr(line, "> <")
-    cut = lines.filter(line.startswith("<") & (first > 0)).select(
-        F.substr(line, F.lit(2), first - 2).alias("s"), F.substr(line, first + 3).alias("rest")
-    )
-    second = F.instr("rest", "> ")
-    split = cut.filter(second > 0).select("s", F.substr("rest", F.lit(1), second - 1).alias("p"), F.substr("rest", second + 2).alias("raw"))
-    raw = F.col("raw")
-    is_iri = raw.startswith("<")
-    content, tail = literal_parts(raw)
+    line, first, second, raw = F.col(column), F.col("first"), F.col("second"), F.col("raw")
+    found = lines.filter(line.startswith("<")).select(line.alias("line"), once(F.instr(line, "> <")).alias("first"))
+    cut = found.select(F.substr("line", F.lit(2), first - 2).alias("s"), once(F.substr("line", first + 3)).alias("rest"), "first")
+    cut = cut.select("s", "rest", "first", once(F.instr("rest", "> ")).alias("second"))
+    split = cut.filter((first > 0) & (second > 0)).select("s", F.substr("rest", F.lit(1), second - 1).alias("p"), once(F.substr("rest", second + 2)).alias("raw"))
+    ended = split.select("s", "p", "raw", raw.startswith("<").alias("is_iri"), once(F.coalesce(_literal_end(raw), F.lit(0))).alias("end"))
+    is_iri = F.col("is_iri")
+    content, tail = literal_parts(raw, F.col("end"))
     name = F.when(F.instr(raw, ">") > 0, F.substring_index(F.substr(raw, F.lit(2)), ">", 1)).otherwise("")
-    typed = split.select(
+    typed = ended.filter(is_iri | (F.col("end") > 0)).select(
         "s",
         "p",
         F.when(is_iri, name).alias("o"),
-        is_iri.alias("is_iri"),
-        F.when(~is_iri, content).alias("lit"),
-        F.when(~is_iri, tail).alias("tail"),
+        "is_iri",
+        once(F.when(~is_iri, content)).alias("lit"),
+        once(F.when(~is_iri, tail)).alias("tail"),
     )
-    kept = typed.filter(F.col("is_iri") | F.col("lit").isNotNull())
-    return kept.withColumn("lit", scalar.unescape(F.col("lit"))).withColumn("lang", scalar.language(F.col("tail")))
+    return typed.withColumn("lit", once(scalar.unescape(F.col("lit")))).withColumn("lang", scalar.language(F.col("tail")))
 
 
 def dispatched(triples: DataFrame, hosts: Sequence[str] = vocab.HOSTS) -> DataFrame:
@@ -93,8 +100,10 @@ def dispatched(triples: DataFrame, hosts: Sequence[str] = vocab.HOSTS) -> DataFr
     return (
         triples.filter(F.col("p").isin(*vocab.PREDICATES))
         .withColumns({"role": F.get(found, F.lit(0)), "key": F.get(found, F.lit(1))})
-        .withColumns({"sc": scalar.node_code(F.col("s"), hosts), "oc": scalar.node_code(F.col("o"), hosts)})
-        .filter(F.col("sc").isNotNull())
+        .withColumns({"sp": once(scalar.host_path(F.col("s"), hosts)), "op": once(scalar.host_path(F.col("o"), hosts))})
+        .filter(F.col("sp").isNotNull())
+        .withColumns({"sc": once(scalar.path_code(F.col("sp"))), "oc": once(scalar.path_code(F.col("op")))})
+        .drop("sp", "op")
     )
 
 
