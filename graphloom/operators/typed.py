@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar, vocab
+from ..plans.staging import staged
 from . import build, traverse
 
 #: Variants of the second generation and the text kinds they leave out.
@@ -68,6 +69,7 @@ def second_generation(triples: DataFrame, hosts: Sequence[str] = vocab.HOSTS) ->
     ends = triples.filter(F.col("is_iri") & F.col("p").isin(*keys)).select(
         scalar.node_code(F.col("s"), hosts).alias("s"), scalar.node_code(F.col("o"), hosts).alias("o"), F.try_element_at(named, F.col("p")).alias("rel")
     ).filter("s is not null and o is not null")
+    ends = staged(ends, "ends")  # read three times, and the lines but once
     mwe = build.contract(
         ends.filter("rel = 'constituent'").select(F.col("s").alias("mwe"), F.col("o").alias("part")),
         ends.filter("rel = 'corresponds'").select(F.col("s").alias("part"), F.col("o").alias("word")),

@@ -1,3 +1,4 @@
+import re
 import unicodedata
 
 from hypothesis import HealthCheck, given, settings
@@ -5,6 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from graphloom.functions import scalar, vocab
+from graphloom.operators import typed
 from graphloom.sources import ntriples
 
 FEW = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -87,3 +89,23 @@ def test_small_functions(spark):
     assert [one(spark, scalar.tier(F.lit(t), F.lit(k), "čas")) for t, k in (("iztočnica: Čas (x)", 0), ("pomen: dober čas!", 2), ("pomen: časopis", 2))] == [0, 1, 2]
     assert one(spark, scalar.parse_answer(F.lit("uvod\nODGOVOR: A | b.\nkonec"), "|")) == ["a", "b"]
     assert one(spark, scalar.parse_answer(F.lit("brez"), "|")) is None
+
+
+def test_codes_without_patterns_are_those_with(spark):
+    """Names read the short way get the codes that the patterns give; the rows' code stays small enough to be compiled."""
+    numbers = ["0", "7", "007", "+7", " 7", "7 ", "-7", "", "x", "7x", "9" * 16, "1" + "0" * 16, "9" * 17, "9" * 19, "٣", "7\n", str(1 << 28), str((1 << 28) - 1)]
+    names = [f"{stem}-{n}" for stem in (*vocab.TYPES, "lexical", "", "-", "dependent-sense", "Sense") for n in numbers]
+    names += [f"dependent-sense-{a}-lexical-unit-{b}" for a in numbers for b in numbers] + ["dependent-sense-1-lexical-unit-2-3", "dependent-sense-1-lexical-form-2", "sense", "7", "", None]
+    df = spark.createDataFrame([(n,) for n in names], "n string").repartition(1)
+    rows = df.select("n", scalar.path_code(F.col("n")).alias("a"), F.when(F.col("n").isNotNull(), scalar._any_code(F.col("n"))).alias("b")).collect()
+    assert len(rows) == len(names) and [r["n"] for r in rows if r["a"] != r["b"]] == []
+    lines = spark.createDataFrame([(f"<{vocab.HOSTS[0]}sense-1> <{vocab.SKOS}definition> \"x\"@sl .",)], "value string").repartition(1)
+    shown = spark._jvm.org.apache.spark.sql.execution.debug.__getattr__("package$").__getattr__("MODULE$")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for made in (ntriples.dispatched(ntriples.parse(lines)), typed.first_generation(ntriples.parse(lines)), typed.first_generation_texts(ntriples.parse(lines))):
+            sizes = re.findall(r"maxMethodCodeSize:(-?\d+)", shown.codegenString(made._jdf.queryExecution().executedPlan()))
+            assert sizes and all(0 < int(n) < 8000 for n in sizes)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
