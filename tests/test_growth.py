@@ -11,6 +11,20 @@ def _plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString(), df._jdf.queryExecution().sparkPlan().toString()
 
 
+def test_partners_without_a_name_are_none(spark, tmp_path):
+    import duckdb
+
+    spark.createDataFrame([(k, f"NATION_{k}") for k in range(3)], "n_nationkey int, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    pairs = [(1, 0), (2, 1), (7, 2), (8, 30), (40, 9), (2, 30), (1, 99)]
+    spark.createDataFrame(pairs, "s_suppkey long, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    db = duckdb.connect()
+    for name in ("nation", "supplier"):
+        db.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = sorted(db.sql(registry.ORACLES["antonym_list"]).fetchall())
+    got = registry.QUERIES["antonym_list"](spark, str(tmp_path)).select("anchor", "gold", "tier", "split").collect()
+    assert sorted(map(tuple, got)) == want and {r[0] for r in want} == {0, 1, 2, 7, 30, 99}
+
+
 def test_rules_read_written_graphs(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(lexicon_queries.store, "text_rules", lambda *graphs: seen.extend(graphs) or graphs[0].nodes.selectExpr("key AS check", "0L AS found").limit(0))
