@@ -25,6 +25,23 @@ def test_partners_without_a_name_are_none(spark, tmp_path):
     assert sorted(map(tuple, got)) == want and {r[0] for r in want} == {0, 1, 2, 7, 30, 99}
 
 
+def test_questions_are_listed_last(spark, monkeypatch):
+    monkeypatch.setattr(qa, "UNIT_CHUNK", 3)
+    asked = [(1, "Kaj je rdeč vrh?"), (2, "rdeč, rdeč vrh kaj"), (3, "vrh"), (4, "kaj"), (5, "?"), (6, "neznan vrh"), (7, None)]
+    index = [("rdeč", u) for u in range(20)] + [("vrh", u) for u in range(15, 40)] + [("kaj", 99), ("vrh", 16)]
+    found = qa.extracted(
+        spark.createDataFrame(asked, "id long, question string"), spark.createDataFrame(index, "surface string, unit long").distinct(), ("kaj",)
+    )
+    vrh, both = range(15, 40), range(40)
+    want = [(i, u) for i, units in ((1, both), (2, both), (3, vrh), (6, vrh)) for u in units]
+    assert sorted(map(tuple, found.collect())) == want
+    logical, _ = _plan(found)
+    assert "Generate explode(units" in logical.split("Join")[0] and "Aggregate" not in logical.split("Join")[0]
+    pairs = spark.createDataFrame([(1, 5), (3, 5), (4, 99), (8, 1)], "id long, unit long")
+    rates = qa.extraction_rates(pairs, *qa.named_units(spark.createDataFrame(asked, "id long, question string"), spark.createDataFrame(index, "surface string, unit long").distinct(), ("kaj",)))
+    assert tuple(rates.first()) == (4, 0.25, 0.5)
+
+
 def test_rules_read_written_graphs(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(lexicon_queries.store, "text_rules", lambda *graphs: seen.extend(graphs) or graphs[0].nodes.selectExpr("key AS check", "0L AS found").limit(0))
