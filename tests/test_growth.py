@@ -42,6 +42,21 @@ def test_questions_are_listed_last(spark, monkeypatch):
     assert tuple(rates.first()) == (4, 0.25, 0.5)
 
 
+def test_cells_are_dealt_out_by_part_and_moved_once(spark, monkeypatch):
+    monkeypatch.setattr(qa_queries, "PARTS_A_TASK", 30)
+    tables = Tables(spark, FOLDER)
+    tasks = -(-tables.part.count() // 30)
+    assert qa_queries._slots(tables, 18).rdd.getNumPartitions() == tasks
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for name in ("paradigm_table", "paradigm_by_number", "single_cell", "verb_paradigm", "verb_tenses"):
+            plan = registry.QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange") == 1, name
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def test_rules_read_written_graphs(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(lexicon_queries.store, "text_rules", lambda *graphs: seen.extend(graphs) or graphs[0].nodes.selectExpr("key AS check", "0L AS found").limit(0))
