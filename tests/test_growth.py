@@ -1,6 +1,6 @@
 """What keeps a query's work in proportion to its tables, and results on keys that the small tables lack."""
 
-from graphloom.operators import qa
+from graphloom.operators import qa, store
 from graphloom.plans import lexicon_queries, qa_queries, registry
 from graphloom.plans.catalog import Tables
 
@@ -63,3 +63,9 @@ def test_rules_read_written_graphs(spark, monkeypatch):
     monkeypatch.setattr(lexicon_queries.store, "edge_rules", lambda *graphs: graphs[0].nodes.selectExpr("key AS check", "0L AS found").limit(0))
     registry.QUERIES["store_rules"](spark, FOLDER)
     assert len(seen) == 2 and not any("Join" in _plan(df)[0] for g in seen for df in (g.nodes, g.edges))
+
+
+def test_senses_move_by_entry_only(spark):
+    logical, _ = _plan(registry.QUERIES["sense_text"](spark, FOLDER))
+    read = [x for x in logical.splitlines() if "Relation" in x and "l_suppkey" in x]
+    assert "struct(lu" not in logical and len(read) == 2
