@@ -234,14 +234,18 @@ q AS (SELECT DISTINCT a AS anchor, y.p_name AS name FROM p JOIN part y ON y.p_pa
 """
 
 
+#: Lines whose pairs one task joins or sorts.
+LINES_A_TASK = 1_000_000
+
+
 def _partners(t, cap):
-    pairs = t.lineitem.filter("l_partkey <> l_suppkey").select(F.least("l_partkey", "l_suppkey").alias("a"), F.greatest("l_partkey", "l_suppkey").alias("b")).distinct()
-    names = t.part.select(F.col("p_partkey").alias("k"), "p_name")
-    named = (
-        pairs.join(names.select(F.col("k").alias("a"), F.col("p_name").alias("name_a")), "a")
-        .join(names.select(F.col("k").alias("b"), F.col("p_name").alias("name_b")), "b")
-    )
-    return qa.partners(named, cap)
+    """Both ends of every line, dealt out by partner and then by anchor to as many tasks as the lines ask for."""
+    tasks = max(1, -(-t.lineitem.count() // LINES_A_TASK), int(t.spark.conf.get("spark.sql.shuffle.partitions")))
+    ends = F.array(*[F.struct(F.col(a).alias("anchor"), F.col(b).alias("k")) for a, b in (("l_partkey", "l_suppkey"), ("l_suppkey", "l_partkey"))])
+    both = t.lineitem.filter("l_partkey <> l_suppkey").select(F.explode(ends).alias("e")).select("e.anchor", "e.k")
+    names = t.part.select(F.col("p_partkey").alias("k"), F.col("p_name").alias("name"))
+    named = both.repartition(tasks, "k").join(names, "k").select("anchor", "name").distinct()
+    return qa.listed_partners(named.repartition(tasks, "anchor"), cap)
 
 
 @query(f"""

@@ -69,3 +69,12 @@ def test_senses_move_by_entry_only(spark):
     logical, _ = _plan(registry.QUERIES["sense_text"](spark, FOLDER))
     read = [x for x in logical.splitlines() if "Relation" in x and "l_suppkey" in x]
     assert "struct(lu" not in logical and len(read) == 2
+
+
+def test_partner_lists_are_dealt_out_by_lines(spark, monkeypatch):
+    monkeypatch.setattr(qa_queries, "LINES_A_TASK", 500)
+    tables = Tables(spark, FOLDER)
+    tasks = -(-tables.lineitem.count() // 500)
+    for name in ("synonym_list", "counted_list"):
+        logical, _ = _plan(registry.QUERIES[name](spark, FOLDER))
+        assert logical.count(f", {tasks}\n") == 2 and tasks > 4 and logical.count("parquet") == 2
