@@ -65,6 +65,17 @@ def test_rules_read_written_graphs(spark, monkeypatch):
     assert len(seen) == 2 and not any("Join" in _plan(df)[0] for g in seen for df in (g.nodes, g.edges))
 
 
+def test_asymmetric_edges_need_no_join(spark):
+    rows = [(1, 2), (2, 1), (3, 1), (3, 1), (1, 4), (5, 5), (6, None), (None, 6), (None, None)]
+    half = spark.createDataFrame(rows, "src long, dst long")
+    key = lambda r: repr(tuple(r))
+    want = [(3, 1), (3, 1), (1, 4), (6, None), (None, 6), (None, None)]
+    assert sorted(map(tuple, store.asymmetric(half).collect()), key=key) == sorted(want, key=key)
+    assert sorted(map(tuple, store.asymmetric(half, distinct=True).collect()), key=key) == sorted(set(want), key=key)
+    logical, _ = _plan(registry.QUERIES["edge_symmetry_check"](spark, FOLDER))
+    assert "Join" not in logical and logical.count("Aggregate") == 1
+
+
 def test_senses_move_by_entry_only(spark):
     logical, _ = _plan(registry.QUERIES["sense_text"](spark, FOLDER))
     read = [x for x in logical.splitlines() if "Relation" in x and "l_suppkey" in x]
