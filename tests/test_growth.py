@@ -1,8 +1,10 @@
 """What keeps a query's work in proportion to its tables, and results on keys that the small tables lack."""
 
+from graphloom.functions import vocab
 from graphloom.operators import qa, store
 from graphloom.plans import lexicon_queries, qa_queries, registry
 from graphloom.plans.catalog import Tables
+from graphloom.sources import ntriples
 
 from .oracle import FOLDER
 
@@ -89,3 +91,44 @@ def test_partner_lists_are_dealt_out_by_lines(spark, monkeypatch):
     for name in ("synonym_list", "counted_list"):
         logical, _ = _plan(registry.QUERIES[name](spark, FOLDER))
         assert logical.count(f", {tasks}\n") == 2 and tasks > 4 and logical.count("parquet") == 2
+
+
+def test_lines_are_cut_by_bytes(spark):
+    """Against the cutting in plain Python, on names and literals of several bytes a character and on broken lines."""
+    rows = ["<š> <p> <č> .", "<> <> <> .", "<a> <b> <c .", '<ž> <p> """čš"x"""@sl .', '<a> <p> "é" .', '<a> <p> "open', "<a> <b>", "<a <p> <o> .", "x> <p> <o>", "<a> <p> 5 .", None, "", "<", "<a> <p> <", "<😀> <p> <😀> <b> <c>"]
+
+    def cut(line):
+        head, found, rest = (line or "").partition("> <")
+        p, more, raw = rest.partition("> ")
+        if not (line and line.startswith("<") and found and more):
+            return []
+        quotes = '"""' if raw.startswith('"""') else '"'
+        lit, closed, tail = raw[len(quotes) :].partition(quotes)
+        if raw.startswith("<"):
+            return [(head[1:], p, raw[1:].partition(">")[0] if ">" in raw else "", None, None)]
+        return [(head[1:], p, None, lit, tail)] if raw.startswith('"') and closed else []
+
+    want = [x for line in rows for x in cut(line)]
+    lines = spark.createDataFrame([(x,) for x in rows], "value string")
+    got = [tuple(r) for r in ntriples.parse(lines).select("s", "p", "o", "lit", "tail").collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and len(got) == 7
+    assert ntriples.parse(lines, predicates=("b",)).select("s", "o").collect() == [("a", "")]
+
+
+def test_other_predicates_go_before_objects_are_read(spark):
+    for name in ("graph_features", "graph_members", "graph_first_examples", "graph_sense_lemmas"):
+        seen, whole = [], ntriples.dispatched
+
+        def watch(triples, *a, **k):
+            seen.append(_plan(triples)[0].splitlines())
+            return whole(triples, *a, **k)
+
+        ntriples.dispatched = watch
+        try:
+            registry.QUERIES[name](spark, FOLDER)
+        finally:
+            ntriples.dispatched = whole
+        (plan,) = seen
+        chosen = next(i for i, x in enumerate(plan) if "Filter" in x and (" IN (" in x or "INSET" in x or f"= {vocab.RDFS}member" in x))
+        read = next(i for i, x in enumerate(plan) if " AS is_iri" in x)
+        assert read < chosen, name
