@@ -134,6 +134,15 @@ def test_other_predicates_go_before_objects_are_read(spark):
         assert read < chosen, name
 
 
+def test_edges_need_no_other_triples(spark, monkeypatch):
+    seen, whole = [], lexicon_queries.build.dispatched_table
+    monkeypatch.setattr(lexicon_queries.build, "dispatched_table", lambda triples, hosts=vocab.HOSTS, keys=None: seen.append(keys) or whole(triples, hosts, keys))
+    for name in ("graph_edges", "second_generation_labels"):
+        logical, _ = _plan(registry.QUERIES[name](spark, FOLDER))
+        assert not {"pos", "value", "definition", *vocab.FEATURES} & set(seen[-1] or ("pos",)), name
+        assert "LeftSemi" not in logical, name
+
+
 def test_texts_stay_where_they_are_read(spark, monkeypatch):
     for name in ("form_analysis_in_sentence", "form_in_sentence"):
         logical, physical = _plan(registry.QUERIES[name](spark, FOLDER))
